@@ -4,22 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import langid, secrets
+from eventloom.llm import langid, secrets, sentencepiece_codec, token_counts, token_files
 from eventloom.llm.common import documents
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.digest_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_sections(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), rule="first")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_language_id, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
