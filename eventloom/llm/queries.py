@@ -7,14 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import langid, secrets, sentencepiece_codec, token_counts, token_files
-from eventloom.llm.common import documents
+from eventloom.llm import langid, mixing, quality_rules, secrets, sentencepiece_codec, token_counts, token_files
+from eventloom.llm.common import documents, labels
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_sections(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), rule="first")
 
@@ -31,9 +35,13 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(documents(spark, sf_dir))
 
 
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir), mixing.WEIGHTS, size=1.0, seed=1)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_sentencepiece, op4_quality_rules, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_source_mix": mixing.mix_sql(mixing.WEIGHTS, 1.0, 1)}
