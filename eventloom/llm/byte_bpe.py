@@ -4,22 +4,67 @@ The pre-tokenizer starts a token at every space that stands between two characte
 space. So a text is cut at its single spaces, each unit is encoded once by the tokenizers library and
 kept in a bounded table, and a text's ids are its units' ids in a row. Texts in which white space
 touches a cut, or that hold a special token's string, go to the library whole.
+
+A unit of common characters that isn't in the table is cut again, into the pre-tokenizer's own tokens;
+those have a table too, and only what is in neither goes through the library's merges.
 """
 
 from __future__ import annotations
 
 import os
+import re
+import struct
+import unicodedata
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 from tokenizers import Tokenizer  # noqa: E402
 
-#: Entries of the table of units; a full table is emptied. Longer units aren't kept.
-MAX_UNITS, MAX_KEPT = 500_000, 48
+#: Entries of a table's younger half; when it is full it becomes the older half. Longer units aren't kept.
+MAX_UNITS, MAX_KEPT = 400_000, 48
 # Unicode's white space.
 WHITE = frozenset("\t\n\v\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | frozenset(map(chr, range(0x2000, 0x200B)))
 
+# The pre-tokenizer's rule, for characters whose classes no version of Unicode changes.
+_PLAIN = [chr(c) for c in range(0xA1, 0x250)]
+_LETTERS = "A-Za-z" + "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "L")
+_NUMBERS = "0-9" + "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
+PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
+TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: Bytes that stand for themselves in the vocabulary; the others follow from U+0100 on.
+_SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE = {b: chr(b) for b in _SELF} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SELF))}
+_MAPPED = {c: "".join(_BYTE[b] for b in chr(c).encode()) for c in [*range(0x80), *range(0xA1, 0x250)]}
+
+
+class Table:
+    """A bounded map whose entries stay while they are used: two halves, the older one is dropped."""
+
+    def __init__(self):
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        found = self.young.get(key)
+        if found is None and (found := self.old.get(key)) is not None:
+            self.put(key, found)
+        return found
+
+    def get_all(self, keys: list) -> list:
+        found = list(map(self.young.get, keys))
+        if None in found:
+            for i, x in enumerate(found):
+                if x is None and (x := self.old.get(keys[i])) is not None:
+                    found[i] = x
+                    self.put(keys[i], x)
+        return found
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= MAX_UNITS:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
 
 class Encoder:
     """ids are uint32 arrays. With offsets, each unit also keeps its tokens' character spans."""
@@ -27,46 +72,60 @@ class Encoder:
     def __init__(self, path: str, offsets: bool = False):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
+        self.model = self.library.model
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.offsets = offsets
-        self.units: dict[str, tuple] = {}
-
-    def raw(self, units: list[str]) -> list[tuple]:
-        """(ids, starts, ends) as bytes of little-endian 32-bit integers, and the number of ids."""
-        if not self.offsets:
-            return [(np.array(e.ids, "<u4").tobytes(),) for e in self.library.encode_batch_fast(units, add_special_tokens=False)]
-        out = []
-        for e in self.library.encode_batch(units, add_special_tokens=False):
-            span = np.array(e.offsets, "<i4").reshape(-1, 2)
-            out.append((np.array(e.ids, "<u4").tobytes(), span[:, 0].tobytes(), span[:, 1].tobytes()))
-        return out
-
-    def parts(self, text: str) -> tuple[list[str], list[tuple]] | None:
+        self.units, self.tokens = Table(), Table()
+
+    def token(self, token: str) -> bytes:
+        """Ids of one token of the pre-tokenizer."""
+        found = self.tokens.get(token)
+        if found is None:
+            merged = self.model.tokenize(token.translate(_MAPPED))
+            found = struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+            self.tokens.put(token, found)
+        return found
+
+    def unit(self, unit: str):
+        """What is kept of one unit: its ids as bytes; with offsets those, and the first and last characters, as bytes."""
+        if self.offsets:
+            e = self.library.encode(unit, add_special_tokens=False)
+            n = len(e.ids)
+            return struct.pack(f"<{n}I", *e.ids), *(struct.pack(f"<{n}i", *[o[k] for o in e.offsets]) for k in (0, 1))
+        word, end = unit[1:], unit[-1]
+        if word.isascii() and unit[0] == " ":
+            # most units are one word, or one word and one mark
+            if word.isalpha():
+                merged = self.model.tokenize(f"\u0120{word}")
+                return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
+            if end in ",.!?;:" and word[:-1].isalpha():
+                return self.token(unit[:-1]) + self.token(end)
+        if PLAIN.fullmatch(unit):
+            return b"".join([self.token(t) for t in TOKENS.findall(unit)])
+        ids = self.library.encode(unit, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def parts(self, text: str) -> tuple[list[str], list] | None:
         """The text's units (all but the first without the space in front) and what is kept of them; None if it can't be cut."""
         if any(s in text for s in self.special):
             return None
         parts = text.split(" ")
-        found = list(map(self.units.get, parts))
-        # the first unit has no space in front, so it has a key of its own
-        head = "\0 " + parts[0]
-        found[0] = self.units.get(head)
-        missing = {p: None for p, x in zip(parts[1:], found[1:], strict=True) if x is None}
-        if any(not p or p[0] in WHITE or p[-1] in WHITE for p in missing):
+        # the first unit has no space in front, so it isn't looked up
+        if not parts[0] or parts[0][-1] in WHITE:
             return None
-        if found[0] is None:
-            if not parts[0] or parts[0][-1] in WHITE:
-                return None
-            found[0] = self.raw([parts[0]])[0]
-            if len(parts[0]) <= MAX_KEPT:
-                self.units[head] = found[0]
-        if missing:
-            made = dict(zip(missing, self.raw([f" {p}" for p in missing]), strict=True))
+        found = self.units.get_all(parts)
+        found[0] = self.unit(parts[0])
+        if None in found:
             for i, x in enumerate(found):
                 if x is None:
-                    found[i] = made[parts[i]]
-            if len(self.units) + len(made) > MAX_UNITS:
-                self.units.clear()
-            self.units.update((p, x) for p, x in made.items() if len(p) <= MAX_KEPT)
+                    p = parts[i]
+                    if not p or p[0] in WHITE or p[-1] in WHITE:
+                        return None
+                    if (x := self.units.get(p)) is None:
+                        x = self.unit(f" {p}")
+                        if len(p) <= MAX_KEPT:
+                            self.units.put(p, x)
+                    found[i] = x
         return parts, found
 
     def ids(self, text: str) -> np.ndarray:
@@ -74,7 +133,7 @@ class Encoder:
             return np.zeros(0, "<u4")
         if (cut := self.parts(text)) is None:
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
-        return np.frombuffer(b"".join([x[0] for x in cut[1]]), "<u4")
+        return np.frombuffer(b"".join([x[0] for x in cut[1]] if self.offsets else cut[1]), "<u4")
 
     def spans(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """ids, and each token's first character and the place after its last one."""

@@ -69,6 +69,17 @@ def test_units_equal_library():
         assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=60), st.text(alphabet="ab é²½ß·\xa1\u024f \n'st re1.,!\r\t", max_size=40))
+def test_units_any_text(a, b):
+    e, f = byte_bpe.encoder(BYTES), byte_bpe.encoder(BYTES, offsets=True)
+    for t in (a, b):
+        want = e.library.encode(t, add_special_tokens=False)
+        assert e.ids(t).tolist() == want.ids
+        _, starts, ends = f.spans(t)
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == want.offsets
+
+
 def test_rules_of_crossing_tokens():
     starts, ends, bounds = np.array([0, 3, 6]), np.array([3, 7, 9]), np.array([0, 5])
     assert token_counts.attribute(starts, ends, bounds, "first").tolist() == [0, 0, 1]
