@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import langid, mixing, quality_rules, secrets, sentencepiece_codec, token_counts, token_files, toxicity
+from eventloom.llm import fingerprints, langid, mixing, quality_rules, secrets, sentencepiece_codec, token_counts, token_files, toxicity
 from eventloom.llm.common import documents, labels
 
 
@@ -19,6 +19,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edited(documents(spark, sf_dir))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir), labels(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op4_quality_rules, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
