@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from eventloom.llm import fingerprints, langid, mixing, quality_rules, secrets, sentencepiece_codec, token_counts, token_files, toxicity
+from eventloom.llm import fingerprints, jaccard_join, langid, mixing, quality_rules, secrets, sentencepiece_codec, token_counts, token_files, toxicity
 from eventloom.llm.common import documents, labels
 
 
@@ -35,6 +35,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join_similar(documents(spark, sf_dir))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -48,7 +52,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_token_counts, op6_language_id, op8_token_files, op9_secret_scan, op10_source_mix)}
+    return {f.__name__: f for f in (op1_sentencepiece, op2_toxicity, op3_fingerprints, op4_quality_rules, op5_token_counts, op6_language_id, op7_jaccard_join, op8_token_files, op9_secret_scan, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
