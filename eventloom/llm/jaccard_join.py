@@ -7,8 +7,8 @@ probability of their Jaccard similarity.
 
 The join runs RUNS times, so many that a pair at the threshold is missed with less than 1 - TARGET. A run
 samples one token of each set; sets that share it meet in a bucket. A bucket of more than SMALL sets is
-split again on further sampled tokens (CHILDREN of them, so that a pair at the threshold goes on with
-high probability), until it is small or DEPTH is reached; small buckets are compared by brute force on
+split again on further sampled tokens (several of them, so that a pair at the threshold goes on with
+high probability: all but 0.04 a DataFrame step, all but 0.008 a split in a task), until it is small or DEPTH is reached; small buckets are compared by brute force on
 all T tokens, against a threshold low enough to lose no pair. Buckets of a size that a task shouldn't
 hold are split in DataFrame steps; what still holds together after DEPTH steps is joined to its least
 member, which leaves the decision to the check.
@@ -44,7 +44,8 @@ WORDS, LEAST, TOKENS = 5, 0.8, 64
 #: A pair at the threshold is missed by all runs with a probability of less than 1 - TARGET.
 TARGET = 0.9999
 RUNS = math.ceil(math.log(1 - TARGET) / math.log(1 - LEAST))
-SMALL, CHILDREN, DEPTH = 192, 3, 4
+#: Tokens on which a large bucket is split: in a task, and in a DataFrame step, where every child is a row.
+SMALL, CHILDREN, STEP_CHILDREN, DEPTH = 192, 3, 2, 4
 #: Share of equal tokens from which a pair is a candidate: over four standard errors below the threshold.
 CANDIDATE = LEAST - 4.2 * math.sqrt(LEAST * (1 - LEAST) / TOKENS)
 #: A bucket with more rows than this, and than this share of all rows, is split in DataFrame steps; so there are 1 / HOT_SHARE of them at most.
@@ -128,10 +129,10 @@ def _path(*parts: int) -> int:
     return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def choices(path: int) -> list[int]:
+def choices(path: int, children: int) -> list[int]:
     """The tokens on which the bucket of this path is split."""
     rng = np.random.default_rng(abs(path))
-    return rng.choice(TOKENS, CHILDREN, replace=False).tolist()
+    return rng.choice(TOKENS, children, replace=False).tolist()
 
 
 def first_paths(nodes: DataFrame) -> DataFrame:
@@ -148,12 +149,12 @@ def first_paths(nodes: DataFrame) -> DataFrame:
 
 
 def next_paths(rows: DataFrame) -> DataFrame:
-    """The children of rows that lie in buckets which are too large: CHILDREN rows for each."""
+    """The children of rows that lie in buckets which are too large: STEP_CHILDREN rows for each."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         tokens = [np.frombuffer(x, np.uint32) for x in batch.column("tokens").to_pylist()]
-        paths = [_path(p, k, int(t[k])) for p, t in zip(batch.column("path").to_pylist(), tokens, strict=True) for k in choices(p)]
-        again = pa.array(np.repeat(np.arange(batch.num_rows), CHILDREN))
+        paths = [_path(p, k, int(t[k])) for p, t in zip(batch.column("path").to_pylist(), tokens, strict=True) for k in choices(p, STEP_CHILDREN)]
+        again = pa.array(np.repeat(np.arange(batch.num_rows), STEP_CHILDREN))
         return pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), batch.column("node").take(again), batch.column("tokens").take(again)], ["path", "node", "tokens"])
 
     return map_batches(rows.select("path", "node", "tokens"), each, "path long, node binary, tokens binary")
@@ -203,7 +204,7 @@ def solve(path: int, tokens: np.ndarray, depth: int) -> list[np.ndarray]:
             out.append(np.stack([np.zeros(min(n, SMALL) - 1, np.int64), np.arange(1, min(n, SMALL))], axis=1))
         return out
     out = []
-    for k in choices(path):
+    for k in choices(path, CHILDREN):
         order = np.argsort(tokens[:, k], kind="stable")
         values = tokens[order, k]
         cuts = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]).tolist() + [n]
