@@ -99,16 +99,16 @@ SPLITS = """splits AS (
 
 
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, ticker, event_date, session): large orders' first lines, by supplier."""
-    li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = li.where("l_linenumber = 1").join(o.where("o_totalprice > 300000"), li["l_orderkey"] == o["o_orderkey"])
+    """(event_id, ticker, event_date, session): large orders, each with its least supplier."""
+    first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("ticker"))
+    rows = table(spark, sf_dir, "orders").where("o_totalprice > 300000").join(first, "o_orderkey")
     session = F.when(F.col("o_orderkey") % 3 == 0, "AMC").otherwise("BMO")
-    return rows.select(F.col("o_orderkey").alias("event_id"), F.col("l_suppkey").alias("ticker"), F.to_date("o_orderdate").alias("event_date"), session.alias("session"))
+    return rows.select(F.col("o_orderkey").alias("event_id"), "ticker", F.to_date("o_orderdate").alias("event_date"), session.alias("session"))
 
 
 DATED = """dated AS (
-  SELECT o_orderkey AS event_id, l_suppkey AS ticker, o_orderdate::date AS event_date, CASE WHEN o_orderkey % 3 = 0 THEN 'AMC' ELSE 'BMO' END AS session
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1 AND o_totalprice > 300000)"""
+  SELECT o_orderkey AS event_id, min(l_suppkey) AS ticker, any_value(o_orderdate)::date AS event_date, CASE WHEN o_orderkey % 3 = 0 THEN 'AMC' ELSE 'BMO' END AS session
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000 GROUP BY o_orderkey)"""
 
 
 # What the driver's event types stand for.
@@ -130,13 +130,13 @@ UNIFIED = """unified AS (
 
 def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(move_id, ticker, move_date, return_pct): large purchases of the stream table."""
-    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' and value >= 150")
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' and value >= 40")
     return rows.select(F.col("event_id").alias("move_id"), F.col("user_id").alias("ticker"), F.to_date("ts").alias("move_date"), r6((F.col("value") % 40 - 20) / 100).alias("return_pct"))
 
 
 MOVES = """moves AS (
   SELECT event_id AS move_id, user_id AS ticker, ts::date AS move_date, round((value % 40 - 20) / 100, 6) + 0.0 AS return_pct
-  FROM events WHERE event_type = 'purchase' AND value >= 150)"""
+  FROM events WHERE event_type = 'purchase' AND value >= 40)"""
 
 
 def with_(*ctes: str) -> str:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from eventloom.plans import panel
+from eventloom.plans import evidence, panel, strategy, text
 from eventloom.plans.base import Query
 
-MODULES = (panel,)
+MODULES = (panel, evidence, strategy, text)
 
 
 def queries() -> dict[str, Query]:
