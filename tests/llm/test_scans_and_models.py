@@ -1,0 +1,137 @@
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+import zlib
+
+import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from eventloom.llm import langid, secrets, toxicity
+
+
+def brute_base(t):
+    out = []
+    for m in re.finditer(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t):
+        if len(m[2]) >= 6:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 20]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", t) if m.end() - m.start() >= 24]
+    return sorted(out)
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["token", "=", ":", " ", "abc123", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef01234567", '"', "api_key", "Secret", "é", "\n", ".", "password", "ſecret"]), max_size=14).map("".join))
+def test_base_spans(t):
+    assert secrets.base_spans(t) == brute_base(t)
+    assert set(secrets.scan(t)[0]) <= set(secrets.scan(t)[1])
+
+
+def test_window_entropy_equals_recount():
+    run = "aB3dE6gH9jK2mN5pQ8sT1vW4aaaaaaaaaaaaaaaaaaaabcd"
+    for i, h in enumerate(secrets.window_entropies(run)):
+        w = run[i : i + secrets.WINDOW]
+        assert math.isclose(h, -sum(w.count(c) / len(w) * math.log2(w.count(c) / len(w)) for c in set(w)), abs_tol=1e-9)
+
+
+def test_entropy_finds_and_allows():
+    key = "kJ8s-Zq2Lm9XcV4bN7tR1wY6pD3fG5hA0"
+    assert any(k == 3 for _, k, _ in secrets.scan(f"use {key} here")[1])
+    for t in ("a/path/with/many/parts/and/words_in_it", "123e4567-e89b-12d3-a456-426614174000", "Thequickbrownfoxjumpsoverthelazydog", "2024-01-01-12-30-45-0000-1111", "this_is_a_long_identifier_name_42", "EXAMPLEkJ8sZq2Lm9XcV4bN7tR1wY6p"):
+        assert not [s for s in secrets.scan(t)[1] if s[1] == 3], t
+
+
+def test_clean_documents_have_no_entropy_spans(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    assert not any(k == 3 for r in rows for _, k, _ in secrets.scan(r.text)[1])
+
+
+def test_op9(odd, small):
+    for docs in (odd, small, odd.limit(0)):
+        want = []
+        for r in docs.collect():
+            b = brute_base(r.text or "")
+            digest = hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in b).encode()).hexdigest()
+            want.append((r.doc_id, *(sum(x[1] == k for x in b) for k in range(3)), digest))
+        got = [tuple(r)[:5] for r in secrets.find_secrets(docs).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_redaction(odd, spark):
+    docs = spark.createDataFrame([(1, "x password=abcdefgh y", 21), (2, None, None), (3, "clean", 5)], "doc_id long, text string, n_chars long")
+    assert {r.doc_id: (r.text, r.n_chars) for r in secrets.redact_secrets(docs).collect()} == {1: ("x [SECRET] y", 12), 2: (None, None), 3: ("clean", 5)}
+    assert secrets.redact_secrets(odd).columns == odd.columns
+
+
+def brute_scores(t, langs, matrix):
+    chars = np.frombuffer(f"\0{t.lower()}\0".encode("utf-32-le"), np.uint32)
+    total = np.zeros(len(langs))
+    for order in langid.ORDERS:
+        for i in range(len(chars) - order + 1):
+            total += matrix[langid.bucket_ids(chars[i : i + order], order)[0]]
+    return total
+
+
+def test_language(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    langs, matrix = langid.train(docs)
+    assert langs == ["de", "en", "es", "fr"]
+    got = langid.predict_language(docs, langs, matrix).collect()
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    held = [r for r in got if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in got)
+    assert sum(truth[r.doc_id] == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(0 <= r.score <= 1 for r in got)
+    some = [r.text[:60] for r in docs.limit(5).collect()] + ["", "a", "é"]
+    whole = langid.score_texts(some, matrix)[0]
+    monkeypatch.setattr(langid, "SLICE", 50)
+    parts = langid.score_texts(some, matrix)[0]
+    for t, x, y in zip(some, whole, parts, strict=True):
+        want = brute_scores(t, langs, matrix)
+        # a text's closing mark may make n-grams with the next text's opening one
+        assert int(np.argmax(x)) == int(np.argmax(want)) or len(t) < 2
+        assert np.allclose(x, y, atol=60)
+
+
+def test_language_odd(odd, spark):
+    got = {(r.doc_id, r.lang_pred) for r in langid.identify(odd).collect()}
+    by = {r.doc_id: r.lang_pred for r in langid.identify(odd).collect()}
+    assert by[0] == by[1] == by[2] == by[3] == "und" and len(got) > 0
+    nothing = odd.limit(0)
+    assert langid.identify(nothing).collect() == []
+    assert langid.train(nothing)[0] == []
+    assert {r.lang_pred for r in langid.predict_language(odd, *langid.train(nothing)).collect()} == {"und"}
+
+
+def test_toxicity_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in toxicity.classify(docs, labels).collect()}
+    held = [r for r in labels.where("toxic is not null").collect() if got[r.doc_id].held_out]
+    pos = [got[r.doc_id].score for r in held if r.toxic]
+    neg = [got[r.doc_id].score for r in held if not r.toxic]
+    auc = np.mean([[(a > b) + 0.5 * (a == b) for b in neg] for a in pos])
+    assert auc > 0.97
+    assert np.mean([s >= 0.5 for s in pos]) > 0.85 and np.mean([s >= 0.5 for s in neg]) < 0.01
+    assert all(r.predicted == int(r.score >= 0.5) for r in got.values())
+
+
+def test_label_model_recovers_rates():
+    r = np.random.default_rng(2)
+    y = r.random(4000) < 0.3
+    hit, false = np.array([0.8, 0.6, 0.5, 0.7]), np.array([0.05, 0.1, 0.02, 0.1])
+    votes = (r.random((4000, 4)) < np.where(y[:, None], hit, false)).astype(float)
+    votes = np.concatenate([votes, votes[:, :1]], axis=1)  # a voter that repeats another
+    posterior, found = toxicity.label_model(votes, y.astype(float))
+    assert np.mean((posterior > 0.5) == y) > 0.93
+    assert np.allclose(found["hit"][:4], hit, atol=0.08) and np.allclose(found["false"][:4], false, atol=0.05)
+    assert found["weight"][0] < 0.7 and found["weight"][4] < 0.7 and found["weight"][1] == 1.0
+
+
+def test_toxicity_odd(odd, spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.classify(odd, none).collect()} == {0}
+    few = spark.createDataFrame([(0, 1, 0), (1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+    assert len(toxicity.classify(odd, few).collect()) == odd.count()
+    assert toxicity.classify(odd.limit(0), few).collect() == []
