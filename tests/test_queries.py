@@ -24,7 +24,7 @@ def duck():
 def cell(v):
     if isinstance(v, (list, np.ndarray)):
         return repr(list(v))
-    if v is None or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
+    if pd.isna(v):
         return "null"
     if hasattr(v, "year"):
         return str(v)[:10]
