@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a batch that one call of a batch function sees; it bounds a Python worker's memory.
 BATCH_ROWS = 256
+#: Rows of an Arrow batch between the JVM and Python, unless the session says otherwise; documents may be long.
+ARROW_ROWS = "1000"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +44,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the default of ten thousand rows a batch; a value that someone chose stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, ARROW_ROWS)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """Apply fn to slices of at most `rows` rows, in the Python workers."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -52,7 +52,6 @@ CANDIDATE = LEAST - 4.2 * math.sqrt(LEAST * (1 - LEAST) / TOKENS)
 HOT_ROWS, HOT_SHARE = 1024, 2.0**-18
 #: Sets of a block of the exact check.
 BLOCK = 256
-MAX_WORDS = 400_000
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _rng = np.random.default_rng(7919)
@@ -60,22 +59,12 @@ _A = _rng.integers(1, 2**63, TOKENS, dtype=np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 2**63, TOKENS, dtype=np.uint64)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64((1 << 40) - 1)
-_words: dict[str, int] = {}
 
 
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of 40 bits."""
-    parts = WORD.findall(text)
-    found = list(map(_words.get, parts))
-    if None in found:
-        for i, x in enumerate(found):
-            if x is None:
-                found[i] = h = xxhash.xxh64_intdigest(parts[i], 11)
-                if len(_words) >= MAX_WORDS:
-                    _words.clear()
-                if len(parts[i]) <= 48:
-                    _words[parts[i]] = h
-    h = np.array(found, np.uint64)
+    # a hash costs about as much as looking it up, so no table of words is kept
+    h = np.array([xxhash.xxh64_intdigest(w, 11) for w in WORD.findall(text)], np.uint64)
     n = len(h) - WORDS + 1
     if not len(h):
         return h

@@ -29,8 +29,9 @@ from pyspark.sql import DataFrame
 from eventloom.llm.common import map_batches, texts
 
 SPACE = "▁"
-#: Entries of the word and pair tables; a full table is emptied. Longer words aren't kept.
-MAX_WORDS, MAX_PAIRS, MAX_KEPT = 400_000, 1_000_000, 48
+#: Entries of the word table's younger half, which becomes the older half when it is full; and of the pair
+#: table, which is emptied. Longer words aren't kept.
+MAX_WORDS, MAX_PAIRS, MAX_KEPT = 110_000, 300_000, 48
 NORMAL = 1  # the piece type of the model file
 
 
@@ -89,6 +90,7 @@ class Codec:
         self.automaton.make_automaton()
         self.pairs: dict[int, bool] = {}
         self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        self.older: dict[str, tuple[tuple[int, ...], str]] = {}
         self.space = pieces[SPACE]
 
     def compatible(self, left: int, right: int) -> bool:
@@ -123,6 +125,8 @@ class Codec:
 
     def word(self, part: str) -> tuple[tuple[int, ...], str]:
         """Ids of one space mark and what follows it up to the next, and the same in decimal."""
+        if (found := self.older.get(part)) is not None:
+            return self.keep(part, found)
         s, out, at = SPACE + part, [], 0
         if self.known.issuperset(s):
             out = self.segment(s)
@@ -135,10 +139,12 @@ class Codec:
                     at = i + 1
             if at < len(s):
                 out += self.segment(s[at:])
-        found = (tuple(out), ",".join(map(str, out)))
+        return self.keep(part, (tuple(out), ",".join(map(str, out))))
+
+    def keep(self, part: str, found: tuple[tuple[int, ...], str]) -> tuple[tuple[int, ...], str]:
         if len(part) <= MAX_KEPT:
             if len(self.words) >= MAX_WORDS:
-                self.words.clear()
+                self.older, self.words = self.words, {}
             self.words[part] = found
         return found
 
