@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import BATCH_ROWS, map_batches, texts
+from eventloom.llm import jaccard_join
+from eventloom.llm.common import BATCH_ROWS, bound_batches, map_batches, staged, texts
 
 PERMS, BANDS, WORDS, LEAST = 64, 16, 5, 0.8
 #: Words whose hashes a worker keeps; a full table is emptied.
@@ -107,40 +108,27 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n_chars long, fingerprint string")
 
 
-def near_duplicates(docs: DataFrame, least: float = LEAST) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, jaccard) of differing texts' representatives, and the membership (doc_id, rep).
-
-    Equal texts share a representative, their least doc_id. Bands of the representatives' signatures are
-    joined; a band's pair counts once, at the first band that both share; pairs are verified on whole sets.
-    A band value that many representatives share is split by the join's skew handling and never gathered.
-    """
-    keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"))
-    reps = keyed.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = keyed.select("doc_id", "key").join(reps, "key").select("doc_id", "rep")
-    distinct = keyed.join(reps.select(F.col("rep").alias("doc_id"), "key"), ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"])
+def band_edges(nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) from each node to the least one of every band that it shares. nodes: node, tokens (a signature)."""
+    rows = jaccard_join.TOKENS // BANDS
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = PERMS // BANDS
-        bands, sets = [], []
-        for t in texts(batch):
-            s = shingles(t)
-            raw = signature(s).tobytes()
-            bands.append([int.from_bytes(hashlib.blake2b(raw[4 * rows * k : 4 * rows * (k + 1)], digest_size=8, salt=bytes([k])).digest(), "big", signed=True) for k in range(BANDS)])
-            sets.append(s.tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bands, pa.list_(pa.int64())), pa.array(sets, pa.binary())], ["doc_id", "bands", "shingles"])
+        bands = [hashlib.blake2b(t[4 * rows * k : 4 * rows * (k + 1)], digest_size=8, salt=bytes([k])).digest() for t in batch.column("tokens").to_pylist() for k in range(BANDS)]
+        again = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
+        return pa.RecordBatch.from_arrays([pa.array(bands, pa.binary()), batch.column("node").take(again)], ["band", "node"])
 
-    sets = map_batches(distinct.select("doc_id", "text"), each, "doc_id long, bands array<long>, shingles binary")
-    band = sets.select("doc_id", "bands", F.posexplode("bands").alias("k", "band"))
-    a, b = (band.select(F.col("doc_id").alias(x), F.col("bands").alias(f"{x}s"), "k", "band") for x in "ab")
-    shared = F.array_position(F.zip_with("as", "bs", lambda x, y: x == y), True)
-    pairs = a.join(b, ["k", "band"]).where((F.col("a") < F.col("b")) & (shared == F.col("k") + 1)).select("a", "b")
-    full = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = staged(map_batches(nodes.select("node", "tokens"), each, "band binary, node binary"), "bands")
+    least = shared.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
+    return shared.join(least, "band").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
 
-    def verify(batch: pa.RecordBatch) -> pa.RecordBatch:
-        read = lambda c: [np.frombuffer(x, np.uint64) for x in batch.column(c).to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array([jaccard(x, y) for x, y in zip(read("x"), read("y"), strict=True)], pa.float64())], ["a", "b", "jaccard"])
 
-    return map_batches(full.select("a", "b", "x", "y"), verify, "a long, b long, jaccard double").where(F.col("jaccard") >= least), members
+def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:
+    """One row per document with its class and number of links, as ``jaccard_join.join_similar`` describes them.
+
+    Bands of MinHash signatures (of five-word rows) are joined to the least member of their bucket, so no
+    pairs of a bucket are listed; what they connect is verified by Jaccard similarity on whole sets.
+    """
+    return jaccard_join.join_similar(docs, least, band_edges)
 
 
 def edited(text: str, following: str) -> str:
@@ -157,6 +145,7 @@ def compare_edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     document also goes to the last range. Texts are shuffled once.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     cuts = sorted({int(x) for x in (rows.stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.2 / n) if n > 1 else [])}, reverse=True)

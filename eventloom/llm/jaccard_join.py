@@ -30,7 +30,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -366,14 +366,17 @@ def verify(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("node", "weight", "shingles", "mine", "root", "i", "j").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a binary, b binary, n long")
 
 
-def join_similar(docs: DataFrame, least: float = LEAST) -> DataFrame:
-    """One row per document: doc_id, class_id, rep_id, n_links, n_copies, and the keys of its text and class (hexadecimal)."""
+def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataFrame], DataFrame] = candidates) -> DataFrame:
+    """One row per document: doc_id, class_id, rep_id, n_links, n_copies, and the keys of its text and class (hexadecimal).
+
+    propose gives edges (a, b) between nodes (node, tokens) that connect what may be similar.
+    """
     described = staged(describe(docs), "described")
     known = described.where(F.col("doc_id").isNotNull())
     by_text = known.groupBy("node", "text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
     by_text = staged(by_text, "texts")
     nodes = staged(by_text.groupBy("node").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), F.max("tokens").alias("tokens")), "nodes")
-    groups = components(candidates(nodes.where("n > 0")))
+    groups = components(propose(nodes.where("n > 0")))
     # the set of a node comes from its representative's row
     wanted = nodes.select("node", F.col("rep").alias("doc_id"), "weight").join(groups.select("node"), "node")
     sets = known.select("doc_id", "node", "shingles").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "weight", "shingles")
