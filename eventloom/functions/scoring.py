@@ -151,7 +151,7 @@ def target_change(prior: Column, new: Column) -> Column:
 
 def days_to_cover(text: Column) -> Column:
     """A number from text; null for blanks and for 999 and more."""
-    v = F.expr("try_cast(null as double)") if text is None else F.trim(text).try_cast("double")
+    v = F.trim(text).try_cast("double")
     return F.when(v < 999, v)
 
 
