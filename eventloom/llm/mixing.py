@@ -9,24 +9,29 @@ fixes: partitions by hash, and sorted by it within them.
 Sources without a weight share what the named ones leave, in proportion to their sizes; with no weight
 left over they go. A null source counts as one source of its own, a null or empty text has size 0
 and is drawn as others of its source. Repeated rows draw the same count, as the hash is the same. A
-source of no characters at all has rate 0. Columns pass unchanged; copy and shuffle_key are added
-(a column of such a name is replaced).
+source of no characters at all has rate 0. Rates and the number of sources have no upper bound: a tiny
+source beside a long text is repeated as often as its weight asks for, its copies dealt out by blocks. Columns
+pass unchanged; copy and shuffle_key are added (a column of such a name is replaced).
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.common import hash_unit
 
-#: A rate over this is refused: its table of thresholds would be long, and no mix repeats a text so often.
+#: Up to this rate thresholds are summed from 0 on; over it, outwards from the mean (`quantiles`).
 MAX_RATE = 64.0
 NO_SOURCE = "(none)"
-#: Columns of the map of sources; the corpus's sources are few, and more than this is refused.
-MAX_SOURCES = 10_000
+#: So many named sources are a literal map at most; more of them, or long tables of thresholds, are joined as a table.
+MAX_LITERAL = 100
+#: Copies of a document that are made in one place; a document with more is dealt out by blocks of so many.
+BLOCK = 1024
 
 
 def thresholds(rate: float) -> list[float]:
@@ -35,7 +40,7 @@ def thresholds(rate: float) -> list[float]:
         raise ValueError(f"a repetition rate of {rate} is not within 0 and {MAX_RATE}")
     p = total = math.exp(-rate)
     out, k = [total], 0
-    while total < 1 - 1e-15 and p > 1e-18:
+    while total < 1 - 1e-15 and (k < rate or p > 1e-18):
         k += 1
         p *= rate / k
         total += p
@@ -43,7 +48,19 @@ def thresholds(rate: float) -> list[float]:
     return out
 
 
-def rates(sizes: dict[str, int], weights: dict[str, float], size: float = 1.0) -> dict[str, float]:
+def quantiles(rate: float) -> tuple[int, list[float]]:
+    """A least count and the thresholds from it on. Counts further off than these are less likely than 1e-16 in all."""
+    if rate <= MAX_RATE:
+        return 0, thresholds(rate)
+    mode, reach = int(rate), int(10 * math.sqrt(rate)) + 10
+    low = max(0, mode - reach)
+    up = np.cumprod(rate / np.arange(mode + 1, mode + reach + 1))
+    down = np.cumprod(np.arange(mode, low, -1) / rate)[::-1]
+    total = np.cumsum(np.concatenate([down, [1.0], up]))
+    return low, (total / total[-1]).tolist()
+
+
+def rates(sizes: dict[str | None, int], weights: dict[str, float], size: float = 1.0) -> dict[str | None, float]:
     """Mean repetitions of each source's documents; the mix is `size` times as large as the input."""
     if any(w < 0 for w in weights.values()) or sum(weights.values()) > 1 + 1e-9:
         raise ValueError("weights are not negative and add up to 1 at most")
@@ -54,29 +71,63 @@ def rates(sizes: dict[str, int], weights: dict[str, float], size: float = 1.0) -
     return {s: share[s] * total * size / n if n else 0.0 for s, n in sizes.items()}
 
 
-def source_sizes(docs: DataFrame) -> dict[str, int]:
-    """Characters of each source, over all documents."""
-    rows = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n")).limit(MAX_SOURCES + 1).collect()
-    if len(rows) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    return {r["source"]: r["n"] for r in rows}
+def source_sizes(docs: DataFrame, weights: dict[str, float]) -> tuple[dict[str | None, int], DataFrame, bool]:
+    """Characters of each named source and, under None, of the others, which have one rate together; the others without
+    characters, as a table; and whether there are any."""
+    each = docs.groupBy(F.coalesce("source", F.lit(NO_SOURCE)).alias("source")).agg(F.sum(F.coalesce(F.length("text"), F.lit(0)).cast("long")).alias("n"))
+    named = F.col("source").isin(list(weights)) if weights else F.lit(False)
+    rows = each.groupBy(F.when(named, F.col("source")).alias("source")).agg(F.sum("n").alias("n"), F.min("n").alias("least")).collect()
+    bare = each.where(~named & (F.col("n") == 0)).select("source")
+    return {r["source"]: r["n"] for r in rows}, bare, any(r["source"] is None and r["least"] == 0 for r in rows)
 
 
-def draws(rate_of: dict[str, float], seed: int) -> Column:
-    """The document's count."""
+def drawn(docs: DataFrame, rate_of: dict[str | None, float], seed: int) -> DataFrame:
+    """The documents with their count, _n."""
     u = hash_unit(F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
-    if not rate_of:
-        return F.lit(0)
-    steps = F.create_map(*[x for s, r in sorted(rate_of.items()) for x in (F.lit(s), F.array(*[F.lit(c) for c in thresholds(r)]))])
-    reached = F.filter(F.coalesce(steps[F.coalesce("source", F.lit(NO_SOURCE))], F.array(F.lit(1.0))), lambda c: c <= u)
-    return F.size(reached)
+    source = F.coalesce("source", F.lit(NO_SOURCE))
+    if len(rate_of) <= MAX_LITERAL and max(rate_of.values(), default=0.0) <= MAX_RATE:
+        steps = {s: F.array(*[F.lit(c) for c in thresholds(r)]) for s, r in rate_of.items()}
+        rest = steps.pop(None, F.array(F.lit(1.0)))
+        own = F.create_map(*[x for s, cs in sorted(steps.items()) for x in (F.lit(s), cs)])[source] if steps else F.lit(None)
+        return docs.withColumn("_mix_n", F.size(F.filter(F.coalesce(own, rest), lambda c: c <= u)))
+    rows = [(s, *quantiles(r)) for s, r in rate_of.items()]
+    columns = [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.float64()))]
+    table = docs.sparkSession.createDataFrame(pa.table(columns, names=["_mix_source", "_mix_low", "_mix_steps"]))
+    # The others' row has no source; it stands for every document that no named row takes.
+    named = docs.join(F.broadcast(table.where("_mix_source is not null")), source == F.col("_mix_source"), "left")
+    others = table.where("_mix_source is null").select(F.col("_mix_low").alias("_mix_low0"), F.col("_mix_steps").alias("_mix_steps0"))
+    both = named.join(F.broadcast(others), F.lit(True), "left")
+    steps = F.coalesce("_mix_steps", "_mix_steps0", F.array(F.lit(1.0)))
+    n = F.coalesce("_mix_low", "_mix_low0", F.lit(0)) + F.size(F.filter(steps, lambda c: c <= u))
+    return both.withColumn("_mix_n", n).select(*docs.columns, "_mix_n")
+
+
+def repeated(docs: DataFrame, most: float) -> DataFrame:
+    """Each document _n times with copy from 1 on; `most` is the highest rate."""
+    kind = "int" if most < 2**30 else "long"
+    number = lambda c: c.cast(kind)
+    run = lambda low, high: F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast(f"array<{kind}>")))
+    if most <= MAX_RATE:
+        return docs.withColumn("copy", run(number(F.lit(1)), number(F.col("_mix_n")))).drop("_mix_n")
+    few = docs.where(F.col("_mix_n") <= BLOCK).withColumn("copy", run(number(F.lit(1)), number(F.col("_mix_n"))))
+    blocks = docs.where(F.col("_mix_n") > BLOCK).withColumn("_mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_mix_n") - 1) / BLOCK))))
+    dealt = blocks.repartition("doc_id", "_mix_block")
+    low = F.col("_mix_block") * BLOCK
+    many = dealt.withColumn("copy", run(number(low + 1), number(F.least(F.col("_mix_n"), low + BLOCK))))
+    return few.drop("_mix_n").unionByName(many.drop("_mix_n", "_mix_block"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], size: float = 1.0, seed: int = 1) -> DataFrame:
     """The shuffled mix: the documents' columns, copy (from 1 on) and shuffle_key."""
+    sizes, bare, any_bare = source_sizes(docs, weights)
+    rate_of = rates(sizes, weights, size)
     kept = docs.drop("copy", "shuffle_key")
-    n = draws(rates(source_sizes(docs), weights, size), seed)
-    copies = kept.withColumn("copy", F.explode(F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))))
+    if any_bare:
+        empty = F.coalesce(F.length("text"), F.lit(0)) == 0
+        bare = bare.withColumnRenamed("source", "_mix_bare")
+        left = kept.where(empty).join(bare, F.coalesce("source", F.lit(NO_SOURCE)) == F.col("_mix_bare"), "left_anti")
+        kept = kept.where(~empty).unionByName(left)
+    copies = repeated(drawn(kept, rate_of, seed), max(rate_of.values(), default=0.0))
     key = F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

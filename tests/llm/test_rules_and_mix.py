@@ -111,3 +111,38 @@ def test_mix_odd_rows(spark, odd):
     assert mixing.mix(odd.limit(0), {"src0": 0.5}).collect() == []
     clash = odd.withColumn("copy", F.lit(7)).withColumn("shuffle_key", F.lit("x"))
     assert mixing.mix(clash, {"src0": 0.5}).count() == got.count()
+
+
+def test_quantiles_of_any_rate():
+    for rate in (42.0, 60.0, 64.0, 64.5, 100.0, 5000.0):
+        low, cs = mixing.quantiles(rate)
+        exact, at = 0.0, {}
+        for k in range(low + len(cs)):
+            exact += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            at[k] = exact
+        assert all(math.isclose(c, at[low + i], abs_tol=1e-9) for i, c in enumerate(cs)) and cs[-1] > 1 - 1e-12
+        assert low == 0 or at[low - 1] < 1e-15
+
+
+def test_mix_repeats_a_tiny_source(spark):
+    docs = spark.createDataFrame([(1, "abcde", "a", 5), (2, "xy", "b", 2), (3, "z" * 1_000_000, "c", 10**6), (4, "", "d", 0)], "doc_id long, text string, source string, n_chars long")
+    mixed = mixing.mix(docs, {"a": 0.1, "b": 0.0001}, 1.0).select("doc_id", "copy", "shuffle_key").collect()
+    copies = {i: sorted(r.copy for r in mixed if r.doc_id == i) for i in (1, 2, 3, 4)}
+    for i, rate in ((1, 20_000), (2, 50)):
+        assert abs(len(copies[i]) - rate) < 6 * math.sqrt(rate) and copies[i] == list(range(1, len(copies[i]) + 1))
+    assert len(copies[3]) < 10 and copies[4] == [] and len({r.shuffle_key for r in mixed}) == len(mixed)
+
+
+def test_mix_of_many_sources(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("twelve chars").alias("text"), F.concat(F.lit("s"), F.col("id")).alias("source"))
+    got = mixing.mix(docs, {"s7": 0.001}).groupBy("source").count().collect()
+    assert abs(sum(r["count"] for r in got) - 20_000) < 1000 and 5 < {r["source"]: r["count"] for r in got}.get("s7", 0) < 50
+    many = {f"s{i}": 1 / 10_000 for i in range(300)}
+    table = {(r.doc_id, r.copy) for r in mixing.mix(docs, many).collect()}
+    assert {(r.doc_id, r.copy) for r in mixing.mix(docs.where("doc_id < 300"), {}).collect()} and len(table) > 10_000
+    kept = mixing.MAX_LITERAL
+    try:
+        mixing.MAX_LITERAL = 1000
+        assert {(r.doc_id, r.copy) for r in mixing.mix(docs, many).collect()} == table
+    finally:
+        mixing.MAX_LITERAL = kept
