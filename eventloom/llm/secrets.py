@@ -3,7 +3,8 @@
 Fixed patterns give the base spans. Besides, every run of token characters is cut into runs of one
 class (hexadecimal, upper case with digits, base64); a window slides over each run and its entropy
 follows from counts that change by one character in and one out. Windows over their class's threshold
-are merged to spans, unless an allow-list pattern covers them or a base span already holds them.
+are merged to spans, unless an allow-list pattern covers them or base spans already hold the whole span;
+one that reaches beyond the base spans is reported whole.
 
 Null and empty texts have no spans. Whole texts are scanned; rows are independent, so repeated rows
 give repeated results. Only doc_id and text are read: other columns may have any name.
@@ -76,6 +77,15 @@ def window_entropies(run: str, width: int = WINDOW) -> Iterable[float]:
             yield math.log2(width) - total / width
 
 
+def covered(a: int, b: int, known: list[tuple[int, int, int]]) -> bool:
+    """Whether the spans, in order, hold all of a to b between them."""
+    for start, _, end in known:
+        if start > a:
+            break
+        a = max(a, end)
+    return a >= b
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
@@ -99,7 +109,7 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
             merged[-1][1] = max(merged[-1][1], b)
         else:
             merged.append([a, b])
-    return [(a, 3, b) for a, b in merged if not any(s < b and a < e for s, _, e in known)]
+    return [(a, 3, b) for a, b in merged if not covered(a, b, known)]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
