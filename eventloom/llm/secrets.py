@@ -44,9 +44,11 @@ ALLOW = (
     re.compile(r"[0-9+/_=-]+"),
     re.compile(r"[A-Za-z+/_=-]+"),
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
-    re.compile(r"(?i).*(?:example|placeholder|xxxx|0000|1234567).*"),
     re.compile(r"[/_-]?(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,6})[/_=-])*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,6})[/_=-]?"),
 )
+#: What marks a placeholder. It clears its part between separators if that is no longer than this, else the windows it touches.
+MARK = re.compile(r"(?i)example|placeholder|x{4,}|0{4,}|1234567")
+PART, MARKED_PART = re.compile(r"[A-Za-z0-9]+"), 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -86,18 +88,31 @@ def covered(a: int, b: int, known: list[tuple[int, int, int]]) -> bool:
     return a >= b
 
 
+def cleared_windows(token: str) -> bytearray:
+    """For each place, 1 where the window that starts there belongs to a placeholder."""
+    out = bytearray(len(token))
+    for m in MARK.finditer(token):
+        low = max(0, m.start() - WINDOW + 1)
+        out[low : m.end()] = b"\1" * (m.end() - low)
+    for m in PART.finditer(token):
+        if WINDOW <= len(m[0]) <= MARKED_PART and MARK.search(m[0]):
+            out[m.start() : m.end() - WINDOW + 1] = b"\1" * (len(m[0]) - WINDOW + 1)
+    return out
+
+
 def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     found: list[tuple[int, int]] = []
     for m in CANDIDATE.finditer(text):
         token = m[0]
         if any(a.fullmatch(token) for a in ALLOW):
             continue
+        cleared = cleared_windows(token)
         for _, pattern, least in CLASSES:
             for run in pattern.finditer(token):
-                if any(a.fullmatch(run[0]) for a in ALLOW[:4]):
+                if any(a.fullmatch(run[0]) for a in ALLOW[:3]):
                     continue
                 for i, h in enumerate(window_entropies(run[0])):
-                    if h >= least:
+                    if h >= least and not cleared[run.start() + i]:
                         at = m.start() + run.start() + i
                         if found and at <= found[-1][1] and at >= found[-1][0]:
                             found[-1] = (found[-1][0], max(found[-1][1], at + WINDOW))

@@ -56,6 +56,17 @@ def test_entropy_span_next_to_a_base_span():
     assert [k for _, k, _ in alone] == [0]
 
 
+def test_placeholder_clears_only_its_own_part():
+    key = "wJ8rXUtnFEMIK7MDENGbPxRfiCYzq5Hs2LkTv9Ga"
+    for text in (f"example_key={key}", f"{key}/placeholder", f"1234567-{key}"):
+        assert key not in secrets.redact(text) and key[10:30] not in secrets.redact(text), text
+    rng = np.random.default_rng(5)
+    long = "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWabcdefghijklmnopqrstuvw123456789"), 4000))
+    spans = secrets.scan(long[:2000] + "xxxx" + long[2000:])[1]
+    assert sum(b - a for a, _, b in spans) > 3900
+    assert not secrets.scan("EXAMPLE" + key)[1] and not secrets.scan(f"see {key[:15]}xxxx{key[15:]} here")[1]
+
+
 def test_clean_documents_have_no_entropy_spans(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
     assert not any(k == 3 for r in rows for _, k, _ in secrets.scan(r.text)[1])
