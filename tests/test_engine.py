@@ -334,3 +334,10 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("spikes").count() == 1
+
+
+def test_delta_texts_of_all_customers(spark):
+    """Shares of four digits and more, which K02i_delta_events leaves out, and sales."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").selectExpr("'f' AS fund", "c_custkey AS ticker", "'2024-02-14' AS filing_date", "'NEW' AS action", "explode(array(c_custkey, -1000 * c_custkey)) AS shares_change")
+    want = sorted((str(r.ticker), f"f NEW: {r.shares_change:+,} shares") for r in rows.collect())
+    assert len(want) == 3000 and sorted((r.ticker, r.text) for r in unify.holding_deltas(rows).collect()) == want
