@@ -6,7 +6,9 @@ log probabilities (BUCKETS x languages) is broadcast; scoring gathers and sums i
 whole texts.
 
 Null texts and texts without a letter are `und` with score 0; so is every text if there is nothing to
-learn from. Ties go to the language that sorts first. Only doc_id, text and lang are read.
+learn from. Ties go to the language that sorts first. N-grams lie within one text (with a mark at each
+end), so rows are independent of each other and repeated rows get equal results. Up to MAX_LANGS
+languages can be learned. Only doc_id, text and lang are read.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ MAX_DOCS_PER_LANG = 4000
 PLACES = (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D)
 #: Characters of the longest slice that is hashed at once, so that memory stays bounded for any text.
 SLICE = 1 << 18
+#: Log probabilities gathered at once: with many languages slices get shorter, down to MIN_SLICE characters.
+VALUES, MIN_SLICE = 1 << 21, 1 << 12
+#: The matrix takes 256 KB a language in every task; more languages than this (64 MB) are refused by `train`.
+MAX_LANGS = 256
 
 
 def has_letter(text: str) -> bool:
@@ -74,6 +80,8 @@ def train(docs: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> tuple[
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
+    if len(langs) > MAX_LANGS:
+        raise ValueError(f"{len(langs)} languages to learn; the broadcast matrix is bounded to {MAX_LANGS}")
     if not langs:
         return [], np.zeros((BUCKETS, 0), np.float32)
     share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, min(1.0, max_docs_per_lang / sizes[lang]))])
@@ -83,25 +91,33 @@ def train(docs: DataFrame, max_docs_per_lang: int = MAX_DOCS_PER_LANG) -> tuple[
 
 
 def score_texts(batch: list[str], matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each text the sums of its n-grams' log probabilities by language, and its number of n-grams."""
+    """For each text the sums of its n-grams' log probabilities by language, and its number of n-grams.
+
+    Short texts are hashed together, a long one by slices from its own start; n-grams that reach over a
+    text's end are left out. So a text's result doesn't depend on what else is in the batch.
+    """
     sums, sizes = np.zeros((len(batch), matrix.shape[1])), np.zeros(len(batch), np.int64)
+    width = min(SLICE, max(MIN_SLICE, VALUES // max(1, matrix.shape[1])))
     at = 0
     while at < len(batch):
-        group, lens, size = [], [], 0
-        while at < len(batch) and (not group or size + len(batch[at]) < SLICE):
-            group.append(codes(batch[at]))
-            lens.append(len(group[-1]))
-            size += lens[-1]
+        group, size, first = [codes(batch[at])], 0, at
+        size = len(group[0])
+        at += 1
+        while at < len(batch) and size + len(more := codes(batch[at])) <= width:
+            group.append(more)
+            size += len(more)
             at += 1
-        first, chars = at - len(group), np.concatenate(group)
-        ends = np.cumsum(lens)
+        chars = np.concatenate(group)
+        ends = np.cumsum([len(c) for c in group])
         for order in ORDERS:
-            for lo in range(0, len(chars), SLICE):
-                ids = bucket_ids(chars[lo : lo + SLICE + order - 1], order)
+            for lo in range(0, size, width):
+                ids = bucket_ids(chars[lo : lo + width + order - 1], order)
+                places = np.arange(lo, lo + len(ids), dtype=np.int64)
+                owner = np.searchsorted(ends, places, side="right")
+                inside = places + order <= ends[np.minimum(owner, len(ends) - 1)]
+                ids, owner = ids[inside], owner[inside]
                 if not len(ids):
                     continue
-                # an n-gram belongs to the text in which it starts; what crosses into the next holds its boundary marks only
-                owner = np.searchsorted(ends, np.arange(lo, lo + len(ids), dtype=np.int64), side="right")
                 starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
                 sums[first + owner[starts]] += np.add.reduceat(matrix[ids], starts, axis=0, dtype=np.float64)
                 sizes[first + owner[starts]] += np.diff(np.r_[starts, len(ids)])
