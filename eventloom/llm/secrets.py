@@ -68,24 +68,37 @@ def window_entropies(run: str, width: int = WINDOW) -> Iterable[float]:
     counts: dict[str, int] = {}
     total = 0.0
     for i, c in enumerate(run):
-        n = counts.get(c, 0)
-        total += log[n + 1] - log[n]
-        counts[c] = n + 1
         if i >= width:
             n = counts[out := run[i - width]]
             total += log[n - 1] - log[n]
             counts[out] = n - 1
+        n = counts.get(c, 0)
+        total += log[n + 1] - log[n]
+        counts[c] = n + 1
         if i >= width - 1:
             yield math.log2(width) - total / width
 
 
-def covered(a: int, b: int, known: list[tuple[int, int, int]]) -> bool:
-    """Whether the spans, in order, hold all of a to b between them."""
-    for start, _, end in known:
-        if start > a:
-            break
-        a = max(a, end)
-    return a >= b
+def merge(spans: Iterable[tuple[int, int]]) -> list[list[int]]:
+    """The union of spans as disjoint ones, in order; spans that touch become one."""
+    out: list[list[int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], b)
+        else:
+            out.append([a, b])
+    return out
+
+
+def not_covered(spans: list[list[int]], known: list[list[int]]) -> list[list[int]]:
+    """Those of disjoint spans that no span of `known` holds wholly; both in order, read once."""
+    out, i = [], 0
+    for a, b in spans:
+        while i < len(known) and known[i][1] < b:
+            i += 1
+        if i == len(known) or known[i][0] > a:
+            out.append([a, b])
+    return out
 
 
 def cleared_windows(token: str) -> bytearray:
@@ -118,13 +131,7 @@ def entropy_spans(text: str, known: list[tuple[int, int, int]]) -> list[tuple[in
                             found[-1] = (found[-1][0], max(found[-1][1], at + WINDOW))
                         else:
                             found.append((at, at + WINDOW))
-    merged: list[list[int]] = []
-    for a, b in sorted(found):
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(merged[-1][1], b)
-        else:
-            merged.append([a, b])
-    return [(a, 3, b) for a, b in merged if not covered(a, b, known)]
+    return [(a, 3, b) for a, b in not_covered(merge(found), merge((a, b) for a, _, b in known))]
 
 
 def scan(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
