@@ -7,8 +7,9 @@ redo its part. Documents are exploded by their counts, and each copy goes to a p
 fixes: partitions by hash, and sorted by it within them.
 
 Sources without a weight share what the named ones leave, in proportion to their sizes; with no weight
-left over they go. A null source counts as one source of its own, a null or empty text has size 0
-and is drawn as others of its source. Repeated rows draw the same count, as the hash is the same. A
+left over they go. What belongs to sources that aren't there goes to the others, in proportion to theirs. A null source counts as one source of its own, a null or empty text has size 0
+and is drawn as others of its source. Repeated rows draw the same count, as the hash is the same, and
+their copies have one place; rows that share only a doc_id (or have none) are spread by their texts. A
 source of no characters at all has rate 0. Rates and the number of sources have no upper bound: a tiny
 source beside a long text is repeated as often as its weight asks for, its copies dealt out by blocks. Columns
 pass unchanged; copy and shuffle_key are added (a column of such a name is replaced).
@@ -68,7 +69,8 @@ def rates(sizes: dict[str | None, int], weights: dict[str, float], size: float =
     rest = max(0.0, 1 - sum(weights.values()))
     others = sum(n for s, n in sizes.items() if s not in weights)
     share = {s: weights[s] if s in weights else (rest * n / others if others else 0.0) for s, n in sizes.items()}
-    return {s: share[s] * total * size / n if n else 0.0 for s, n in sizes.items()}
+    present = math.fsum(share[s] for s, n in sizes.items() if n)
+    return {s: share[s] / present * total * size / n if n and present else 0.0 for s, n in sizes.items()}
 
 
 def source_sizes(docs: DataFrame, weights: dict[str, float]) -> tuple[dict[str | None, int], DataFrame, bool]:
@@ -82,8 +84,8 @@ def source_sizes(docs: DataFrame, weights: dict[str, float]) -> tuple[dict[str |
 
 
 def drawn(docs: DataFrame, rate_of: dict[str | None, float], seed: int) -> DataFrame:
-    """The documents with their count, _n."""
-    u = hash_unit(F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    """The documents, which carry their text's digest _mix_text, with their count, _mix_n."""
+    u = hash_unit(F.lit(f"mix{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("_mix_text"))
     source = F.coalesce("source", F.lit(NO_SOURCE))
     if len(rate_of) <= MAX_LITERAL and max(rate_of.values(), default=0.0) <= MAX_RATE:
         steps = {s: F.array(*[F.lit(c) for c in thresholds(r)]) for s, r in rate_of.items()}
@@ -103,7 +105,7 @@ def drawn(docs: DataFrame, rate_of: dict[str | None, float], seed: int) -> DataF
 
 
 def repeated(docs: DataFrame, most: float) -> DataFrame:
-    """Each document _n times with copy from 1 on; `most` is the highest rate."""
+    """Each document _mix_n times with copy from 1 on; `most` is the highest rate."""
     kind = "int" if most < 2**30 else "long"
     number = lambda c: c.cast(kind)
     run = lambda low, high: F.explode(F.when(high >= low, F.sequence(low, high)).otherwise(F.array().cast(f"array<{kind}>")))
@@ -121,15 +123,15 @@ def mix(docs: DataFrame, weights: dict[str, float], size: float = 1.0, seed: int
     """The shuffled mix: the documents' columns, copy (from 1 on) and shuffle_key."""
     sizes, bare, any_bare = source_sizes(docs, weights)
     rate_of = rates(sizes, weights, size)
-    kept = docs.drop("copy", "shuffle_key")
+    kept = docs.drop("copy", "shuffle_key").withColumn("_mix_text", F.md5(F.coalesce("text", F.lit(""))))
     if any_bare:
         empty = F.coalesce(F.length("text"), F.lit(0)) == 0
         bare = bare.withColumnRenamed("source", "_mix_bare")
         left = kept.where(empty).join(bare, F.coalesce("source", F.lit(NO_SOURCE)) == F.col("_mix_bare"), "left_anti")
         kept = kept.where(~empty).unionByName(left)
     copies = repeated(drawn(kept, rate_of, seed), max(rate_of.values(), default=0.0))
-    key = F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy"))
-    return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
+    key = F.md5(F.concat_ws("|", F.lit(f"shuffle{seed}"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_mix_text", "copy"))
+    return copies.withColumn("shuffle_key", key).drop("_mix_text").repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 
 
 #: The production mix: the largest source is held down to a tenth, four others are raised.
@@ -145,19 +147,20 @@ WITH RECURSIVE named(source, weight) AS (VALUES {named}),
 sizes AS (SELECT coalesce(source, '{NO_SOURCE}') AS source, sum(coalesce(length(text), 0))::double AS n FROM documents GROUP BY 1),
 whole AS (SELECT sum(n) AS total, sum(n) FILTER (source NOT IN (SELECT source FROM named)) AS others FROM sizes),
 rate AS (
-  SELECT source, CASE WHEN n = 0 THEN 0.0 ELSE coalesce(weight, {rest!r} * n / others) * total * {size!r} / n END AS rate
-  FROM sizes LEFT JOIN named USING (source) CROSS JOIN whole),
+  SELECT source, CASE WHEN n > 0 AND present > 0 THEN share / present * total * {size!r} / n ELSE 0.0 END AS rate
+  FROM (SELECT *, sum(share) FILTER (n > 0) OVER () AS present
+        FROM (SELECT source, n, total, coalesce(weight, {rest!r} * n / others) AS share FROM sizes LEFT JOIN named USING (source) CROSS JOIN whole))),
 steps AS (
   SELECT source, rate, 0 AS k, exp(-rate) AS p, exp(-rate) AS total FROM rate
   UNION ALL
   SELECT source, rate, k + 1, p * rate / (k + 1), total + p * rate / (k + 1) FROM steps WHERE total < 1 - 1e-15 AND p > 1e-18),
 cdf AS (SELECT source, list(total) AS cs FROM steps GROUP BY source),
 drawn AS (
-  SELECT d.*, ('0x' || substr(md5(concat_ws('|', 'mix{seed}', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))), 1, 13))::bigint / pow(2, 52) AS u
+  SELECT d.*, md5(coalesce(text, '')) AS t, ('0x' || substr(md5(concat_ws('|', 'mix{seed}', coalesce(doc_id::varchar, ''), md5(coalesce(text, '')))), 1, 13))::bigint / pow(2, 52) AS u
   FROM documents d),
 counted AS (
   SELECT drawn.* EXCLUDE (u), len(list_filter(cs, lambda c: c <= u)) AS times
   FROM drawn JOIN cdf ON cdf.source = coalesce(drawn.source, '{NO_SOURCE}')),
 copies AS (SELECT * EXCLUDE (times), unnest(range(1, times + 1))::int AS copy FROM counted)
-SELECT *, md5(concat_ws('|', 'shuffle{seed}', coalesce(doc_id::varchar, ''), copy::varchar)) AS shuffle_key FROM copies
+SELECT * EXCLUDE (t), md5(concat_ws('|', 'shuffle{seed}', coalesce(doc_id::varchar, ''), t, copy::varchar)) AS shuffle_key FROM copies
 """
