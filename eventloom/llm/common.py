@@ -24,6 +24,13 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def agreed_labels(labels: DataFrame, column: str) -> DataFrame:
+    """doc_id and its label: null ones are left out, repeated ones count once, and a doc_id whose labels differ has none."""
+    known = labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
+    by = known.groupBy("doc_id").agg(F.min(column).alias(column), F.max(column).alias("_most"))
+    return by.where(F.col(column) == F.col("_most")).select("doc_id", column)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share. Only a local master may go without the setting."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -5,7 +5,8 @@ a rule is a conjunction of thresholds that rejects; it grows on one part of the
 information gain, is pruned on the other part, and is kept while its precision there stays high. What
 it covers is taken out and the next one grows. The rules become one ordered CASE expression.
 
-Learning uses MAX_LABELLED rows of the labels at most, chosen by hash. Statistics and verdicts are
+Learning uses MAX_LABELLED labelled documents at most, chosen by hash. A doc_id counts once, however
+often it is labelled or present; one with differing labels is left out. Statistics and verdicts are
 built-in functions only. Null and empty texts have no words, so they fail the base rule. With no labels
 the list is empty and the base rule decides. Rows are independent; repeated rows give repeated
 results; only doc_id and text are read, other columns pass by under any name.
@@ -19,6 +20,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from eventloom.llm.common import agreed_labels
+
 MAX_LABELLED = 8000
 #: A rule's least precision and least number of covered rows, both on the rows that prune.
 MIN_PRECISION, MIN_COVER = 0.95, 5
@@ -183,11 +186,13 @@ def verdict(rules: list[Rule], s: Column | str = "s") -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> list[Rule]:
     """Rules from the labels' quality; texts that the base rule rejects aren't looked at."""
     order = F.md5(F.col("doc_id").cast("string"))
-    chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "quality").orderBy(order, "doc_id", "quality").limit(max_labelled)
+    chosen = agreed_labels(labels, "quality").orderBy(order, "doc_id").limit(max_labelled)
     # at most max_labelled rows, so this side may be sent to every task
-    rows = with_statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", "text"))
-    found = rows.where(~base_failed()).join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id", "quality").collect()
-    return learn([({f: float(r["s"][f]) for f in FEATURES}, r["quality"] == 0) for r in found])
+    rows = with_statistics(docs.join(F.broadcast(chosen.select("doc_id")), "doc_id", "left_semi").select("doc_id", "text"))
+    known = rows.where(~base_failed()).select("doc_id", F.struct(*[F.col("s")[f].cast("double").alias(f) for f in FEATURES]).alias("x"))
+    one = known.groupBy("doc_id").agg(F.min("x").alias("x"))  # of several texts of a doc_id the one with the least statistics
+    found = one.join(F.broadcast(chosen), "doc_id").orderBy(order, "doc_id").collect()
+    return learn([(r["x"].asDict(), r["quality"] == 0) for r in found])
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
