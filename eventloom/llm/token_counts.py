@@ -17,6 +17,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 from eventloom.llm.byte_bpe import encoder
 from eventloom.llm.common import map_batches, texts
@@ -79,9 +80,12 @@ def count_fields(rows: DataFrame, key: str, fields: list[str], tokenizer_path: s
     """The same for named string fields, joined by `separator` and encoded as one text: a count column for each field.
 
     A null field is empty. The separator belongs to the field before it. The result's columns are the
-    key, n_tokens and `<field>_tokens`.
+    key, n_tokens and `<field>_tokens`; fields (such as one named n) that would give a name twice are refused.
     """
-    schema = rows.select(key).schema.simpleString()[7:-1].replace(":", " ", 1) + ", n_tokens long, " + ", ".join(f"`{f}_tokens` long" for f in fields)
+    names = [key, "n_tokens", *(f"{f}_tokens" for f in fields)]
+    if clash := sorted({n for n in names if names.count(n) > 1}):
+        raise ValueError(f"the result would have several columns of the name {clash}; rename the fields or the key")
+    schema = T.StructType([rows.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:])])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(tokenizer_path, offsets=True)
@@ -92,6 +96,6 @@ def count_fields(rows: DataFrame, key: str, fields: list[str], tokenizer_path: s
             _, starts, ends = e.spans("".join(pieces))
             # a section without characters holds no token: searchsorted's right side passes over it
             out[i] = np.bincount(attribute(starts, ends, bounds, rule), minlength=len(fields))
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(out.sum(axis=1)), *(pa.array(out[:, k]) for k in range(len(fields)))], [key, "n_tokens", *(f"{f}_tokens" for f in fields)])
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(out.sum(axis=1)), *(pa.array(out[:, k]) for k in range(len(fields)))], names)
 
     return map_batches(rows.select(key, *fields), each, schema)

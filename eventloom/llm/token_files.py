@@ -11,7 +11,8 @@ documents' ids and token counts, and the two byte streams. Shards are ranges of
 file writers and readers, so any store that Spark knows holds them and a lost task is done again.
 
 Null texts count as empty; each document ends with the end id. Rows with a null doc_id come first;
-repeated doc_ids follow each other, ordered by their token ids. An empty table gives empty tables.
+repeated doc_ids follow each other, ordered by a hash of their token ids (so that many rows of one doc_id
+spread over shards), then by these. An empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFrame:
-    """doc_id, n, and ids as 16-bit or 32-bit little-endian bytes (the width follows from n)."""
+    """doc_id, n, ids as 16-bit or 32-bit little-endian bytes (the width follows from n), and tie, a hash of these."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         e = encoder(tokenizer_path)
@@ -70,9 +71,9 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
             ids = np.append(e.ids(t), np.uint32(end_id))
             counts.append(len(ids))
             out.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary())], ["doc_id", "n", "ids"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(map(zlib.crc32, out), pa.int64())], ["doc_id", "n", "ids", "tie"])
 
-    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary")
+    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, tie long")
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -133,7 +134,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
         if keys:
             yield made()
 
-    blocks = encoded.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(run, "shard long, block long, before long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
+    blocks = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").drop("tie").mapInArrow(run, "shard long, block long, before long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
 
 
