@@ -146,3 +146,54 @@ def test_mix_of_many_sources(spark):
         assert {(r.doc_id, r.copy) for r in mixing.mix(docs, many).collect()} == table
     finally:
         mixing.MAX_LITERAL = kept
+
+
+def test_mix_of_absent_sources(spark):
+    assert mixing.rates({"a": 10, "b": 30}, {"a": 0.4, "src0": 0.5}, 2.0) == {"a": pytest.approx(4.0 * 0.4 / 0.5 * 2), "b": pytest.approx(4 / 3 * 0.1 / 0.5 * 2)}
+    sizes = {"a": 10, "b": 30, None: 0}
+    for weights in ({"src0": 0.5, "a": 0.3, "b": 0.1}, {"a": 1e-6, "b": 1e-6}, {"a": 0.25, "b": 0.75}):
+        got = mixing.rates(sizes, weights, 1.0)
+        assert math.isclose(sum(got[s] * n for s, n in sizes.items()), 40)
+    assert mixing.rates({"a": 0, None: 0}, {"a": 0.5}) == {"a": 0.0, None: 0.0}
+
+
+def test_mix_with_absent_sources_equals_sql(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 7} " * (i % 11), ("a", "b", None)[i % 3], 0) for i in range(400)], "doc_id long, text string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "d"))
+    duckdb.sql(f"create or replace view documents as select * from '{tmp_path}/d/*.parquet'")
+    for weights in ({"src0": 0.5, "a": 0.3}, {"a": 0.3, "b": 0.7}, {"zz": 1.0}):
+        got = mixing.mix(docs, weights, 3.0, 5).select("doc_id", "copy", "shuffle_key").collect()
+        assert sorted(map(tuple, got)) == sorted(duckdb.sql(f"select doc_id, copy, shuffle_key from ({mixing.mix_sql(weights, 3.0, 5)})").fetchall())
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(500).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.lit("a").alias("source"))
+    keys = [r.shuffle_key for r in mixing.mix(docs, {}, 1.0).collect()]
+    assert len(keys) > 400 and len(set(keys)) == len(keys)
+
+
+def test_repeated_and_differing_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rules = quality_rules.train(docs, labels)
+    assert rules == quality_rules.train(docs.unionAll(docs), labels.unionAll(labels))
+    against = labels.select("doc_id", (1 - F.col("quality")).alias("quality"), "toxic")
+    assert quality_rules.train(docs, labels.unionByName(against)) == []
+
+
+def test_features_equal_brute_force(spark, small):
+    rows = {r.doc_id: r.s.asDict() for r in quality_rules.with_statistics(small).collect()}
+    for r in small.collect():
+        t, s = r.text or "", rows[r.doc_id]
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        n, chars, symbols, dup, repeat = statistics(t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        want = {
+            "mean_word": chars / n if n else 0.0,
+            "symbol_share": symbols / chars if chars else 0.0,
+            "dup_line_share": dup / len(lines) if lines else 0.0,
+            "repeat_share": repeat / n if n else 0.0,
+            "distinct_share": len(set(w)) / n if n else 0.0,
+            "upper_share": sum(c.isupper() and c.isalpha() for c in t) / chars if chars else 0.0,
+            "bang_share": t.count("!") / n if n else 0.0,
+        }
+        assert all(math.isclose(s[k], v, abs_tol=1e-12) for k, v in want.items()), (r.doc_id, s, want)

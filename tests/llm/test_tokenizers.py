@@ -147,3 +147,21 @@ def test_many_blocks(spark, small, tmp_path):
     assert spark.read.parquet(str(tmp_path / "t/blocks")).count() > 40
     got = token_files.read_files(spark, str(tmp_path / "t")).drop("ids").collect()
     assert sorted(map(tuple, got), key=lambda x: x[1]) == want_files(small)
+
+
+def test_many_rows_without_id_spread_over_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(None if i % 4 else i, f"text {i} " * 9) for i in range(400)], "doc_id long, text string")
+    token_files.write_files(docs, BYTES, str(tmp_path / "t"))
+    blocks = spark.read.parquet(str(tmp_path / "t/blocks")).collect()
+    assert sum(None in b.doc_ids for b in blocks) > 1
+    got = token_files.read_files(spark, str(tmp_path / "t")).drop("ids").collect()
+    ordered = sorted(got, key=lambda r: r.start)
+    assert [r.doc_id for r in ordered] == [None] * 300 + list(range(0, 400, 4))
+    assert [r.start for r in ordered] == [sum(x.n_tokens for x in ordered[:i]) for i in range(400)]
+
+
+def test_field_names_that_clash(spark):
+    rows = spark.createDataFrame([(1, "a", "b")], "`my key` int, n string, t string")
+    with pytest.raises(ValueError):
+        token_counts.count_fields(rows, "my key", ["n", "t"], BYTES)
+    assert token_counts.count_fields(rows, "my key", ["t"], BYTES).dtypes == [("my key", "int"), ("n_tokens", "bigint"), ("t_tokens", "bigint")]
