@@ -51,6 +51,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Remove the staged tables that these read, and no other files; whatever still needs them must be written by now."""
+    for df in tables:
+        spark = df.sparkSession
+        mine = f"{shared_dir(spark)}/eventloom/"
+        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            if mine.split(":", 1)[-1].lstrip("/") in folder:
+                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bound_batches(spark: SparkSession) -> None:
     """Lower the default of ten thousand rows a batch; a value that someone chose stays."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

@@ -108,8 +108,13 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n_chars long, fingerprint string")
 
 
-def band_edges(nodes: DataFrame) -> DataFrame:
-    """Edges (a, b) from each node to the least one of every band that it shares. nodes: node, tokens (a signature)."""
+def band_edges(nodes: DataFrame, least: float = LEAST) -> DataFrame:
+    """Edges (a, b) from each node to the least one of every band that it shares. nodes: node, tokens (a signature).
+
+    Bands of four places find a pair at 0.8 with 0.9998; for a lower threshold they would lose links.
+    """
+    if least < LEAST:
+        raise ValueError(f"bands are laid out for similarities of {LEAST} and more")
     rows = jaccard_join.TOKENS // BANDS
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:

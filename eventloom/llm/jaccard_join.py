@@ -1,21 +1,23 @@
 """N-gram Jaccard join of a corpus with itself by chosen paths.
 
-A text's set holds the 64-bit hashes of its rows of five words (a shorter text has one row), kept to 40
-bits; words are ``[^\\x20\\x09-\\x0D]+``. Texts with one set make up a node, so that copies are joined once.
+A text's set holds hashes of 40 bits of its rows of five words (a shorter text has one row); words are ``[^\\x20\\x09-\\x0D]+``. Texts with one set make up a node, so that copies are joined once.
 Each set is embedded as T tokens, the least values of T hash functions: two sets share a token with the
 probability of their Jaccard similarity.
 
-The join runs RUNS times, so many that a pair at the threshold is missed with less than 1 - TARGET. A run
-samples one token of each set; sets that share it meet in a bucket. A bucket of more than SMALL sets is
-split again on further sampled tokens (several of them, so that a pair at the threshold goes on with
-high probability: all but 0.04 a DataFrame step, all but 0.008 a split in a task), until it is small or DEPTH is reached; small buckets are compared by brute force on
-all T tokens, against a threshold low enough to lose no pair. Buckets of a size that a task shouldn't
-hold are split in DataFrame steps; what still holds together after DEPTH steps is joined to its least
-member, which leaves the decision to the check.
+The join runs so many times (`runs`) that a pair at the threshold is missed with less than 1 - TARGET,
+wherever it lies. A run samples one token of each set; sets that share it meet in a bucket. A bucket of
+more than SMALL sets is split again on further sampled tokens, several of them, so that a pair at the
+threshold goes on with high probability, until it is small or DEPTH is reached; small buckets are
+compared by brute force on all T tokens, against a threshold low enough to lose no pair. Buckets of more
+than HOT_ROWS sets are split in DataFrame steps, so no task holds more; they are a table, not a list on
+the driver. What still holds together after DEPTH steps is joined to its least member, which loses nothing
+and leaves the decision to the check.
 
-Candidates are made groups by connected components, and an exact check follows: within each group, in
+Candidates are made groups by connected components, and a check on the sets follows: within each group, in
 blocks of sets, intersections are counted on whole sets. A block pair is one task's work and each pair
-of sets is seen once, so links are counted, not listed. The result is one row for each document: class_id
+of sets is seen once, so links are counted, not listed. The check is exact but for two different rows of
+words with one hash: of two texts of n rows each, one of n * n / 2^40 pairs of rows. A group of m sets
+costs m * m / 2 comparisons, which counting its links needs, and m / BLOCK copies of each set. The result is one row for each document: class_id
 (the least doc_id of all that links connect), rep_id (the least of its own set), n_links (other texts
 with similarity of at least the threshold) and n_copies (documents of the same text, itself included).
 
@@ -38,18 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import map_batches, staged, texts
+from eventloom.llm.common import discard, map_batches, staged, texts
 
 WORDS, LEAST, TOKENS = 5, 0.8, 64
 #: A pair at the threshold is missed by all runs with a probability of less than 1 - TARGET.
 TARGET = 0.9999
-RUNS = math.ceil(math.log(1 - TARGET) / math.log(1 - LEAST))
 #: Tokens on which a large bucket is split: in a task, and in a DataFrame step, where every child is a row.
 SMALL, CHILDREN, STEP_CHILDREN, DEPTH = 192, 3, 2, 4
-#: Share of equal tokens from which a pair is a candidate: over four standard errors below the threshold.
-CANDIDATE = LEAST - 4.2 * math.sqrt(LEAST * (1 - LEAST) / TOKENS)
-#: A bucket with more rows than this, and than this share of all rows, is split in DataFrame steps; so there are 1 / HOT_SHARE of them at most.
-HOT_ROWS, HOT_SHARE = 1024, 2.0**-18
+#: A bucket with more rows than this is split in DataFrame steps.
+HOT_ROWS = 1024
+#: Tasks over which a node's edges are dealt.
+SALTS = 16
 #: Sets of a block of the exact check.
 BLOCK = 256
 
@@ -61,6 +62,20 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 _KEEP = np.uint64((1 << 40) - 1)
 
 
+def candidate_share(least: float) -> float:
+    """Share of equal tokens from which a pair is a candidate: over four standard errors below the threshold."""
+    return least - 4.2 * math.sqrt(least * (1 - least) / TOKENS)
+
+
+def runs(least: float) -> int:
+    """Runs in which a pair at the threshold is missed with 1 - TARGET at most, even where every bucket is split in
+    two DataFrame steps and then in a task. (A bucket that is split more often holds sets that are nearly alike, which
+    go on together.)"""
+    on_step, in_task = 1 - (1 - least) ** STEP_CHILDREN, 1 - (1 - least) ** CHILDREN
+    met = least * on_step**2 * in_task
+    return min(TOKENS, math.ceil(math.log(1 - TARGET) / math.log(1 - met)))
+
+
 def shingles(text: str) -> np.ndarray:
     """Sorted distinct hashes of 40 bits."""
     # a hash costs about as much as looking it up, so no table of words is kept
@@ -124,14 +139,14 @@ def choices(path: int, children: int) -> list[int]:
     return rng.choice(TOKENS, children, replace=False).tolist()
 
 
-def first_paths(nodes: DataFrame) -> DataFrame:
+def first_paths(nodes: DataFrame, times: int) -> DataFrame:
     """A row for each node and run: path, node, tokens."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        places = np.random.default_rng(41).choice(TOKENS, RUNS, replace=False)
+        places = np.random.default_rng(41).choice(TOKENS, times, replace=False)
         tokens = [np.frombuffer(x, np.uint32) for x in batch.column("tokens").to_pylist()]
-        paths = [_path(run, int(places[run]), int(t[places[run]])) for t in tokens for run in range(RUNS)]
-        again = pa.array(np.repeat(np.arange(batch.num_rows), RUNS))
+        paths = [_path(run, int(places[run]), int(t[places[run]])) for t in tokens for run in range(times)]
+        again = pa.array(np.repeat(np.arange(batch.num_rows), times))
         return pa.RecordBatch.from_arrays([pa.array(paths, pa.int64()), batch.column("node").take(again), batch.column("tokens").take(again)], ["path", "node", "tokens"])
 
     return map_batches(nodes.select("node", "tokens"), each, "path long, node binary, tokens binary")
@@ -165,18 +180,18 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
         root = up
 
 
-def compare(tokens: np.ndarray) -> np.ndarray:
-    """Candidate pairs among few sets."""
+def compare(tokens: np.ndarray, share: float) -> np.ndarray:
+    """Candidate pairs among few sets: those with this share of equal tokens."""
     found = []
     for i in range(0, len(tokens), 64):
         same = (tokens[i : i + 64, None, :] == tokens[None, :, :]).sum(axis=2)
-        a, b = np.nonzero(same >= CANDIDATE * TOKENS)
+        a, b = np.nonzero(same >= share * TOKENS)
         a = a + i
         found.append(np.stack([a, b], axis=1)[a < b])
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def solve(path: int, tokens: np.ndarray, depth: int) -> list[np.ndarray]:
+def solve(path: int, tokens: np.ndarray, depth: int, share: float = candidate_share(LEAST)) -> list[np.ndarray]:
     """Candidate pairs of a bucket: brute force if it is small, else its children's."""
     n = len(tokens)
     if n < 2:
@@ -185,7 +200,7 @@ def solve(path: int, tokens: np.ndarray, depth: int) -> list[np.ndarray]:
         out = []
         for lo in range(0, n, SMALL) if n > SMALL else (0,):
             part = tokens[lo : lo + SMALL]
-            out.append(compare(part) + lo)
+            out.append(compare(part, share) + lo)
             if lo:  # neighbouring parts of a bucket that stays large hold together by its first member
                 out.append(np.array([[0, lo]]))
                 out.append(np.stack([np.full(len(part) - 1, lo), np.arange(lo + 1, lo + len(part))], axis=1))
@@ -200,7 +215,7 @@ def solve(path: int, tokens: np.ndarray, depth: int) -> list[np.ndarray]:
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi - lo > 1:
                 group = order[lo:hi]
-                out += [group[p] for p in solve(_path(path, k, int(values[lo])), tokens[group], depth + 1)]
+                out += [group[p] for p in solve(_path(path, k, int(values[lo])), tokens[group], depth + 1, share)]
     return out
 
 
@@ -230,7 +245,7 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def small_buckets(rows: DataFrame, depth: int) -> DataFrame:
+def small_buckets(rows: DataFrame, depth: int, share: float) -> DataFrame:
     """Edges (a, b) of candidates within the buckets: each joined to the least of its component there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +253,7 @@ def small_buckets(rows: DataFrame, depth: int) -> DataFrame:
         for (path,), table in _groups(batches, ["path"]):
             nodes = table["node"].to_pylist()
             tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
-            if found := solve(int(path), tokens, depth):
+            if found := solve(int(path), tokens, depth, share):
                 root = forest(len(nodes), np.concatenate(found))
                 for i in np.flatnonzero(root != np.arange(len(nodes))).tolist():
                     a.append(nodes[root[i]])
@@ -251,27 +266,35 @@ def small_buckets(rows: DataFrame, depth: int) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a binary, b binary")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
+def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges between nodes, from all runs."""
-    spark = nodes.sparkSession
-    rows = first_paths(nodes)
-    edges, total = None, None
+    share = candidate_share(least)
+    rows, edges, used = first_paths(nodes, runs(least)), None, []
     for depth in range(1, DEPTH + 1):
-        # few enough to be sent to every task: each of them holds HOT_SHARE of all rows at least
-        counts = rows.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
-        if total is None:
-            total = nodes.count() * RUNS
-        hot = counts.where(F.col("n") > max(HOT_ROWS, int(total * HOT_SHARE))).select("path").collect()
-        if not hot:
-            found = small_buckets(rows, depth)
-            return found if edges is None else edges.unionAll(found)
-        marks = F.broadcast(spark.createDataFrame(hot, "path long"))
-        found = small_buckets(rows.join(marks, "path", "left_anti"), depth)
+        # a table: there may be as many large buckets as there are rows by HOT_ROWS; statistics decide how it is joined
+        hot = staged(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("path"), "hot")
+        used.append(hot)
+        none = hot.isEmpty()
+        found = staged(small_buckets(rows if none else rows.join(hot, "path", "left_anti"), depth, share), "found")
         edges = found if edges is None else edges.unionAll(found)
-        large = rows.join(marks, "path", "left_semi")
+        if none:
+            discard(*used)
+            return edges
+        large = rows.join(hot, "path", "left_semi")
         rows = staged(large if depth == DEPTH else next_paths(large), "paths")
-    least = rows.groupBy("path").agg(F.min("node").alias("a"))
-    return edges.unionAll(rows.select("path", F.col("node").alias("b")).join(F.broadcast(least), "path").where(F.col("a") != F.col("b")).select("a", "b"))
+        used.append(rows)
+    first = rows.groupBy("path").agg(F.min("node").alias("a"))
+    star = staged(rows.select("path", F.col("node").alias("b")).join(first, "path").where(F.col("a") != F.col("b")).select("a", "b"), "found")
+    discard(*used)
+    return edges.unionAll(star)
+
+
+def with_least(edges: DataFrame, to: str) -> DataFrame:
+    """Edges (u, v) with the least v of each u as `to`. A node's edges are dealt to SALTS keys, so a hub's don't meet in one task."""
+    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
+    least = part.groupBy("u").agg(F.min("m").alias(to))
+    return dealt.join(part.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -280,15 +303,18 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = staged(both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where(F.col("u") != F.col("v")).distinct(), "stars")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v"))
-        pairs = staged(small.distinct(), "edges")
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        up = with_least(both, "m").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = staged(up.where(F.col("u") != F.col("v")).distinct(), "stars")
+        small = with_least(large, "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v"))
+        after = staged(small.distinct(), "edges")
+        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
+        discard(pairs, large)
+        pairs = after
         if state == before:
             roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            return staged(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+            out = staged(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+            discard(pairs)
+            return out
         before = state
 
 
@@ -366,17 +392,20 @@ def verify(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return full.select("node", "weight", "shingles", "mine", "root", "i", "j").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a binary, b binary, n long")
 
 
-def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataFrame], DataFrame] = candidates) -> DataFrame:
+def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataFrame, float], DataFrame] = candidates) -> DataFrame:
     """One row per document: doc_id, class_id, rep_id, n_links, n_copies, and the keys of its text and class (hexadecimal).
 
-    propose gives edges (a, b) between nodes (node, tokens) that connect what may be similar.
+    propose gives edges (a, b) between nodes (node, tokens) that connect what may be similar at `least`. The
+    result reads two staged tables; all others are removed as soon as they are read.
     """
     described = staged(describe(docs), "described")
     known = described.where(F.col("doc_id").isNotNull())
     by_text = known.groupBy("node", "text_key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.max("n").alias("n"), F.max("tokens").alias("tokens"))
     by_text = staged(by_text, "texts")
     nodes = staged(by_text.groupBy("node").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), F.max("tokens").alias("tokens")), "nodes")
-    groups = components(propose(nodes.where("n > 0")))
+    proposed = propose(nodes.where("n > 0"), least)
+    groups = components(proposed)
+    discard(proposed.select("a"))
     # the set of a node comes from its representative's row
     wanted = nodes.select("node", F.col("rep").alias("doc_id"), "weight").join(groups.select("node"), "node")
     sets = known.select("doc_id", "node", "shingles").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "weight", "shingles")
@@ -385,9 +414,11 @@ def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataF
     classes = components(seen.where("b is not null").select("a", "b"))
     named = nodes.select("node", "rep", "weight").join(classes, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = staged(named, "named")
+    discard(nodes, groups, seen, classes)
     least_id = named.groupBy("root").agg(F.min("rep").alias("class_id"))
     decided = named.join(least_id, "root").select("node", "rep", "class_id", F.lower(F.hex("root")).alias("class_key"), (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     per_text = staged(by_text.select("node", "text_key", "copies").join(decided, "node"), "decided")
+    discard(by_text, named)
     mine = F.col("doc_id").isNotNull()
     out = described.select("doc_id", "text_key").join(per_text, "text_key", "left")
     return out.select(
@@ -403,8 +434,9 @@ def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataF
 
 def keep_one(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """One document of each class, the one with the least doc_id (of several such texts the one with the least
-    key, of repeated rows any one). Rows with a null doc_id all stay."""
+    key, of repeated rows the one with the least hash of its columns). Rows with a null doc_id all stay."""
     own = join_similar(docs, least).where("doc_id = class_id").groupBy("class_key").agg(F.min(F.struct("doc_id", "text_key")).alias("x"))
     marked = docs.where(F.col("doc_id").isNotNull()).select(F.struct(*[F.col(c) for c in docs.columns]).alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_key"))
-    kept = marked.join(own.select("x.doc_id", "x.text_key"), ["doc_id", "text_key"], "left_semi").dropDuplicates(["doc_id", "text_key"])
+    mine = marked.join(own.select("x.doc_id", "x.text_key"), ["doc_id", "text_key"], "left_semi")
+    kept = mine.groupBy("doc_id", "text_key").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
     return kept.select("row.*").unionByName(docs.where(F.col("doc_id").isNull()))
