@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from eventloom.llm import jaccard_join as jj
 
@@ -111,3 +112,49 @@ def test_keep_one(small, odd):
         groups = {(c, n) for d, c, n, _ in [(x[0], x[1], 0, 0) for x in brute(docs.collect())] if d is not None}
         assert {r.doc_id for r in kept if r.doc_id is not None} == {c for c, _ in groups}
         assert sum(r.doc_id is None for r in kept) == docs.where("doc_id is null").count()
+
+
+def test_every_threshold_has_its_runs():
+    for least in (0.9, 0.8, 0.6):
+        met = least * (1 - (1 - least) ** jj.STEP_CHILDREN) ** 2 * (1 - (1 - least) ** jj.CHILDREN)
+        assert (1 - met) ** jj.runs(least) <= 1 - jj.TARGET < (1 - met) ** (jj.runs(least) - 1)
+    assert jj.candidate_share(0.6) < 0.6 - 4 * (0.6 * 0.4 / jj.TOKENS) ** 0.5
+
+
+@pytest.mark.parametrize("hot", [1024, 30])
+def test_recall_at_the_threshold(spark, monkeypatch, hot):
+    """Pairs at 0.8 exactly, as far apart as links may be: among strangers, and all in one crowd of look-alikes."""
+    monkeypatch.setattr(jj, "HOT_ROWS", hot)
+    r, docs = random.Random(8), []
+    for i in range(150):
+        w = [f"a{i}x{k}" for k in range(94)]
+        docs += [" ".join(w), " ".join([*w[:84], *(f"b{i}x{k}" for k in range(10))])]
+    crowd = [f"c{k}" for k in range(94)]
+    for i in range(60):
+        w = [*crowd[:60], *(f"d{i}x{k}" for k in range(34))]
+        docs += [" ".join(w), " ".join([*w[:84], *(f"e{i}x{k}" for k in range(10))])]
+    r.shuffle(docs)
+    assert len(rows_set(docs[0]) | set()) == 90
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want, found = brute(rows.collect()), got(jj.join_similar(rows))
+    links = sum(x[2] for x in want)
+    assert links >= 420 and sum(min(a[2], b[2]) for a, b in zip(want, found, strict=True)) >= 0.99 * links
+
+
+def test_staged_tables_are_removed(spark, small):
+    from pathlib import Path
+
+    from eventloom.llm.common import shared_dir
+
+    folder = Path(shared_dir(spark)) / "eventloom"
+    before = set(folder.iterdir()) if folder.exists() else set()
+    jj.join_similar(small).collect()
+    left = {p.name.split("-")[0] for p in set(folder.iterdir()) - before}
+    assert left <= {"described", "decided"}
+
+
+def test_keep_one_of_repeated_rows_is_always_the_same(spark):
+    rows = [(1, "one text of five words", f"s{k}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = [jj.keep_one(docs.orderBy(F.rand(seed)).repartition(3)).collect() for seed in (1, 2)]
+    assert len(kept[0]) == 1 and kept[0] == kept[1]
