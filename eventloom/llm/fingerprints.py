@@ -7,7 +7,9 @@ the signature. Equal texts have equal fingerprints; the share of equal places es
 similarity. A text without a word has a fingerprint of its own.
 
 ``near_duplicates`` joins signature bands in Spark and verifies the Jaccard similarity of the shingle
-sets. ``compare_edited`` compares each text with an edit of itself and with the next document.
+sets. ``compare_edited`` compares each text with an edit of itself and with the next document: texts meet
+their next ones by a shuffle on ranges of doc_id; a pair whose signatures agree in a whole band is a
+candidate, and its Jaccard similarity is verified on the shingle sets.
 
 Null texts count as empty. Equal doc_ids follow each other, ordered by their texts; a null doc_id comes
 last. An empty table gives no rows. Only doc_id and text are read.
@@ -90,6 +92,21 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float((a == b).mean())
 
 
+def same_bands(a: np.ndarray, b: np.ndarray) -> int:
+    """In how many of BANDS bands two signatures agree wholly."""
+    return int((a == b).reshape(BANDS, -1).all(axis=1).sum())
+
+
+def verified(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float | None:
+    """The Jaccard similarity of two (shingles, signature), if they share a band."""
+    return jaccard(a[0], b[0]) if same_bands(a[1], b[1]) else None
+
+
+def described(text: str) -> tuple[np.ndarray, np.ndarray]:
+    found = shingles(text)
+    return found, signature(found)
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted distinct arrays; two empty ones are equal."""
     if not len(a) and not len(b):
@@ -176,10 +193,10 @@ def compare_edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         largest = F.create_map(*[F.lit(x) for part, head in heads for x in (part, head if head is not None else -(2**63))])
         guest = F.when(F.coalesce(F.col("doc_id"), F.lit(-(2**63))) == largest[F.col("part")], table[F.col("part")])
     copies = placed.withColumn("copy", F.explode(F.filter(F.array(F.struct(F.col("part").alias("p"), F.lit(False).alias("guest")), F.struct(guest.alias("p"), F.lit(True).alias("guest"))), lambda x: x["p"].isNotNull())))
-    dealt = copies.select("doc_id", "text", "copy.p", "copy.guest").repartition(n, "p").sortWithinPartitions("p", "guest", F.col("doc_id").desc_nulls_last(), "text")
+    dealt = copies.select("doc_id", "text", "copy.p", "copy.guest").repartitionById(n, F.col("p").cast("int")).sortWithinPartitions("p", "guest", F.col("doc_id").desc_nulls_last(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the row that waits for what follows it: (doc_id, text, signature, part)
+        held = None  # the row that waits for what follows it: (doc_id, text, its shingles and signature, part)
         out: list[tuple] = []
         for whole in batches:
             for lo in range(0, whole.num_rows, BATCH_ROWS):
@@ -189,18 +206,20 @@ def compare_edited(docs: DataFrame, partitions: int | None = None) -> DataFrame:
                         held = None  # it was a guest's part that ended
                     if is_guest and held is None:
                         continue  # of several guests only the first follows
-                    sig = signature(shingles(text))
+                    mine = described(text)
                     if held:
-                        new = edited(held[1], text)
-                        new_sig = signature(shingles(new))
-                        out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), fingerprint(held[2]), fingerprint(new_sig), likeness(held[2], new_sig), likeness(held[2], sig)))
-                    held = None if is_guest else (key, text, sig, part)
+                        new, old = edited(held[1], text), held[2]
+                        changed = described(new)
+                        near = (likeness(old[1], changed[1]), likeness(old[1], mine[1]))
+                        out.append((held[0], len(held[1]), hashlib.sha256(new.encode()).hexdigest(), fingerprint(old[1]), fingerprint(changed[1]), *near, same_bands(old[1], changed[1]), same_bands(old[1], mine[1]), verified(old, changed), verified(old, mine)))
+                    held = None if is_guest else (key, text, mine, part)
                 yield pa.RecordBatch.from_pylist([dict(zip(_NAMES, r, strict=True)) for r in out], schema=_ARROW)
                 out = []
 
     return dealt.mapInArrow(run, RESULT)
 
 
-RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+#: bands_*: bands shared with the edited text and with the next one; jaccard_*: the verified similarity, null without a shared band.
+RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, bands_edited int, bands_next int, jaccard_edited double, jaccard_next double"
 _NAMES = [x.split()[0] for x in RESULT.split(", ")]
-_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in RESULT.split(", ")])
+_ARROW = pa.schema([(x.split()[0], {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[x.split()[1]]) for x in RESULT.split(", ")])
