@@ -9,6 +9,11 @@ from eventloom.llm import fingerprints as fp
 from .test_jaccard_join import brute, got
 
 
+def brute_jaccard(a, b):
+    a, b = ({tuple(w[max(0, i - 4) : i + 1]) for i in range(len(w))} for w in (a.lower().split(), b.lower().split()))
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
 def want(rows):
     ordered = sorted(((r.doc_id, r.text or "") for r in rows), key=lambda x: (x[0] is None, -(x[0] or 0), x[1]))
     out = []
@@ -16,7 +21,9 @@ def want(rows):
         follows = ordered[(i + 1) % len(ordered)][1]
         e = fp.edited(t, follows)
         sig = [fp.signature(fp.shingles(x)) for x in (t, e, follows)]
-        out.append((key, len(t), hashlib.sha256(e.encode()).hexdigest(), fp.fingerprint(sig[0]), fp.fingerprint(sig[1]), fp.likeness(sig[0], sig[1]), fp.likeness(sig[0], sig[2])))
+        bands = [sum((sig[0][4 * k : 4 * k + 4] == s[4 * k : 4 * k + 4]).all() for k in range(16)) for s in sig[1:]]
+        checked = [brute_jaccard(t, x) if n else None for x, n in zip((e, follows), bands, strict=True)]
+        out.append((key, len(t), hashlib.sha256(e.encode()).hexdigest(), fp.fingerprint(sig[0]), fp.fingerprint(sig[1]), fp.likeness(sig[0], sig[1]), fp.likeness(sig[0], sig[2]), *bands, *checked))
     return sorted(out, key=str)
 
 
@@ -41,3 +48,19 @@ def test_signature_estimates_jaccard():
 def test_near_duplicates(small, odd):
     for docs in (small, odd):
         assert got(fp.near_duplicates(docs)) == brute(docs.collect())
+
+
+def test_near_duplicates_of_nothing_and_of_lower_thresholds(odd):
+    assert fp.near_duplicates(odd.limit(0)).collect() == []
+    with pytest.raises(ValueError):
+        fp.near_duplicates(odd, 0.5)
+
+
+def test_bands_find_pairs_at_the_threshold():
+    found = 0
+    for i in range(300):
+        w = [f"w{i}x{k}" for k in range(90)]
+        a, b = fp.described(" ".join(w)), fp.described(" ".join([*w[:80], *(f"v{i}x{k}" for k in range(10))]))
+        assert abs(fp.jaccard(a[0], b[0]) - 0.8) < 1e-9
+        found += fp.verified(a, b) is not None
+    assert found >= 297
