@@ -62,6 +62,9 @@ HALF_LIFE = {
     "index_change": 30.0,
 }
 OTHER_HALF_LIFE = 14.0
+# Kinds of news; how well a source fits a move of another ticker; the words of ratings.
+ALIGNMENT = {"peer_news": 0.60, "sector_news": 0.40, "macro": 0.50, "short_interest": 0.50, "thirteen_f": 0.50, "index_change": 0.50, "research_13f": 0.50}
+SAME_TICKER, OTHER_ALIGNMENT = 1.0, 0.30
 NEWS = ("news", "peer_news", "sector_news")
 BUY = ("buy", "strong buy", "outperform", "overweight", "positive", "accumulate", "add", "conviction buy", "top pick", "sector outperform")
 HOLD = ("hold", "neutral", "market perform", "equal weight", "equal-weight", "peer perform", "sector perform", "in-line", "inline", "mixed")
@@ -88,14 +91,8 @@ def recency(source: Column, published: Column, move_date: Column) -> Column:
 
 
 def alignment(source: Column, ticker: Column, move_ticker: Column) -> Column:
-    return (
-        F.when(F.upper(F.coalesce(ticker, F.lit(""))) == F.upper(F.coalesce(move_ticker, F.lit(""))), 1.0)
-        .when(source == "peer_news", 0.60)
-        .when(source == "sector_news", 0.40)
-        .when(source == "macro", 0.50)
-        .when(source.isin("short_interest", "thirteen_f", "index_change", "research_13f"), 0.50)
-        .otherwise(0.30)
-    )
+    same = F.upper(F.coalesce(ticker, F.lit(""))) == F.upper(F.coalesce(move_ticker, F.lit("")))
+    return F.when(same, SAME_TICKER).otherwise(lookup(ALIGNMENT, source, OTHER_ALIGNMENT))
 
 
 def weight_tier(score: Column) -> Column:

@@ -25,6 +25,8 @@ SECTION_ALIASES = (
     ("item7", "mda"),
     ("section_7", "mda"),
 )
+#: Words of company names that don't tell companies apart.
+CORPORATE_WORDS = r"\b(INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|LLC|L\.?P|N\.?V|PLC|SA|AG|HOLDINGS?|GROUP|TRUST|CLASS\s+[A-Z])\b"
 SOURCE_TYPES = ("sec_10k", "sec_10q", "sec_8k", "earnings_transcript", "news", "peer_news", "sector_news", "macro", "research_13f", "short_interest", "thirteen_f", "index_change")
 
 
@@ -101,7 +103,7 @@ def cashtag(title: Column, body: Column) -> Column:
 
 def company_key(name: Column) -> Column:
     """Upper case without corporate words, letters and digits only."""
-    t = F.regexp_replace(F.upper(name), r"\b(INC|INCORPORATED|CORP|CORPORATION|CO|COMPANY|LTD|LIMITED|LLC|L\.?P|N\.?V|PLC|SA|AG|HOLDINGS?|GROUP|TRUST|CLASS\s+[A-Z])\b", "")
+    t = F.regexp_replace(F.upper(name), CORPORATE_WORDS, "")
     return F.regexp_replace(t, "[^A-Z0-9]", "")
 
 

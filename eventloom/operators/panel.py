@@ -117,6 +117,11 @@ def next_n_day_return(value: str, n: int, w=None) -> Column:
     return F.try_divide(F.lead(value, n).over(w), F.lead(value, 1).over(w)) - 1
 
 
+def to_places(value: Column, places: int) -> Column:
+    """Rounded half up. Noise in the last bits of a double is taken off first, so that it decides no tie."""
+    return F.round(F.round(value, 9), places)
+
+
 def adjust_dividends(prices: DataFrame, dividends: DataFrame, places: int | None = 4) -> DataFrame:
     """adj_close: each bar's close times (c - d) / c of every later ex-date that is a bar, with 0 < d < c.
 
@@ -127,7 +132,7 @@ def adjust_dividends(prices: DataFrame, dividends: DataFrame, places: int | None
     factor = F.when((F.col("amount") > 0) & (F.col("amount") < F.col("close")), (F.col("close") - F.col("amount")) / F.col("close")).otherwise(1.0)
     later = W.partitionBy("ticker").orderBy(F.desc("date")).rowsBetween(W.unboundedPreceding, -1)
     adjusted = F.col("close") * F.coalesce(F.product("factor").over(later), F.lit(1.0))
-    return joined.withColumn("factor", factor).withColumn("adj_close", adjusted if places is None else F.round(adjusted, places)).drop("amount", "factor")
+    return joined.withColumn("factor", factor).withColumn("adj_close", adjusted if places is None else to_places(adjusted, places)).drop("amount", "factor")
 
 
 def split_factor(text: Column) -> Column:

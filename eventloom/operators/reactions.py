@@ -60,9 +60,11 @@ def significance(reaction: Column, vol: Column, z: float = 2.5, size: float = 0.
 
 
 def best_filing(filings: DataFrame) -> DataFrame:
-    """One filing per (ticker, date): outside market hours first, then the earliest. filings: ticker, date, ts, minutes."""
+    """One filing per (ticker, date): outside market hours first, then the earliest; the other columns decide ties.
+
+    filings: ticker, date, ts, minutes."""
     outside = (F.col("minutes") <= 570) | (F.col("minutes") >= 960)
-    w = W.partitionBy("ticker", "date").orderBy(outside.desc(), "ts")
+    w = W.partitionBy("ticker", "date").orderBy(outside.desc(), "ts", *[c for c in filings.columns if c not in ("ticker", "date", "ts")])
     return filings.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k")
 
 

@@ -35,14 +35,9 @@ def r6(c: Column | str) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def stable(c: Column | str, places: int = 4) -> Column:
-    """Cut to a grid that decimal fractions don't fall between, for values such as prices with few places."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.floor(c * 10**places + 0.3137) / float(10**places)
-
-
-def stable_sql(c: str, places: int = 4) -> str:
-    return f"floor(({c}) * {10**places} + 0.3137)::double / {float(10**places)}"
+def price_sql(c: str, places: int = 4) -> str:
+    """The SQL of ``operators.panel.to_places``."""
+    return f"round(({c})::decimal(28, 9), {places})::double"
 
 
 def rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -99,16 +94,16 @@ SPLITS = """splits AS (
 
 
 def dated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(event_id, ticker, event_date, session): large orders, each with its least supplier."""
+    """(event_id, ticker, event_date, session): orders, each with its least supplier."""
     first = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_suppkey").alias("ticker"))
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 300000").join(first, "o_orderkey")
+    rows = table(spark, sf_dir, "orders").join(first, "o_orderkey")
     session = F.when(F.col("o_orderkey") % 3 == 0, "AMC").otherwise("BMO")
     return rows.select(F.col("o_orderkey").alias("event_id"), "ticker", F.to_date("o_orderdate").alias("event_date"), session.alias("session"))
 
 
 DATED = """dated AS (
   SELECT o_orderkey AS event_id, min(l_suppkey) AS ticker, any_value(o_orderdate)::date AS event_date, CASE WHEN o_orderkey % 3 = 0 THEN 'AMC' ELSE 'BMO' END AS session
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_totalprice > 300000 GROUP BY o_orderkey)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_orderkey)"""
 
 
 # What the driver's event types stand for.

@@ -11,6 +11,7 @@ from eventloom.operators import holdings as H
 from eventloom.operators import reactions as R
 from eventloom.operators import relevance as V
 from eventloom.operators import unify as U
+from eventloom.operators.panel import to_places
 from eventloom.plans.base import MOVES, UNIFIED, Registry, moves, r6, rounded, table, unified_events, with_
 
 REG = Registry()
@@ -140,9 +141,9 @@ def g02(spark, d):
     return V.filter_and_rank(scored(spark, d)).select("move_id", "chunk_id", "rank")
 
 
-@REG.add("I19_weight_tags", with_(MOVES, SCORED) + "SELECT move_id, chunk_id, '[EVIDENCE_WEIGHT ' || CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.40 THEN 'MED' ELSE 'LOW' END || printf(' (%.2f)] ', s) || chunk_id AS tagged FROM (SELECT *, floor(score * 100 + 0.3137) / 100 AS s FROM scores)")
+@REG.add("I19_weight_tags", with_(MOVES, SCORED) + "SELECT move_id, chunk_id, '[EVIDENCE_WEIGHT ' || CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.40 THEN 'MED' ELSE 'LOW' END || printf(' (%.2f)] ', s) || chunk_id AS tagged FROM (SELECT *, round(score::decimal(28, 9), 2)::double AS s FROM scores)")
 def i19(spark, d):
-    s = F.floor(F.col("score") * 100 + 0.3137) / 100.0
+    s = to_places(F.col("score"), 2)
     old = F.concat(F.lit("[EVIDENCE_WEIGHT LOW (0.00)] "), F.col("chunk_id"))
     return scored(spark, d).select("move_id", "chunk_id", S.tag_weight(old, s).alias("tagged"))
 
@@ -293,7 +294,7 @@ def c09(spark, d):
     return rows.withColumn("session", R.session_tag(F.col("minutes")))
 
 
-TAGGED = "tagged AS (SELECT event_id, user_id AS ticker, ts::date AS date, ts, (date_part('hour', ts) * 60 + date_part('minute', ts))::int AS minutes FROM events), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY (minutes <= 570 OR minutes >= 960) DESC, ts) AS k FROM tagged) WHERE k = 1), tag AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL WHEN minutes <= 570 THEN 'BMO' WHEN minutes >= 960 THEN 'AMC' ELSE 'INTRADAY' END AS t FROM best)"
+TAGGED = "tagged AS (SELECT event_id, user_id AS ticker, ts::date AS date, ts, (date_part('hour', ts) * 60 + date_part('minute', ts))::int AS minutes FROM events), best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker, date ORDER BY (minutes <= 570 OR minutes >= 960) DESC, ts, event_id) AS k FROM tagged) WHERE k = 1), tag AS (SELECT *, CASE WHEN event_id % 7 = 0 THEN NULL WHEN minutes <= 570 THEN 'BMO' WHEN minutes >= 960 THEN 'AMC' ELSE 'INTRADAY' END AS t FROM best)"
 CONS = "cons AS (SELECT ticker, arg_max(t, n * 10 + CASE t WHEN 'BMO' THEN 1 ELSE 0 END) AS tag, max(n) / sum(n) AS share FROM (SELECT ticker, t, count(*) AS n FROM tag WHERE t IN ('BMO', 'AMC') GROUP BY 1, 2) GROUP BY 1 HAVING max(n) / sum(n) >= 0.55)"
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import panel as P
 from eventloom.operators import reactions as R
-from eventloom.plans.base import DATED, DIVIDENDS, PANEL, SECTOR, SPLITS, Registry, dated_events, dividends, panel, r6, rounded, sector_of, splits, stable, stable_sql, table, with_
+from eventloom.plans.base import DATED, DIVIDENDS, PANEL, SECTOR, SPLITS, Registry, dated_events, dividends, panel, r6, rounded, sector_of, splits, price_sql, table, with_
 
 REG = Registry()
 
@@ -71,19 +71,19 @@ def f08(spark, d):
     "F09_dividend_adjust",
     with_(PANEL, DIVIDENDS)
     + f""", f AS (SELECT p.ticker, p.date, close, CASE WHEN amount > 0 AND amount < close THEN (close - amount) / close ELSE 1.0 END AS factor FROM panel p LEFT JOIN dividends d ON p.ticker = d.ticker AND p.date = d.date)
-SELECT ticker, date, {stable_sql("close * coalesce(product(factor) OVER (PARTITION BY ticker ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0)")} AS adj_close FROM f""",
+SELECT ticker, date, {price_sql("close * coalesce(product(factor) OVER (PARTITION BY ticker ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0)")} AS adj_close FROM f""",
 )
 def f09(spark, d):
-    return P.adjust_dividends(panel(spark, d), dividends(spark, d), places=None).select("ticker", "date", stable("adj_close").alias("adj_close"))
+    return P.adjust_dividends(panel(spark, d), dividends(spark, d)).select("ticker", "date", "adj_close")
 
 
 @REG.add(
     "F10_split_adjust",
     with_(PANEL, SPLITS)
-    + f"""SELECT p.ticker, p.date, {stable_sql("p.close * coalesce((SELECT product(split_part(split_factor, ':', 2)::double / split_part(split_factor, ':', 1)::double) FROM splits s WHERE s.ticker = p.ticker AND s.date > p.date), 1.0)")} AS close, p.volume FROM panel p""",
+    + f"""SELECT p.ticker, p.date, {price_sql("p.close * coalesce((SELECT product(split_part(split_factor, ':', 2)::double / split_part(split_factor, ':', 1)::double) FROM splits s WHERE s.ticker = p.ticker AND s.date > p.date), 1.0)")} AS close, p.volume FROM panel p""",
 )
 def f10(spark, d):
-    return P.adjust_splits(panel(spark, d), splits(spark, d)).select("ticker", "date", stable("close").alias("close"), "volume")
+    return P.adjust_splits(panel(spark, d), splits(spark, d)).select("ticker", "date", P.to_places(F.col("close"), 4).alias("close"), "volume")
 
 
 FWD = "bars AS (SELECT *, lag(close) OVER w AS prev, " + ", ".join(f"CASE WHEN close > 0 AND lead(close, {h}) OVER w > 0 THEN lead(close, {h}) OVER w / close - 1 END AS fwd_{h}d" for h in (1, 5, 20)) + ", " + ", ".join(f"CASE WHEN ord >= {n} THEN stddev_samp(lr) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) END AS vol_{n}d" for n in (30, 60)) + " FROM rets WINDOW w AS (PARTITION BY ticker ORDER BY date))"
@@ -108,9 +108,9 @@ def d09(spark, d):
 ROUNDED = ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("reaction_return", "fwd_1d", "fwd_5d", "fwd_20d", "vol_30d", "vol_60d"))
 
 
-@REG.add("F12_F13_reactions", REACTIONS + f"SELECT event_id, ticker, event_date, session, anchor_date, {stable_sql('pre_price')} AS pre_price, {ROUNDED} FROM react")
+@REG.add("F12_F13_reactions", REACTIONS + f"SELECT event_id, ticker, event_date, session, anchor_date, {price_sql('pre_price')} AS pre_price, {ROUNDED} FROM react")
 def f12(spark, d):
-    return rounded(R.reactions(dated_events(spark, d), panel(spark, d)).withColumn("pre_price", stable("pre_price")), "reaction_return", "fwd_1d", "fwd_5d", "fwd_20d", "vol_30d", "vol_60d")
+    return rounded(R.reactions(dated_events(spark, d), panel(spark, d)).withColumn("pre_price", P.to_places(F.col("pre_price"), 4)), "reaction_return", "fwd_1d", "fwd_5d", "fwd_20d", "vol_30d", "vol_60d")
 
 
 INDEX = "daily AS (SELECT sector, date, avg(greatest(-0.5, least(0.5, lr))) FILTER (lr IS NOT NULL) AS mean_return FROM rets JOIN sector USING (ticker) GROUP BY 1, 2), idx AS (SELECT sector, date, mean_return, exp(sum(coalesce(mean_return, 0.0)) OVER (PARTITION BY sector ORDER BY date)) AS level FROM daily)"
@@ -182,7 +182,7 @@ def e04(spark, d):
     return P.date_ranges(panel(spark, d))
 
 
-@REG.add("D18_forward_by_ordinal", with_(PANEL, RETS) + "SELECT a.ticker, a.date, round(b.close / a.close - 1, 6) + 0.0 AS fwd FROM rets a JOIN rets b ON a.ticker = b.ticker AND b.ord = a.ord + 10")
+@REG.add("D18_forward_by_ordinal", with_(PANEL) + "SELECT ticker, date, round(ahead / close - 1, 6) + 0.0 AS fwd FROM (SELECT *, lead(close, 10) OVER (PARTITION BY ticker ORDER BY date) AS ahead FROM panel) WHERE ahead IS NOT NULL")
 def d18(spark, d):
     return panel(spark, d).select("ticker", "date", r6(P.forward_return("close", 10)).alias("fwd")).where("fwd is not null")
 
@@ -190,12 +190,12 @@ def d18(spark, d):
 @REG.add(
     "F23_predicted_overlay",
     F05.rstrip() + f""", marked AS (SELECT p.ticker, p.date, close, CASE WHEN s.return_pct IS NOT NULL THEN (1 + s.return_pct / 2) / (1 + s.return_pct) END AS step FROM panel p LEFT JOIN significant s ON p.ticker = s.ticker AND p.date = s.move_date)
-SELECT ticker, date, {stable_sql("close * CASE WHEN count(step) OVER w > 0 THEN product(coalesce(step, 1.0)) OVER w END", 2)} AS predicted FROM marked WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
+SELECT ticker, date, {price_sql("close * CASE WHEN count(step) OVER w > 0 THEN product(coalesce(step, 1.0)) OVER w END", 2)} AS predicted FROM marked WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
 )
 def f23(spark, d):
     bars = panel(spark, d)
     found = P.significant_moves(bars).select("ticker", F.col("move_date").alias("date"), (F.col("return_pct") / 2).alias("predicted_return"), F.col("return_pct").alias("realized_return"))
-    return P.predicted_overlay(bars.join(found, ["ticker", "date"], "left")).select("ticker", "date", stable("predicted", 2).alias("predicted"))
+    return P.predicted_overlay(bars.join(found, ["ticker", "date"], "left")).select("ticker", "date", P.to_places(F.col("predicted"), 2).alias("predicted"))
 
 
 @REG.add("G06_top_moves", F05 + "SELECT ticker, move_date, round(return_pct, 6) + 0.0 AS return_pct FROM significant ORDER BY abs(return_pct) DESC, ticker, move_date LIMIT 20")
@@ -244,12 +244,12 @@ def e11(spark, d):
     return rows.agg(r6(F.avg("fwd_5d")).alias("mean"), r6(F.percentile("fwd_5d", 0.5)).alias("median"), r6(F.avg(F.when(F.col("fwd_5d") > 0, 1.0).otherwise(0.0))).alias("positive"), (F.abs(F.avg("fwd_5d")) < 0.01).alias("symmetric"))
 
 
-@REG.add("C07_C04_slim_slice", REACTIONS + ", span AS (SELECT min(event_date) - 120 AS lo, max(event_date) + 45 AS hi FROM react WHERE ticker % 10 < 5) SELECT p.ticker, p.date, CLOSE_ FROM panel p, span WHERE p.ticker IN (SELECT ticker FROM react WHERE ticker % 10 < 5) AND p.date BETWEEN lo AND hi AND close > 0".replace("CLOSE_", stable_sql("p.close") + " AS close"))
+@REG.add("C07_C04_slim_slice", REACTIONS + ", span AS (SELECT min(event_date) - 120 AS lo, max(event_date) + 45 AS hi FROM react WHERE ticker % 10 < 5) SELECT p.ticker, p.date, CLOSE_ FROM panel p, span WHERE p.ticker IN (SELECT ticker FROM react WHERE ticker % 10 < 5) AND p.date BETWEEN lo AND hi AND close > 0".replace("CLOSE_", price_sql("p.close") + " AS close"))
 def c07(spark, d):
     events = R.reactions(dated_events(spark, d), panel(spark, d)).where("ticker % 10 < 5")
     span = events.agg(F.date_sub(F.min("event_date"), 120).alias("lo"), F.date_add(F.max("event_date"), 45).alias("hi"))
     rows = panel(spark, d).where("close > 0").join(events.select("ticker").distinct(), "ticker", "left_semi")
-    return rows.join(F.broadcast(span), F.col("date").between(F.col("lo"), F.col("hi"))).select("ticker", "date", stable("close").alias("close"))  # one row
+    return rows.join(F.broadcast(span), F.col("date").between(F.col("lo"), F.col("hi"))).select("ticker", "date", P.to_places(F.col("close"), 4).alias("close"))  # one row
 
 
 @REG.add("E20_first_dates", with_(DATED) + "SELECT ticker, min(event_date) AS first_event FROM dated GROUP BY 1")

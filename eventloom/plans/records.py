@@ -13,7 +13,7 @@ from eventloom.operators import holdings as H
 from eventloom.operators import panel as P
 from eventloom.operators import relevance as V
 from eventloom.operators import unify as U
-from eventloom.plans.base import DATED, PANEL, SPLITS, Registry, dated_events, panel, r6, splits, stable, stable_sql, table, with_
+from eventloom.plans.base import DATED, PANEL, SPLITS, Registry, dated_events, panel, price_sql, r6, splits, table, with_
 from eventloom.plans.strategy import BASE, attributions
 
 REG = Registry()
@@ -34,11 +34,11 @@ def a05(spark, d):
     return load_actions(raw, "5", "1999-12-31").select("ticker", "date", F.round("amount", 2).alias("amount"))
 
 
-@REG.add("A07_price_series", with_(PANEL) + f"SELECT ticker, date, {stable_sql('close')} AS close FROM panel WHERE ticker = 4 AND date BETWEEN date '1997-01-01' AND date '1997-12-31'")
+@REG.add("A07_price_series", with_(PANEL) + f"SELECT ticker, date, {price_sql('close')} AS close FROM panel WHERE ticker = 4 AND date BETWEEN date '1997-01-01' AND date '1997-12-31'")
 def a07(spark, d):
     from eventloom.sources.readers import price_series
 
-    return price_series(panel(spark, d), 4, "1997-01-01", "1997-12-31").select("ticker", "date", stable("close").alias("close"))
+    return price_series(panel(spark, d), 4, "1997-01-01", "1997-12-31").select("ticker", "date", P.to_places(F.col("close"), 4).alias("close"))
 
 
 @REG.add("C01_C02_as_of_keys", "SELECT event_id FROM events WHERE upper(event_type) = 'CLICK' AND ts::date <= date '2024-01-15'")
@@ -184,9 +184,10 @@ def k02e(spark, d):
     return U.news(rows).groupBy("event_id", "ticker", "source").agg(F.count(F.lit(1)).alias("n"))
 
 
-@REG.add("K02i_delta_events", "SELECT '13f_delta_f_' || c_custkey || '_2024-02-14' AS event_id, c_custkey::varchar AS ticker, printf('f NEW: %+d shares', c_custkey) AS text FROM customer WHERE c_custkey BETWEEN 1 AND 900")
+@REG.add("K02i_delta_events", "SELECT '13f_delta_f_' || c_custkey || '_2024-02-14' AS event_id, c_custkey::varchar AS ticker, format('f {}: {}{:,} shares', CASE WHEN c_custkey % 2 = 0 THEN 'REDUCED' ELSE 'NEW' END, CASE WHEN c_custkey % 2 = 0 THEN '-' ELSE '+' END, (c_custkey + 1) * 37) AS text FROM customer")
 def k02i(spark, d):
-    rows = table(spark, d, "customer").where("c_custkey between 1 and 900").select(F.lit("f").alias("fund"), F.col("c_custkey").alias("ticker"), F.lit("2024-02-14").alias("filing_date"), F.lit("NEW").alias("action"), F.col("c_custkey").alias("shares_change"))
+    sold = F.col("c_custkey") % 2 == 0
+    rows = table(spark, d, "customer").select(F.lit("f").alias("fund"), F.col("c_custkey").alias("ticker"), F.lit("2024-02-14").alias("filing_date"), F.when(sold, "REDUCED").otherwise("NEW").alias("action"), ((F.col("c_custkey") + 1) * F.when(sold, -37).otherwise(37)).alias("shares_change"))
     return U.holding_deltas(rows).select("event_id", "ticker", "text")
 
 

@@ -80,9 +80,10 @@ def i14(spark, d):
     return table(spark, d, "events").select("event_id", F.array_join(T.symbols(F.when(k % 3 == 0, "amd, Nvda;").when(k % 3 == 1, " x ").otherwise("")), "|").alias("symbols"))
 
 
-@REG.add("I18_templates", "SELECT o_orderkey, printf('$%+.1fM', o_totalprice / 1e6) AS money, printf('%.1f%%', floor(o_totalprice / 1000)) AS percent FROM orders WHERE o_totalprice < 900e6")
+@REG.add("I18_templates", "SELECT o_orderkey, format('${}{:,}.{}M', CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END, k // 10, k % 10) AS money, printf('%.1f%%', floor(o_totalprice / 1000)) AS percent FROM (SELECT o_orderkey, o_totalprice, floor(o_totalprice)::bigint AS k FROM orders)")
 def i18(spark, d):
-    return table(spark, d, "orders").where("o_totalprice < 900e6").select("o_orderkey", T.money(F.col("o_totalprice")).alias("money"), T.percent(F.floor(F.col("o_totalprice") / 1000) / 100.0).alias("percent"))
+    value = F.floor("o_totalprice") * 100_000 * F.when(F.col("o_orderkey") % 2 == 0, -1).otherwise(1)
+    return table(spark, d, "orders").select("o_orderkey", T.money(value).alias("money"), T.percent(F.floor(F.col("o_totalprice") / 1000) / 100.0).alias("percent"))
 
 
 @REG.add("I20_I24_ids", "SELECT doc_id, 'sec_8k_' || doc_id || '_' || lpad((doc_id % 7)::varchar, 3, '0') AS chunk_id, 'sec_8k' AS source_type FROM documents")

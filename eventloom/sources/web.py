@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from eventloom.operators.relevance import first_wins
+from eventloom.operators.relevance import dedupe_present, first_wins
 
 
 def month_slices(start: str, end: str, days: int = 30) -> list[tuple[str, str]]:
@@ -83,9 +83,10 @@ def short_interest(rows: DataFrame, as_of: Column, lag: int = 14) -> DataFrame:
 
 
 def first_by(rows: DataFrame, *keys: str) -> DataFrame:
-    """Feeds whose slices overlap: a key's first row wins."""
+    """Feeds whose slices overlap: a key's first row wins; rows whose key is null or blank all stay."""
     for key in keys:
-        rows = first_wins(rows, [key], ["place"])
+        given = F.when(F.trim(F.col(key).cast("string")) != "", F.col(key))
+        rows = dedupe_present(rows.withColumn("_key", given), "_key", ["place"]).drop("_key")
     return rows.drop("place")
 
 
