@@ -68,3 +68,80 @@ def basket(prices: DataFrame, longs: list, shorts: list | None = None) -> DataFr
 def rank_table(summary: DataFrame) -> DataFrame:
     """Position by sharpe (3 places), then by name."""
     return summary.withColumn("position", F.row_number().over(W.orderBy(F.round("sharpe", 3).desc(), "strategy", "ablation")))  # a row per strategy
+
+
+#: Names of results: strategies over attributions, and baselines that read the move alone.
+STRUCTURED, BASELINE = "struct_", "baseline_"
+BASELINES = ("always_lean", "always_fade", "random", "sentiment")
+
+
+def run_all(attributed: DataFrame, strategy: str = "fundamental_split", horizon: int = 5, notional: float = 10_000, use_excess: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Every bundle under one strategy, and every baseline: (results, profits), in one plan.
+
+    attributed: ``attribution.by_bundle`` rows with event_date and forward returns. Results: strategy_name,
+    ablation_name (null for baselines), n_trades, sharpe, hit_rate, avg_return, max_drawdown, total_dollars.
+    """
+    from eventloom.functions.signals import STRATEGIES
+
+    if horizon not in HORIZONS:
+        raise ValueError(f"horizon {horizon} is none of {HORIZONS}")
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; one of {sorted(STRATEGIES)}")
+    # a baseline doesn't depend on the bundle, so the first one's rows carry all of them
+    cell = lambda name, bundle, verdict: F.struct(F.lit(name).alias("strategy_name"), bundle.alias("ablation_name"), verdict.alias("verdict"))
+    own = F.array(cell(f"{STRUCTURED}{strategy}", F.col("ablation"), STRATEGIES[strategy]()))
+    plain = F.array(*[cell(f"{BASELINE}{b}", F.lit(None).cast("string"), STRATEGIES[b]()) for b in BASELINES])
+    runs = attributed.withColumn("_c", F.explode(F.when(F.col("rung") == 0, F.concat(own, plain)).otherwise(own))).select("*", "_c.*")
+    name = f"fwd_{horizon}d" + ("_excess" if use_excess else "")
+    trades = runs.where(F.col(name).isNotNull()).select("event_id", "event_date", "strategy_name", "ablation_name", direction(F.col("verdict"), F.col("return_pct")).alias("direction"), F.col(name).alias("fwd"))
+    pnl = trades.withColumn("pnl", F.col("direction") * F.col("fwd"))
+    keys = ["strategy_name", "ablation_name"]
+    summary = summarize(pnl, keys, ["event_date", "event_id"], horizon)
+    dollars = pnl.groupBy(*keys).agg(F.round(F.sum(F.col("pnl") * notional), 2).alias("total_dollars"))
+    same = (F.col("a.strategy_name") == F.col("b.strategy_name")) & F.col("a.ablation_name").eqNullSafe(F.col("b.ablation_name"))
+    return dollars.alias("a").join(summary.alias("b"), same, "left").select("a.strategy_name", "a.ablation_name", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "hit_rate", "avg_return", "max_drawdown")), "total_dollars"), pnl
+
+
+def result_key(strategy: Column, ablation: Column) -> Column:
+    """strategy__ablation for structured results, the name alone for baselines."""
+    return F.when(strategy.startswith(STRUCTURED) & ablation.isNotNull(), F.concat(strategy, F.lit("__"), ablation)).otherwise(strategy)
+
+
+def compare(results: DataFrame, ablation: str | None = None) -> DataFrame:
+    """The structured representative (of the highest sharpe, or of the named bundle) and the baselines, ranked by sharpe.
+
+    Columns: position, label, n_trades, sharpe and hit_rate (3 places), avg_return and max_drawdown (5), dollars
+    (2), is_structured, and beaten: whether the representative's sharpe is strictly above a baseline's. A row
+    for each result, so one task may order them.
+    """
+    structured = F.col("strategy_name").startswith(STRUCTURED)
+    named = structured & (F.col("ablation_name") == ablation) if ablation else F.lit(False)
+    pick = W.orderBy(F.coalesce(named, F.lit(False)).desc(), F.desc("sharpe"), "ablation_name")
+    rep = results.where(structured).withColumn("_k", F.row_number().over(pick)).where("_k = 1").drop("_k")
+    rows = rep.unionByName(results.where(F.col("strategy_name").startswith(BASELINE)))
+    label = F.when(structured, F.format_string("%s (%s)", "strategy_name", "ablation_name")).otherwise(F.expr(f"substring(strategy_name, {len(BASELINE) + 1})"))
+    best = F.max(F.when(structured, F.col("sharpe"))).over(W.partitionBy(F.lit(1)))
+    table = rows.withColumns({"label": label, "is_structured": structured, "beaten": F.when(~structured, best > F.col("sharpe"))})
+    places = {"sharpe": 3, "hit_rate": 3, "avg_return": 5, "max_drawdown": 5}
+    out = table.select("label", "is_structured", "beaten", "n_trades", *(F.round(c, n).alias(c) for c, n in places.items()), F.col("total_dollars").alias("dollars"))
+    return out.withColumn("position", F.row_number().over(W.orderBy(F.desc("sharpe"), F.desc("is_structured"), "label")))
+
+
+def verdict(table: DataFrame) -> DataFrame:
+    """One row of ``compare``'s table in words: verdict, beats, loses_to, structured_rank."""
+    names = lambda won: F.array_sort(F.collect_list(F.when(F.col("beaten") == won, F.struct("position", "label"))))
+    one = lambda c: F.max(F.when(F.col("is_structured"), F.col(c)))
+    row = table.agg(one("label").alias("label"), one("position").alias("structured_rank"), one("sharpe").alias("sharpe"), one("hit_rate").alias("hit"), one("n_trades").alias("n"), one("dollars").alias("dollars"), F.count(F.lit(1)).alias("total"), names(True).alias("w"), names(False).alias("l"))
+    row = row.withColumns({"beats": F.transform("w", lambda x: x["label"]), "loses_to": F.transform("l", lambda x: x["label"])})
+    won, lost = F.size("beats"), F.size("loses_to")
+    alone = F.format_string("Structured strategy %s ran on %d trades (Sharpe %+.2f) without baselines, so nothing says whether this is more than noise.", "label", "n", "sharpe")
+    text = F.concat_ws(
+        " ",
+        F.format_string("Structured strategy %s ranked %d/%d (Sharpe %+.2f, hit rate %.0f%%, %d trades).", F.col("label"), F.col("structured_rank"), F.col("total"), F.col("sharpe"), F.col("hit") * 100, F.col("n")),
+        F.format_string("Realized P&L: $%+,.2f.", "dollars"),
+        F.format_string("It %s %d/%d baselines on Sharpe.", F.when(won >= lost, "beat").otherwise("lost to"), won, won + lost),
+        F.when(won > 0, F.concat(F.lit("Beat: "), F.array_join("beats", ", "), F.lit("."))),
+        F.when(lost > 0, F.concat(F.lit("Lost to: "), F.array_join("loses_to", ", "), F.lit("."))),
+    )
+    none = F.lit("No structured strategy results to evaluate.")
+    return row.select(F.when(F.col("label").isNull(), none).when(won + lost == 0, alone).otherwise(text).alias("verdict"), "beats", "loses_to", "structured_rank")

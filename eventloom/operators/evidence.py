@@ -39,19 +39,21 @@ def calendar(days: DataFrame, date: str = "date") -> DataFrame:
 def trading_windows(moves: DataFrame, days: DataFrame, before: int = 5, after: int = 1) -> DataFrame:
     """Adds window_start and window_end: so many trading days around the last one on or before the move, clipped at the ends.
 
-    A move before the first trading day is anchored there. The calendar is a bounded dimension (see
-    ``calendar``); as sorted arrays it goes along with every row.
+    A move before the first trading day is anchored there; without any trading day both are null. The calendar
+    is a bounded dimension (see ``calendar``): it becomes a row for each calendar day between its ends, 366 a
+    year, which moves are joined to by date.
     """
-    packed = days.agg(F.array_sort(F.collect_list("date")).alias("_days"))
-    joined = moves.crossJoin(F.broadcast(packed))  # one row
-    n = F.size("_days")
-    at = F.greatest(F.size(F.filter("_days", lambda d: d <= F.col("move_date"))), F.lit(1))
-    return joined.withColumn("_at", at).withColumns(
-        {
-            "window_start": F.when(n > 0, F.get("_days", F.greatest(F.col("_at") - before, F.lit(1)) - 1)),
-            "window_end": F.when(n > 0, F.get("_days", F.least(F.col("_at") + after, n) - 1)),
-        }
-    ).drop("_days", "_at")
+    w = W.orderBy("date")
+    ends = days.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi"))  # one row
+    bounds = days.crossJoin(F.broadcast(ends)).select(
+        "date",
+        F.coalesce(F.date_sub(F.lead("date").over(w), 1), F.col("date")).alias("_until"),
+        F.coalesce(F.lag("date", before).over(w), F.col("_lo")).alias("window_start"),
+        F.coalesce(F.lead("date", after).over(w), F.col("_hi")).alias("window_end"),
+    )
+    spans = bounds.select(F.explode(F.sequence("date", "_until")).alias("_day"), "window_start", "window_end")
+    placed = moves.crossJoin(F.broadcast(ends)).withColumn("_day", F.least(F.greatest("move_date", "_lo"), F.col("_hi")))
+    return placed.join(F.broadcast(spans), "_day", "left").drop("_day", "_lo", "_hi")
 
 
 def business_day(date: Column, n: int) -> Column:
@@ -98,6 +100,22 @@ def chunk_join(moves: DataFrame, chunks: DataFrame, refs: DataFrame) -> DataFram
     return near.unionByName(named).groupBy("move_id", "chunk_id").agg(F.min("via").alias("via"))
 
 
+def nearest_dates(moves: DataFrame, dates: DataFrame) -> DataFrame:
+    """Adds nearest: the ticker's date closest to move_date, the earlier of two; moves of tickers without dates go.
+
+    moves: move_id, ticker, move_date. dates: ticker, other. Both are merged in one series per ticker, read
+    forwards and backwards, so no move meets every date.
+    """
+    marks = dates.select("ticker", F.col("other").alias("_d"), F.col("other").alias("_o"), F.lit(0).alias("_m"))
+    rows = moves.withColumns({"_d": F.col("move_date"), "_m": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
+    up = W.partitionBy("ticker").orderBy("_d", "_m").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy("ticker").orderBy(F.desc("_d"), "_m").rowsBetween(W.unboundedPreceding, 0)
+    both = rows.withColumns({"_a": F.last("_o", ignorenulls=True).over(up), "_b": F.last("_o", ignorenulls=True).over(down)}).where("_m = 1")
+    later = F.datediff("_b", "move_date") < F.datediff("move_date", "_a")
+    nearest = F.when(F.col("_a").isNull() | F.coalesce(later, F.lit(False)), F.col("_b")).otherwise(F.col("_a"))
+    return both.withColumn("nearest", nearest).where("nearest is not null").drop("_d", "_o", "_m", "_a", "_b")
+
+
 def flag_days(moves: DataFrame, calendar_rows: DataFrame, name: str = "earnings_day") -> DataFrame:
     """Adds whether (ticker, move_date) is in calendar_rows (ticker, date)."""
     marks = calendar_rows.select(F.upper(F.col("ticker").cast("string")).alias("_t"), F.col("date").alias("move_date")).distinct().withColumn("_m", F.lit(True))

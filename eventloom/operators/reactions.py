@@ -32,19 +32,21 @@ def reactions(events: DataFrame, prices: DataFrame, value: str = "close") -> Dat
 
     events: event_id, ticker, event_date, session. BMO measures the bar against the one before; AMC the next
     bar against it; an event on no trading day measures its first later bar against the one before. Events
-    without both bars go. The anchor is the last bar of the reaction; forward returns start there.
+    without both bars go. The anchor is the last bar of the reaction; forward returns start there. Each bar
+    carries its measures and those of the next one through the merged series, so bars are not joined again.
     """
-    bars = with_bars(prices, value)
-    placed = first_bar_on_or_after(events, bars)
-    late = (F.col("session") == "AMC") & F.col("is_bar")
-    at = placed.where("bar_ord is not null").withColumn("anchor", F.when(late, F.col("bar_ord") + 1).otherwise(F.col("bar_ord")))
-    pre = F.when(F.col("prev") > 0, F.col(value) / F.col("prev") - 1)
-    return (
-        at.join(bars.withColumnRenamed("ord", "anchor"), ["ticker", "anchor"])
-        .withColumn("reaction_return", pre)
-        .where("reaction_return is not null")
-        .select("event_id", "ticker", "event_date", "session", F.col("date").alias("anchor_date"), F.col("prev").alias("pre_price"), "reaction_return", *(f"fwd_{h}d" for h in HORIZONS), "vol_30d", "vol_60d")
-    )
+    names = ["date", "prev", value, *(f"fwd_{h}d" for h in HORIZONS), "vol_30d", "vol_60d"]
+    bars = with_bars(prices, value).select("ticker", "date", F.struct(*names).alias("_bar"))
+    marks = bars.select("ticker", F.col("date").alias("_d"), F.col("_bar"), F.lead("_bar").over(series()).alias("_next"), F.lit(False).alias("_e"))
+    rows = events.withColumns({"_d": F.col("event_date"), "_e": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
+    # going back in time, a date's bar comes before its events, so they see it
+    w = W.partitionBy("ticker").orderBy(F.desc("_d"), "_e").rowsBetween(W.unboundedPreceding, 0)
+    both = F.last(F.when(~F.col("_e"), F.struct("_bar", "_next")), ignorenulls=True).over(w)
+    placed = rows.withColumn("_at", both).where("_e and _at is not null")
+    late = (F.col("session") == "AMC") & (F.col("_at._bar.date") == F.col("event_date"))
+    at = placed.withColumn("_a", F.when(late, F.col("_at._next")).otherwise(F.col("_at._bar")))
+    kept = at.where("_a.prev > 0").withColumn("reaction_return", F.col(f"_a.{value}") / F.col("_a.prev") - 1).where("reaction_return is not null")
+    return kept.select("event_id", "ticker", "event_date", "session", F.col("_a.date").alias("anchor_date"), F.col("_a.prev").alias("pre_price"), "reaction_return", *(F.col(f"_a.fwd_{h}d").alias(f"fwd_{h}d") for h in HORIZONS), F.col("_a.vol_30d").alias("vol_30d"), F.col("_a.vol_60d").alias("vol_60d"))
 
 
 def excess(rows: DataFrame, bench: DataFrame, horizons: tuple[int, ...] = HORIZONS, date: str = "anchor_date", suffix: str = "excess") -> DataFrame:

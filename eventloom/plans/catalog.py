@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from eventloom.plans import evidence, panel, records, strategy, text
+from eventloom.plans import evidence, panel, records, serving, strategy, text
 from eventloom.plans.base import Query
 
-MODULES = (panel, evidence, strategy, text, records)
+MODULES = (panel, evidence, strategy, text, records, serving)
 
 
 def queries() -> dict[str, Query]:

@@ -90,7 +90,7 @@ def j04(spark, d):
 @REG.add("D12_nearest_date", with_(MOVES) + "SELECT move_id, arg_min(o_orderdate::date, abs(date_diff('day', move_date, o_orderdate::date)) * 100000 + date_diff('day', date '1990-01-01', o_orderdate::date)) AS nearest FROM moves JOIN orders ON o_custkey = ticker GROUP BY 1")
 def d12(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("ticker"), F.to_date("o_orderdate").alias("other"))
-    return moves(spark, d).join(o, "ticker").groupBy("move_id").agg(F.min_by("other", F.struct(F.abs(F.datediff("move_date", "other")), "other")).alias("nearest"))
+    return E.nearest_dates(moves(spark, d), o).select("move_id", "nearest")
 
 
 @REG.add("D13_K43_latest_move", with_(MOVES, UNIFIED) + "SELECT event_id, e.ticker, event_date, max(move_date) AS last_move FROM unified e JOIN moves m ON m.ticker = e.ticker AND m.move_date <= e.event_date GROUP BY 1, 2, 3")
@@ -196,11 +196,15 @@ def h07(spark, d):
 
 @REG.add("H05_F24_evidence_rungs", "WITH r AS (SELECT user_id, event_type, list_sort(list(DISTINCT event_id)) AS ids FROM events GROUP BY 1, 2), o AS (SELECT user_id, event_type, ids, lag(ids) OVER (PARTITION BY user_id ORDER BY event_type) AS prev FROM r) SELECT user_id, event_type, len(list_filter(ids, lambda x: prev IS NULL OR NOT list_contains(prev, x)))::int AS n_new FROM o")
 def f24(spark, d):
+    """Ids of a rung that the one before lacks, by an anti-join; no key's ids are gathered in a set."""
     from pyspark.sql import Window as W
 
-    rungs = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set("event_id")).alias("ids"))
-    prev = F.coalesce(F.lag("ids").over(W.partitionBy("user_id").orderBy("event_type")), F.array().cast("array<bigint>"))
-    return rungs.select("user_id", "event_type", F.size(F.array_except("ids", prev)).alias("n_new"))
+    ids = table(spark, d, "events").select("user_id", "event_type", "event_id").distinct()
+    rungs = ids.select("user_id", "event_type").distinct().withColumn("prev", F.lag("event_type").over(W.partitionBy("user_id").orderBy("event_type")))
+    before = ids.select("user_id", F.col("event_type").alias("prev"), "event_id")
+    new = ids.join(rungs, ["user_id", "event_type"]).join(before, ["user_id", "prev", "event_id"], "left_anti")
+    counted = new.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).cast("int").alias("n_new"))
+    return rungs.drop("prev").join(counted, ["user_id", "event_type"], "left").fillna(0, ["n_new"])
 
 
 def _union_sql() -> str:

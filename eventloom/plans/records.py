@@ -54,8 +54,8 @@ def c03(spark, d):
 @REG.add("C05_universe", "SELECT event_id, 'significant' AS universe FROM events WHERE value > 80 UNION ALL SELECT event_id, 'focal' FROM events WHERE user_id % 10 = 0 UNION ALL SELECT event_id, 'focal_significant' FROM events WHERE user_id % 10 = 0 AND value > 80 UNION ALL SELECT event_id, 'all' FROM events")
 def c05(spark, d):
     rows = table(spark, d, "events").select("event_id", (F.col("value") > 80).alias("is_significant"), (F.col("user_id") % 10 == 0).alias("is_focal"))
-    parts = [rows.where(f).select("event_id", F.lit(n).alias("universe")) for n, f in UNIVERSES.items()]
-    return parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    own = F.filter(F.array(*[F.when(F.expr(f), n) for n, f in UNIVERSES.items()]), lambda x: x.isNotNull())
+    return rows.select("event_id", F.explode(own).alias("universe"))
 
 
 UNIVERSES = {"all": "true", "significant": "is_significant", "focal": "is_focal", "focal_significant": "is_focal and is_significant"}

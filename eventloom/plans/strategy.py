@@ -176,16 +176,16 @@ MATCHES = f"m AS (SELECT event_id, CASE WHEN e_dim IS NOT NULL THEN dominant = e
 COMPOSITE = "comp AS (SELECT *, coalesce((CASE WHEN dim THEN 0.5 ELSE 0.0 END + CASE WHEN dir THEN 0.25 ELSE 0.0 END + CASE WHEN ch THEN 0.15 ELSE 0.0 END + CASE WHEN fl THEN 0.1 ELSE 0.0 END)::double / nullif(CASE WHEN dim IS NOT NULL THEN 0.5 ELSE 0.0 END + CASE WHEN dir IS NOT NULL THEN 0.25 ELSE 0.0 END + CASE WHEN ch IS NOT NULL THEN 0.15 ELSE 0.0 END + CASE WHEN fl IS NOT NULL THEN 0.1 ELSE 0.0 END, 0)::double, 0.0) AS composite FROM m)"
 
 
-def composite(spark, d):
+def composite(spark, d, rows=None, *keep):
     """Attributions against expected values; a case asserts some of them."""
     k = F.col("event_id")
-    a = attributions(spark, d)
+    a = attributions(spark, d) if rows is None else rows
     dim = F.when(k % 4 != 0, F.when(k % 3 == 0, "demand").when(k % 3 == 1, "pricing").otherwise("macro"))
     way = F.when(k % 5 != 0, F.when(k % 2 == 0, "positive").otherwise("negative"))
     fade = G.fade_or_follow(F.col("character"), F.col("pred"), F.col("return_pct"))
     matches = {"dim": F.col("dominant") == dim, "dir": F.col("direction") == way, "char": F.col("character") == F.when(k % 7 != 0, "structural"), "fade_lean": fade == F.when(k % 11 == 0, "lean")}
     veto = F.col("dominant") == F.when(k % 13 == 0, "macro")
-    return a.select("event_id", "dominant", V.score_case(matches, veto).alias("composite"), (F.when(dim.isNotNull(), matches["dim"] & ~F.coalesce(veto, F.lit(False)))).alias("dim_match"))
+    return a.select("event_id", *keep, "dominant", V.score_case(matches, veto).alias("composite"), (F.when(dim.isNotNull(), matches["dim"] & ~F.coalesce(veto, F.lit(False)))).alias("dim_match"))
 
 
 @REG.add("K29_scores", BASE + ", " + CASES + ", " + MATCHES + ", " + COMPOSITE + " SELECT event_id, round(composite, 6) + 0.0 AS composite FROM comp")
@@ -198,11 +198,66 @@ def k35(spark, d):
     return composite(spark, d).select("event_id", (F.col("composite") >= 0.67).alias("passed"))
 
 
-@REG.add("K31_E15_D16_matrix", BASE + ", " + CASES + ", " + MATCHES + ", " + COMPOSITE + " SELECT rung::int AS rung, round(avg(composite), 6) + 0.0 AS mean_composite, round(avg(dim::int), 6) + 0.0 AS dim_accuracy FROM comp, range(7) r(rung) WHERE event_id % 7 <= rung GROUP BY 1")
+H7 = lambda k: _hash(KEY, "ablation", repr(k))
+NOISE = "noise(ablation, rung, noise) AS (VALUES " + ", ".join(f"('{n}', {i}, {x}::double)" for i, (n, x) in enumerate(A.NOISE.items())) + ")"
+RUNGS = (
+    NOISE
+    + ", a70 AS (SELECT raw.*, ablation, rung, round(CASE WHEN " + H7("flip") + " < noise THEN " + H7("score") + " ELSE 0.5 * least(1.0, abs(return_pct) / 0.15) + 0.5 * least(1.0, abs(z) / 5) END, 9) AS score, " + ", ".join(f"round(r_{d} / {TOTAL}, 9) AS w_{d}" for d in G.DIMENSIONS) + " FROM raw, noise),\n"
+    + "a71 AS (SELECT *, CASE WHEN score >= 0.65 THEN 'structural' WHEN score <= 0.35 THEN 'transient' WHEN " + H7("mixed") + f" < 0.3 THEN 'mixed' ELSE 'unclear' END AS character, {DOMINANT} AS dominant, CASE WHEN return_pct > 0 THEN 'positive' WHEN return_pct < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM a70),\n"
+    + "a7 AS (SELECT *, round(CASE character WHEN 'structural' THEN least(0.95, 0.5 + score / 2) WHEN 'transient' THEN least(0.95, 0.5 + (1 - score) / 2) WHEN 'mixed' THEN 0.5 ELSE 0.4 END, 9) AS confidence, CASE WHEN character = 'structural' THEN round(return_pct * (0.4 + 0.7 * " + H7("pred") + "), 9) END AS pred FROM a71)"
+)
+BASE7 = BASE + ", " + RUNGS
+
+
+def by_bundle(spark, d):
+    rows = R.reactions(dated_events(spark, d), panel(spark, d))
+    z = F.coalesce(F.try_divide(F.col("reaction_return"), F.nullif("vol_30d", F.lit(0.0))), F.lit(0.0))
+    return A.by_bundle(rows.select("event_id", "ticker", "event_date", F.col("reaction_return").alias("return_pct"), z.alias("z"), "fwd_1d", "fwd_5d", "fwd_20d"))
+
+
+@REG.add("K08_K10_bundles", BASE7 + " SELECT event_id, ablation, character, round(confidence, 6) AS confidence, round(pred, 6) + 0.0 AS pred FROM a7")
+def k08b(spark, d):
+    return rounded(by_bundle(spark, d).select("event_id", "ablation", "character", "confidence", "pred"), "confidence", "pred")
+
+
+@REG.add("K31_E15_D16_matrix", BASE7 + ", " + CASES + ", " + MATCHES.replace("event_id, CASE", "event_id, rung, CASE").replace("FROM attr JOIN", "FROM a7 JOIN") + ", " + COMPOSITE + " SELECT rung::int AS rung, round(avg(composite), 6) + 0.0 AS mean_composite, round(avg(dim::int), 6) + 0.0 AS dim_accuracy, count(*) AS n FROM comp GROUP BY 1")
 def k31(spark, d):
-    """Cases by ablation: the seven rungs are a constant, so cases are exploded."""
-    cells = composite(spark, d).withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(6)))).where(F.col("event_id") % 7 <= F.col("rung"))
-    return cells.groupBy("rung").agg(r6(F.avg("composite")).alias("mean_composite"), r6(F.avg(F.col("dim_match").cast("int"))).alias("dim_accuracy"))
+    """Every case under every bundle of sources."""
+    cells = composite(spark, d, by_bundle(spark, d), "rung")
+    return cells.groupBy("rung").agg(r6(F.avg("composite")).alias("mean_composite"), r6(F.avg(F.col("dim_match").cast("int"))).alias("dim_accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+RUNS = ", runs AS (SELECT event_id, event_date, return_pct, fwd_5d, 'struct_fundamental_split' AS strategy_name, ablation AS ablation_name, " + SQL["fundamental_split"] + " AS verdict FROM a7 UNION ALL " + " UNION ALL ".join(f"SELECT event_id, event_date, return_pct, fwd_5d, 'baseline_{b}', NULL, {SQL[b]} FROM a7 WHERE rung = 0" for b in B.BASELINES) + ")"
+PNL7 = ", pnl7 AS (SELECT *, CASE verdict WHEN 'lean' THEN sign(return_pct) WHEN 'fade' THEN -sign(return_pct) ELSE 0 END * fwd_5d AS pnl, CASE verdict WHEN 'lean' THEN sign(return_pct) WHEN 'fade' THEN -sign(return_pct) ELSE 0 END AS direction FROM runs WHERE fwd_5d IS NOT NULL)"
+RESULTS = ", cum7 AS (SELECT *, sum(pnl) OVER (PARTITION BY strategy_name, ablation_name ORDER BY event_date, event_id) AS cum FROM pnl7 WHERE direction <> 0), dd7 AS (SELECT *, cum - max(cum) OVER (PARTITION BY strategy_name, ablation_name ORDER BY event_date, event_id) AS drawdown FROM cum7), sum7 AS (SELECT strategy_name, ablation_name, count(*) AS n_trades, coalesce(CASE WHEN stddev_samp(pnl) > 0 THEN avg(pnl) / stddev_samp(pnl) * sqrt(252 / 5.0) END, 0.0) AS sharpe, avg(CASE WHEN pnl > 0 THEN 1.0 ELSE 0.0 END) AS hit_rate, avg(pnl) AS avg_return, min(drawdown) AS max_drawdown FROM dd7 GROUP BY 1, 2), results AS (SELECT a.strategy_name, a.ablation_name, coalesce(n_trades, 0) AS n_trades, coalesce(sharpe, 0.0) AS sharpe, coalesce(hit_rate, 0.0) AS hit_rate, coalesce(avg_return, 0.0) AS avg_return, coalesce(max_drawdown, 0.0) AS max_drawdown, total_dollars FROM (SELECT strategy_name, ablation_name, round(sum(pnl * 10000), 2) AS total_dollars FROM pnl7 GROUP BY 1, 2) a LEFT JOIN sum7 b ON a.strategy_name = b.strategy_name AND a.ablation_name IS NOT DISTINCT FROM b.ablation_name)"
+FIGURES = ("sharpe", "hit_rate", "avg_return", "max_drawdown")
+
+
+@REG.add("K25_run_all", BASE7 + RUNS + PNL7 + RESULTS + " SELECT strategy_name, ablation_name, n_trades, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FIGURES) + ", total_dollars + 0.0 AS total_dollars FROM results")
+def k25(spark, d):
+    return rounded(B.run_all(by_bundle(spark, d))[0], *FIGURES, "total_dollars")
+
+
+TABLE = ", rep AS (SELECT * FROM results WHERE ablation_name IS NOT NULL ORDER BY sharpe DESC, ablation_name LIMIT 1), tab AS (SELECT strategy_name || ' (' || ablation_name || ')' AS label, true AS is_structured, NULL::boolean AS beaten, * FROM rep UNION ALL SELECT substr(r.strategy_name, 10), false, (SELECT sharpe FROM rep) > r.sharpe, r.* FROM results r WHERE ablation_name IS NULL)"
+
+
+@REG.add("K26_K47_report", BASE7 + RUNS + PNL7 + RESULTS + TABLE + " SELECT label, is_structured, beaten, n_trades, round(sharpe, 3) + 0.0 AS sharpe, round(hit_rate, 3) + 0.0 AS hit_rate, round(avg_return, 5) + 0.0 AS avg_return, round(max_drawdown, 5) + 0.0 AS max_drawdown, total_dollars + 0.0 AS dollars, row_number() OVER (ORDER BY round(sharpe, 3) DESC, is_structured DESC, label)::int AS position FROM tab")
+def k26(spark, d):
+    return rounded(B.compare(B.run_all(by_bundle(spark, d))[0]), *FIGURES, "dollars")
+
+
+@REG.add("K33_frameworks", ALL + " SELECT strategy, n_lean, n_fade, n_neutral, round(sharpe, 6) + 0.0 AS sharpe, round(hit_rate, 6) + 0.0 AS hit_rate FROM (SELECT strategy, count(*) FILTER (verdict = 'lean') AS n_lean, count(*) FILTER (verdict = 'fade') AS n_fade, count(*) FILTER (verdict = 'neutral') AS n_neutral FROM verdicts GROUP BY 1) LEFT JOIN summary USING (strategy)")
+def k33f(spark, d):
+    """Every strategy over the same attributions: what it says, and what that earned."""
+    said = verdicts(spark, d).groupBy("strategy").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("lean", "fade", "neutral")])
+    return rounded(said.join(summary(spark, d).select("strategy", "sharpe", "hit_rate"), "strategy", "left"), "sharpe", "hit_rate")
+
+
+@REG.add("E18_persistence")
+def e18b(spark, d):
+    """The fitted coefficient of each dimension. Least squares of five columns has no short SQL; tests hold it against numpy."""
+    rows = attributions(spark, d).where("fwd_5d is not null and return_pct <> 0").withColumn("y", F.signum("return_pct") * F.col("fwd_5d")).withColumnsRenamed({f"w_{x}": x for x in G.DIMENSIONS})
+    return spark.createDataFrame(sorted(V.persistence_fit(rows, list(G.DIMENSIONS), "y", G.PERSISTENCE).items()), "dimension string, persistence double")
 
 
 @REG.add("K30_E14_accuracy", BASE + ", " + VERDICTS + ", forced AS (SELECT event_id, strategy, CASE WHEN verdict <> 'neutral' THEN verdict WHEN character IN ('structural', 'mixed') THEN 'lean' ELSE 'fade' END AS v, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 2 = 1 THEN 'lean' ELSE 'fade' END AS e FROM verdicts) SELECT strategy, count(e) AS n_scored, round(avg((v = e)::int), 4) AS accuracy FROM forced GROUP BY 1")
