@@ -62,7 +62,7 @@ def token_estimate(words: Column) -> Column:
 
 
 def join_sentences(sentences: Column) -> Column:
-    return F.array_join(F.filter(F.transform(sentences, F.trim), lambda s: s != ""), " ")
+    return F.array_join(F.filter(F.transform(sentences, lambda s: F.trim(s)), lambda s: s != ""), " ")
 
 
 def strip_html(html: Column) -> Column:

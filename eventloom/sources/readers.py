@@ -90,7 +90,7 @@ def read_filings(spark: SparkSession, path: str, ticker: str | None = None) -> D
 
 def latest_snapshot(spark: SparkSession, path: str, key: str = "ticker") -> DataFrame:
     """Rows of each key's last file by name; a chunk_id counts once."""
-    rows = spark.read.json(path).withColumn("_file", F.input_file_name())
+    rows = spark.read.json(path).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
     last = rows.groupBy(key).agg(F.max("_file").alias("_file"))
     return rows.join(last, [key, "_file"], "left_semi").dropDuplicates(["chunk_id"]).drop("_file")
 
