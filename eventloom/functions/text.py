@@ -107,6 +107,11 @@ def company_key(name: Column) -> Column:
     return F.regexp_replace(t, "[^A-Z0-9]", "")
 
 
+def first_prefix(key: Column, table: list[tuple[str, str]]) -> Column:
+    """The value of the first prefix in the table that the key begins with (or is); null if none does."""
+    return F.coalesce(*[F.when(key.startswith(prefix), value) for prefix, value in table], F.lit(None).cast("string"))
+
+
 def slug(text: Column) -> Column:
     return F.btrim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "_"), F.lit("_"))
 

@@ -277,12 +277,16 @@ def c16(spark, d):
     return rows.select("event_id", S.target_direction(F.col("prior"), F.col("new")).alias("direction"), r6(S.target_change(F.col("prior"), F.col("new"))).alias("change"))
 
 
-@REG.add("C17_C18_coercion", "SELECT event_id, CASE WHEN try_cast(t AS double) < 999 THEN try_cast(t AS double) END AS days_to_cover, CASE WHEN lower(trim(t)) NOT IN ('', 'nan', 'none', 'null') THEN trim(t) END AS optional FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '' WHEN 1 THEN 'None' WHEN 2 THEN '1200.5' WHEN 3 THEN ' 3.25 ' ELSE (event_id % 100)::varchar END AS t FROM events)")
+COERCED = "SELECT event_id, CASE WHEN event_id % 11 = 0 THEN '  ' WHEN event_id % 11 = 1 THEN ' None' WHEN event_id % 11 = 2 THEN 'NaN ' WHEN event_id % 11 = 3 THEN event_type ELSE ' ' || floor(value * 10)::bigint || '.' || (event_id % 10) END AS t FROM events"
+
+
+@REG.add("C17_C18_coercion", f"SELECT event_id, CASE WHEN try_cast(trim(t) AS double) < 999 THEN try_cast(trim(t) AS double) END AS days_to_cover, CASE WHEN lower(trim(t)) NOT IN ('', 'nan', 'none', 'null') THEN trim(t) END AS optional FROM ({COERCED})")
 def c17(spark, d):
     from eventloom.functions.text import optional
 
     k = F.col("event_id")
-    t = F.when(k % 5 == 0, "").when(k % 5 == 1, "None").when(k % 5 == 2, "1200.5").when(k % 5 == 3, " 3.25 ").otherwise((k % 100).cast("string"))
+    number = F.concat(F.lit(" "), F.floor(F.col("value") * 10).cast("string"), F.lit("."), (k % 10).cast("string"))
+    t = F.when(k % 11 == 0, "  ").when(k % 11 == 1, " None").when(k % 11 == 2, "NaN ").when(k % 11 == 3, F.col("event_type")).otherwise(number)
     return table(spark, d, "events").select("event_id", S.days_to_cover(t).alias("days_to_cover"), optional(t).alias("optional"))
 
 
@@ -342,9 +346,9 @@ def f20(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.format_string("ord_%d_%03d", F.col("o_custkey"), n).alias("seq_id"))
 
 
-@REG.add("K45_D15_prewarm_plan", "SELECT user_id, rung::int AS rung FROM (SELECT DISTINCT user_id FROM events), range(7) r(rung) WHERE (user_id * 7 + rung) % 3 <> 0")
+@REG.add("K45_D15_prewarm_plan", "SELECT user_id, rung::int AS rung FROM (SELECT DISTINCT user_id FROM events), range(7) r(rung) WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = q.user_id AND e.event_type = 'view' AND e.event_id % 7 = rung)".replace("FROM events), range", "FROM events) q, range"))
 def k45(spark, d):
-    """Each ticker and rung that isn't cached yet; the seven rungs are a constant."""
+    """Each ticker and rung that the cache (here: a ticker's views) lacks; the seven rungs are a constant."""
     cells = table(spark, d, "events").select("user_id").distinct().withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(6))))
-    cached = cells.where((F.col("user_id") * 7 + F.col("rung")) % 3 == 0)
+    cached = table(spark, d, "events").where("event_type = 'view'").select("user_id", (F.col("event_id") % 7).cast("int").alias("rung")).distinct()
     return cells.join(cached, ["user_id", "rung"], "left_anti")

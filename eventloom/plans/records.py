@@ -120,20 +120,26 @@ def d17(spark, d):
     return rows.groupBy("focal", "doc_id").agg(F.min("ord").alias("ord")).select("focal", "doc_id")
 
 
-@REG.add("I08_header_sections", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'Item 1A. Risk factors ' || event_id WHEN 1 THEN 'Item 1A. alone' END AS risk FROM events")
+HEADED = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Item 1. Business ' || text || ' Item 1A. ' || source || text || ' Item 7. x' WHEN 1 THEN 'item 7. y ITEM 1A. ' || text WHEN 2 THEN text ELSE 'Item 1A. ' || source || ' Item 1. late' END AS t FROM documents"
+
+
+@REG.add("I08_header_sections", f"SELECT doc_id, CASE WHEN s > 0 THEN md5(trim(substr(t, s, coalesce(e, length(t) + 1) - s), ' ')) END AS risk FROM (SELECT *, least(CASE WHEN p1 > s THEN p1 END, CASE WHEN p7 > s THEN p7 END) AS e FROM (SELECT *, instr(lower(t), 'item 1a.') AS s, instr(lower(t), 'item 1.') AS p1, instr(lower(t), 'item 7.') AS p7 FROM ({HEADED})))")
 def i08(spark, d):
-    k = F.col("event_id")
-    t = F.when(k % 3 == 0, F.concat(F.lit("Item 1. Business x Item 1A. Risk factors "), k.cast("string"), F.lit(" Item 7. Discussion y"))).when(k % 3 == 1, "Item 1A. alone").otherwise("Item 7. only")
-    return table(spark, d, "events").select("event_id", prompts.section_between(t, [("business", "item 1."), ("risk", "item 1a."), ("mda", "item 7.")], "risk").alias("risk"))
+    """The section between two headers of whole texts, in any order of headers; its digest stands for it here."""
+    k, t, src = F.col("doc_id"), F.col("text"), F.col("source")
+    text = F.when(k % 4 == 0, F.concat(F.lit("Item 1. Business "), t, F.lit(" Item 1A. "), src, t, F.lit(" Item 7. x"))).when(k % 4 == 1, F.concat(F.lit("item 7. y ITEM 1A. "), t)).when(k % 4 == 2, t).otherwise(F.concat(F.lit("Item 1A. "), src, F.lit(" Item 1. late")))
+    rows = table(spark, d, "documents").select("doc_id", text.alias("t"))
+    return rows.select("doc_id", F.md5(prompts.section_between(F.col("t"), [("business", "item 1."), ("risk", "item 1a."), ("mda", "item 7.")], "risk")).alias("risk"))
 
 
-@REG.add("I11_sponsor_names", "SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'AAA' WHEN c_custkey % 3 = 1 THEN 'BBB' END AS ticker FROM customer")
+SPONSORS = [("CUSTOMER0000001", "AAA"), ("CUSTOMER00000010", "BBB"), ("CUSTOMER0000000", "CCC"), ("CUSTOMER00000113", "DDD")]
+
+
+@REG.add("I11_sponsor_names", "SELECT c_custkey, CASE " + " ".join(f"WHEN starts_with(k, '{p}') THEN '{t}'" for p, t in SPONSORS) + " END AS ticker FROM (SELECT c_custkey, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS k FROM customer)")
 def i11(spark, d):
-    """Ordered prefix map over normalised names: exact or leading match, the first of the map wins."""
-    k = F.col("c_custkey")
-    name = T.company_key(F.when(k % 3 == 0, "Alpha Pharma, Inc.").when(k % 3 == 1, "Betamed Holdings").otherwise("Private Co"))
-    ticker = F.when(name.startswith("ALPHA"), "AAA").when(name.startswith("BETA"), "BBB")
-    return table(spark, d, "customer").select("c_custkey", ticker.alias("ticker"))
+    """Ordered prefix map over normalised names: the first entry that fits wins, so a longer one behind it never does."""
+    suffix = F.get(F.array(*[F.lit(x) for x in (", Inc.", " Holdings", " Corp Group", "")]), (F.col("c_custkey") % 4).cast("int"))
+    return table(spark, d, "customer").select("c_custkey", T.first_prefix(T.company_key(F.concat("c_name", suffix)), SPONSORS).alias("ticker"))
 
 
 @REG.add("I15_paragraph_list", "SELECT doc_id, array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' ') AS joined FROM documents")
@@ -165,10 +171,12 @@ def j15(spark, d):
     return rec.select("event_id", F.coalesce(F.col("r").getField("inner").getField("k"), F.lit(0)).alias("k"), F.col("r").getField("kind").alias("kind"))
 
 
-@REG.add("J18_J19_completeness", BASE + " SELECT event_id, CASE WHEN pred IS NULL THEN 2 ELSE 0 END AS code, CASE WHEN event_id % 2 = 0 THEN 'positive' ELSE 'neutral' END AS direction FROM attr")
+@REG.add("J18_J19_completeness", BASE + ", v AS (SELECT *, " + ", ".join(f"CASE WHEN event_id % {m} = 0 THEN 0.0 ELSE w_{x} END AS v_{x}" for x, m in zip(G.DIMENSIONS, (2, 3, 5, 7, 11), strict=True)) + " FROM attr) SELECT event_id, CASE WHEN pred IS NULL THEN 2 WHEN " + " + ".join(f"(v_{x} > 0)::int" for x in G.DIMENSIONS) + " < 2 THEN 1 WHEN " + " + ".join(f"v_{x}" for x in G.DIMENSIONS) + " < 0.7 THEN 3 ELSE 0 END AS code, CASE WHEN event_id % 9 = 0 THEN 'neutral' ELSE direction END AS direction FROM v")
 def j18(spark, d):
-    raw = F.when(F.col("event_id") % 2 == 0, " Positive ").otherwise("sideways")
-    return attributions(spark, d).select("event_id", prompts.completeness(F.col("pred"), [F.col(f"w_{x}") for x in G.DIMENSIONS]).alias("code"), prompts.coerced(raw, ("positive", "negative", "neutral"), "neutral").alias("direction"))
+    k = F.col("event_id")
+    raw = F.when(k % 9 == 0, F.concat(F.lit("very "), "direction")).when(k % 3 == 0, F.upper("direction")).otherwise(F.concat(F.lit(" "), F.initcap("direction"), F.lit("  ")))
+    weights = [F.when(k % m == 0, 0.0).otherwise(F.col(f"w_{x}")) for x, m in zip(G.DIMENSIONS, (2, 3, 5, 7, 11), strict=True)]
+    return attributions(spark, d).select("event_id", prompts.completeness(F.col("pred"), weights).alias("code"), prompts.coerced(raw, ("positive", "negative", "neutral"), "neutral").alias("direction"))
 
 
 @REG.add("K02a_rating_and_target_events", "SELECT 't' || event_id AS event_id, user_id::varchar AS ticker, ts::date AS event_date, 'price_target_change' AS event_type, CASE WHEN event_id % 2 = 0 THEN 'firm moves its target from $10.00 to $20.00' ELSE 'firm sets a target of $20.00' END AS text FROM events WHERE event_type = 'signup'")
@@ -238,10 +246,11 @@ def k46(spark, d):
     return A.bundles(spark).select(F.col("ablation").alias("label"), (F.col("ord") + 1).alias("rank"))
 
 
-@REG.add("K51_degenerate", "SELECT event_id, event_id % 3 = 0 AS degenerate FROM events")
+@REG.add("K51_degenerate", "SELECT event_id, h[1:2] = h[3:4] AND h[1:2] = h[5:6] AS degenerate FROM (SELECT event_id, [substr(md5(event_id::varchar), i, 1) IN ('0', '1', '2', '3') FOR i IN range(1, 7)] AS h FROM events)")
 def k51(spark, d):
-    k = F.col("event_id").cast("string")
-    lists = F.array(F.array(F.lit("a"), k), F.array(F.lit("a"), F.when(F.col("event_id") % 3 == 0, k).otherwise("b")))
+    """Three dimensions of two citations each, drawn from the id's digest."""
+    digit = lambda i: F.substring(F.md5(F.col("event_id").cast("string")), i, 1).isin("0", "1", "2", "3")
+    lists = F.array(*[F.array(*[F.when(digit(i + j), "a").otherwise("b") for j in (0, 1)]) for i in (1, 3, 5)])
     return table(spark, d, "events").select("event_id", A.degenerate(lists).alias("degenerate"))
 
 

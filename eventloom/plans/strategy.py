@@ -268,14 +268,21 @@ def k30(spark, d):
     return V.accuracy(rows, "strategy", "match")
 
 
-@REG.add("K13_J17_validation", BASE + " SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'unknown citation' WHEN event_id % 7 = 0 THEN 'no citation' ELSE '' END AS issues, CASE WHEN event_id % 5 = 0 THEN 'a' WHEN event_id % 7 = 0 THEN 'a' ELSE 'b' END AS cited FROM attr")
+DRAWN = "drawn AS (SELECT *, ['c' || substr(md5(event_id::varchar), 1, 1), 'c' || substr(md5(event_id::varchar), 2, 1), 'c' || substr(md5(event_id::varchar), 3, 1)][1 : (event_id % 4)] AS cites, ['c0', 'c1', 'c2', 'c3', 'c4', 'c5', 'c6', 'c7', 'c8', 'c9'] AS pool, " + " + ".join(f"w_{x}" for x in G.DIMENSIONS) + " + CASE WHEN event_id % 6 = 0 THEN 0.05 ELSE 0.0 END AS total, confidence + CASE WHEN event_id % 5 = 0 THEN 0.3 ELSE 0.0 END AS sure FROM attr)"
+
+
+@REG.add("K13_J17_validation", BASE + ", " + DRAWN + " SELECT event_id, concat_ws(',', CASE WHEN NOT sure BETWEEN 0 AND 1 THEN 'confidence out of range' END, CASE WHEN abs(total - 1) > 0.02 THEN 'weights do not sum to 1' END, CASE WHEN len(cites) = 0 THEN 'no citation' END, CASE WHEN len(list_filter(cites, lambda x: NOT list_contains(pool, x))) > 0 THEN 'unknown citation' END) AS issues, array_to_string(CASE WHEN len(good) > 0 THEN list_filter(good, lambda x, i: list_position(good, x) = i) ELSE ['c0'] END, ',') AS cited, (len(cites) - len(good))::int AS dropped FROM (SELECT *, list_filter(cites, lambda x: list_contains(pool, x)) AS good FROM drawn)")
 def k13(spark, d):
+    """Citations drawn from the id's digest, against a pool of ten ids; weights and confidences that don't always hold."""
     k = F.col("event_id")
-    cited = F.when(k % 5 == 0, F.array(F.lit("zz"), F.lit("a"))).when(k % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("b")))
-    pool = F.array(F.lit("a"), F.lit("b"))
-    rows = attributions(spark, d)
-    found = A.issues([F.col(f"w_{x}") for x in G.DIMENSIONS], F.col("confidence"), cited, pool)
-    return rows.select("event_id", F.array_join(found, ",").alias("issues"), F.array_join(A.sanitise(cited, pool)[0], ",").alias("cited"))
+    digit = lambda i: F.concat(F.lit("c"), F.substring(F.md5(k.cast("string")), i, 1))
+    cited = F.slice(F.array(digit(1), digit(2), digit(3)), F.lit(1), (k % 4).cast("int"))
+    pool = F.array(*[F.lit(f"c{i}") for i in range(10)])
+    weights = [F.col(f"w_{x}") for x in G.DIMENSIONS]
+    weights[-1] = weights[-1] + F.when(k % 6 == 0, 0.05).otherwise(0.0)
+    found = A.issues(weights, F.col("confidence") + F.when(k % 5 == 0, 0.3).otherwise(0.0), cited, pool)
+    kept, dropped = A.sanitise(cited, pool)
+    return attributions(spark, d).select("event_id", F.array_join(found, ",").alias("issues"), F.array_join(kept, ",").alias("cited"), dropped.alias("dropped"))
 
 
 @REG.add("E18_ols_persistence", BASE + " SELECT count(*) AS n, " + ", ".join(f"round(sum(w_{a} * w_{b}), 6) AS {a}__{b}" for i, a in enumerate(G.DIMENSIONS) for b in G.DIMENSIONS[i:]) + ", " + ", ".join(f"round(sum(w_{a} * sign(return_pct) * fwd_5d), 6) + 0.0 AS {a}__y" for a in G.DIMENSIONS) + " FROM attr WHERE fwd_5d IS NOT NULL AND return_pct <> 0")

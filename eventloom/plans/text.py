@@ -43,18 +43,27 @@ def i05(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))
 
 
-@REG.add("I06_item_codes", "SELECT event_id, codes, codes IN ('1.01', '5.02', '8.01') OR codes LIKE '%2.02%' AS relevant FROM (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1.01' WHEN 1 THEN '5.02' WHEN 2 THEN '3.03,2.02' WHEN 3 THEN '9.01' ELSE '' END AS codes FROM events)")
+CODED = "SELECT doc_id, text || ' Item ' || (doc_id % 8 + 1) || '.0' || (n_chars % 9 + 1) || '; ' || (n_chars % 12) || '.' || lpad((doc_id % 100)::varchar, 2, '0') || CASE WHEN doc_id % 3 = 0 THEN ' and 2.02 again 2.02' ELSE '' END AS t FROM documents"
+
+
+@REG.add("I06_item_codes", f"SELECT doc_id, array_to_string(codes, ',') AS codes, list_has_any(codes, [{', '.join(repr(c) for c in T.ITEM_CODES)}]) AS relevant FROM (SELECT doc_id, list_filter(l, lambda x, i: list_position(l, x) = i) AS codes FROM (SELECT doc_id, regexp_extract_all(t, '(\\d{{1,2}}\\.\\d{{2}})', 1) AS l FROM ({CODED})))")
 def i06(spark, d):
-    k = F.col("event_id")
-    text = F.when(k % 5 == 0, "Item 1.01 and again 1.01").when(k % 5 == 1, "ITEM 5.02.").when(k % 5 == 2, "3.03; 2.02; 3.03").when(k % 5 == 3, "item 9.01").otherwise("none")
-    codes = T.item_codes(text)
-    return table(spark, d, "events").select("event_id", F.array_join(codes, ",").alias("codes"), T.relevant_items(codes).alias("relevant"))
+    """Item numbers of whole texts, with numbers of all kinds put behind them."""
+    k, n = F.col("doc_id"), F.col("n_chars")
+    tail = F.concat(F.lit(" Item "), (k % 8 + 1).cast("string"), F.lit(".0"), (n % 9 + 1).cast("string"), F.lit("; "), (n % 12).cast("string"), F.lit("."), F.lpad((k % 100).cast("string"), 2, "0"), F.when(k % 3 == 0, " and 2.02 again 2.02").otherwise(""))
+    rows = table(spark, d, "documents").select("doc_id", T.item_codes(F.concat("text", tail)).alias("c"))
+    return rows.select("doc_id", F.array_join("c", ",").alias("codes"), T.relevant_items(F.col("c")).alias("relevant"))
+
+
+LABELS = "[" + ", ".join("'" + a.replace("'", "''") + "'" for a, _ in T.SECTION_ALIASES) + "]"
+SECTION = "CASE " + " ".join(f"WHEN t = '{a.replace(chr(39), chr(39) * 2)}' THEN '{n}'" for a, n in T.SECTION_ALIASES) + " " + " ".join(f"WHEN contains(t, '{a.replace(chr(39), chr(39) * 2)}') THEN '{n}'" for a, n in T.SECTION_ALIASES) + " END"
 
 
-@REG.add("I07_section_names", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'business' WHEN 1 THEN 'business' WHEN 2 THEN 'risk_factors' WHEN 3 THEN 'mda' END AS section FROM events")
+@REG.add("I07_section_names", f"SELECT event_id, {SECTION} AS section FROM (SELECT event_id, lower(trim(CASE event_id % 4 WHEN 0 THEN '  ' || upper(alias) WHEN 1 THEN 'Part ' || user_id || ': ' || alias || ' ' || event_type WHEN 2 THEN event_type || ' ' || user_id ELSE alias END)) AS t FROM (SELECT *, ({LABELS})[event_id % {len(T.SECTION_ALIASES)} + 1] AS alias FROM events))")
 def i07(spark, d):
-    k = F.col("event_id")
-    label = F.when(k % 5 == 0, " Business ").when(k % 5 == 1, "PART I item 1a detail").when(k % 5 == 2, "Item 1A").when(k % 5 == 3, "Management's Discussion and Analysis of x").otherwise("exhibits")
+    k, u, e = F.col("event_id"), F.col("user_id").cast("string"), F.col("event_type")
+    alias = F.get(F.array(*[F.lit(a) for a, _ in T.SECTION_ALIASES]), (k % len(T.SECTION_ALIASES)).cast("int"))
+    label = F.when(k % 4 == 0, F.concat(F.lit("  "), F.upper(alias))).when(k % 4 == 1, F.concat(F.lit("Part "), u, F.lit(": "), alias, F.lit(" "), e)).when(k % 4 == 2, F.concat(e, F.lit(" "), u)).otherwise(alias)
     return table(spark, d, "events").select("event_id", T.section_name(label).alias("section"))
 
 
@@ -64,20 +73,23 @@ def i10(spark, d):
     return table(spark, d, "customer").select("c_custkey", T.company_key(F.concat(n, F.lit(" Holdings Inc"))).alias("company"), T.slug(F.concat(F.lit("  "), n, F.lit("! "))).alias("slug"))
 
 
-@REG.add("I09_I13_tags_and_dates", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'AB' || (event_id % 10) WHEN event_id % 3 = 1 THEN 'BODY' END AS tag, CASE WHEN event_id % 2 = 0 THEN make_date(2024, (event_id % 12 + 1)::int, 1) ELSE make_date(2024, (event_id % 12 + 1)::int, 9) END AS dated FROM events")
+TAG = r"nullif(regexp_extract({0}, '\$([A-Z][A-Z0-9\-.]{{0,6}})\b', 1), '')"
+
+
+@REG.add("I09_I13_tags_and_dates", "SELECT page_id, coalesce(" + TAG.format("title") + ", " + TAG.format("body") + ") AS tag, CASE WHEN y <> '' THEN try_cast(y || '-' || lpad(m, 2, '0') || '-' || lpad(CASE WHEN dd = '' THEN '1' ELSE dd END, 2, '0') AS date) END AS dated FROM (SELECT page_id, title, body, regexp_extract(u, '/(20\\d{2})/(\\d{1,2})(?:/(\\d{1,2}))?/', 1) AS y, regexp_extract(u, '/(20\\d{2})/(\\d{1,2})(?:/(\\d{1,2}))?/', 2) AS m, regexp_extract(u, '/(20\\d{2})/(\\d{1,2})(?:/(\\d{1,2}))?/', 3) AS dd FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Short $' || upper(substr(md5(url), 1, 4)) || ' now' ELSE url END AS title, html || CASE WHEN page_id % 4 = 1 THEN ' see $B' || page_id || ', and $X' ELSE '' END AS body, url || '/' || (1995 + page_id % 30) || '/' || (page_id % 14) || CASE WHEN page_id % 2 = 0 THEN '/' ELSE '/' || (page_id % 33) || '/' END || 'post' AS u FROM pages))")
 def i13(spark, d):
-    k = F.col("event_id")
-    title = F.when(k % 3 == 0, F.concat(F.lit("Short $AB"), (k % 10).cast("string"), F.lit(" now"))).otherwise("no tag")
-    body = F.when(k % 3 == 1, "see $BODY.").otherwise("")
-    url = F.concat(F.lit("https://x.org/2024/"), (k % 12 + 1).cast("string"), F.when(k % 2 == 0, "/").otherwise("/9/"), F.lit("post"))
-    tag = F.rtrim(T.cashtag(title, body), F.lit("."))
-    return table(spark, d, "events").select("event_id", tag.alias("tag"), T.date_in_url(url).alias("dated"))
+    k, url = F.col("page_id"), F.col("url")
+    title = F.when(k % 3 == 0, F.concat(F.lit("Short $"), F.upper(F.substring(F.md5("url"), 1, 4)), F.lit(" now"))).otherwise(url)
+    body = F.concat("html", F.when(k % 4 == 1, F.concat(F.lit(" see $B"), k.cast("string"), F.lit(", and $X"))).otherwise(""))
+    link = F.concat(url, F.lit("/"), (1995 + k % 30).cast("string"), F.lit("/"), (k % 14).cast("string"), F.when(k % 2 == 0, "/").otherwise(F.concat(F.lit("/"), (k % 33).cast("string"), F.lit("/"))), F.lit("post"))
+    return table(spark, d, "pages").select("page_id", T.cashtag(title, body).alias("tag"), T.date_in_url(link).alias("dated"))
 
 
-@REG.add("I14_symbols", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'AMD|NVDA' WHEN 1 THEN 'X' ELSE '' END AS symbols FROM events")
+@REG.add("I14_symbols", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(upper(regexp_replace(substr(text, 1, 200), '[^ -~\n]', '', 'g')), '[,;\s]+'), lambda x: x <> ''), '|') AS symbols FROM documents")
 def i14(spark, d):
-    k = F.col("event_id")
-    return table(spark, d, "events").select("event_id", F.array_join(T.symbols(F.when(k % 3 == 0, "amd, Nvda;").when(k % 3 == 1, " x ").otherwise("")), "|").alias("symbols"))
+    """Symbols of lists in text: here the plain letters of texts' beginnings, whose words commas and spaces part."""
+    plain = F.regexp_replace(F.substring("text", 1, 200), r"[^ -~\n]", "")
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.symbols(plain), "|").alias("symbols"))
 
 
 @REG.add("I18_templates", "SELECT o_orderkey, format('${}{:,}.{}M', CASE WHEN o_orderkey % 2 = 0 THEN '-' ELSE '+' END, k // 10, k % 10) AS money, printf('%.1f%%', floor(o_totalprice / 1000)) AS percent FROM (SELECT o_orderkey, o_totalprice, floor(o_totalprice)::bigint AS k FROM orders)")
@@ -86,9 +98,13 @@ def i18(spark, d):
     return table(spark, d, "orders").select("o_orderkey", T.money(value).alias("money"), T.percent(F.floor(F.col("o_totalprice") / 1000) / 100.0).alias("percent"))
 
 
-@REG.add("I20_I24_ids", "SELECT doc_id, 'sec_8k_' || doc_id || '_' || lpad((doc_id % 7)::varchar, 3, '0') AS chunk_id, 'sec_8k' AS source_type FROM documents")
+KINDS = (*T.SOURCE_TYPES, "unknown", "13f_delta")
+
+
+@REG.add("I20_I24_ids", "SELECT doc_id, t || '_' || source || '_' || printf('%03d', n_chars % 1500) AS chunk_id, CASE WHEN t IN (" + ", ".join(f"'{k}'" for k in T.SOURCE_TYPES) + ") THEN t END AS source_type FROM (SELECT *, ([" + ", ".join(f"'{k}'" for k in KINDS) + f"])[doc_id % {len(KINDS)} + 1] AS t FROM documents)")
 def i20(spark, d):
-    c = T.chunk_id(F.lit("sec_8k"), F.col("doc_id").cast("string"), (F.col("doc_id") % 7).cast("int"))
+    kind = F.get(F.array(*[F.lit(x) for x in KINDS]), (F.col("doc_id") % len(KINDS)).cast("int"))
+    c = T.chunk_id(kind, F.col("source"), (F.col("n_chars") % 1500).cast("int"))
     return table(spark, d, "documents").select("doc_id", c.alias("chunk_id"), T.source_of_id(c).alias("source_type"))
 
 
