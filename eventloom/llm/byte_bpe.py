@@ -32,6 +32,9 @@ _LETTERS = "A-Za-z" + "".join(c for c in _PLAIN if unicodedata.category(c)[0] ==
 _NUMBERS = "0-9" + "".join(c for c in _PLAIN if unicodedata.category(c)[0] == "N")
 PLAIN = re.compile("[\t\n\r -~\xa1-\u024f]*")
 TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_NUMBERS}]+|\\s+(?!\\S)|\\s+")
+#: Marks that end a word, and how so many ids are written as bytes.
+MARKS = frozenset(",.!?;:")
+PACK = [struct.Struct(f"<{n}I").pack for n in range(MAX_KEPT + 1)]
 #: Bytes that stand for themselves in the vocabulary; the others follow from U+0100 on.
 _SELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _BYTE = {b: chr(b) for b in _SELF} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in set(_SELF))}
@@ -92,19 +95,26 @@ class Encoder:
             e = self.library.encode(unit, add_special_tokens=False)
             n = len(e.ids)
             return struct.pack(f"<{n}I", *e.ids), *(struct.pack(f"<{n}i", *[o[k] for o in e.offsets]) for k in (0, 1))
-        word, end = unit[1:], unit[-1]
-        if word.isascii() and unit[0] == " ":
-            # most units are one word, or one word and one mark
-            if word.isalpha():
-                merged = self.model.tokenize(f"\u0120{word}")
-                return struct.pack(f"<{len(merged)}I", *[t.id for t in merged])
-            if end in ",.!?;:" and word[:-1].isalpha():
-                return self.token(unit[:-1]) + self.token(end)
         if PLAIN.fullmatch(unit):
             return b"".join([self.token(t) for t in TOKENS.findall(unit)])
         ids = self.library.encode(unit, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def spaced(self, part: str):
+        """What is kept of a unit that is this part with a space in front."""
+        if not self.offsets and part.isascii():
+            # most units are one word, or one word and one mark; the word is a unit of its own elsewhere
+            # and has as many ids as letters at most, and one for the space
+            if part.isalpha() and len(part) < MAX_KEPT:
+                merged = self.model.tokenize(f"\u0120{part}")
+                return PACK[len(merged)](*[t.id for t in merged])
+            if part[-1] in MARKS and (word := part[:-1]).isalpha() and len(word) < MAX_KEPT:
+                if (x := self.units.get(word)) is None:
+                    x = self.spaced(word)
+                    self.units.put(word, x)
+                return x + self.token(part[-1])
+        return self.unit(f" {part}")
+
     def parts(self, text: str) -> tuple[list[str], list] | None:
         """The text's units (all but the first without the space in front) and what is kept of them; None if it can't be cut."""
         if any(s in text for s in self.special):
@@ -116,16 +126,18 @@ class Encoder:
         found = self.units.get_all(parts)
         found[0] = self.unit(parts[0])
         if None in found:
+            new: dict = {}
             for i, x in enumerate(found):
                 if x is None:
                     p = parts[i]
-                    if not p or p[0] in WHITE or p[-1] in WHITE:
-                        return None
-                    if (x := self.units.get(p)) is None:
-                        x = self.unit(f" {p}")
-                        if len(p) <= MAX_KEPT:
-                            self.units.put(p, x)
+                    if (x := new.get(p)) is None:
+                        if not p or p[0] in WHITE or p[-1] in WHITE:
+                            return None
+                        new[p] = x = self.spaced(p)
                     found[i] = x
+            for p, x in new.items():
+                if len(p) <= MAX_KEPT:
+                    self.units.put(p, x)
         return parts, found
 
     def ids(self, text: str) -> np.ndarray:
