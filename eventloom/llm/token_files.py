@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventloom.llm.byte_bpe import encoder
-from eventloom.llm.common import map_batches, shared_dir, staged, texts
+from eventloom.llm.common import discard, map_batches, shared_dir, staged, texts
 
 #: Ids of a block, at least, but for the last of a shard (a document is never split).
 BLOCK_IDS = 1 << 18
@@ -136,6 +136,7 @@ def write_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 0
 
     blocks = encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "tie").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "tie", "ids").drop("tie").mapInArrow(run, "shard long, block long, before long, doc_ids array<long>, counts array<long>, n long, control binary, data binary")
     blocks.write.option("compression", "none").parquet(f"{path}/blocks")
+    discard(encoded)
 
 
 def read_files(spark, path: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import agreed_labels, held_out, map_batches, staged, texts
+from eventloom.llm.common import agreed_labels, discard, held_out, map_batches, staged, texts
 
 MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
 MAX_VOTERS, MAX_FEATURES = 160, 1500
@@ -246,7 +246,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     # at most MAX_POSITIVE + MAX_NEGATIVE rows, so they may be sent to every task
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = joined.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")).alias("x"))
-    return learn(staged(one.select("doc_id", "toxic", "x.text"), "labelled"), sizes.get(True, 0) / total)
+    sample = staged(one.select("doc_id", "toxic", "x.text"), "labelled")
+    found = learn(sample, sizes.get(True, 0) / total)
+    discard(sample)
+    return found
 
 
 _tables: dict[int, dict] = {}
