@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -48,18 +49,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/eventloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_paths = (path,)
+    return out
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    """Their rows, and the staged folders that they read."""
+    out = functools.reduce(DataFrame.unionAll, tables)
+    out.staged_paths = tuple(p for t in tables for p in getattr(t, "staged_paths", ()))
+    return out
 
 
 def discard(*tables: DataFrame) -> None:
-    """Remove the staged tables that these read, and no other files; whatever still needs them must be written by now."""
+    """Remove the folders of tables that `staged` or `union` returned; whatever still needs them must be written by now."""
     for df in tables:
-        spark = df.sparkSession
-        mine = f"{shared_dir(spark)}/eventloom/"
-        for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-            if mine.split(":", 1)[-1].lstrip("/") in folder:
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        sc = df.sparkSession.sparkContext
+        for folder in df.staged_paths:
+            path = sc._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:

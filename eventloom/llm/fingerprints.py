@@ -141,7 +141,9 @@ def band_edges(nodes: DataFrame, least: float = LEAST) -> DataFrame:
 
     shared = staged(map_batches(nodes.select("node", "tokens"), each, "band binary, node binary"), "bands")
     least = shared.groupBy("band").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "a")
-    return shared.join(least, "band").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    out = shared.join(least, "band").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b"))
+    out.staged_paths = shared.staged_paths
+    return out
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST) -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.common import discard, map_batches, staged, texts
+from eventloom.llm.common import discard, map_batches, staged, texts, union
 
 WORDS, LEAST, TOKENS = 5, 0.8, 64
 #: A pair at the threshold is missed by all runs with a probability of less than 1 - TARGET.
@@ -269,24 +269,23 @@ def small_buckets(rows: DataFrame, depth: int, share: float) -> DataFrame:
 def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges between nodes, from all runs."""
     share = candidate_share(least)
-    rows, edges, used = first_paths(nodes, runs(least)), None, []
+    rows, edges, used = first_paths(nodes, runs(least)), [], []
     for depth in range(1, DEPTH + 1):
         # a table: there may be as many large buckets as there are rows by HOT_ROWS; statistics decide how it is joined
         hot = staged(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("path"), "hot")
         used.append(hot)
         none = hot.isEmpty()
-        found = staged(small_buckets(rows if none else rows.join(hot, "path", "left_anti"), depth, share), "found")
-        edges = found if edges is None else edges.unionAll(found)
+        edges.append(staged(small_buckets(rows if none else rows.join(hot, "path", "left_anti"), depth, share), "found"))
         if none:
             discard(*used)
-            return edges
+            return union(edges)
         large = rows.join(hot, "path", "left_semi")
         rows = staged(large if depth == DEPTH else next_paths(large), "paths")
         used.append(rows)
     first = rows.groupBy("path").agg(F.min("node").alias("a"))
     star = staged(rows.select("path", F.col("node").alias("b")).join(first, "path").where(F.col("a") != F.col("b")).select("a", "b"), "found")
     discard(*used)
-    return edges.unionAll(star)
+    return union([*edges, star])
 
 
 def with_least(edges: DataFrame, to: str) -> DataFrame:
@@ -405,7 +404,7 @@ def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataF
     nodes = staged(by_text.groupBy("node").agg(F.min("rep").alias("rep"), F.count(F.lit(1)).alias("weight"), F.max("n").alias("n"), F.max("tokens").alias("tokens")), "nodes")
     proposed = propose(nodes.where("n > 0"), least)
     groups = components(proposed)
-    discard(proposed.select("a"))
+    discard(proposed)
     # the set of a node comes from its representative's row
     wanted = nodes.select("node", F.col("rep").alias("doc_id"), "weight").join(groups.select("node"), "node")
     sets = known.select("doc_id", "node", "shingles").join(wanted, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "weight", "shingles")
