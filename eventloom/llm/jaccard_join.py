@@ -43,8 +43,9 @@ from pyspark.sql import functions as F
 from eventloom.llm.common import discard, map_batches, staged, texts, union
 
 WORDS, LEAST, TOKENS = 5, 0.8, 64
-#: A pair at the threshold is missed by all runs with a probability of less than 1 - TARGET.
-TARGET = 0.9999
+#: A pair at the threshold is missed by all runs with a probability of less than 1 - TARGET wherever it lies; at 0.8 that is
+#: 4.4e-4 where each split of the longest way is needed, and 1.6e-5 where buckets are small.
+TARGET = 0.9995
 #: Tokens on which a large bucket is split: in a task, and in a DataFrame step, where every child is a row.
 SMALL, CHILDREN, STEP_CHILDREN, DEPTH = 192, 3, 2, 4
 #: A bucket with more rows than this is split in DataFrame steps.
@@ -67,13 +68,25 @@ def candidate_share(least: float) -> float:
     return least - 4.2 * math.sqrt(least * (1 - least) / TOKENS)
 
 
+def miss(least: float, times: int, steps: int) -> float:
+    """Chance that `times` runs miss a pair at the threshold whose bucket is split in so many DataFrame steps, and in a
+    task if there is one step or more. Mean over how many of its tokens are equal, which all runs share."""
+    out = 0.0
+    for k in range(TOKENS + 1):
+        p = k / TOKENS
+        met = p * (1 - (1 - p) ** STEP_CHILDREN) ** steps * (1 - (1 - p) ** CHILDREN if steps else 1)
+        out += math.comb(TOKENS, k) * least**k * (1 - least) ** (TOKENS - k) * (1 - met) ** times
+    return out
+
+
 def runs(least: float) -> int:
-    """Runs in which a pair at the threshold is missed with 1 - TARGET at most, even where every bucket is split in
-    two DataFrame steps and then in a task. (A bucket that is split more often holds sets that are nearly alike, which
-    go on together.)"""
-    on_step, in_task = 1 - (1 - least) ** STEP_CHILDREN, 1 - (1 - least) ** CHILDREN
-    met = least * on_step**2 * in_task
-    return min(TOKENS, math.ceil(math.log(1 - TARGET) / math.log(1 - met)))
+    """Runs that miss a pair at the threshold with less than 1 - TARGET on the longest way: DEPTH - 1 DataFrame steps and a
+    task. (What the last step can't split is joined to its least member.) Each run starts from a token of its own,
+    so a threshold that needs more than TOKENS runs is refused."""
+    for times in range(1, TOKENS + 1):
+        if miss(least, times, DEPTH - 1) < 1 - TARGET:
+            return times
+    raise ValueError(f"a threshold of {least} needs more than {TOKENS} runs for a recall of {TARGET}, and sets have {TOKENS} tokens")
 
 
 def shingles(text: str) -> np.ndarray:

@@ -4,7 +4,8 @@ Fixed patterns give the base spans. Besides, every run of token characters is cu
 class (hexadecimal, upper case with digits, base64); a window slides over each run and its entropy
 follows from counts that change by one character in and one out. Windows over their class's threshold
 are merged to spans, unless an allow-list pattern covers them or base spans already hold the whole span;
-one that reaches beyond the base spans is reported whole.
+one that reaches beyond the base spans is reported whole. A placeholder mark (example, xxxx, 0000 ...) clears the windows
+that touch it and no others.
 
 Null and empty texts have no spans. Whole texts are scanned; rows are independent, so repeated rows
 give repeated results. Only doc_id and text are read: other columns may have any name.
@@ -46,9 +47,8 @@ ALLOW = (
     re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}"),
     re.compile(r"[/_-]?(?:(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,6})[/_=-])*(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]{1,6})[/_=-]?"),
 )
-#: What marks a placeholder. It clears its part between separators if that is no longer than this, else the windows it touches.
+#: What marks a placeholder. It clears the windows that it touches, in a token of any length.
 MARK = re.compile(r"(?i)example|placeholder|x{4,}|0{4,}|1234567")
-PART, MARKED_PART = re.compile(r"[A-Za-z0-9]+"), 64
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -102,14 +102,11 @@ def not_covered(spans: list[list[int]], known: list[list[int]]) -> list[list[int
 
 
 def cleared_windows(token: str) -> bytearray:
-    """For each place, 1 where the window that starts there belongs to a placeholder."""
+    """For each place, 1 where the window that starts there touches a placeholder mark."""
     out = bytearray(len(token))
     for m in MARK.finditer(token):
         low = max(0, m.start() - WINDOW + 1)
         out[low : m.end()] = b"\1" * (m.end() - low)
-    for m in PART.finditer(token):
-        if WINDOW <= len(m[0]) <= MARKED_PART and MARK.search(m[0]):
-            out[m.start() : m.end() - WINDOW + 1] = b"\1" * (len(m[0]) - WINDOW + 1)
     return out
 
 

@@ -20,7 +20,7 @@ there are no labels). Only doc_id and text of a document are read; repeated rows
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -74,9 +74,14 @@ class Classifier:
     bias: float
     #: Share of the sample's rows whose posterior label is the given one; None if nothing was learned.
     agreement: float | None = None
+    #: Raw word -> its entries that have a weight; filled as words come, and sent nowhere.
+    table: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
 
-    def score(self, text: str, table: dict[str, tuple[str, ...]]) -> float:
-        """table: raw word -> its entries that have a weight; filled as words come."""
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": {}}
+
+    def score(self, text: str) -> float:
+        table = self.table
         hit: set[str] = set()
         for raw in set(text.lower().split()):
             found = table.get(raw)
@@ -252,19 +257,13 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     return found
 
 
-_tables: dict[int, dict] = {}
-
-
 def score_documents(docs: DataFrame, classifier: Classifier) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     shared = docs.sparkSession.sparkContext.broadcast(classifier)
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = shared.value
-        if id(c) not in _tables:
-            _tables.clear()
-            _tables[id(c)] = {}
-        scores = [c.score(t, _tables[id(c)]) for t in texts(batch)]
+        scores = [c.score(t) for t in texts(batch)]
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
     return map_batches(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text"), each, "doc_id long, held_out boolean, score double, predicted int")

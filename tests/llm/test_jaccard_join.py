@@ -114,13 +114,47 @@ def test_keep_one(small, odd):
         assert sum(r.doc_id is None for r in kept) == docs.where("doc_id is null").count()
 
 
+def missed(least, splits, times, pairs=2000, seed=3):
+    """Share of pairs at the threshold that no run brings together, by simulation: each run samples a token of its own,
+    every step and the task sample theirs anew, and a pair goes on if it is equal in one of them."""
+    rng = np.random.default_rng(seed)
+    same = rng.random((pairs, jj.TOKENS)) < least
+    met = np.zeros(pairs, bool)
+    for run in range(times):
+        alive = same[:, run].copy()
+        for children in [jj.STEP_CHILDREN] * splits + [jj.CHILDREN]:
+            places = np.argsort(rng.random((pairs, jj.TOKENS)), axis=1)[:, :children]
+            alive &= np.take_along_axis(same, places, axis=1).any(axis=1)
+        met |= alive
+    return 1 - met.mean()
+
+
 def test_every_threshold_has_its_runs():
-    for least in (0.9, 0.8, 0.6):
-        met = least * (1 - (1 - least) ** jj.STEP_CHILDREN) ** 2 * (1 - (1 - least) ** jj.CHILDREN)
-        assert (1 - met) ** jj.runs(least) <= 1 - jj.TARGET < (1 - met) ** (jj.runs(least) - 1)
+    """On the longest way, so on any other; measured, not by the formula."""
+    assert jj.runs(0.8) == 8
+    for least in (0.9, 0.8, 0.7, 0.6):
+        assert missed(least, jj.DEPTH - 1, jj.runs(least), 20_000) <= 2 * (1 - jj.TARGET), least
+    for least in (0.3, 0.5):
+        with pytest.raises(ValueError, match="runs"):
+            jj.runs(least)
     assert jj.candidate_share(0.6) < 0.6 - 4 * (0.6 * 0.4 / jj.TOKENS) ** 0.5
 
 
+@pytest.mark.parametrize(("least", "shared"), [(0.7, 79), (0.6, 72)])
+@pytest.mark.parametrize("hot", [1024, 30])
+def test_recall_at_lower_thresholds(spark, monkeypatch, hot, least, shared):
+    monkeypatch.setattr(jj, "HOT_ROWS", hot)
+    docs = []
+    for i in range(80):
+        w = [f"{'c' if i % 2 else f'a{i}x'}{k}" for k in range(94)]
+        docs += [" ".join(w[:64] + [f"d{i}x{k}" for k in range(30)]), " ".join(w[:64] + [f"d{i}x{k}" for k in range(shared - 64)] + [f"e{i}x{k}" for k in range(94 - shared)])]
+    rows = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    sets = [rows_set(t) for t in docs]
+    links = [sum(len(a & b) >= least * len(a | b) for b in sets) - 1 for a in sets]
+    found = {r.doc_id: r.n_links for r in jj.join_similar(rows, least).collect()}
+    assert sum(links) >= 160 and sum(min(found[i], n) for i, n in enumerate(links)) >= 0.99 * sum(links)
+
+
 @pytest.mark.parametrize("hot", [1024, 30])
 def test_recall_at_the_threshold(spark, monkeypatch, hot):
     """Pairs at 0.8 exactly, as far apart as links may be: among strangers, and all in one crowd of look-alikes."""
