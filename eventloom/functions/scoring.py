@@ -156,3 +156,8 @@ def entropy_share(weights: list[Column]) -> Column:
     """Entropy of weights that add up to 1, over its largest value."""
     terms = [F.when(w > 0, -w * F.log(w)).otherwise(0.0) for w in weights]
     return sum(terms[1:], terms[0]) / math.log(len(weights))
+
+
+def nine_places(c: Column) -> Column:
+    """Rounded to 9 places by steps that every engine does alike; a tie goes up. Values that are stored are rounded here, once."""
+    return F.floor(c * 1e9 + 0.5) / 1e9

@@ -23,24 +23,65 @@ def profit(trades: DataFrame, events: DataFrame, horizon: int = 5, use_excess: b
     return trades.join(known, "event_id").withColumn("pnl", F.col("direction") * F.col("size") * F.col("realized_fwd_return"))
 
 
+def _within_days(rows: DataFrame, keys: list[str], order: list[str], value: Column) -> DataFrame:
+    """Adds _cum, the running sum of the value within a key's day, and _peak, its highest so far; null before a day's first value."""
+    w = W.partitionBy(*keys, order[0]).orderBy(*(order[1:] or order)).rowsBetween(W.unboundedPreceding, 0)
+    return rows.withColumn("_cum", F.sum(value).over(w)).withColumn("_peak", F.max("_cum").over(w))
+
+
 def curve(pnl: DataFrame, keys: list[str], order: list[str], notional: float = 1.0) -> DataFrame:
-    """Adds cumulative pnl and the drawdown from its running maximum, which starts with the first row."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    total = pnl.withColumn("cumulative", F.sum(F.col("pnl") * notional).over(w))
-    return total.withColumn("drawdown", F.col("cumulative") - F.max("cumulative").over(w))
-
-
-def summarize(pnl: DataFrame, keys: list[str], order: list[str], horizon: int = 5) -> DataFrame:
-    """Per key: n_trades, avg_return, sharpe (0 where undefined), hit_rate, max_drawdown, over active trades in order."""
-    active = curve(pnl.where("direction <> 0"), keys, order)
-    dev = F.stddev_samp("pnl")
-    sharpe = F.coalesce(F.when(dev > 0, F.avg("pnl") / dev * F.sqrt(F.lit(252.0 / horizon))), F.lit(0.0))
-    return active.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n_trades"),
-        F.avg("pnl").alias("avg_return"),
-        sharpe.alias("sharpe"),
-        F.avg(F.when(F.col("pnl") > 0, 1.0).otherwise(0.0)).alias("hit_rate"),
-        F.min("drawdown").alias("max_drawdown"),
+    """Adds cumulative pnl and the drawdown from its running maximum, which starts with the first row.
+
+    A prefix scan: running sums within each key's day, then sums over days (a row for each day, so a calendar's worth for a
+    key), then both together. order: a day and what orders its rows; keys aren't null.
+    """
+    rows = _within_days(pnl, keys, order, F.col("pnl") * notional)
+    at = [*keys, order[0]]
+    days = rows.groupBy(*at).agg(F.sum(F.col("pnl") * notional).alias("_total"), F.max("_cum").alias("_top"))
+    so_far = W.partitionBy(*keys).orderBy(order[0]).rowsBetween(W.unboundedPreceding, -1)
+    carried = days.withColumn("_before", F.coalesce(F.sum("_total").over(so_far), F.lit(0.0))).withColumn("_above", F.max(F.col("_before") + F.col("_top")).over(so_far))
+    out = rows.join(carried.select(*at, "_before", "_above"), at)
+    out = out.withColumn("cumulative", F.col("_before") + F.col("_cum"))
+    return out.withColumn("drawdown", F.col("cumulative") - F.greatest("_above", F.col("_before") + F.col("_peak"))).drop("_cum", "_peak", "_before", "_above")
+
+
+def summarize(pnl: DataFrame, keys: list[str], order: list[str], horizon: int = 5, extra: dict[str, Column] | None = None, idle: bool = False) -> DataFrame:
+    """Per key: n_trades, avg_return, sharpe (0 where undefined), hit_rate, max_drawdown, over active trades in order.
+
+    Each key's days are summed up (sums, squares, highest and lowest point, deepest fall), which is associative, and a key's
+    days, a calendar's worth, are folded in order. extra: sums over all rows, by name. idle: also keys without an active
+    trade, with nulls.
+    """
+    active = F.when(F.col("direction") != 0, F.col("pnl"))
+    rows = _within_days(pnl.withColumn("_v", active), keys, order, F.col("_v"))
+    extra = extra or {}
+    days = rows.groupBy(*keys, order[0]).agg(
+        F.count("_v").alias("_n"),
+        F.sum("_v").alias("_sum"),
+        F.sum(F.col("_v") * F.col("_v")).alias("_square"),
+        F.count_if(F.col("_v") > 0).alias("_hits"),
+        F.max("_cum").alias("_top"),
+        F.min("_cum").alias("_low"),
+        F.min(F.col("_cum") - F.col("_peak")).alias("_fall"),
+        *[F.sum(c).alias(k) for k, c in extra.items()],
+    )
+    day = F.when(F.col("_n") > 0, F.struct(F.col(order[0]).alias("day"), F.col("_sum").alias("sum"), F.col("_top").alias("top"), F.col("_low").alias("low"), F.col("_fall").alias("fall")))
+    per = days.groupBy(*keys).agg(F.sum("_n").alias("n"), F.sum("_sum").alias("s"), F.sum("_square").alias("q"), F.sum("_hits").alias("h"), F.sort_array(F.collect_list(day)).alias("days"), *[F.sum(k).alias(k) for k in extra])
+    start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("double").alias("peak"), F.lit(None).cast("double").alias("worst"))
+    fold = lambda a, d: F.struct((a["cum"] + d["sum"]).alias("cum"), F.greatest(a["peak"], a["cum"] + d["top"]).alias("peak"), F.least(a["worst"], d["fall"], a["cum"] + d["low"] - a["peak"]).alias("worst"))
+    n, mean = F.col("n"), F.try_divide(F.col("s"), F.col("n"))
+    # what is left of the squares after rounding is no spread
+    spread = F.col("q") - F.col("s") * mean
+    dev = F.when((n > 1) & (spread > 1e-12 * F.col("q")), F.sqrt(spread / (n - 1)))
+    out = per if idle else per.where("n > 0")
+    return out.select(
+        *keys,
+        n.alias("n_trades"),
+        mean.alias("avg_return"),
+        F.coalesce(mean / dev * F.sqrt(F.lit(252.0 / horizon)), F.lit(0.0)).alias("sharpe"),
+        F.try_divide(F.col("h"), n).alias("hit_rate"),
+        F.aggregate("days", start, fold)["worst"].alias("max_drawdown"),
+        *extra,
     )
 
 
@@ -95,11 +136,9 @@ def run_all(attributed: DataFrame, strategy: str = "fundamental_split", horizon:
     name = f"fwd_{horizon}d" + ("_excess" if use_excess else "")
     trades = runs.where(F.col(name).isNotNull()).select("event_id", "event_date", "strategy_name", "ablation_name", direction(F.col("verdict"), F.col("return_pct")).alias("direction"), F.col(name).alias("fwd"))
     pnl = trades.withColumn("pnl", F.col("direction") * F.col("fwd"))
-    keys = ["strategy_name", "ablation_name"]
-    summary = summarize(pnl, keys, ["event_date", "event_id"], horizon)
-    dollars = pnl.groupBy(*keys).agg(F.round(F.sum(F.col("pnl") * notional), 2).alias("total_dollars"))
-    same = (F.col("a.strategy_name") == F.col("b.strategy_name")) & F.col("a.ablation_name").eqNullSafe(F.col("b.ablation_name"))
-    return dollars.alias("a").join(summary.alias("b"), same, "left").select("a.strategy_name", "a.ablation_name", F.coalesce("n_trades", F.lit(0)).alias("n_trades"), *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "hit_rate", "avg_return", "max_drawdown")), "total_dollars"), pnl
+    summary = summarize(pnl, ["strategy_name", "ablation_name"], ["event_date", "event_id"], horizon, {"dollars": F.col("pnl") * notional}, idle=True)
+    results = summary.select("strategy_name", "ablation_name", "n_trades", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("sharpe", "hit_rate", "avg_return", "max_drawdown")), F.round("dollars", 2).alias("total_dollars"))
+    return results, pnl
 
 
 def result_key(strategy: Column, ablation: Column) -> Column:
@@ -116,9 +155,9 @@ def compare(results: DataFrame, ablation: str | None = None) -> DataFrame:
     """
     structured = F.col("strategy_name").startswith(STRUCTURED)
     named = structured & (F.col("ablation_name") == ablation) if ablation else F.lit(False)
-    pick = W.orderBy(F.coalesce(named, F.lit(False)).desc(), F.desc("sharpe"), "ablation_name")
-    rep = results.where(structured).withColumn("_k", F.row_number().over(pick)).where("_k = 1").drop("_k")
-    rows = rep.unionByName(results.where(F.col("strategy_name").startswith(BASELINE)))
+    pick = W.partitionBy(structured).orderBy(F.coalesce(named, F.lit(False)).desc(), F.desc("sharpe"), "ablation_name", "strategy_name")
+    ranked = results.withColumn("_k", F.row_number().over(pick))
+    rows = ranked.where((structured & (F.col("_k") == 1)) | F.col("strategy_name").startswith(BASELINE)).drop("_k")
     label = F.when(structured, F.format_string("%s (%s)", "strategy_name", "ablation_name")).otherwise(F.expr(f"substring(strategy_name, {len(BASELINE) + 1})"))
     best = F.max(F.when(structured, F.col("sharpe"))).over(W.partitionBy(F.lit(1)))
     table = rows.withColumns({"label": label, "is_structured": structured, "beaten": F.when(~structured, best > F.col("sharpe"))})

@@ -185,11 +185,11 @@ def first_pieces(articles: DataFrame, peers: DataFrame | None = None) -> DataFra
 
 # Sources that each dimension is repaired from, best first.
 AFFINITY = {
-    "demand": ("earnings_transcript", "news", "sec_10k", "sec_8k"),
-    "pricing": ("earnings_transcript", "sec_10k", "news", "sec_8k"),
-    "competitive": ("peer_news", "sector_news", "sec_10k", "news"),
+    "demand": ("earnings_transcript", "news", "peer_news", "sector_news"),
+    "pricing": ("earnings_transcript", "sec_10k", "news"),
+    "competitive": ("peer_news", "sec_10k", "sector_news", "news"),
     "management_credibility": ("earnings_transcript", "sec_8k", "news"),
-    "macro": ("macro", "sector_news", "thirteen_f", "news"),
+    "macro": ("macro", "sector_news", "news"),
 }
 
 

@@ -22,6 +22,7 @@ from eventloom.functions.scoring import tag_weight
 from eventloom.functions.signals import DIMENSIONS, dominant
 from eventloom.operators.attribution import by_bundle, sanitise
 from eventloom.operators.relevance import filter_and_rank
+from eventloom.sources.staging import read_through, staged
 
 # Chunks of a request, ids that a stand-in cites, the id of a stand-in without chunks, the path that made an answer.
 MAX_CHUNKS, STAND_IN_CITES, NO_CHUNKS = 30, 5, "no_chunks_provided_0"
@@ -102,9 +103,13 @@ ANSWER = pa.schema(
 REVIEW = pa.schema([("event_id", pa.int64()), ("plausible", pa.bool_()), ("issues", _LIST), ("reviewer_notes", _TEXT), ("failed", _TEXT)])
 
 
-def answers(requests: DataFrame, provider: Provider, validate: bool = False, concurrency: int = 4, **how) -> DataFrame:
+def answers(requests: DataFrame, provider: Provider, validate: bool = False, concurrency: int = 4, cache: str | None = None, **how) -> DataFrame:
     """A row for each request (event_id, variant, ticker, move_date, return_pct, body, chunk_ids); `failed` names the
-    error of a call that came to nothing. With validate, an answer that doesn't hold is such a failure."""
+    error of a call that came to nothing. With validate, an answer that doesn't hold is such a failure.
+
+    cache: a table of answers that calls are read through (``staging.read_through``), keyed by move, variant and body, so
+    a request is asked once over all runs; failures are kept out of it and asked again.
+    """
 
     def one(request: dict) -> dict:
         out = {"event_id": request["event_id"], "variant": request["variant"]}
@@ -124,7 +129,21 @@ def answers(requests: DataFrame, provider: Provider, validate: bool = False, con
             for batch in batches:
                 yield pa.RecordBatch.from_pylist(list(pool.map(one, batch.to_pylist())), schema=ANSWER)
 
-    return requests.select("event_id", "variant", "ticker", "move_date", "return_pct", "body", "chunk_ids").mapInArrow(run, from_arrow_schema(ANSWER))
+    fields = ["event_id", "variant", "ticker", "move_date", "return_pct", "body", "chunk_ids"]
+    ask = lambda rows: rows.select(*fields).mapInArrow(run, from_arrow_schema(ANSWER))
+    if cache is None:
+        return ask(requests)
+    keyed = requests.select(*fields, F.sha2(F.concat_ws("|", F.col("event_id").cast("string"), "variant", "body"), 256).alias("cache_key"))
+    failed = []
+
+    def fresh(rows: DataFrame) -> DataFrame:
+        # an answer's move and variant are its request's, so its key is found again without asking twice
+        new = staged(ask(rows), "asked").join(rows.select("event_id", "variant", "cache_key"), ["event_id", "variant"])
+        failed.append(new.where("failed is not null").drop("cache_key"))
+        return new.where("failed is null")
+
+    held = read_through(keyed, fresh, cache).drop("cache_key")
+    return held.select(*ANSWER.names).unionByName(failed[0].select(*ANSWER.names))
 
 
 def evidence(moves: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -143,21 +162,21 @@ def evidence(moves: DataFrame, chunks: DataFrame) -> DataFrame:
     return rows.withColumns({"chunks": F.coalesce("chunks", none), "pool": F.coalesce("pool", F.lit(0)), "window_start": F.coalesce("_a", "move_date"), "window_end": F.least(F.coalesce("_b", "move_date"), "move_date")}).drop("_a", "_b")
 
 
-def requests(rows: DataFrame, variant: str = "base") -> DataFrame:
+def requests(rows: DataFrame, variant: str | Column = "base") -> DataFrame:
     """The request of each move with its chunks."""
     events = F.array().cast("array<struct<event_date:date,event_type:string,text:string>>")
     body = prompts.evidence_block(F.col("ticker").cast("string"), F.col("move_date"), F.col("return_pct"), events, F.col("chunks"))
-    return rows.withColumns({"variant": F.lit(variant), "body": body, "chunk_ids": F.transform("chunks", lambda c: c["chunk_id"])})
+    return rows.withColumns({"variant": F.lit(variant) if isinstance(variant, str) else variant, "body": body, "chunk_ids": F.transform("chunks", lambda c: c["chunk_id"])})
 
 
-def attribute(moves: DataFrame, chunks: DataFrame, ablation: str, provider: Provider | None = None, **how) -> DataFrame:
+def attribute(moves: DataFrame, chunks: DataFrame | None, ablation: str, provider: Provider | None = None, gathered: DataFrame | None = None, **how) -> DataFrame:
     """An attribution of each move: the provider's where there is one and it has chunks to go by, else the seeded stand-in.
 
     Unknown ids are taken out of the provider's citations. The stand-in cites the first five chunks; so it does
     where a call fails. model_notes says which path made the answer and why, and how many chunks relevance kept.
-    moves: event_id, ticker, move_date, return_pct, z.
+    moves: event_id, ticker, move_date, return_pct, z. gathered: ``evidence``, where the caller has it already.
     """
-    rows = requests(evidence(moves, chunks))
+    rows = requests(evidence(moves, chunks) if gathered is None else gathered)
     plain = by_bundle(moves.select("event_id", "return_pct", "z")).where(F.col("ablation") == ablation)
     cites = F.when(F.size("chunk_ids") > 0, F.slice("chunk_ids", 1, STAND_IN_CITES)).otherwise(F.array(F.lit(NO_CHUNKS)))
     base = rows.select("event_id", "ticker", "move_date", "return_pct", "pool", "chunk_ids", cites.alias("_cites")).join(plain.drop("return_pct", "z", "direction", "dominant", "rung", "score"), "event_id")
@@ -225,7 +244,7 @@ JUNK_ID = "news__JUNK_UNRELATED_junk_000"
 JUNK_TEXT = "A maker of garden benches opened a second workshop and now sells plum jam. Neighbours liked the jam."
 
 
-def perturbation(rows: DataFrame, provider: Provider, shuffle_tolerance: float = 0.15, junk_tolerance: float = 0.20, again_tolerance: float = 0.02, reviewer: Callable[[dict], dict] | None = None) -> DataFrame:
+def perturbation(rows: DataFrame, provider: Provider, shuffle_tolerance: float = 0.15, junk_tolerance: float = 0.20, again_tolerance: float = 0.02, reviewer: Callable[[dict], dict] | None = None, cache: str | None = None) -> DataFrame:
     """Whether attributions of ``evidence`` rows hold when asked again, with chunks in another order, and with an unrelated chunk.
 
     One row per move and check (determinism, shuffle, junk): passed, reason, max_delta, junk_cited. Junk also
@@ -233,11 +252,12 @@ def perturbation(rows: DataFrame, provider: Provider, shuffle_tolerance: float =
     """
     order = F.transform(F.array_sort(F.transform("chunks", lambda c: F.struct(F.md5(F.concat(F.lit("13|"), c["chunk_id"])).alias("h"), c.alias("c")))), lambda x: x["c"])
     junk = F.struct(F.lit(0).alias("rank"), F.lit(JUNK_ID).alias("chunk_id"), F.lit(JUNK_TEXT).alias("text"))
-    variants = [requests(rows, "base"), requests(rows, "determinism"), requests(rows.withColumn("chunks", order), "shuffle"), requests(rows.withColumn("chunks", F.concat("chunks", F.array(junk))), "junk")]
-    every = variants[0]
-    for v in variants[1:]:
-        every = every.unionByName(v)
-    got = answers(every, provider).withColumn("dominant", dominant())
+    # the evidence is gathered once and each move's four requests follow from it; answers are written before they are
+    # compared, so each is asked for once whatever reads them, and the base that is compared is the one that is kept
+    forms = [("base", F.col("chunks")), ("determinism", F.col("chunks")), ("shuffle", order), ("junk", F.concat("chunks", F.array(junk)))]
+    four = rows.withColumn("_v", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), c.alias("chunks")) for n, c in forms])))
+    every = requests(four.withColumn("chunks", F.col("_v.chunks")), F.col("_v.name"))
+    got = staged(answers(every, provider, cache=cache), "answers").withColumn("dominant", dominant())
     base = got.where("variant = 'base'").select("event_id", F.struct("dominant", "character", *(f"w_{d}" for d in DIMENSIONS)).alias("b"))
     both = got.where("variant <> 'base'").join(base, "event_id")
     delta = F.greatest(*[F.abs(F.col(f"w_{d}") - F.col(f"b.w_{d}")) for d in DIMENSIONS])

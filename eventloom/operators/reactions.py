@@ -35,8 +35,13 @@ def reactions(events: DataFrame, prices: DataFrame, value: str = "close") -> Dat
     without both bars go. The anchor is the last bar of the reaction; forward returns start there. Each bar
     carries its measures and those of the next one through the merged series, so bars are not joined again.
     """
-    names = ["date", "prev", value, *(f"fwd_{h}d" for h in HORIZONS), "vol_30d", "vol_60d"]
-    bars = with_bars(prices, value).select("ticker", "date", F.struct(*names).alias("_bar"))
+    return place(events, with_bars(prices, value), value)
+
+
+def place(events: DataFrame, measured: DataFrame, value: str = "close", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``reactions`` on bars that ``with_bars`` has measured; `keep` are columns of the anchor bar that go along."""
+    names = ["date", "prev", value, *(f"fwd_{h}d" for h in HORIZONS), "vol_30d", "vol_60d", *keep]
+    bars = measured.select("ticker", "date", F.struct(*names).alias("_bar"))
     marks = bars.select("ticker", F.col("date").alias("_d"), F.col("_bar"), F.lead("_bar").over(series()).alias("_next"), F.lit(False).alias("_e"))
     rows = events.withColumns({"_d": F.col("event_date"), "_e": F.lit(True)}).unionByName(marks, allowMissingColumns=True)
     # going back in time, a date's bar comes before its events, so they see it
@@ -46,7 +51,7 @@ def reactions(events: DataFrame, prices: DataFrame, value: str = "close") -> Dat
     late = (F.col("session") == "AMC") & (F.col("_at._bar.date") == F.col("event_date"))
     at = placed.withColumn("_a", F.when(late, F.col("_at._next")).otherwise(F.col("_at._bar")))
     kept = at.where("_a.prev > 0").withColumn("reaction_return", F.col(f"_a.{value}") / F.col("_a.prev") - 1).where("reaction_return is not null")
-    return kept.select("event_id", "ticker", "event_date", "session", F.col("_a.date").alias("anchor_date"), F.col("_a.prev").alias("pre_price"), "reaction_return", *(F.col(f"_a.fwd_{h}d").alias(f"fwd_{h}d") for h in HORIZONS), F.col("_a.vol_30d").alias("vol_30d"), F.col("_a.vol_60d").alias("vol_60d"))
+    return kept.select("event_id", "ticker", "event_date", "session", F.col("_a.date").alias("anchor_date"), F.col("_a.prev").alias("pre_price"), "reaction_return", *(F.col(f"_a.fwd_{h}d").alias(f"fwd_{h}d") for h in HORIZONS), F.col("_a.vol_30d").alias("vol_30d"), F.col("_a.vol_60d").alias("vol_60d"), *(F.col(f"_a.{c}").alias(c) for c in keep))
 
 
 def excess(rows: DataFrame, bench: DataFrame, horizons: tuple[int, ...] = HORIZONS, date: str = "anchor_date", suffix: str = "excess") -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from eventloom.operators import panel as P
 from eventloom.operators import reactions as R
+from eventloom.operators.quantiles import exact_quantiles
 from eventloom.plans.base import DATED, DIVIDENDS, PANEL, SECTOR, SPLITS, Registry, dated_events, dividends, panel, r6, rounded, sector_of, splits, price_sql, table, with_
+from eventloom.sources.staging import staged
 
 REG = Registry()
 
@@ -151,13 +153,27 @@ SECT = "sidx AS (SELECT sector, date, exp(sum(coalesce(mean_return, 0.0)) OVER (
     + " SELECT event_id, sector, round(coalesce(CASE WHEN sector <> 'ASIA' THEN b5 END, s5), 6) + 0.0 AS bench_5d, round(fwd_5d - coalesce(CASE WHEN sector <> 'ASIA' THEN b5 END, s5), 6) + 0.0 AS fwd_5d_excess FROM react JOIN sector USING (ticker) LEFT JOIN bench b ON b.date = anchor_date LEFT JOIN sfwd s USING (sector) WHERE s.date = anchor_date",
 )
 def d11(spark, d):
-    """A sector without a listed fund (here: ASIA) takes its synthetic index."""
-    rows = R.reactions(dated_events(spark, d), panel(spark, d)).join(sector_of(spark, d), "ticker")
-    w = W.partitionBy("sector").orderBy("date")
-    synthetic = P.synthetic_index(_sector_returns(spark, d), "sector").select("sector", F.col("date").alias("anchor_date"), P.forward_return("level", 5, w).alias("s5"))
-    listed = benchmark(spark, d).select(F.col("date").alias("anchor_date"), F.col("fwd_5d").alias("b5"))
+    """A sector without a listed fund (here: ASIA) takes its synthetic index.
+
+    The panel is measured once and written with its sectors; events are placed in it, and the market's and the sectors' mean
+    returns come from one sum by sector and date.
+    """
+    bars = staged(R.with_bars(panel(spark, d)).join(sector_of(spark, d), "ticker"), "bars")
+    rows = R.place(dated_events(spark, d), bars, keep=("sector",))
+    lr = F.col("log_return")
+    clipped = F.when(lr.isNotNull(), F.greatest(F.lit(-0.5), F.least(F.lit(0.5), lr)))
+    daily = bars.groupBy("sector", "date").agg(F.sum(clipped).alias("s"), F.count(lr).alias("n"))
+    by_date = W.partitionBy("date")  # a row a sector
+    market = F.try_divide(F.sum("s").over(by_date), F.sum("n").over(by_date))
+    steps = daily.withColumns({"mine": F.try_divide(F.col("s"), F.col("n")), "all": market})
+    one = W.partitionBy("sector").orderBy("date")  # a row a trading day
+    level = lambda c: F.exp(F.sum(F.coalesce(c, F.lit(0.0))).over(one.rowsBetween(W.unboundedPreceding, 0)))
+    own = steps.withColumn("level", level("mine")).withColumn("s5", P.forward_return("level", 5, one))
+    listed = own.groupBy("date").agg(F.max("all").alias("all")).withColumn("k", F.lit(1))
+    day = W.partitionBy("k").orderBy("date")  # a row a trading day
+    listed = listed.withColumn("level", F.exp(F.sum(F.coalesce("all", F.lit(0.0))).over(day.rowsBetween(W.unboundedPreceding, 0)))).select(F.col("date").alias("anchor_date"), P.forward_return("level", 5, day).alias("b5"))
     bench = F.coalesce(F.when(F.col("sector") != "ASIA", F.col("b5")), F.col("s5"))
-    out = rows.join(listed, "anchor_date", "left").join(synthetic, ["sector", "anchor_date"], "left")
+    out = rows.join(listed, "anchor_date", "left").join(own.select("sector", F.col("date").alias("anchor_date"), "s5"), ["sector", "anchor_date"], "left")
     return out.select("event_id", "sector", r6(bench).alias("bench_5d"), r6(F.col("fwd_5d") - bench).alias("fwd_5d_excess"))
 
 
@@ -228,9 +244,13 @@ def e06(spark, d):
 
 @REG.add("E07_describe", REACTIONS + "SELECT session, count(reaction_return) AS n, round(avg(reaction_return), 6) + 0.0 AS mean, round(stddev_samp(reaction_return), 6) + 0.0 AS std, round(min(reaction_return), 6) + 0.0 AS min, round(quantile_cont(reaction_return, 0.25), 6) + 0.0 AS p25, round(quantile_cont(reaction_return, 0.5), 6) + 0.0 AS p50, round(quantile_cont(reaction_return, 0.75), 6) + 0.0 AS p75, round(max(reaction_return), 6) + 0.0 AS max FROM react GROUP BY 1")
 def e07(spark, d):
+    """Quantiles are selected by rank over all tasks; the other figures are sums and extremes."""
     c = F.col("reaction_return")
-    rows = R.reactions(dated_events(spark, d), panel(spark, d))
-    return rows.groupBy("session").agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), r6(F.min(c)).alias("min"), *(r6(F.percentile(c, q)).alias(f"p{int(q * 100)}") for q in (0.25, 0.5, 0.75)), r6(F.max(c)).alias("max"))
+    rows = staged(R.reactions(dated_events(spark, d), panel(spark, d)).select("session", "reaction_return"), "reactions")
+    found = exact_quantiles(rows, "reaction_return", (0.25, 0.5, 0.75), "session")
+    middle = spark.createDataFrame([(k, *v) for k, v in found.items()], "session string, p25 double, p50 double, p75 double")
+    figures = rows.groupBy("session").agg(F.count(c).alias("n"), r6(F.avg(c)).alias("mean"), r6(F.stddev_samp(c)).alias("std"), r6(F.min(c)).alias("min"), r6(F.max(c)).alias("max"))
+    return rounded(figures.join(F.broadcast(middle), "session", "left"), "p25", "p50", "p75")  # a row a session
 
 
 @REG.add("E08_null_coverage", REACTIONS + "SELECT round(100.0 * count(fwd_1d) / count(*), 6) AS fwd_1d, round(100.0 * count(fwd_5d) / count(*), 6) AS fwd_5d, round(100.0 * count(fwd_20d) / count(*), 6) AS fwd_20d, round(100.0 * count(vol_60d) / count(*), 6) AS vol_60d FROM react")
@@ -240,8 +260,9 @@ def e08(spark, d):
 
 @REG.add("E11_sanity_stats", REACTIONS + "SELECT round(avg(fwd_5d), 6) + 0.0 AS mean, round(quantile_cont(fwd_5d, 0.5), 6) + 0.0 AS median, round(avg(CASE WHEN fwd_5d > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, abs(avg(fwd_5d)) < 0.01 AS symmetric FROM react WHERE abs(fwd_5d) <= 0.5")
 def e11(spark, d):
-    rows = R.reactions(dated_events(spark, d), panel(spark, d)).where("abs(fwd_5d) <= 0.5")
-    return rows.agg(r6(F.avg("fwd_5d")).alias("mean"), r6(F.percentile("fwd_5d", 0.5)).alias("median"), r6(F.avg(F.when(F.col("fwd_5d") > 0, 1.0).otherwise(0.0))).alias("positive"), (F.abs(F.avg("fwd_5d")) < 0.01).alias("symmetric"))
+    rows = staged(R.reactions(dated_events(spark, d), panel(spark, d)).where("abs(fwd_5d) <= 0.5").select("fwd_5d"), "forward")
+    median = exact_quantiles(rows, "fwd_5d", (0.5,)).get(0, [None])[0]
+    return rows.agg(r6(F.avg("fwd_5d")).alias("mean"), r6(F.lit(median).cast("double")).alias("median"), r6(F.avg(F.when(F.col("fwd_5d") > 0, 1.0).otherwise(0.0))).alias("positive"), (F.abs(F.avg("fwd_5d")) < 0.01).alias("symmetric"))
 
 
 @REG.add("C07_C04_slim_slice", REACTIONS + ", span AS (SELECT min(event_date) - 120 AS lo, max(event_date) + 45 AS hi FROM react WHERE ticker % 10 < 5) SELECT p.ticker, p.date, CLOSE_ FROM panel p, span WHERE p.ticker IN (SELECT ticker FROM react WHERE ticker % 10 < 5) AND p.date BETWEEN lo AND hi AND close > 0".replace("CLOSE_", price_sql("p.close") + " AS close"))

@@ -241,11 +241,6 @@ def k41(spark, d):
     return audit.unexplained_jumps(panel(spark, d), splits(spark, d), 2.0).select("ticker", "date")
 
 
-@REG.add("K46_chart_frame", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', {i + 1})" for i, (n, _) in enumerate(A.LADDER)) + ") v(label, rank)")
-def k46(spark, d):
-    return A.bundles(spark).select(F.col("ablation").alias("label"), (F.col("ord") + 1).alias("rank"))
-
-
 @REG.add("K51_degenerate", "SELECT event_id, h[1:2] = h[3:4] AND h[1:2] = h[5:6] AS degenerate FROM (SELECT event_id, [substr(md5(event_id::varchar), i, 1) IN ('0', '1', '2', '3') FOR i IN range(1, 7)] AS h FROM events)")
 def k51(spark, d):
     """Three dimensions of two citations each, drawn from the id's digest."""

@@ -25,13 +25,14 @@ def _hash(*parts: str) -> str:
 
 
 KEY = "event_id::varchar"
+NINE = lambda x: f"(floor(({x}) * 1e9 + 0.5) / 1e9)"
 RAW = {d: f"({_hash(KEY, repr(d))} + 0.01)" for d in G.DIMENSIONS}
 TOTAL = "(" + " + ".join(f"r_{d}" for d in G.DIMENSIONS) + ")"
 DOMINANT = "CASE " + " ".join(f"WHEN w_{d} = greatest({', '.join(f'w_{x}' for x in G.DIMENSIONS)}) THEN '{d}'" for d in G.DIMENSIONS) + " END"
 ATTR = (
     "raw AS (SELECT event_id, ticker, event_date, reaction_return AS return_pct, coalesce(reaction_return / nullif(vol_30d, 0), 0.0) AS z, fwd_1d, fwd_5d, fwd_20d, " + ", ".join(f"{x} AS r_{d}" for d, x in RAW.items()) + " FROM react),\n"
-    "attr0 AS (SELECT *, round(least(1.0, greatest(0.0, 0.5 * least(1.0, abs(return_pct) / 0.15) + 0.5 * least(1.0, abs(z) / 5) + (" + _hash(KEY, "'noise'") + " - 0.5) * 0.3)), 9) AS score, " + ", ".join(f"round(r_{d} / {TOTAL}, 9) AS w_{d}" for d in G.DIMENSIONS) + " FROM raw),\n"
-    f"attr AS (SELECT *, {DOMINANT} AS dominant, CASE WHEN score >= 0.65 THEN 'structural' WHEN score <= 0.35 THEN 'transient' ELSE 'mixed' END AS character, round(0.4 + 0.5 * score, 9) AS confidence, CASE WHEN {_hash(KEY, repr('has'))} < 0.8 THEN round(return_pct * ({_hash(KEY, repr('pred'))} * 3 - 0.5), 9) END AS pred, CASE WHEN return_pct > 0 THEN 'positive' WHEN return_pct < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM attr0)"
+    "attr0 AS (SELECT *, " + NINE("least(1.0, greatest(0.0, 0.5 * least(1.0, abs(return_pct) / 0.15) + 0.5 * least(1.0, abs(z) / 5) + (" + _hash(KEY, "'noise'") + " - 0.5) * 0.3))") + " AS score, " + ", ".join(f"{NINE(f'r_{d} / {TOTAL}')} AS w_{d}" for d in G.DIMENSIONS) + " FROM raw),\n"
+    f"attr AS (SELECT *, {DOMINANT} AS dominant, CASE WHEN score >= 0.65 THEN 'structural' WHEN score <= 0.35 THEN 'transient' ELSE 'mixed' END AS character, {NINE('0.4 + 0.5 * score')} AS confidence, CASE WHEN {_hash(KEY, repr('has'))} < 0.8 THEN {NINE(f"return_pct * ({_hash(KEY, repr('pred'))} * 3 - 0.5)")} END AS pred, CASE WHEN return_pct > 0 THEN 'positive' WHEN return_pct < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM attr0)"
 )
 BASE = REACTIONS.rstrip() + ",\n" + ATTR
 
@@ -42,10 +43,11 @@ def attributions(spark, d):
     return A.placeholder(rows.select("event_id", "ticker", "event_date", F.col("reaction_return").alias("return_pct"), z.alias("z"), "fwd_1d", "fwd_5d", "fwd_20d"))
 
 
-@REG.add("J10_K08_placeholder", BASE + f" SELECT event_id, dominant, character, direction, {', '.join(f'round(w_{d}, 6) + 0.0 AS w_{d}' for d in G.DIMENSIONS)}, round(pred, 6) + 0.0 AS pred, round(confidence, 6) + 0.0 AS confidence FROM attr")
+@REG.add("J10_K08_placeholder", BASE + f" SELECT event_id, dominant, character, direction, {', '.join(f'w_{d}' for d in G.DIMENSIONS)}, pred + 0.0 AS pred, confidence FROM attr")
 def k08(spark, d):
+    """As the operator gives them: at 9 places, rounded once."""
     w = [f"w_{x}" for x in G.DIMENSIONS]
-    return rounded(attributions(spark, d).select("event_id", "dominant", "character", "direction", *w, "pred", "confidence"), *w, "pred", "confidence")
+    return attributions(spark, d).select("event_id", "dominant", "character", "direction", *w, (F.col("pred") + F.lit(0.0)).alias("pred"), "confidence")
 
 
 WEIGHTED = "(" + " + ".join(f"w_{d} * {p}" for d, p in G.PERSISTENCE.items()) + ")"
@@ -202,9 +204,9 @@ H7 = lambda k: _hash(KEY, "ablation", repr(k))
 NOISE = "noise(ablation, rung, noise) AS (VALUES " + ", ".join(f"('{n}', {i}, {x}::double)" for i, (n, x) in enumerate(A.NOISE.items())) + ")"
 RUNGS = (
     NOISE
-    + ", a70 AS (SELECT raw.*, ablation, rung, round(CASE WHEN " + H7("flip") + " < noise THEN " + H7("score") + " ELSE 0.5 * least(1.0, abs(return_pct) / 0.15) + 0.5 * least(1.0, abs(z) / 5) END, 9) AS score, " + ", ".join(f"round(r_{d} / {TOTAL}, 9) AS w_{d}" for d in G.DIMENSIONS) + " FROM raw, noise),\n"
+    + ", a70 AS (SELECT raw.*, ablation, rung, " + NINE("CASE WHEN " + H7("flip") + " < noise THEN " + H7("score") + " ELSE 0.5 * least(1.0, abs(return_pct) / 0.15) + 0.5 * least(1.0, abs(z) / 5) END") + " AS score, " + ", ".join(f"{NINE(f'r_{d} / {TOTAL}')} AS w_{d}" for d in G.DIMENSIONS) + " FROM raw, noise),\n"
     + "a71 AS (SELECT *, CASE WHEN score >= 0.65 THEN 'structural' WHEN score <= 0.35 THEN 'transient' WHEN " + H7("mixed") + f" < 0.3 THEN 'mixed' ELSE 'unclear' END AS character, {DOMINANT} AS dominant, CASE WHEN return_pct > 0 THEN 'positive' WHEN return_pct < 0 THEN 'negative' ELSE 'neutral' END AS direction FROM a70),\n"
-    + "a7 AS (SELECT *, round(CASE character WHEN 'structural' THEN least(0.95, 0.5 + score / 2) WHEN 'transient' THEN least(0.95, 0.5 + (1 - score) / 2) WHEN 'mixed' THEN 0.5 ELSE 0.4 END, 9) AS confidence, CASE WHEN character = 'structural' THEN round(return_pct * (0.4 + 0.7 * " + H7("pred") + "), 9) END AS pred FROM a71)"
+    + "a7 AS (SELECT *, " + NINE("CASE character WHEN 'structural' THEN least(0.95, 0.5 + score / 2) WHEN 'transient' THEN least(0.95, 0.5 + (1 - score) / 2) WHEN 'mixed' THEN 0.5 ELSE 0.4 END") + " AS confidence, CASE WHEN character = 'structural' THEN " + NINE("return_pct * (0.4 + 0.7 * " + H7("pred") + ")") + " END AS pred FROM a71)"
 )
 BASE7 = BASE + ", " + RUNGS
 
@@ -215,9 +217,16 @@ def by_bundle(spark, d):
     return A.by_bundle(rows.select("event_id", "ticker", "event_date", F.col("reaction_return").alias("return_pct"), z.alias("z"), "fwd_1d", "fwd_5d", "fwd_20d"))
 
 
-@REG.add("K08_K10_bundles", BASE7 + " SELECT event_id, ablation, character, round(confidence, 6) AS confidence, round(pred, 6) + 0.0 AS pred FROM a7")
+@REG.add("K08_K10_bundles", BASE7 + " SELECT event_id, ablation, character, confidence, pred + 0.0 AS pred FROM a7")
 def k08b(spark, d):
-    return rounded(by_bundle(spark, d).select("event_id", "ablation", "character", "confidence", "pred"), "confidence", "pred")
+    return by_bundle(spark, d).select("event_id", "ablation", "character", "confidence", (F.col("pred") + F.lit(0.0)).alias("pred"))
+
+
+@REG.add("K46_chart_frame", BASE7 + " SELECT ablation AS label, (rung + 1)::int AS rank, count(*) AS n, round(avg((character = 'structural')::int), 6) + 0.0 AS structural_share, round(avg(confidence), 6) + 0.0 AS mean_confidence FROM a7 GROUP BY 1, 2")
+def k46(spark, d):
+    """A bar of the chart for each bundle of sources, in the ladder's order."""
+    rows = by_bundle(spark, d).groupBy(F.col("ablation").alias("label"), (F.col("rung") + 1).alias("rank"))
+    return rows.agg(F.count("*").alias("n"), r6(F.avg((F.col("character") == "structural").cast("int"))).alias("structural_share"), r6(F.avg("confidence")).alias("mean_confidence"))
 
 
 @REG.add("K31_E15_D16_matrix", BASE7 + ", " + CASES + ", " + MATCHES.replace("event_id, CASE", "event_id, rung, CASE").replace("FROM attr JOIN", "FROM a7 JOIN") + ", " + COMPOSITE + " SELECT rung::int AS rung, round(avg(composite), 6) + 0.0 AS mean_composite, round(avg(dim::int), 6) + 0.0 AS dim_accuracy, count(*) AS n FROM comp GROUP BY 1")
@@ -248,16 +257,40 @@ def k26(spark, d):
 
 @REG.add("K33_frameworks", ALL + " SELECT strategy, n_lean, n_fade, n_neutral, round(sharpe, 6) + 0.0 AS sharpe, round(hit_rate, 6) + 0.0 AS hit_rate FROM (SELECT strategy, count(*) FILTER (verdict = 'lean') AS n_lean, count(*) FILTER (verdict = 'fade') AS n_fade, count(*) FILTER (verdict = 'neutral') AS n_neutral FROM verdicts GROUP BY 1) LEFT JOIN summary USING (strategy)")
 def k33f(spark, d):
-    """Every strategy over the same attributions: what it says, and what that earned."""
-    said = verdicts(spark, d).groupBy("strategy").agg(*[F.count_if(F.col("verdict") == v).alias(f"n_{v}") for v in ("lean", "fade", "neutral")])
-    return rounded(said.join(summary(spark, d).select("strategy", "sharpe", "hit_rate"), "strategy", "left"), "sharpe", "hit_rate")
-
-
-@REG.add("E18_persistence")
+    """Every strategy over the same attributions: what it says, and what that earned; an event without a forward return earns nothing."""
+    rows = verdicts(spark, d).select("strategy", "verdict", "event_id", F.col("event_date").alias("entry_date"), B.direction(F.col("verdict"), F.col("return_pct")).alias("direction"), "fwd_5d")
+    said = {f"n_{v}": F.when(F.col("verdict") == v, 1).otherwise(0) for v in ("lean", "fade", "neutral")}
+    got = B.summarize(rows.withColumn("pnl", F.col("direction") * F.col("fwd_5d")), ["strategy"], ["entry_date", "event_id"], 5, said, idle=True)
+    active = F.col("n_trades") > 0
+    return rounded(got.select("strategy", *said, F.when(active, F.col("sharpe")).alias("sharpe"), F.when(active, F.col("hit_rate")).alias("hit_rate")), "sharpe", "hit_rate")
+
+
+def _elimination(n: int) -> str:
+    """CTEs that solve n normal equations e0 (a_i_j, b_i) by elimination; the last, x, has a column for each coefficient."""
+    out, cells = [], lambda i, j: f"a_{i}_{j}"
+    for k in range(n - 1):
+        f = lambda i, k=k: f"{cells(i, k)} / {cells(k, k)}"
+        keep = [cells(i, j) for i in range(k + 1) for j in range(i, n)] + [f"b_{i}" for i in range(k + 1)]
+        step = [f"{cells(i, j)} - {f(i)} * {cells(k, j)} AS {cells(i, j)}" for i in range(k + 1, n) for j in range(k + 1, n)] + [f"b_{i} - {f(i)} * b_{k} AS b_{i}" for i in range(k + 1, n)]
+        out.append(f"e{k + 1} AS (SELECT {', '.join(keep + step)} FROM e{k})")
+    last = f"e{n - 1}"
+    for i in reversed(range(n)):
+        known = "".join(f" - {cells(i, j)} * x_{j}" for j in range(i + 1, n))
+        out.append(f"s{i} AS (SELECT *, (b_{i}{known}) / {cells(i, i)} AS x_{i} FROM {last})")
+        last = f"s{i}"
+    return ", ".join(out)
+
+
+NORMAL = "e0 AS (SELECT " + ", ".join(f"sum(w_{a} * w_{b}) AS a_{i}_{j}" for i, a in enumerate(G.DIMENSIONS) for j, b in enumerate(G.DIMENSIONS)) + ", " + ", ".join(f"sum(w_{a} * sign(return_pct) * fwd_5d) AS b_{i}" for i, a in enumerate(G.DIMENSIONS)) + " FROM attr WHERE fwd_5d IS NOT NULL AND return_pct <> 0)"
+LARGEST = "greatest(" + ", ".join(f"abs(x_{i})" for i in range(len(G.DIMENSIONS))) + ")"
+
+
+@REG.add("E18_persistence", BASE + ", " + NORMAL + ", " + _elimination(len(G.DIMENSIONS)) + " " + " UNION ALL ".join(f"SELECT '{x}' AS dimension, round(greatest(-1.0, least(1.0, x_{i} / {LARGEST})), 6) + 0.0 AS persistence FROM s0" for i, x in enumerate(G.DIMENSIONS)))
 def e18b(spark, d):
-    """The fitted coefficient of each dimension. Least squares of five columns has no short SQL; tests hold it against numpy."""
+    """The fitted coefficient of each dimension; the SQL solves the normal equations by elimination."""
     rows = attributions(spark, d).where("fwd_5d is not null and return_pct <> 0").withColumn("y", F.signum("return_pct") * F.col("fwd_5d")).withColumnsRenamed({f"w_{x}": x for x in G.DIMENSIONS})
-    return spark.createDataFrame(sorted(V.persistence_fit(rows, list(G.DIMENSIONS), "y", G.PERSISTENCE).items()), "dimension string, persistence double")
+    fitted = spark.createDataFrame(sorted(V.persistence_fit(rows, list(G.DIMENSIONS), "y", G.PERSISTENCE).items()), "dimension string, persistence double")
+    return rounded(fitted, "persistence")
 
 
 @REG.add("K30_E14_accuracy", BASE + ", " + VERDICTS + ", forced AS (SELECT event_id, strategy, CASE WHEN verdict <> 'neutral' THEN verdict WHEN character IN ('structural', 'mixed') THEN 'lean' ELSE 'fade' END AS v, CASE WHEN event_id % 4 = 0 THEN NULL WHEN event_id % 2 = 1 THEN 'lean' ELSE 'fade' END AS e FROM verdicts) SELECT strategy, count(e) AS n_scored, round(avg((v = e)::int), 4) AS accuracy FROM forced GROUP BY 1")
@@ -302,27 +335,44 @@ def j12(spark, d):
     return attributions(spark, d).select("event_id", r6(S.entropy_share([F.col(f"w_{x}") for x in G.DIMENSIONS])).alias("entropy"))
 
 
-@REG.add("B07_cache_keys", BASE + " SELECT event_id, substr(sha256(concat_ws('|', ticker::varchar, event_date::varchar, 'all_sources', 'v1')), 1, 24) AS cache_key FROM attr")
+@REG.add("B07_cache_keys", BASE + " SELECT event_id, substr(sha256(concat_ws('|', ticker::varchar, event_date::varchar, '+positioning', 'v1')), 1, 24) AS cache_key FROM attr")
 def b07(spark, d):
-    return attributions(spark, d).select("event_id", A.cache_key(F.col("ticker").cast("string"), F.col("event_date"), F.lit("all_sources"), "v1").alias("cache_key"))
+    return attributions(spark, d).select("event_id", A.cache_key(F.col("ticker").cast("string"), F.col("event_date"), F.lit("+positioning"), "v1").alias("cache_key"))
+
+
+LADDER_SQL = """b(ablation, ord, s) AS (VALUES
+  ('base_news', 0, ['news']),
+  ('+sec', 1, ['news', 'sec_10k', 'sec_10q', 'sec_8k']),
+  ('+earnings', 2, ['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript']),
+  ('+peer_news', 3, ['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript', 'peer_news']),
+  ('+sector_news', 4, ['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript', 'peer_news', 'sector_news']),
+  ('+macro', 5, ['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript', 'peer_news', 'sector_news', 'macro']),
+  ('+positioning', 6, ['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript', 'peer_news', 'sector_news', 'macro', 'research_13f']))"""
+#: Source types by the remainder of an id by their number, as the tables have none.
+DRAWN_SOURCES = ("news", "sec_10k", "sec_10q", "sec_8k", "earnings_transcript", "peer_news", "sector_news", "macro", "research_13f", "thirteen_f")
+DRAWN_SQL = "['news', 'sec_10k', 'sec_10q', 'sec_8k', 'earnings_transcript', 'peer_news', 'sector_news', 'macro', 'research_13f', 'thirteen_f']"
+
+
+def drawn_source(key):
+    return F.get(F.array(*[F.lit(x) for x in DRAWN_SOURCES]), (key % len(DRAWN_SOURCES)).cast("int"))
 
 
-@REG.add("C26_ablation_filter", "WITH b(ablation, ord, s) AS (VALUES " + ", ".join(f"('{n}', {i}, [{', '.join(repr(x) for x in s)}])" for i, (n, s) in enumerate(A.LADDER)) + ") SELECT ablation, source, count(*) AS n FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'news' WHEN 1 THEN 'peer_news' WHEN 2 THEN 'sec_10k' ELSE 'macro' END AS source FROM documents), b WHERE list_contains(s, source) GROUP BY 1, 2")
+@REG.add("C26_ablation_filter", f"WITH {LADDER_SQL} SELECT ablation, source, count(*) AS n FROM (SELECT doc_id, {DRAWN_SQL}[doc_id % 10 + 1] AS source FROM documents), b WHERE list_contains(s, source) GROUP BY 1, 2")
 def c26(spark, d):
     from eventloom.plans.base import table
 
-    k = F.col("doc_id")
-    docs = table(spark, d, "documents").select(F.when(k % 4 == 0, "news").when(k % 4 == 1, "peer_news").when(k % 4 == 2, "sec_10k").otherwise("macro").alias("source"))
+    docs = table(spark, d, "documents").select(drawn_source(F.col("doc_id")).alias("source"))
     rungs = A.bundles(spark).select("ablation", F.explode("sources").alias("source"))
     return docs.join(F.broadcast(rungs), "source").groupBy("ablation", "source").agg(F.count(F.lit(1)).alias("n"))  # a few dozen rows
 
 
-@REG.add("C27_smallest_bundle", "WITH w AS (SELECT user_id AS id, list(DISTINCT CASE event_id % 9 WHEN 0 THEN 'macro' WHEN 1 THEN 'news' ELSE 'sec_10k' END) AS s FROM events WHERE value > 60 GROUP BY 1), b(ablation, ord, bs) AS (VALUES " + ", ".join(f"('{n}', {i}, [{', '.join(repr(x) for x in s)}])" for i, (n, s) in enumerate(A.LADDER)) + ") SELECT id, arg_min(ablation, ord) AS ablation FROM w LEFT JOIN b ON list_has_all(bs, s) GROUP BY 1")
+@REG.add("C27_smallest_bundle", f"WITH w AS (SELECT user_id || ':' || ts::date AS id, list(DISTINCT {DRAWN_SQL}[event_id % 10 + 1]) AS w FROM events GROUP BY 1), {LADDER_SQL} SELECT id, arg_min(ablation, ord) AS ablation FROM w LEFT JOIN b ON list_has_all(s, w) GROUP BY 1")
 def c27(spark, d):
+    """A user's day wants the sources of its events; one from a source outside the ladder has no bundle."""
     from eventloom.plans.base import table
 
-    src = F.when(F.col("event_id") % 9 == 0, "macro").when(F.col("event_id") % 9 == 1, "news").otherwise("sec_10k")
-    wanted = table(spark, d, "events").where("value > 60").groupBy(F.col("user_id").alias("id")).agg(F.collect_set(src).alias("sources"))
+    day = F.concat(F.col("user_id").cast("string"), F.lit(":"), F.to_date("ts").cast("string"))
+    wanted = table(spark, d, "events").groupBy(day.alias("id")).agg(F.collect_set(drawn_source(F.col("event_id"))).alias("sources"))
     return A.smallest_bundle(spark, wanted)
 
 

@@ -85,10 +85,10 @@ def i13(spark, d):
     return table(spark, d, "pages").select("page_id", T.cashtag(title, body).alias("tag"), T.date_in_url(link).alias("dated"))
 
 
-@REG.add("I14_symbols", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(upper(regexp_replace(substr(text, 1, 200), '[^ -~\n]', '', 'g')), '[,;\s]+'), lambda x: x <> ''), '|') AS symbols FROM documents")
+@REG.add("I14_symbols", r"SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(upper(regexp_replace(coalesce(text, ''), '[^ -~\n]', '', 'g')), '[,;\s]+'), lambda x: x <> ''), '|') AS symbols FROM documents")
 def i14(spark, d):
-    """Symbols of lists in text: here the plain letters of texts' beginnings, whose words commas and spaces part."""
-    plain = F.regexp_replace(F.substring("text", 1, 200), r"[^ -~\n]", "")
+    """Symbols of lists in text: here the plain letters of whole texts, whose words commas and spaces part."""
+    plain = F.regexp_replace("text", r"[^ -~\n]", "")
     return table(spark, d, "documents").select("doc_id", F.array_join(T.symbols(plain), "|").alias("symbols"))
 
 

@@ -254,9 +254,74 @@ def test_attribution_helpers(spark):
     r = one(spark, ok=attribution.issues(w, F.lit(0.5), F.array(F.lit("a")), pool), bad=attribution.issues([F.lit(0.5)] * 5, F.lit(2.0), F.array(F.lit("z")), pool), kept=attribution.sanitise(F.array(F.lit("z")), pool)[0])
     assert list(r.ok) == [] and len(r.bad) == 3 and list(r.kept) == ["a"]
     rows = spark.createDataFrame([(1, ["a"])], "id int, sources array<string>").withColumn("sources", F.array(F.lit("sec_10k"), F.lit("news")))
-    assert attribution.smallest_bundle(spark, rows).first().ablation == "plus_news"
-    answers = attribution.with_provider(spark.range(5).toDF("id"), lambda p: p.assign(answer=p["id"] * 2), "id long, answer long")
-    assert sorted(r.answer for r in answers.collect()) == [0, 2, 4, 6, 8]
+    assert attribution.smallest_bundle(spark, rows).first().ablation == "+sec"
+
+
+def test_ladders_are_cumulative_and_named_as_their_noise():
+    for ladder in (attribution.LADDER, attribution.SERVED_LADDER):
+        assert [n for n, _ in ladder] == list(attribution.NOISE)
+        assert all(set(a) < set(b) for (_, a), (_, b) in zip(ladder, ladder[1:], strict=False))
+    assert attribution.LADDER[1][1] == ("news", "sec_10k", "sec_10q", "sec_8k") and attribution.LADDER[-1][1][-1] == "research_13f"
+
+
+def brute_summary(rows):
+    """rows of one key in order: (direction, pnl)."""
+    active = [p for d, p in rows if d != 0]
+    if not active:
+        return None
+    cum = peak = worst = None
+    for p in active:
+        cum = p if cum is None else cum + p
+        peak = cum if peak is None else max(peak, cum)
+        worst = min(cum - peak, worst if worst is not None else 0.0)
+    return len(active), sum(active) / len(active), worst, sum(p > 0 for p in active) / len(active)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_scan_over_days_equals_one_pass(spark, seed):
+    """Days with many rows, idle rows and idle days; keys that are null; against a loop over the whole series."""
+    import random
+
+    r = random.Random(seed)
+    rows = [(r.choice(["a", "b", None]), r.randint(1, 12), i, d := r.choice([-1, 0, 0, 1]), d * r.choice([0.01, -0.02, 0.05, -0.04])) for i in range(150)]
+    rows += [("idle", k, 1000 + k, 0, 0.0) for k in range(5)] + [("same", k, 2000 + k, 1, 0.1) for k in range(6)]
+    df = spark.createDataFrame(rows, "k string, day int, i int, direction int, pnl double").repartition(5)
+    got = {x.k: x for x in backtest.summarize(df, ["k"], ["day", "i"], 5, {"n_all": F.lit(1)}, idle=True).collect()}
+    for k in ("a", "b", None, "idle", "same"):
+        own = [(d, p) for key, _, _, d, p in sorted(rows, key=lambda x: (x[1], x[2])) if key == k]
+        want = brute_summary(own)
+        assert got[k].n_all == len(own)
+        if want is None:
+            assert got[k].n_trades == 0 and got[k].max_drawdown is None and got[k].sharpe == 0
+        else:
+            assert (got[k].n_trades, got[k].avg_return, got[k].max_drawdown, got[k].hit_rate) == pytest.approx(want)
+    assert got["same"].sharpe == 0 and got["same"].max_drawdown == 0
+    curve = backtest.curve(df.where("k = 'a'"), ["k"], ["day", "i"], 100).orderBy("day", "i").collect()
+    cum = peak = None
+    for x in curve:
+        cum = 100 * x.pnl + (cum or 0)
+        peak = cum if peak is None else max(peak, cum)
+        assert (x.cumulative, x.drawdown) == pytest.approx((cum, cum - peak), abs=1e-9)
+    plan = backtest.summarize(df, ["k"], ["day", "i"])._jdf.queryExecution().executedPlan().toString()
+    assert all("day#" in line.split("specifiedwindowframe")[0] or "day#" in line for line in plan.split("\n") if " Window " in line or "- Window" in line)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_exact_quantiles(spark, monkeypatch, seed):
+    """Few buckets, so that ranges narrow many times; ties, huge spans, nulls and NaN."""
+    import numpy as np
+
+    from eventloom.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "BUCKETS", 8)
+    rng = np.random.default_rng(seed)
+    values = [("a", float(x)) for x in rng.normal(0, 1, 300)] + [("b", float(x)) for x in rng.integers(0, 3, 200)] + [(None, float(x)) for x in 10.0 ** rng.uniform(-200, 200, 100)] + [("c", 7.0), ("d", None), ("d", float("nan"))]
+    df = spark.createDataFrame(values, "k string, v double").repartition(6)
+    got = quantiles.exact_quantiles(df, "v", (0.0, 0.25, 0.5, 0.9, 1.0), "k")
+    for k in ("a", "b", None, "c"):
+        own = [v for g, v in values if g == k]
+        assert got[k] == pytest.approx(list(np.quantile(own, [0.0, 0.25, 0.5, 0.9, 1.0])), rel=1e-12), k
+    assert set(got) == {"a", "b", None, "c"} and quantiles.exact_quantiles(df.limit(0), "v", (0.5,)) == {}
 
 
 def test_paged_source(spark):

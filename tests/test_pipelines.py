@@ -106,6 +106,18 @@ def test_repair(spark):
     got = {r.id: r for r in P.repair_citations(rows).collect()}
     assert [got[1][f"cites_{d}"] for d in P.AFFINITY] == [["t1"], ["t1"], ["p1"], ["t1"], ["m1"]]
     assert not got[2].repaired and got[2].cites_demand == ["n1"] and not got[3].repaired
+    # known answers of the affinity table: what each dimension takes as sources go one by one
+    order = ["earnings_transcript", "news", "peer_news", "sec_10k", "sec_8k", "sector_news", "macro"]
+    want = {
+        "demand": ["earnings_transcript", "news", "peer_news", "sector_news", "sector_news", "sector_news", "macro"],
+        "pricing": ["earnings_transcript", "sec_10k", "sec_10k", "sec_10k", "sec_8k", "sector_news", "macro"],
+        "competitive": ["peer_news", "peer_news", "peer_news", "sec_10k", "sector_news", "sector_news", "macro"],
+        "management_credibility": ["earnings_transcript", "sec_8k", "sec_8k", "sec_8k", "sec_8k", "sector_news", "macro"],
+        "macro": ["macro", "macro", "macro", "macro", "macro", "macro", "macro"],
+    }
+    rows = spark.createDataFrame([(i, [(s, s) for s in order[i:]], *[["x"]] * 5) for i in range(len(order))], f"id int, chunks array<struct<chunk_id:string,source_type:string>>, {cites}")
+    got = {r.id: r for r in P.repair_citations(rows).collect()}
+    assert {d: [got[i][f"cites_{d}"][0] for i in range(len(order))] for d in P.AFFINITY} == want
 
 
 def test_typed_records(spark):
