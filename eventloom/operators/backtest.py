@@ -29,20 +29,26 @@ def _within_days(rows: DataFrame, keys: list[str], order: list[str], value: Colu
     return rows.withColumn("_cum", F.sum(value).over(w)).withColumn("_peak", F.max("_cum").over(w))
 
 
+#: Parts of a currency unit in which a curve is summed: exactly, so that it doesn't depend on how rows are dealt.
+MICRO = 1_000_000
+
+
 def curve(pnl: DataFrame, keys: list[str], order: list[str], notional: float = 1.0) -> DataFrame:
-    """Adds cumulative pnl and the drawdown from its running maximum, which starts with the first row.
+    """Adds cumulative pnl (amounts at 6 places, summed exactly) and the drawdown from its running maximum, which starts with the first row.
 
     A prefix scan: running sums within each key's day, then sums over days (a row for each day, so a calendar's worth for a
     key), then both together. order: a day and what orders its rows; keys aren't null.
     """
-    rows = _within_days(pnl, keys, order, F.col("pnl") * notional)
+    amount = F.floor(F.col("pnl") * notional * MICRO + 0.5).cast("decimal(19,0)")
+    rows = _within_days(pnl, keys, order, amount)
     at = [*keys, order[0]]
-    days = rows.groupBy(*at).agg(F.sum(F.col("pnl") * notional).alias("_total"), F.max("_cum").alias("_top"))
+    days = rows.groupBy(*at).agg(F.sum(amount).alias("_total"), F.max("_cum").alias("_top"))
     so_far = W.partitionBy(*keys).orderBy(order[0]).rowsBetween(W.unboundedPreceding, -1)
-    carried = days.withColumn("_before", F.coalesce(F.sum("_total").over(so_far), F.lit(0.0))).withColumn("_above", F.max(F.col("_before") + F.col("_top")).over(so_far))
+    carried = days.withColumn("_before", F.coalesce(F.sum("_total").over(so_far), F.lit(0))).withColumn("_above", F.max(F.col("_before") + F.col("_top")).over(so_far))
     out = rows.join(carried.select(*at, "_before", "_above"), at)
-    out = out.withColumn("cumulative", F.col("_before") + F.col("_cum"))
-    return out.withColumn("drawdown", F.col("cumulative") - F.greatest("_above", F.col("_before") + F.col("_peak"))).drop("_cum", "_peak", "_before", "_above")
+    total = F.col("_before") + F.col("_cum")
+    fall = total - F.greatest("_above", F.col("_before") + F.col("_peak"))
+    return out.withColumns({"cumulative": total.cast("double") / MICRO, "drawdown": fall.cast("double") / MICRO}).drop("_cum", "_peak", "_before", "_above")
 
 
 def summarize(pnl: DataFrame, keys: list[str], order: list[str], horizon: int = 5, extra: dict[str, Column] | None = None, idle: bool = False) -> DataFrame:

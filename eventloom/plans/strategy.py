@@ -110,10 +110,14 @@ def e09(spark, d):
     return rounded(summary(spark, d), "avg_return", "sharpe", "hit_rate", "max_drawdown")
 
 
-@REG.add("F18_equity_curve", ALL + " SELECT event_id, strategy, round(10000 * cum, 2) + 0.0 AS cumulative FROM dd")
+MICRO = "(sum(floor(pnl * 10000 * 1000000 + 0.5)::bigint) OVER (PARTITION BY strategy ORDER BY entry_date, event_id))::double"
+
+
+@REG.add("F18_equity_curve", BASE + ", " + VERDICTS + ", " + TRADES + ", " + PNL + f" SELECT event_id, strategy, floor(({MICRO} + 5000) / 10000) / 100 AS cumulative FROM pnl WHERE direction <> 0")
 def f18(spark, d):
     rows = B.curve(pnl(spark, d).where("direction <> 0"), ["strategy"], ["entry_date", "event_id"], 10000)
-    return rows.select("event_id", "strategy", (F.round("cumulative", 2) + F.lit(0.0)).alias("cumulative"))
+    cents = F.floor((F.round(F.col("cumulative") * B.MICRO) + 5000) / 10000)
+    return rows.select("event_id", "strategy", (cents / 100).alias("cumulative"))
 
 
 @REG.add("E10_total_dollars", ALL + " SELECT strategy, round(sum(pnl * 10000), 2) + 0.0 AS dollars FROM pnl GROUP BY 1")

@@ -406,3 +406,56 @@ def test_delta_texts_of_all_customers(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/customer.parquet").selectExpr("'f' AS fund", "c_custkey AS ticker", "'2024-02-14' AS filing_date", "'NEW' AS action", "explode(array(c_custkey, -1000 * c_custkey)) AS shares_change")
     want = sorted((str(r.ticker), f"f NEW: {r.shares_change:+,} shares") for r in rows.collect())
     assert len(want) == 3000 and sorted((r.ticker, r.text) for r in unify.holding_deltas(rows).collect()) == want
+
+
+def test_each_request_is_asked_for_once(spark, tmp_path):
+    """Four calls a move, whatever reads the answers; through the cache none the second time, but for failures."""
+    from eventloom.operators import provider as P
+    from eventloom.plans.serving import moody, word_counter
+
+    asked = tmp_path / "calls"
+
+    def counted(request):
+        with asked.open("a") as f:
+            f.write(f"{request['event_id']} {request['variant']}\n")
+        return moody(request)
+
+    moves = spark.createDataFrame([(i, 7, 0.1) for i in (1, 3, 5, 7)], "event_id long, ticker long, return_pct double").withColumn("move_date", F.to_date(F.lit("2024-01-09")))
+    chunks = [(i, f"c{i}_{k}", f"from {'news' if k % 2 else 'sec_10k'}", 1.0 - k / 10) for i in (1, 3, 5, 7) for k in range(6)]
+    rows = P.evidence(moves, spark.createDataFrame(chunks, "event_id long, chunk_id string, text string, score double").withColumn("publication_date", F.to_date(F.lit("2024-01-05"))))
+    doubter = lambda request: {"plausible": True}
+    got = P.perturbation(rows, counted, reviewer=doubter)
+    assert got.count() == 12 and got.where("passed").count() <= 9
+    got.collect()
+    calls = asked.read_text().split("\n")[:-1]
+    assert sorted(calls) == sorted({f"{i} {v}" for i in (1, 3, 5, 7) for v in ("base", "determinism", "shuffle", "junk")})
+    failed = {(r.event_id, r.check): r.reason for r in got.where("not passed").collect()}
+    assert "character flipped" in failed[7, "determinism"] and all("call failed" in v for k, v in failed.items() if k[0] == 5)
+
+    asked.unlink()
+    cache = str(tmp_path / "answers")
+    asked_rows = P.requests(rows)
+    for n in (4, 1):  # the second time only the call that failed is made again
+        out = P.answers(asked_rows, counted, cache=cache)
+        assert sorted(r.event_id for r in out.collect()) == [1, 3, 5, 7] and out.where("failed is null").count() == 3
+        assert len(asked.read_text().split("\n")[:-1]) == n
+        asked.unlink()
+    assert word_counter({"event_id": 1, "body": "CHUNKS from news", "chunk_ids": ["a"]})["demand"]["weight"] == pytest.approx(0.8)
+
+
+def test_reading_through_a_cache(spark, tmp_path):
+    from eventloom.sources.staging import read_through
+
+    path, seen = str(tmp_path / "cache"), []
+
+    def answer(rows):
+        seen.append(sorted(r.cache_key for r in rows.collect()))
+        return rows.select("cache_key", (F.length("cache_key") * 2).alias("a"))
+
+    ask = lambda keys: spark.createDataFrame([(k,) for k in keys], "cache_key string")
+    one = read_through(ask(["x", "x", "yy"]), answer, path)
+    two = read_through(ask(["yy", "zzz"]), answer, path)
+    assert sorted(map(tuple, one.collect())) == [("x", 2), ("yy", 4)] and sorted(map(tuple, two.collect())) == [("yy", 4), ("zzz", 6)]
+    assert seen == [["x", "yy"], ["zzz"]]
+    spark.createDataFrame([("x", 9)], "cache_key string, a int").write.mode("append").parquet(path)  # two runs at the same time
+    assert [r.a for r in read_through(ask(["x"]), answer, path).collect()] == [2]
