@@ -150,10 +150,11 @@ def evidence(moves: DataFrame, chunks: DataFrame) -> DataFrame:
     """Each move with its best chunks, tagged by weight: ids, body, pool (all of its chunks), window_start, window_end.
 
     moves: event_id, ticker, move_date, return_pct. chunks: event_id, chunk_id, text, score, publication_date. The
-    window ends with the move at the latest.
+    window ends with the move at the latest. A column pool of chunks says how many there are, where only the best are given.
     """
-    counted = chunks.groupBy("event_id").agg(F.count(F.lit(1)).alias("pool"))
-    best = filter_and_rank(chunks, key="event_id").where(F.col("rank") <= MAX_CHUNKS)
+    given = "pool" in chunks.columns
+    counted = chunks.groupBy("event_id").agg((F.first("pool") if given else F.count(F.lit(1))).alias("pool"))
+    best = filter_and_rank(chunks, key="event_id", pool="pool" if given else None).where(F.col("rank") <= MAX_CHUNKS).drop("pool")
     tagged = best.withColumn("text", tag_weight(F.col("text"), F.col("score")))
     own = F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text")))
     listed = tagged.groupBy("event_id").agg(own.alias("chunks"), F.min("publication_date").alias("_a"), F.max("publication_date").alias("_b"))

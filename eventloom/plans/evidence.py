@@ -117,17 +117,30 @@ final AS (SELECT *, CASE WHEN published > move_date THEN 0.0 ELSE exp(-ln(2) * d
 scores AS (SELECT *, round(quality * recency * align, 9) AS score FROM final)"""
 
 
-def scored(spark, d):
-    """Chunks of each move with their score."""
+def chunk_rows(spark, d):
+    """Documents as chunks of a ticker."""
     k = F.col("doc_id")
     src = F.when(k % 4 == 0, "news").when(k % 4 == 1, "peer_news").when(k % 4 == 2, "sec_10k").otherwise("macro")
     pub = F.when(F.col("source") == "src1", "Reuters").when(F.col("source") == "src2", "The Motley Fool").when(F.col("source") == "src3", "").otherwise(F.col("source"))
-    docs = table(spark, d, "documents").select((k % 150).alias("ticker"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), src.alias("src"), pub.alias("publisher"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 45).cast("int")).alias("published"), F.when(k % 3 == 0, (k % 150).cast("string")).otherwise("other").alias("chunk_ticker"))
-    rows = moves(spark, d).select("move_id", "ticker", "move_date").join(docs, "ticker")
+    return table(spark, d, "documents").select((k % 150).alias("ticker"), F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"), src.alias("src"), pub.alias("publisher"), F.date_add(F.lit("2024-01-01").cast("date"), (k % 45).cast("int")).alias("published"), F.when(k % 3 == 0, (k % 150).cast("string")).otherwise("other").alias("chunk_ticker"))
+
+
+def scored(spark, d):
+    """All chunks of each move's ticker with their score."""
+    rows = moves(spark, d).select("move_id", "ticker", "move_date").join(chunk_rows(spark, d), "ticker")
     s = V.score(F.col("src"), F.col("publisher"), F.col("published"), F.col("move_date"), F.col("chunk_ticker"), F.col("ticker").cast("string"))
     return rows.withColumn("score", F.round(s, 9))
 
 
+def best(spark, d):
+    """Of each move's chunks those that may be kept."""
+    return V.best_scored(moves(spark, d).select("move_id", "ticker", "move_date"), chunk_rows(spark, d))
+
+
+def kept(spark, d):
+    return V.filter_and_rank(best(spark, d), pool="pool")
+
+
 @REG.add("J06_J09_scores", with_(MOVES, SCORED) + "SELECT move_id, chunk_id, round(score, 6) + 0.0 AS score FROM scores")
 def j09(spark, d):
     return rounded(scored(spark, d).select("move_id", "chunk_id", "score"), "score")
@@ -138,7 +151,7 @@ G02 = "kept AS (SELECT move_id, chunk_id, score, rank FROM (SELECT *, row_number
 
 @REG.add("G02_filter_and_rank", with_(MOVES, SCORED, G02) + "SELECT move_id, chunk_id, rank::int AS rank FROM kept")
 def g02(spark, d):
-    return V.filter_and_rank(scored(spark, d)).select("move_id", "chunk_id", "rank")
+    return kept(spark, d).select("move_id", "chunk_id", "rank")
 
 
 @REG.add("I19_weight_tags", with_(MOVES, SCORED) + "SELECT move_id, chunk_id, '[EVIDENCE_WEIGHT ' || CASE WHEN s >= 0.75 THEN 'HIGH' WHEN s >= 0.40 THEN 'MED' ELSE 'LOW' END || printf(' (%.2f)] ', s) || chunk_id AS tagged FROM (SELECT *, round(score::decimal(28, 9), 2)::double AS s FROM scores)")
@@ -150,22 +163,25 @@ def i19(spark, d):
 
 @REG.add("G03_interleave", with_(MOVES, SCORED) + ", turns AS (SELECT *, row_number() OVER (PARTITION BY move_id, src ORDER BY published DESC, chunk_id) AS turn FROM scores) SELECT move_id, chunk_id, row_number() OVER (PARTITION BY move_id ORDER BY turn, src)::int AS place FROM turns")
 def g03(spark, d):
-    return V.interleave(scored(spark, d), "move_id", "src", "published", "chunk_id").select("move_id", "chunk_id", "place")
+    # a chunk's place is the same for all moves of its ticker, so the order is made once
+    placed = V.interleave(chunk_rows(spark, d), "ticker", "src", "published", "chunk_id").select("ticker", "chunk_id", "place")
+    return moves(spark, d).select("move_id", "ticker").join(placed, "ticker").select("move_id", "chunk_id", "place")
 
 
 @REG.add("G04_G05_prefix_or_cited", with_(MOVES, SCORED, G02) + "SELECT move_id, chunk_id FROM kept WHERE rank <= 3 OR chunk_id LIKE '%7'")
 def g05(spark, d):
-    return V.prefix_or_cited(V.filter_and_rank(scored(spark, d)).withColumn("cited", F.col("chunk_id").endswith("7")), 3).select("move_id", "chunk_id")
+    return V.prefix_or_cited(kept(spark, d).withColumn("cited", F.col("chunk_id").endswith("7")), 3).select("move_id", "chunk_id")
 
 
 @REG.add("E16_counts_by_source", with_(MOVES, SCORED) + "SELECT move_id, src, count(*) AS n FROM scores GROUP BY 1, 2")
 def e16(spark, d):
-    return scored(spark, d).groupBy("move_id", "src").agg(F.count(F.lit(1)).alias("n"))
+    by = chunk_rows(spark, d).groupBy("ticker", "src").agg(F.count(F.lit(1)).alias("n"))
+    return moves(spark, d).select("move_id", "ticker").join(by, "ticker").select("move_id", "src", "n")
 
 
 @REG.add("E21_window_bounds", with_(MOVES, SCORED, G02) + "SELECT k.move_id, min(published) AS window_start, least(max(published), any_value(move_date)) AS window_end FROM kept k JOIN scores s ON s.move_id = k.move_id AND s.chunk_id = k.chunk_id WHERE rank <= 30 GROUP BY 1")
 def e21(spark, d):
-    return V.filter_and_rank(scored(spark, d)).where("rank <= 30").groupBy("move_id").agg(F.min("published").alias("window_start"), F.least(F.max("published"), F.first("move_date")).alias("window_end"))
+    return kept(spark, d).where("rank <= 30").groupBy("move_id").agg(F.min("published").alias("window_start"), F.least(F.max("published"), F.first("move_date")).alias("window_end"))
 
 
 @REG.add("H02_article_dedupe", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY lower(trim(text)), source ORDER BY doc_id) AS k FROM documents) WHERE k = 1")

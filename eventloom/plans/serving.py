@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from eventloom.functions.signals import DIMENSIONS
 from eventloom.operators import provider as P
 from eventloom.plans.base import MOVES, Registry, r6, table, with_
-from eventloom.plans.evidence import G02, SCORED, scored
+from eventloom.plans.evidence import G02, SCORED, best
 from eventloom.sources.staging import staged
 
 REG = Registry()
@@ -16,11 +16,11 @@ CITED = "cited AS (SELECT move_id AS event_id, string_agg(chunk_id, ',' ORDER BY
 
 
 def moves_and_chunks(spark, d):
-    """Moves, and the scored chunks of each; a chunk's text names its source."""
+    """Moves, and the best chunks of each; a chunk's text names its source."""
     from eventloom.plans.base import moves
 
     m = moves(spark, d).select(F.col("move_id").alias("event_id"), "ticker", "move_date", "return_pct", F.lit(0.0).alias("z"))
-    c = scored(spark, d).select(F.col("move_id").alias("event_id"), "chunk_id", F.concat(F.lit("from "), F.col("src")).alias("text"), "score", F.col("published").alias("publication_date"))
+    c = best(spark, d).select(F.col("move_id").alias("event_id"), "chunk_id", F.concat(F.lit("from "), F.col("src")).alias("text"), "score", F.col("published").alias("publication_date"), "pool")
     return m, c
 
 

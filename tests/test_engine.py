@@ -459,3 +459,26 @@ def test_reading_through_a_cache(spark, tmp_path):
     assert seen == [["x", "yy"], ["zzz"]]
     spark.createDataFrame([("x", 9)], "cache_key string, a int").write.mode("append").parquet(path)  # two runs at the same time
     assert [r.a for r in read_through(ask(["x"]), answer, path).collect()] == [2]
+
+
+@pytest.mark.parametrize(("seed", "n"), [(1, 900), (2, 40), (3, 2500)])
+def test_best_chunks_are_those_of_all(spark, seed, n):
+    """What meets a move after pruning gives the same result as scoring every chunk of its ticker, and is far less."""
+    import random
+    from datetime import date, timedelta
+
+    r = random.Random(seed)
+    day = lambda: date(2022, 1, 1) + timedelta(days=r.randint(0, 900))
+    sources = ["news", "peer_news", "sec_10k", "macro", "sec_8k", "other"]
+    docs = [(r.choice([1, 1, 1, 2, 3]), f"c{i:05d}", r.choice(sources), r.choice(["Reuters", "", "x"]), day(), r.choice(["1", "2", "z"])) for i in range(n)]
+    docs += [(4, f"late{i}", "news", "", date(2030, 1, 1), "4") for i in range(12)] + [(5, f"few{i}", "news", "", day(), "5") for i in range(3)]
+    found = [(i, r.choice([1, 2, 3, 4, 5]), day()) for i in range(40)]
+    chunks = spark.createDataFrame(docs, "ticker long, chunk_id string, src string, publisher string, published date, chunk_ticker string")
+    moves = spark.createDataFrame(found, "move_id long, ticker long, move_date date")
+    s = relevance.score(F.col("src"), F.col("publisher"), F.col("published"), F.col("move_date"), F.col("chunk_ticker"), F.col("ticker").cast("string"))
+    every = moves.join(chunks, "ticker").withColumn("score", F.round(s, 9))
+    best = relevance.best_scored(moves, chunks)
+    pick = lambda df: sorted((x.move_id, x["rank"], x.chunk_id, x.score) for x in df.collect())
+    assert pick(relevance.filter_and_rank(best, pool="pool")) == pick(relevance.filter_and_rank(every))
+    if n > 2000:
+        assert best.count() < 0.7 * every.count()
