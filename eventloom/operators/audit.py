@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,3 +30,21 @@ def look_ahead(joined: DataFrame, used: str, at: str) -> DataFrame:
 def renamed(names: DataFrame) -> DataFrame:
     """Tickers under which more than one name is on record."""
     return names.groupBy("ticker").agg(F.countDistinct("name").alias("n_names")).where("n_names > 1")
+
+
+def expectations(rows: DataFrame, checks: dict[str, Column], key: str) -> DataFrame:
+    """Many row-wise expectations in one aggregate: check, n (rows), failed, share, and sample (the least key that fails).
+
+    A check that is null for a row doesn't speak of it.
+    """
+    cells = [
+        F.struct(
+            F.lit(name).alias("check"),
+            F.count(ok).alias("n"),
+            F.count_if(~ok).alias("failed"),
+            F.coalesce(F.try_divide(F.count_if(~ok), F.count(ok)), F.lit(0.0)).alias("share"),
+            F.min(F.when(~ok, F.col(key))).alias("sample"),
+        )
+        for name, ok in checks.items()
+    ]
+    return rows.agg(F.array(*cells).alias("c")).select(F.explode_outer("c").alias("x")).select("x.*")

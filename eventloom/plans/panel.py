@@ -304,3 +304,25 @@ def a03(spark, d):
 
     raw = table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("symbol"), F.date_format("l_shipdate", "yyyy-MM-dd").alias("report_date"), F.col("l_extendedprice").cast("decimal(38,2)").alias("close"))
     return load_panel(raw, ["3", "5"], "1998-06-30").select("ticker", "date", F.round("close", 2).alias("close"))
+
+
+CHECKS = {
+    "price is positive": "pre_price > 0",
+    "anchor is not before the event": "anchor_date >= event_date",
+    "anchor is within a week": "date_diff('day', event_date, anchor_date) <= 7",
+    "reaction is within half": "abs(reaction_return) <= 0.5",
+    "forward return is within half": "abs(fwd_5d) <= 0.5",
+    "forward return is known": "fwd_20d IS NOT NULL",
+    "deviation is known": "vol_60d IS NOT NULL",
+    "session is of the market": "session IN ('BMO', 'AMC')",
+    "reaction is down": "reaction_return <= 0",
+}
+
+
+@REG.add("K41_audit_pass", REACTIONS + " UNION ALL ".join(f"SELECT '{k}' AS \"check\", count({x}) AS n, count(*) FILTER (NOT ({x})) AS failed, round(count(*) FILTER (NOT ({x})) / count({x}), 6) AS share, min(event_id) FILTER (NOT ({x})) AS sample FROM react" for k, x in CHECKS.items()))
+def k41p(spark, d):
+    """All checks of the reactions in one pass over them."""
+    from eventloom.operators.audit import expectations
+
+    c = {k: F.expr(x.replace("date_diff('day', event_date, anchor_date)", "datediff(anchor_date, event_date)")) for k, x in CHECKS.items()}
+    return rounded(expectations(R.reactions(dated_events(spark, d), panel(spark, d)), c, "event_id"), "share")

@@ -88,11 +88,32 @@ def read_filings(spark: SparkSession, path: str, ticker: str | None = None) -> D
     return each.select("ticker", F.col("f.form").alias("form"), F.expr("try_to_date(f.filingDate)").alias("filing_date"), F.expr("try_to_date(f.reportDate)").alias("period_end"), F.explode("f.report").alias("section", "sentences"))
 
 
-def latest_snapshot(spark: SparkSession, path: str, key: str = "ticker") -> DataFrame:
-    """Rows of each key's last file by name; a chunk_id counts once."""
-    rows = spark.read.json(path).withColumn("_file", F.element_at(F.split(F.input_file_name(), "/"), -1))
-    last = rows.groupBy(key).agg(F.max("_file").alias("_file"))
-    return rows.join(last, [key, "_file"], "left_semi").dropDuplicates(["chunk_id"]).drop("_file")
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Snapshot files of a glob by their names <source>_<ticker>_<ISO date>...: path, name, source, ticker, as_of. Files are listed, not read."""
+    files = spark.read.format("binaryFile").load(path).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = r"^([^_]+)_(.+?)_(\d{4}-\d{2}-\d{2})"
+    named = files.select("path", name.alias("name"), *(F.nullif(F.regexp_extract(name, parts, i), F.lit("")).alias(c) for i, c in ((1, "source"), (2, "ticker"), (3, "as_of"))))
+    return named.withColumn("as_of", F.try_to_date("as_of"))
+
+
+def latest_snapshot(spark: SparkSession, path: str, as_of: str | None = None) -> DataFrame:
+    """Rows of each source's and ticker's last file (by name, up to as_of); of equal chunk_ids the first counts, in order of file and line.
+
+    The files are chosen from their names, so no other file is opened: a path for each ticker and source.
+    """
+    from pyspark.sql import Window as W
+
+    known = manifest(spark, path)
+    known = known if as_of is None else known.where(F.col("as_of") <= F.lit(as_of).cast("date"))
+    chosen = known.groupBy("source", "ticker").agg(F.max(F.struct("name", "path")).alias("last")).select("last.path")
+    files = sorted(r["path"] for r in chosen.collect())
+    if not files:
+        raise FileNotFoundError(f"no snapshot matches {path}")
+    rows = spark.read.json(files)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"))
+    first = W.partitionBy("chunk_id").orderBy("_file", "_block", "_row")
+    return rows.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k", "_file", "_block", "_row")
 
 
 def probe(df: DataFrame, rows: int = 3) -> tuple[list[tuple[str, str]], list]:

@@ -36,9 +36,13 @@ def merge_index(old: DataFrame, new: DataFrame, key: str = "ticker") -> DataFram
     return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
-def append_missing(df: DataFrame, path: str, key: str = "cache_key") -> DataFrame:
-    """Adds rows whose key the cache at `path` doesn't hold yet; returns those rows."""
-    fresh = df.dropDuplicates([key])
+def append_missing(df: DataFrame, path: str, key: str = "cache_key", order: list | None = None) -> DataFrame:
+    """Adds rows whose key the cache at `path` doesn't hold yet; returns those rows. Of a key's rows the first counts, by `order`
+    or else by all other columns."""
+    from pyspark.sql import Window as W
+
+    first = W.partitionBy(key).orderBy(*(order or [c for c in df.columns if c != key] or [key]))
+    fresh = df.withColumn("_k", F.row_number().over(first)).where("_k = 1").drop("_k")
     if exists(df.sparkSession, path):
         fresh = fresh.join(df.sparkSession.read.parquet(path).select(key), key, "left_anti")
     fresh.write.mode("append").parquet(path)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import importlib
 import json
+import time
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from eventloom.operators.relevance import dedupe_present, first_wins
 
@@ -25,41 +26,115 @@ def month_slices(start: str, end: str, days: int = 30) -> list[tuple[str, str]]:
     return out
 
 
+class Overloaded(Exception):
+    """What a fetcher raises when its service asks to wait; delay: for how many seconds, if it says so."""
+
+    def __init__(self, message: str = "", delay: float | None = None):
+        super().__init__(message)
+        self.delay = delay
+
+
+class MorePages(Exception):
+    """A service has more than max_pages pages."""
+
+
 class Slice(InputPartition):
-    def __init__(self, number: int, args: dict):
+    """Pages first to end (exclusive; None: up to max_pages) of one slice of arguments."""
+
+    def __init__(self, number: int, args: dict, first: int = 0, end: int | None = None):
         super().__init__(number)
-        self.number, self.args = number, args
+        self.number, self.args, self.first, self.end = number, args, first, end
+
+
+class _Pages:
+    """Calls of a fetcher: so many seconds apart, and again after a wait where the service is overloaded."""
+
+    def __init__(self, options: dict):
+        self.fetcher, self.size, self.most = options["fetcher"], int(options.get("page_size", 5000)), int(options.get("max_pages", 50))
+        self.slices = json.loads(options.get("slices", "[{}]"))
+        self.interval, self.attempts, self.longest = float(options.get("interval", 0)), int(options.get("attempts", 4)), float(options.get("longest_wait", 60))
+        self.keep = options.get("on_limit", "raise") == "keep"
+        self.last = 0.0
+
+    def fetch(self, args: dict, offset: int, limit: int) -> list[dict] | None:
+        module, _, name = self.fetcher.partition(":")
+        call = getattr(importlib.import_module(module), name)
+        for k in range(self.attempts):
+            time.sleep(max(0.0, self.last + self.interval - time.monotonic()))
+            self.last = time.monotonic()
+            try:
+                return call(offset=offset, limit=limit, **args)
+            except Overloaded as e:
+                if k + 1 == self.attempts:
+                    raise
+                time.sleep(min(self.longest, e.delay if e.delay is not None else 2.0**k))
+        raise AssertionError("attempts must be positive")
+
+    def rows(self, part: Slice, fields: list[str]) -> Iterator[tuple]:
+        """The slice's rows in order, each with its place."""
+        page = part.first
+        while part.end is None or page < part.end:
+            if part.end is None and page >= self.most:
+                if self.fetch(part.args, page * self.size, 1) and not self.keep:
+                    raise MorePages(f"slice {part.args} has more than {self.most} pages of {self.size} rows; raise max_pages, or take what they hold with on_limit='keep'")
+                return
+            found = self.fetch(part.args, page * self.size, self.size)
+            if found is None:  # the service has no such page
+                return
+            for n, row in enumerate(found):
+                yield tuple([row.get(f) for f in fields[:-1]] + [(part.number << 40) + page * self.size + n])
+            if len(found) < self.size:
+                return
+            page += 1
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, schema, options):
-        self.fields = [f.name for f in schema.fields]
-        self.fetcher = options["fetcher"]
-        self.size, self.most = int(options.get("page_size", 5000)), int(options.get("max_pages", 50))
-        self.slices = json.loads(options.get("slices", "[{}]"))
+        self.fields, self.pages = [f.name for f in schema.fields], _Pages(options)
 
     def partitions(self):
-        return [Slice(i, a) for i, a in enumerate(self.slices)]
+        return [Slice(i, a) for i, a in enumerate(self.pages.slices)]
 
     def read(self, partition: Slice) -> Iterator[tuple]:
-        module, _, name = self.fetcher.partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        for page in range(self.most):
-            rows = fetch(offset=page * self.size, limit=self.size, **partition.args)
-            if rows is None:  # the service has no such page
-                return
-            for n, row in enumerate(rows):
-                yield tuple([row.get(f) for f in self.fields[:-1]] + [partition.number * self.size * self.most + page * self.size + n])
-            if len(rows) < self.size:
-                return
+        return self.pages.rows(partition, self.fields)
+
+
+class PagedStreamReader(DataSourceStreamReader):
+    """A micro-batch takes up to pages_per_batch further pages of each slice. The offset is the next page of each, so a
+    run that starts again from its checkpoint goes on where it stopped, and a slice whose end is reached asks for
+    one row at most. Pages that were full when they were read aren't read again, so slices should be closed (past dates)."""
+
+    def __init__(self, schema, options):
+        self.fields, self.pages, self.step = [f.name for f in schema.fields], _Pages(options), int(options.get("pages_per_batch", 10))
+        self.at: dict[str, int] | None = None
+
+    def initialOffset(self) -> dict:
+        return {str(i): 0 for i in range(len(self.pages.slices))}
+
+    def latestOffset(self) -> dict:
+        self.at = dict(self.at or self.initialOffset())
+        for i, args in enumerate(self.pages.slices):
+            first = self.at[str(i)]
+            while self.at[str(i)] < first + self.step and self.pages.fetch(args, self.at[str(i)] * self.pages.size, 1):
+                self.at[str(i)] += 1
+        return dict(self.at)
+
+    def partitions(self, start: dict, end: dict):
+        self.at = {k: max(v, (self.at or {}).get(k, 0)) for k, v in end.items()}
+        return [Slice(i, a, start[str(i)], end[str(i)]) for i, a in enumerate(self.pages.slices) if start[str(i)] < end[str(i)]]
+
+    def read(self, partition: Slice) -> Iterator[tuple]:
+        return self.pages.rows(partition, self.fields)
 
 
 class PagedSource(DataSource):
     """Pages of a service as rows; each slice of its arguments is a task.
 
     Options: fetcher ("module:function", called with offset, limit and the slice's arguments; it returns a list
-    of dicts, or None past the end), slices (JSON list of arguments), page_size, max_pages. The last column of
-    the schema must be a long: it gets the row's place, so that later steps can say which row came first.
+    of dicts, or None past the end, and raises ``Overloaded`` to be called again later), slices (JSON list of arguments),
+    page_size, max_pages (of a slice that has more, reading fails with ``MorePages``; with on_limit=keep it ends there), interval
+    (seconds between calls of a task), attempts, longest_wait. The last column of the schema must be a long: it gets the
+    row's place, so that later steps can say which row came first. As a stream (pages_per_batch) it resumes from its checkpoint.
     """
 
     @classmethod
@@ -69,11 +144,22 @@ class PagedSource(DataSource):
     def reader(self, schema):
         return PagedReader(schema, self.options)
 
+    def streamReader(self, schema):
+        return PagedStreamReader(schema, self.options)
+
 
-def read_pages(spark: SparkSession, fetcher: str, schema: str, slices: list[dict] | None = None, page_size: int = 5000, max_pages: int = 50) -> DataFrame:
+def _paged_options(fetcher: str, slices: list[dict] | None, **more) -> dict[str, str]:
+    return {k: str(v) for k, v in ({"fetcher": fetcher, "slices": json.dumps(slices or [{}])} | more).items()}
+
+
+def read_pages(spark: SparkSession, fetcher: str, schema: str, slices: list[dict] | None = None, page_size: int = 5000, max_pages: int = 50, **more) -> DataFrame:
     spark.dataSource.register(PagedSource)
-    options = {"fetcher": fetcher, "slices": json.dumps(slices or [{}]), "page_size": page_size, "max_pages": max_pages}
-    return spark.read.format("eventloom_paged").schema(f"{schema}, place long").options(**{k: str(v) for k, v in options.items()}).load()
+    return spark.read.format("eventloom_paged").schema(f"{schema}, place long").options(**_paged_options(fetcher, slices, page_size=page_size, max_pages=max_pages, **more)).load()
+
+
+def stream_pages(spark: SparkSession, fetcher: str, schema: str, slices: list[dict] | None = None, page_size: int = 5000, pages_per_batch: int = 10, **more) -> DataFrame:
+    spark.dataSource.register(PagedSource)
+    return spark.readStream.format("eventloom_paged").schema(f"{schema}, place long").options(**_paged_options(fetcher, slices, page_size=page_size, pages_per_batch=pages_per_batch, **more)).load()
 
 
 def short_interest(rows: DataFrame, as_of: Column, lag: int = 14) -> DataFrame:
@@ -142,7 +228,50 @@ def approvals(applications: DataFrame, since: Column, as_of: Column) -> DataFram
     """Approved submissions of drug applications dated within [since, as_of]. applications: application_number, sponsor_name, brands (array), submissions (array of struct status, date)."""
     each = applications.select("application_number", "sponsor_name", F.get("brands", F.lit(0)).alias("drug_name"), F.explode("submissions").alias("s"))
     dated = each.withColumn("event_date", F.try_to_date("s.date", "yyyyMMdd"))
-    return dated.where((F.col("s.status") == "AP") & F.col("event_date").between(since, as_of)).select("application_number", "sponsor_name", "drug_name", "event_date")
+    found = dated.where((F.col("s.status") == "AP") & F.col("event_date").between(since, as_of)).select("application_number", "sponsor_name", "drug_name", "event_date")
+    # pages overlap: an application's approval of a day is one event
+    return first_wins(found, ["application_number", "event_date"], ["sponsor_name", "drug_name"])
+
+
+def document_choices(index: DataFrame, as_of: Column, forms: tuple[str, ...] = ("13F-HR",)) -> DataFrame:
+    """Filings of exactly these forms up to as_of, newest first by place, from a filing index whose columns are parallel lists.
+
+    index: fund_cik, fund_name, recent (struct of arrays form, filingDate, accessionNumber, reportDate). The second stage
+    fetches each chosen accession's documents, a task a slice (``read_pages`` with one slice a choice).
+    """
+    zipped = F.arrays_zip(*[F.col(f"recent.{c}").alias(c) for c in ("form", "filingDate", "accessionNumber", "reportDate")])
+    each = index.select("fund_cik", "fund_name", F.posexplode(zipped).alias("_i", "f"))
+    rows = each.select("fund_cik", "fund_name", "_i", F.col("f.form").alias("form"), F.to_date("f.filingDate").alias("filing_date"), F.to_date("f.reportDate").alias("report_date"), F.col("f.accessionNumber").alias("accession"))
+    from pyspark.sql import Window as W
+
+    kept = rows.where(F.col("form").isin(*forms) & (F.col("filing_date") <= as_of))
+    return kept.withColumn("place", F.row_number().over(W.partitionBy("fund_cik").orderBy(F.desc("filing_date"), "_i"))).drop("_i")
+
+
+def information_tables(documents: DataFrame) -> DataFrame:
+    """The information table of each accession: of its XML documents, primary ones aside, the first whose beginning names one.
+
+    documents: fund_cik, filing_date, accession, path, place (order on the filing's page), xml.
+    """
+    table = documents.where(F.lower("path").endswith(".xml") & ~F.lower("path").contains("primary_doc") & F.substring("xml", 1, 400).contains("informationTable"))
+    return first_wins(table, ["fund_cik", "accession"], ["place", "path"]).select("fund_cik", "filing_date", "accession", "xml")
+
+
+def news_chunks(articles: DataFrame, ticker: Column, source_type: str = "news", prefix: str = "news", via: Column | None = None, service: str = "Finnhub") -> DataFrame:
+    """Chunks of a news service's articles: headline, summary, datetime (epoch seconds), source, url, place.
+
+    An article without text or without a time goes. The text is headline and summary with a blank line between; section_name
+    is the publisher, or the service where it has none; ids count a ticker's kept articles from 0 in order of place.
+    """
+    from pyspark.sql import Window as W
+
+    clean = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    rows = articles.select(F.upper(ticker).alias("ticker"), "place", F.concat_ws("\n\n", clean("headline"), clean("summary")).alias("text"), F.to_date(F.timestamp_seconds("datetime")).alias("publication_date"), F.coalesce(clean("source"), F.lit(service)).alias("_p"), clean("url").alias("source_url"), (F.lit(None).cast("string") if via is None else via).alias("_via"), (F.coalesce(F.col("datetime"), F.lit(0)) != 0).alias("_dated"))
+    kept = rows.where((F.col("text") != "") & F.col("_dated"))
+    seq = F.row_number().over(W.partitionBy("ticker").orderBy("place")) - 1
+    section = F.when(F.col("_via").isNull(), F.col("_p")).otherwise(F.format_string("%s (via %s)", "_p", "_via"))
+    chunk_id = F.format_string(f"{prefix}_%s_%s_{service.lower()}_%04d", "ticker", F.col("publication_date").cast("string"), seq)
+    return kept.withColumns({"chunk_id": chunk_id, "source_type": F.lit(source_type), "section_name": section, "token_count": F.size(F.array_remove(F.split("text", r"\s+"), ""))}).drop("_p", "_via", "_dated", "place")
 
 
 def macro(policy: DataFrame, shocks: DataFrame, as_of: Column | None = None) -> DataFrame:
