@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import argparse
+import json
 import sys
+from pathlib import Path
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,21 +22,29 @@ def parser() -> argparse.ArgumentParser:
     report.add_argument("--strategy", default="fundamental_split")
     report.add_argument("--horizon", type=int, default=5)
     report.add_argument("--notional", type=float, default=10_000)
+    report.add_argument("--plain", action="store_true", help="returns as they are, instead of those in excess of the market's")
+    report.add_argument("--json", help="write the report as JSON there")
     return p
 
 
-def report_text(spark, data: str, strategy: str, horizon: int, notional: float) -> str:
+def strategy_report(spark, data: str, strategy: str, horizon: int, notional: float, excess: bool = False) -> dict:
+    """The ranked table (a row for each result) and its verdict."""
     from eventloom.operators import backtest
     from eventloom.plans.strategy import by_bundle
-    from eventloom.sources.sinks import markdown
 
-    table = backtest.compare(backtest.run_all(by_bundle(spark, data), strategy, horizon, notional)[0]).orderBy("position")
-    words = backtest.verdict(table).first()
-    head = ["# Strategy report", "", f"**Notional per trade:** ${notional:,.0f}", "", "## Verdict", "", words["verdict"], "", "## Ranked by Sharpe", "", markdown(table.drop("is_structured", "beaten")), ""]
-    for name, won in (("Beat", words["beats"]), ("Lost to", words["loses_to"])):
-        if won:
-            head += [f"**{name} on Sharpe:** " + ", ".join(won), ""]
-    return "\n".join(head)
+    results, _ = backtest.run_all(by_bundle(spark, data, excess), strategy, horizon, notional, use_excess=excess)
+    table = backtest.compare(results).orderBy("position")
+    rows = [r.asDict() for r in table.collect()]
+    words = backtest.verdict(spark.createDataFrame(rows, table.schema)).first().asDict()
+    return {"strategy": strategy, "horizon": horizon, "notional": notional, "excess": excess, **words, "table": rows}
+
+
+def report_text(report: dict) -> str:
+    columns = ["position", "label", "n_trades", "sharpe", "hit_rate", "avg_return", "max_drawdown", "dollars"]
+    kind = "excess returns" if report["excess"] else "returns"
+    lines = [f"# {report['strategy']} against the baselines", "", f"{kind} over {report['horizon']} days, {report['notional']:,.0f} dollars a trade", "", report["verdict"], ""]
+    lines += ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return "\n".join([*lines, *("| " + " | ".join(str(r[c]) for c in columns) + " |" for r in report["table"]), ""])
 
 
 def main(args: list[str] | None = None, spark=None) -> int:
@@ -56,7 +66,10 @@ def main(args: list[str] | None = None, spark=None) -> int:
 
         spark = SparkSession.builder.appName("eventloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command == "report":
-        print(report_text(spark, a.data, a.strategy, a.horizon, a.notional))
+        found = strategy_report(spark, a.data, a.strategy, a.horizon, a.notional, not a.plain)
+        if a.json:
+            Path(a.json).write_text(json.dumps(found, indent=1))
+        print(report_text(found))
         return 0
     rows = every[name](spark, a.data)
     rows.write.mode("overwrite").parquet(a.out) if a.out else rows.show(a.rows, truncate=60)

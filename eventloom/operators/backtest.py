@@ -147,6 +147,31 @@ def run_all(attributed: DataFrame, strategy: str = "fundamental_split", horizon:
     return results, pnl
 
 
+def pnl_cards(attributed: DataFrame, horizon: int = 5, notional: float = 10_000, strategy: str = "fundamental_split") -> DataFrame:
+    """The profit card of each ticker: a row for the model's strategy and each baseline.
+
+    attributed: moves with ticker, event_date, return_pct, fwd_<horizon>d (of the bars from the move on; moves without go) and an
+    attribution. Rows: ticker, strategy, n_events, n_trades, n_wins, total_dollars, hit_rate, avg_return, sharpe, and
+    equity_curve, the dated dollars and their running sum over active trades (a ticker's moves are few).
+    """
+    from eventloom.functions.signals import STRATEGIES
+
+    name = f"fwd_{horizon}d"
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("strategy"), STRATEGIES[k]().alias("verdict")) for n, k in (("model", strategy), *((b, b) for b in BASELINES))]))
+    runs = attributed.where(F.col(name).isNotNull()).withColumn("_c", cells)
+    trades = runs.select("ticker", "event_id", "event_date", "_c.strategy", direction(F.col("_c.verdict"), F.col("return_pct")).alias("direction"), F.col(name).alias("fwd")).withColumn("pnl", F.col("direction") * F.col("fwd"))
+    keys = ["ticker", "strategy"]
+    extra = {"n_events": F.lit(1), "n_wins": F.when(F.col("pnl") > 0, 1).otherwise(0), "dollars": F.col("pnl") * notional}
+    figures = summarize(trades, keys, ["event_date", "event_id"], horizon, extra, idle=True)
+    points = curve(trades.where("direction <> 0"), keys, ["event_date", "event_id"], notional)
+    point = F.struct("event_date", "event_id", F.col("cumulative").alias("equity"), (F.col("pnl") * notional).alias("pnl_dollars"))
+    curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
+    slim = F.transform("_p", lambda p: F.struct(p["event_date"].alias("date"), F.round(p["equity"], 2).alias("equity"), F.round(p["pnl_dollars"], 2).alias("pnl_dollars")))
+    zero = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), n)
+    joined = figures.join(curves, keys, "left")
+    return joined.select(*keys, "n_events", "n_trades", "n_wins", F.round("dollars", 2).alias("total_dollars"), zero("hit_rate", 4).alias("hit_rate"), zero("avg_return", 6).alias("avg_return"), zero("sharpe", 4).alias("sharpe"), F.coalesce(slim, F.array().cast("array<struct<date:date,equity:double,pnl_dollars:double>>")).alias("equity_curve"))
+
+
 def result_key(strategy: Column, ablation: Column) -> Column:
     """strategy__ablation for structured results, the name alone for baselines."""
     return F.when(strategy.startswith(STRUCTURED) & ablation.isNotNull(), F.concat(strategy, F.lit("__"), ablation)).otherwise(strategy)
@@ -179,14 +204,13 @@ def verdict(table: DataFrame) -> DataFrame:
     row = table.agg(one("label").alias("label"), one("position").alias("structured_rank"), one("sharpe").alias("sharpe"), one("hit_rate").alias("hit"), one("n_trades").alias("n"), one("dollars").alias("dollars"), F.count(F.lit(1)).alias("total"), names(True).alias("w"), names(False).alias("l"))
     row = row.withColumns({"beats": F.transform("w", lambda x: x["label"]), "loses_to": F.transform("l", lambda x: x["label"])})
     won, lost = F.size("beats"), F.size("loses_to")
-    alone = F.format_string("Structured strategy %s ran on %d trades (Sharpe %+.2f) without baselines, so nothing says whether this is more than noise.", "label", "n", "sharpe")
+    figures = F.format_string("Sharpe %+.2f, %d trades, %.0f%% of them with a gain, %+,.2f dollars", F.col("sharpe"), F.col("n"), F.col("hit") * 100, F.col("dollars"))
+    alone = F.concat(F.col("label"), F.lit(" has nothing to be measured against: "), figures, F.lit("."))
     text = F.concat_ws(
         " ",
-        F.format_string("Structured strategy %s ranked %d/%d (Sharpe %+.2f, hit rate %.0f%%, %d trades).", F.col("label"), F.col("structured_rank"), F.col("total"), F.col("sharpe"), F.col("hit") * 100, F.col("n")),
-        F.format_string("Realized P&L: $%+,.2f.", "dollars"),
-        F.format_string("It %s %d/%d baselines on Sharpe.", F.when(won >= lost, "beat").otherwise("lost to"), won, won + lost),
-        F.when(won > 0, F.concat(F.lit("Beat: "), F.array_join("beats", ", "), F.lit("."))),
-        F.when(lost > 0, F.concat(F.lit("Lost to: "), F.array_join("loses_to", ", "), F.lit("."))),
+        F.concat(F.col("label"), F.format_string(" takes place %d of %d: ", "structured_rank", "total"), figures, F.lit(".")),
+        F.when(won > 0, F.concat(F.lit("Its Sharpe is above that of "), F.array_join("beats", ", "), F.lit("."))),
+        F.when(lost > 0, F.concat(F.lit("It is not above that of "), F.array_join("loses_to", ", "), F.lit("."))),
     )
-    none = F.lit("No structured strategy results to evaluate.")
+    none = F.lit("There is no structured strategy among the results.")
     return row.select(F.when(F.col("label").isNull(), none).when(won + lost == 0, alone).otherwise(text).alias("verdict"), "beats", "loses_to", "structured_rank")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Weights of the assertions.
@@ -52,6 +53,32 @@ def sanity_flags(rows: DataFrame, collapse: float = 0.95, coverage: int = 3) ->
     return both.select(F.col("n_dominant").alias("n"), "top_dominant_share", "top_character_share", (F.col("top_dominant_share") <= collapse).alias("dominant_ok"), (F.col("top_character_share") <= collapse).alias("character_ok"), (F.col("n_dominant") >= coverage).alias("coverage_ok"))
 
 
+def flags(rows: DataFrame, buckets: dict[str, Column], pnl: Column | None = None, collapse: float = 0.95, coverage: int = 3, least_sharpe: float | None = None) -> DataFrame:
+    """Flags of a distribution: kind, bucket_key, observed, threshold; no rows if there is nothing to tell.
+
+    collapse: a character or dominant dimension with more than this share. coverage: a bucket with fewer rows. magnitude: more
+    than half of the bets (pnl, null where there is none) win, but mean over deviation is under least_sharpe. All counts
+    come from one pass by grouping sets. rows: character, dominant.
+    """
+    keys = {"move_character": F.col("character"), "dominant_dimension": F.col("dominant")} | buckets
+    named = rows.withColumns({f"_{k}": c.cast("string") for k, c in keys.items()} | {"_pnl": F.lit(None).cast("double") if pnl is None else pnl})
+    names = [f"_{k}" for k in keys]
+    kind = F.coalesce(*[F.when(F.grouping(n) == 0, F.lit(n[1:])) for n in names])
+    figures = [F.count("*").alias("n"), F.count("_pnl").alias("bets"), F.count_if(F.col("_pnl") > 0).alias("hits"), F.avg("_pnl").alias("mean"), F.stddev_samp("_pnl").alias("dev")]
+    by = named.groupingSets([*[[F.col(n)] for n in names], []], *[F.col(n) for n in names]).agg(kind.alias("bucket"), F.coalesce(*names).alias("value"), *figures)
+    # a set's shares need its own rows only; labels are few, buckets aren't summed up
+    total = F.sum("n").over(W.partitionBy("bucket"))
+    label = F.col("bucket").isin("move_character", "dominant_dimension")
+    shares = by.where(label).withColumn("observed", F.col("n") / total).where(F.col("observed") > collapse).select(F.lit("collapse").alias("kind"), "bucket", "value", "observed", F.lit(float(collapse)).alias("threshold"))
+    thin = by.where(~label & (F.col("n") < coverage)).select(F.lit("coverage").alias("kind"), "bucket", "value", F.col("n").cast("double").alias("observed"), F.lit(float(coverage)).alias("threshold"))
+    out = shares.unionByName(thin)
+    if least_sharpe is not None:
+        sharpe = F.when((F.col("bets") > 1) & (F.col("dev") > 0), F.col("mean") / F.col("dev"))
+        small = by.where(F.col("bucket").isNull() & (F.try_divide(F.col("hits"), F.col("bets")) > 0.5)).withColumn("observed", sharpe).where(F.col("observed") < least_sharpe)
+        out = out.unionByName(small.select(F.lit("magnitude").alias("kind"), "bucket", "value", "observed", F.lit(float(least_sharpe)).alias("threshold")))
+    return out.select("kind", F.when(F.col("bucket").isNotNull(), F.concat("bucket", F.lit("="), "value")).alias("bucket_key"), "observed", "threshold")
+
+
 def ols_moments(rows: DataFrame, x: list[str], y: str) -> DataFrame:
     """One row of sums: the normal equations of y on x without intercept."""
     cells = [F.sum(F.col(a) * F.col(b)).alias(f"{a}__{b}") for i, a in enumerate(x) for b in x[i:]]

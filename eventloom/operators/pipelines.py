@@ -160,18 +160,22 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, keys: list[str]) -> D
     return primary.withColumn("origin", F.lit("primary")).unionByName(rest)
 
 
-def assemble(streams: dict[str, DataFrame], filings: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def assemble(streams: dict[str, DataFrame], filings: tuple[DataFrame, DataFrame] | None = None, moves: DataFrame | None = None) -> DataFrame:
     """One ordered list of chunks per move from the streams of its sources, each a frame with move_id and CHUNK's columns.
 
-    filings: (sectioned, staged) rows of filings; a chunk_id that both have comes from the first. Within a
-    source type recent chunks go first, then one of each type in turn. Adds place.
+    filings: (sectioned, staged) rows of filings, the first stream; a chunk_id that both have comes from the sectioned ones. Within
+    a source type recent chunks go first, then one of each type in turn, types in the order of their streams. moves
+    (move_id, move_date): chunks published after their move's date are left out. Adds place.
     """
+    parts = [V.override(filings[1], filings[0], ["move_id", "chunk_id"])] if filings else []
+    parts += list(streams.values())
     every = None
-    if filings:
-        every = V.override(filings[1], filings[0], ["move_id", "chunk_id"])
-    for rows in streams.values():
-        every = rows if every is None else every.unionByName(rows)
-    return V.interleave(every, "move_id", "source_type", "publication_date", "chunk_id")
+    for i, rows in enumerate(parts):
+        numbered = rows.withColumn("_stream", F.lit(i))
+        every = numbered if every is None else every.unionByName(numbered)
+    if moves is not None:
+        every = every.join(moves.select("move_id", F.col("move_date").alias("_until")), "move_id").where(F.col("publication_date") <= F.col("_until")).drop("_until")
+    return V.interleave(every, "move_id", "source_type", "publication_date", "chunk_id", "_stream").drop("_stream")
 
 
 def first_pieces(articles: DataFrame, peers: DataFrame | None = None) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql.pandas.types import from_arrow_schema
 from eventloom.functions import prompts
 from eventloom.functions.scoring import tag_weight
 from eventloom.functions.signals import DIMENSIONS, dominant
-from eventloom.operators.attribution import by_bundle, sanitise
+from eventloom.operators.attribution import LADDER, by_bundle, sanitise
 from eventloom.operators.relevance import filter_and_rank
 from eventloom.sources.staging import read_through, staged
 
@@ -208,6 +208,29 @@ def attribute(moves: DataFrame, chunks: DataFrame | None, ablation: str, provide
     return done.withColumnRenamed("pool", "chunks_considered").select(*names, "chunks_considered").withColumn("dominant", dominant())
 
 
+def cells(moves: DataFrame, chunks: DataFrame, provider: Provider, ladder: tuple[tuple[str, tuple[str, ...]], ...] = LADDER, cache: str | None = None, **how) -> DataFrame:
+    """Every move under every bundle of sources, long: event_id, ablation, dimension, weight, direction, cites, failed.
+
+    A cell is a move and a bundle; its request holds the best of the chunks whose source the bundle allows. A cell whose call fails,
+    or that has no chunks, is one row with `failed` and no dimension, and costs no other cell. Bundles are constants, so rows
+    are exploded; calls are read through the cache, if there is one.
+    moves: event_id, ticker, move_date, return_pct; chunks: as of ``evidence``, with source_type.
+    """
+    rungs = F.array(*[F.struct(F.lit(n).alias("ablation"), F.lit(i).alias("rung"), F.array(*[F.lit(x) for x in s]).alias("sources")) for i, (n, s) in enumerate(ladder)])
+    cell = (F.col("event_id") * len(ladder) + F.col("r.rung")).alias("cell")
+    mine = moves.withColumn("r", F.explode(rungs)).select(F.col("event_id").alias("case_id"), cell, F.col("r.ablation").alias("ablation"), "ticker", "move_date", "return_pct")
+    allowed = chunks.withColumn("r", F.explode(F.filter(rungs, lambda b: F.array_contains(b["sources"], F.col("source_type"))))).select(cell, "chunk_id", "text", "score", "publication_date")
+    rows = evidence(mine.withColumnRenamed("cell", "event_id"), allowed.withColumnRenamed("cell", "event_id")).withColumn("event_id", F.col("case_id"))
+    asked = requests(rows, F.col("ablation"))
+    got = answers(asked.where(F.size("chunks") > 0), provider, cache=cache, **how)
+    part = lambda d: F.struct(F.lit(d).alias("dimension"), F.col(f"w_{d}").alias("weight"), F.col(f"dir_{d}").alias("direction"), F.col(f"cites_{d}").alias("cites"))
+    none = F.struct(F.lit(None).cast("string").alias("dimension"), F.lit(None).cast("double").alias("weight"), F.lit(None).cast("string").alias("direction"), F.lit(None).cast("array<string>").alias("cites"))
+    long = got.withColumn("_p", F.explode(F.when(F.col("failed").isNull(), F.array(*[part(d) for d in DIMENSIONS])).otherwise(F.array(none))))
+    empty = asked.where(F.size("chunks") == 0).withColumns({"_p": none, "failed": F.lit("no chunks")})
+    names = [F.col("event_id"), F.col("variant").alias("ablation"), F.col("_p.dimension"), F.col("_p.weight"), F.col("_p.direction"), F.col("_p.cites"), F.col("failed")]
+    return long.select(*names).unionByName(empty.select(*names))
+
+
 def review_body(a: DataFrame) -> Column:
     """What a reviewer reads of an attribution and its chunks (columns as of ``attribute`` and ``evidence``): previews of 200 characters."""
     dims = [F.format_string(f"  - {d}: weight=%.2f cites=[%s]", F.col(f"w_{d}"), F.array_join(f"cites_{d}", ", ")) for d in DIMENSIONS]

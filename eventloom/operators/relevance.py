@@ -56,11 +56,11 @@ def best_scored(moves: DataFrame, chunks: DataFrame, most: int = 50, small: int
     return pairs.join(counted, "ticker").withColumn("score", F.round(s, 9))
 
 
-def interleave(chunks: DataFrame, key: str, source: str, date: str, id_: str) -> DataFrame:
-    """Adds place: recent first within a source, then one of each source in turn, sources in order of name."""
+def interleave(chunks: DataFrame, key: str, source: str, date: str, id_: str, stream: str | None = None) -> DataFrame:
+    """Adds place: recent first within a source, then one of each source in turn, sources in order of their stream (if given) and name."""
     inner = W.partitionBy(key, source).orderBy(F.desc(date), id_)
     turn = chunks.withColumn("_turn", F.row_number().over(inner))
-    return turn.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("_turn", source))).drop("_turn")
+    return turn.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy("_turn", *([stream] if stream else []), source))).drop("_turn")
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: list) -> DataFrame:

@@ -368,3 +368,46 @@ def k45(spark, d):
     cells = table(spark, d, "events").select("user_id").distinct().withColumn("rung", F.explode(F.sequence(F.lit(0), F.lit(6))))
     cached = table(spark, d, "events").where("event_type = 'view'").select("user_id", (F.col("event_id") % 7).cast("int").alias("rung")).distinct()
     return cells.join(cached, ["user_id", "rung"], "left_anti")
+
+
+ASSEMBLED = """, streams AS (
+  SELECT ticker, chunk_id, source_type, publication_date, 0 AS stream FROM (
+    SELECT doc_id % 150 AS ticker, 'k' || doc_id AS chunk_id, 'sec_10k' AS source_type, date '2024-01-01' + (doc_id % 45)::int AS publication_date FROM documents WHERE lang = 'en'
+    UNION ALL SELECT doc_id % 150, 'k' || doc_id, 'sec_8k', date '2024-01-02' + (doc_id % 45)::int FROM documents WHERE lang IS DISTINCT FROM 'en')
+  UNION ALL SELECT user_id, 'n' || event_id, 'news', ts::date, 1 FROM events WHERE event_type = 'click'
+  UNION ALL SELECT user_id, 'f' || event_id, 'thirteen_f', ts::date, 2 FROM events WHERE event_type = 'signup'
+  UNION ALL SELECT o_custkey, 't' || o_orderkey, 'earnings_transcript', o_orderdate::date, 3 FROM orders
+  UNION ALL SELECT c_nationkey, 'p' || c_custkey, 'peer_news', date '2024-01-01' + (c_custkey % 30)::int, 4 FROM customer
+  UNION ALL SELECT s_nationkey, 's' || s_suppkey, 'sector_news', date '2024-01-01' + (s_suppkey % 30)::int, 5 FROM supplier
+  UNION ALL SELECT NULL, 'm' || n_nationkey, 'macro', date '2024-01-01' + n_nationkey::int, 6 FROM nation)
+SELECT move_id, chunk_id, row_number() OVER (PARTITION BY move_id ORDER BY turn, stream, source_type)::int AS place FROM (
+  SELECT move_id, chunk_id, source_type, stream, row_number() OVER (PARTITION BY move_id, source_type ORDER BY publication_date DESC, chunk_id) AS turn
+  FROM moves m JOIN streams s ON (s.ticker = m.ticker OR s.source_type = 'macro') AND s.publication_date <= m.move_date)"""
+
+
+@REG.add("K06_K49_assembled", with_(MOVES).rstrip() + ASSEMBLED)
+def k06a(spark, d):
+    """A move's chunks from eight streams over six tables: sectioned and staged filings (English documents have both), news, holdings,
+    transcripts, peers' and sector's news, and macro chunks, which have no ticker."""
+    from eventloom.operators.pipelines import assemble
+
+    m = moves(spark, d).select("move_id", "ticker", "move_date")
+    day = lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int"))
+    row = lambda rows, ticker, id_, kind, date: rows.select(ticker.alias("ticker"), id_.alias("chunk_id"), F.lit(kind).alias("source_type"), date.alias("publication_date"))
+    named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    own = lambda rows: m.select("move_id", "ticker").join(rows, "ticker").drop("ticker")
+    docs, events = table(spark, d, "documents"), table(spark, d, "events")
+    k = F.col("doc_id")
+    sectioned = row(docs.where("lang = 'en'"), k % 150, named("k", "doc_id"), "sec_10k", day("2024-01-01", k % 45))
+    staged_ = row(docs, k % 150, named("k", "doc_id"), "sec_8k", day("2024-01-02", k % 45))
+    stream = lambda kind, p, source: own(row(events.where(F.col("event_type") == kind), F.col("user_id"), named(p, "event_id"), source, F.to_date("ts")))
+    macro = row(table(spark, d, "nation"), F.lit(None).cast("long"), named("m", "n_nationkey"), "macro", day("2024-01-01", F.col("n_nationkey"))).drop("ticker")
+    streams = {
+        "news": stream("click", "n", "news"),
+        "thirteen_f": stream("signup", "f", "thirteen_f"),
+        "transcripts": own(row(table(spark, d, "orders"), F.col("o_custkey"), named("t", "o_orderkey"), "earnings_transcript", F.to_date("o_orderdate"))),
+        "peer": own(row(table(spark, d, "customer"), F.col("c_nationkey"), named("p", "c_custkey"), "peer_news", day("2024-01-01", F.col("c_custkey") % 30))),
+        "sector": own(row(table(spark, d, "supplier"), F.col("s_nationkey"), named("s", "s_suppkey"), "sector_news", day("2024-01-01", F.col("s_suppkey") % 30))),
+        "macro": m.select("move_id").join(F.broadcast(macro)),  # a curated table of a few rows, which every move sees
+    }
+    return assemble(streams, (own(sectioned), own(staged_)), m).select("move_id", "chunk_id", "place")

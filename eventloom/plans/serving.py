@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from eventloom.functions.signals import DIMENSIONS
 from eventloom.operators import provider as P
 from eventloom.plans.base import MOVES, Registry, r6, table, with_
-from eventloom.plans.evidence import G02, SCORED, best
+from eventloom.plans.evidence import G02, SCORED, best, scored
+from eventloom.plans.strategy import LADDER_SQL
 from eventloom.sources.staging import staged
 
 REG = Registry()
@@ -95,3 +96,23 @@ def k14(spark, d):
     rows = every.where((F.col("event_id") % 5 != 0) & (F.size("chunks") > 0))
     a = P.attribute(m, None, "+sec", word_counter, every).withColumns({f"w_{x}": F.round(f"w_{x}", 2) for x in DIMENSIONS})
     return P.coherence(a, rows, doubter).select("event_id", "plausible", F.size("issues").alias("n_issues"))
+
+
+CELLS = f""", {LADDER_SQL},
+cell AS (SELECT move_id, ablation, chunk_id, src, score FROM scores JOIN b ON list_contains(b.s, src)),
+held AS (SELECT * FROM (SELECT *, row_number() OVER w AS rank, count(*) OVER (PARTITION BY move_id, ablation) AS n, count(*) FILTER (score >= 0.02) OVER (PARTITION BY move_id, ablation) AS good FROM cell WINDOW w AS (PARTITION BY move_id, ablation ORDER BY score DESC, chunk_id))
+  WHERE rank <= 30 AND rank <= CASE WHEN n <= 5 THEN n ELSE least(least(50, greatest(5, round_even(n * 0.75, 0))), greatest(good, 5)) END),
+fig AS (SELECT move_id, ablation, 0.2 + 0.6 * count(*) FILTER (src = 'news') / count(*) AS w FROM held GROUP BY 1, 2),
+every AS (SELECT m.move_id, b.ablation, w FROM moves m CROSS JOIN b LEFT JOIN fig ON fig.move_id = m.move_id AND fig.ablation = b.ablation)
+SELECT move_id AS event_id, ablation, dimension, round(CASE dimension WHEN 'demand' THEN w WHEN 'macro' THEN 1 - w ELSE 0.0 END, 6) + 0.0 AS weight, NULL::varchar AS failed
+FROM every, (SELECT unnest(['demand', 'pricing', 'competitive', 'management_credibility', 'macro']) AS dimension) WHERE w IS NOT NULL AND move_id % 5 <> 0
+UNION ALL SELECT move_id, ablation, NULL, NULL, CASE WHEN w IS NULL THEN 'no chunks' ELSE 'ValueError' END FROM every WHERE w IS NULL OR move_id % 5 = 0"""
+
+
+@REG.add("K31a_K37a_cells", with_(MOVES, SCORED).rstrip() + CELLS)
+def k31a(spark, d):
+    from eventloom.plans.base import moves
+
+    m = moves(spark, d).select(F.col("move_id").alias("event_id"), "ticker", "move_date", "return_pct")
+    c = scored(spark, d).select(F.col("move_id").alias("event_id"), "chunk_id", F.concat(F.lit("from "), F.col("src")).alias("text"), "score", F.col("published").alias("publication_date"), F.col("src").alias("source_type"))
+    return P.cells(m, c, word_counter).select("event_id", "ablation", "dimension", r6("weight").alias("weight"), "failed")

@@ -13,9 +13,10 @@ from eventloom.functions.dates import quarter_label
 from eventloom.operators import attribution as A
 from eventloom.operators import backtest as B
 from eventloom.operators import evaluate as V
+from eventloom.operators import panel as P
 from eventloom.operators import reactions as R
 from eventloom.plans.base import Registry, dated_events, panel, r6, rounded, with_
-from eventloom.plans.panel import REACTIONS
+from eventloom.plans.panel import BENCH, F05, REACTIONS, benchmark
 
 REG = Registry()
 
@@ -177,6 +178,27 @@ def k34(spark, d):
     return rounded(V.sanity_flags(attributions(spark, d)), "top_dominant_share", "top_character_share")
 
 
+FLAGS_SQL = """, c AS (
+  SELECT 'move_character' AS bucket, character AS k, count(*) AS n FROM attr GROUP BY 2 UNION ALL SELECT 'dominant_dimension', dominant, count(*) FROM attr GROUP BY 2
+  UNION ALL SELECT 'ticker', ticker::varchar, count(*) FROM attr GROUP BY 2 UNION ALL SELECT 'quarter', year(event_date) || 'Q' || quarter(event_date), count(*) FROM attr GROUP BY 2
+  UNION ALL SELECT 'direction', CASE WHEN return_pct > 0 THEN 'up' WHEN return_pct < 0 THEN 'down' ELSE 'flat' END, count(*) FROM attr GROUP BY 2),
+p AS (SELECT avg((v > 0)::int) AS hit, avg(v) / stddev_samp(v) AS sharpe FROM (SELECT CASE character WHEN 'structural' THEN 1 WHEN 'transient' THEN -1 END * sign(return_pct) * fwd_5d AS v FROM attr WHERE return_pct <> 0) WHERE v IS NOT NULL)
+SELECT 'collapse' AS kind, bucket || '=' || k AS bucket_key, round(n / (SELECT count(*) FROM attr), 6) AS observed, 0.6::double AS threshold FROM c WHERE bucket IN ('move_character', 'dominant_dimension') AND n > 0.6 * (SELECT count(*) FROM attr)
+UNION ALL SELECT 'coverage', bucket || '=' || k, n::double, 40.0 FROM c WHERE bucket IN ('ticker', 'quarter', 'direction') AND n < 40
+UNION ALL SELECT 'magnitude', NULL, round(sharpe, 6), 0.5 FROM p WHERE hit > 0.5 AND sharpe < 0.5"""
+
+
+@REG.add("K34_flags", BASE + FLAGS_SQL)
+def k34f(spark, d):
+    """What a reviewer would be told: labels that take over, thin buckets, bets too small to matter."""
+    a = attributions(spark, d).withColumn("direction_", F.when(F.col("return_pct") > 0, "up").when(F.col("return_pct") < 0, "down").otherwise("flat"))
+    buckets = {"ticker": F.col("ticker"), "quarter": quarter_label(F.col("event_date")), "direction": F.col("direction_")}
+    side = B.direction(G.split_by_character(F.col("character")), F.col("return_pct"))
+    value = F.when(side != 0, side * F.col("fwd_5d"))
+    out = V.flags(a, buckets, value, collapse=0.6, coverage=40, least_sharpe=0.5)
+    return out.withColumn("observed", F.when(F.col("kind") == "coverage", F.col("observed")).otherwise(r6("observed")))
+
+
 CASES = "cases AS (SELECT event_id, CASE WHEN event_id % 4 <> 0 THEN CASE event_id % 3 WHEN 0 THEN 'demand' WHEN 1 THEN 'pricing' ELSE 'macro' END END AS e_dim, CASE WHEN event_id % 5 <> 0 THEN CASE WHEN event_id % 2 = 0 THEN 'positive' ELSE 'negative' END END AS e_dir, CASE WHEN event_id % 7 <> 0 THEN 'structural' END AS e_char, CASE WHEN event_id % 11 = 0 THEN 'lean' END AS e_fade, CASE WHEN event_id % 13 = 0 THEN 'macro' END AS e_not FROM attr)"
 MATCHES = f"m AS (SELECT event_id, CASE WHEN e_dim IS NOT NULL THEN dominant = e_dim AND NOT coalesce(dominant = e_not, false) END AS dim, direction = e_dir AS dir, character = e_char AS ch, ({SQL['fade_or_follow']}) = e_fade AS fl FROM attr JOIN cases USING (event_id))"
 COMPOSITE = "comp AS (SELECT *, coalesce((CASE WHEN dim THEN 0.5 ELSE 0.0 END + CASE WHEN dir THEN 0.25 ELSE 0.0 END + CASE WHEN ch THEN 0.15 ELSE 0.0 END + CASE WHEN fl THEN 0.1 ELSE 0.0 END)::double / nullif(CASE WHEN dim IS NOT NULL THEN 0.5 ELSE 0.0 END + CASE WHEN dir IS NOT NULL THEN 0.25 ELSE 0.0 END + CASE WHEN ch IS NOT NULL THEN 0.15 ELSE 0.0 END + CASE WHEN fl IS NOT NULL THEN 0.1 ELSE 0.0 END, 0)::double, 0.0) AS composite FROM m)"
@@ -215,10 +237,13 @@ RUNGS = (
 BASE7 = BASE + ", " + RUNGS
 
 
-def by_bundle(spark, d):
+def by_bundle(spark, d, excess: bool = False):
     rows = R.reactions(dated_events(spark, d), panel(spark, d))
+    more = [f"fwd_{h}d_excess" for h in R.HORIZONS] if excess else []
+    if excess:
+        rows = R.excess(rows, benchmark(spark, d))
     z = F.coalesce(F.try_divide(F.col("reaction_return"), F.nullif("vol_30d", F.lit(0.0))), F.lit(0.0))
-    return A.by_bundle(rows.select("event_id", "ticker", "event_date", F.col("reaction_return").alias("return_pct"), z.alias("z"), "fwd_1d", "fwd_5d", "fwd_20d"))
+    return A.by_bundle(rows.select("event_id", "ticker", "event_date", F.col("reaction_return").alias("return_pct"), z.alias("z"), "fwd_1d", "fwd_5d", "fwd_20d", *more))
 
 
 @REG.add("K08_K10_bundles", BASE7 + " SELECT event_id, ablation, character, confidence, pred + 0.0 AS pred FROM a7")
@@ -251,6 +276,15 @@ def k25(spark, d):
     return rounded(B.run_all(by_bundle(spark, d))[0], *FIGURES, "total_dollars")
 
 
+EXCESS7 = REACTIONS.rstrip() + ",\n" + BENCH + ",\nreactx AS (SELECT react.* REPLACE (fwd_5d - b5 AS fwd_5d) FROM react LEFT JOIN bench ON anchor_date = date),\n" + ATTR.replace(" FROM react)", " FROM reactx)") + ", " + RUNGS
+
+
+@REG.add("K25_excess_run", EXCESS7 + RUNS + PNL7 + RESULTS + " SELECT strategy_name, ablation_name, n_trades, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in FIGURES) + ", total_dollars + 0.0 AS total_dollars FROM results")
+def k25x(spark, d):
+    """The runner's default: returns in excess of the market's."""
+    return rounded(B.run_all(by_bundle(spark, d, True), use_excess=True)[0], *FIGURES, "total_dollars")
+
+
 TABLE = ", rep AS (SELECT * FROM results WHERE ablation_name IS NOT NULL ORDER BY sharpe DESC, ablation_name LIMIT 1), tab AS (SELECT strategy_name || ' (' || ablation_name || ')' AS label, true AS is_structured, NULL::boolean AS beaten, * FROM rep UNION ALL SELECT substr(r.strategy_name, 10), false, (SELECT sharpe FROM rep) > r.sharpe, r.* FROM results r WHERE ablation_name IS NULL)"
 
 
@@ -386,3 +420,31 @@ def k37(spark, d):
 
     r = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.array_sort(F.collect_set(F.floor(F.col("value") / 100).cast("string"))).alias("chunk_ids"))
     return A.once_per_evidence(r, lambda x: x.withColumn("n", F.size("chunk_ids"))).select("user_id", "event_type", "n")
+
+
+CARD = (
+    F05.rstrip()
+    + """, fw AS (SELECT ticker, date, lead(close, 5) OVER (PARTITION BY ticker ORDER BY date) / close - 1 AS fwd FROM panel),
+react AS (SELECT s.ticker * 100000 + date_diff('day', date '1990-01-01', s.move_date) AS event_id, s.ticker, s.move_date AS event_date, s.return_pct AS reaction_return, NULL::double AS vol_30d, NULL::double AS fwd_1d, fwd AS fwd_5d, NULL::double AS fwd_20d
+  FROM significant s JOIN fw ON fw.ticker = s.ticker AND fw.date = s.move_date WHERE fwd IS NOT NULL), """
+    + ATTR
+    + ", v AS (SELECT *, 'model' AS strategy, " + SQL["fundamental_split"] + " AS verdict FROM attr UNION ALL " + " UNION ALL ".join(f"SELECT *, '{b}', {SQL[b]} FROM attr" for b in B.BASELINES) + ")"
+    + """, t AS (SELECT *, CASE verdict WHEN 'lean' THEN sign(return_pct) WHEN 'fade' THEN -sign(return_pct) ELSE 0 END AS dir FROM v), p AS (SELECT *, dir * fwd_5d AS pnl FROM t)
+SELECT ticker, strategy, count(*) AS n_events, count(*) FILTER (dir <> 0) AS n_trades, count(*) FILTER (pnl > 0) AS n_wins, round(sum(pnl * 10000), 2) + 0.0 AS total_dollars,
+  round(coalesce(avg((pnl > 0)::int) FILTER (dir <> 0), 0.0), 4) + 0.0 AS hit_rate, round(coalesce(avg(pnl) FILTER (dir <> 0), 0.0), 6) + 0.0 AS avg_return,
+  round(coalesce(CASE WHEN stddev_samp(pnl) FILTER (dir <> 0) > 0 THEN avg(pnl) FILTER (dir <> 0) / stddev_samp(pnl) FILTER (dir <> 0) * sqrt(252 / 5.0) END, 0.0), 4) + 0.0 AS sharpe,
+  count(*) FILTER (dir <> 0)::int AS n_points, round(sum(pnl * 10000) FILTER (dir <> 0), 1) + 0.0 AS last_equity FROM p GROUP BY 1, 2"""
+)
+
+
+@REG.add("K28_K28a_cards", CARD)
+def k28a(spark, d):
+    """Cards over the panel's significant moves, with the close five bars on."""
+    bars = panel(spark, d)
+    ahead = bars.select("ticker", "date", P.forward_return("close", 5).alias("fwd_5d"))
+    found = P.significant_moves(bars).join(ahead.withColumnRenamed("date", "move_date"), ["ticker", "move_date"])
+    moves = found.select((F.col("ticker") * 100000 + F.datediff("move_date", F.lit("1990-01-01").cast("date"))).alias("event_id"), "ticker", F.col("move_date").alias("event_date"), "return_pct", F.lit(0.0).alias("z"), "fwd_5d")
+    cards = B.pnl_cards(A.placeholder(moves))
+    last = F.element_at("equity_curve", -1)["equity"]
+    out = cards.select(*[c for c in cards.columns if c != "equity_curve"], F.size("equity_curve").alias("n_points"), (F.when(F.size("equity_curve") > 0, F.round(last, 1)) + F.lit(0.0)).alias("last_equity"))
+    return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("total_dollars", "hit_rate", "avg_return", "sharpe")})

@@ -3,6 +3,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import math
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -328,9 +329,81 @@ def test_paged_source(spark):
     rows = web.read_pages(spark, "tests.paged_fixture:fetch", "ticker string, id int, value int", [{"start": 0}, {"start": 9}], page_size=5)
     assert rows.count() == 15
     assert web.first_by(rows, "id").count() == 9
+    with pytest.raises(Exception, match="MorePages|more than 2 pages"):
+        web.read_pages(spark, "tests.paged_fixture:fetch", "id int", page_size=5, max_pages=2).count()
+    assert web.read_pages(spark, "tests.paged_fixture:fetch", "id int", page_size=5, max_pages=2, on_limit="keep").count() == 10
+    assert web.read_pages(spark, "tests.paged_fixture:fetch", "id int", page_size=6, max_pages=2).count() == 12
     assert web.month_slices("2024-01-01", "2024-02-05") == [("2024-01-01", "2024-01-30"), ("2024-01-31", "2024-02-05")]
 
 
+def test_paged_source_waits_after_overload(monkeypatch):
+    from eventloom.sources import web as w
+
+    calls, waits = [], []
+    monkeypatch.setattr(w.time, "sleep", waits.append)
+
+    def fetch(offset, limit):
+        calls.append(offset)
+        if len(calls) in (1, 2, 4):
+            raise w.Overloaded(delay=7 if len(calls) == 1 else None)
+        return [{"id": offset}] * (limit if offset < 10 else 3)
+
+    import tests.paged_fixture as fixture
+
+    monkeypatch.setattr(fixture, "fetch", fetch)
+    pages = w._Pages({"fetcher": "tests.paged_fixture:fetch", "page_size": "5", "attempts": "3"})
+    assert len(list(pages.rows(w.Slice(0, {}), ["id", "place"]))) == 13
+    assert calls == [0, 0, 0, 5, 5, 10] and [x for x in waits if x] == [7, 2.0, 1.0]
+    monkeypatch.setattr(fixture, "fetch", lambda offset, limit: (_ for _ in ()).throw(w.Overloaded()))
+    with pytest.raises(w.Overloaded):
+        list(pages.rows(w.Slice(0, {}), ["id", "place"]))
+
+
+def test_paged_stream_resumes(spark, tmp_path):
+    """Two pages a batch; a second run goes on from the checkpoint and reads nothing twice."""
+    got = []
+    for run in (1, 2):
+        df = web.stream_pages(spark, "tests.paged_fixture:fetch", "value int", [{"start": 0}, {"start": 9}], page_size=2, pages_per_batch=2)
+        q = df.writeStream.foreachBatch(lambda b, i: got.append(sorted(r.value for r in b.collect()))).option("checkpointLocation", str(tmp_path / "c")).trigger(**({"once": True} if run == 1 else {"processingTime": "0 seconds"})).start()
+        if run == 1:
+            q.awaitTermination(60)
+        else:
+            q.processAllAvailable()
+            q.stop()
+    assert got[0] == [0, 1, 2, 3, 9, 10, 11] or got[0] == [0, 1, 2, 3, 9, 10]
+    assert sorted(x for b in got for x in b) == sorted([*range(12), 9, 10, 11])
+
+
+def test_filing_choice_and_tables(spark):
+    """From a filing index to holdings: exact forms up to as_of, newest first; of a filing's documents the information table."""
+    recent = {"form": ["13F-HR", "13F-HR/A", "10-K", "13F-HR", "13F-HR"], "filingDate": ["2024-02-14", "2024-03-01", "2024-02-20", "2024-05-15", "2023-11-14"], "accessionNumber": ["a1", "a2", "a3", "a4", "a5"], "reportDate": ["2023-12-31", "2023-12-31", "2023-12-31", "2024-03-31", "2023-09-30"]}
+    index = spark.createDataFrame([("7", "Fund", recent)], "fund_cik string, fund_name string, recent struct<form:array<string>,filingDate:array<string>,accessionNumber:array<string>,reportDate:array<string>>")
+    chosen = web.document_choices(index, F.lit("2024-04-01").cast("date")).orderBy("place").collect()
+    assert [(r.accession, str(r.report_date)) for r in chosen] == [("a1", "2023-12-31"), ("a5", "2023-09-30")]
+    xml = "<informationTable><infoTable><nameOfIssuer>ACME INC</nameOfIssuer><cusip>C1</cusip><value>5</value><shrsOrPrnAmt><sshPrnamt>7</sshPrnamt><sshPrnamtType>SH</sshPrnamtType></shrsOrPrnAmt></infoTable></informationTable>"
+    docs = [("7", DAY, "a1", p, i, x) for i, (p, x) in enumerate([("/x/primary_doc.xml", xml), ("/x/cover.xml", "<cover/>"), ("/x/table.xml", xml), ("/x/other.xml", xml.replace("7", "8")), ("/x/t.txt", xml)])]
+    tables = web.information_tables(spark.createDataFrame(docs, "fund_cik string, filing_date date, accession string, path string, place int, xml string"))
+    assert [(r.cusip, r.shares) for r in web.holdings(tables).collect()] == [("C1", 7)]
+
+
+def test_news_mapper(spark):
+    rows = [(0, " Up ", "more ", 1704067200, "Reuters", "u1"), (1, "", " ", 1704067200, "x", "u2"), (2, "No time", "", None, "x", "u3"), (3, "Down", None, 1704153600, " ", "")]
+    a = spark.createDataFrame(rows, "place long, headline string, summary string, datetime long, source string, url string")
+    got = [tuple(r) for r in web.news_chunks(a, F.lit("amd")).select("chunk_id", "text", "section_name", "source_url", "token_count").orderBy("chunk_id").collect()]
+    assert got == [("news_AMD_2024-01-01_finnhub_0000", "Up\n\nmore", "Reuters", "u1", 2), ("news_AMD_2024-01-02_finnhub_0001", "Down", "Finnhub", None, 1)]
+    peer = web.news_chunks(a, F.lit("amd"), "peer_news", "peer", F.lit("NVDA")).orderBy("chunk_id").first()
+    assert peer.section_name == "Reuters (via NVDA)" and peer.source_type == "peer_news"
+
+
+def test_expectations_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, 5.0), (2, -1.0), (3, None), (0, -2.0)], "id long, v double")
+    got = {r.check: (r.n, r.failed, r.share, r["sample"]) for r in audit.expectations(rows, {"positive": F.col("v") > 0, "small": F.col("v") < 9}, "id").collect()}
+    assert got == {"positive": (3, 2, pytest.approx(2 / 3), 0), "small": (3, 0, 0.0, None)}
+    assert audit.ordering(spark.createDataFrame([(1.0, 2.0, 0.5, 1.5), (1.0, 1.2, 0.5, 1.5), (1.0, 2.0, 0.0, 1.5)], "open double, high double, low double, close double")).count() == 2
+    assert audit.look_ahead(spark.createDataFrame([(1, 2), (3, 2)], "used int, at int"), "used", "at").count() == 1
+    assert [r.ticker for r in audit.renamed(spark.createDataFrame([("A", "x"), ("A", "y"), ("B", "x")], "ticker string, name string")).collect()] == ["A"]
+
+
 def test_parsers(spark):
     table = "<table></table><table><tr><th>h</th></tr><tr><th>h</th></tr><tr><td>January 3, 2024</td><td>AAA<sup>1</sup></td><td>A Co[2]</td><td>BBB</td><td>B Co</td></tr></table>"
     got = web.index_changes(spark.createDataFrame([(table,)], "html string"), F.lit(dt.date(2024, 12, 31))).collect()
@@ -381,24 +454,75 @@ def test_audits(spark):
     assert audit.unexplained_jumps(bars(spark, [1, 2, 2.1]), none).count() == 1
 
 
+def stream_of(spark, path, parts, schema):
+    """A stream that takes one file after another, in the parts' order."""
+    import os
+    import time as clock
+
+    for i, part in enumerate(parts):
+        target = path / f"part{i:03d}"
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(str(target))
+        (file,) = target.glob("*.parquet")
+        (path / "in").mkdir(exist_ok=True)
+        moved = path / "in" / f"{i:03d}.parquet"
+        file.rename(moved)
+        os.utime(moved, (clock.time() - 1000 + i, clock.time() - 1000 + i))
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(path / "in"))
+
+
+def drained(df, name, mode="append"):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
+    q.processAllAvailable()
+    q.stop()
+    return df.sparkSession.table(name).collect()
+
+
 def test_streams(spark, tmp_path):
+    """Bars that come late, within the delay, give the batch's answer; a last bar far ahead makes the others final."""
+    import random
+
     from eventloom.streaming import operators as S
 
     a = walk(120, 8)
     a[90] *= 1.4
     start = dt.datetime(2024, 1, 1)
-    rows = spark.createDataFrame([(1, start + dt.timedelta(days=i), float(c)) for i, c in enumerate(a)], "ticker long, ts timestamp, close double")
-    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    q = S.detect_moves(stream).writeStream.format("memory").queryName("moves").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    got = [(r.move_date - start).days for r in spark.table("moves").collect()]
-    assert sorted(got) == [i for i, *_ in reference_moves(a)]
-    q = S.spikes(stream.withColumnRenamed("close", "value")).writeStream.format("memory").queryName("spikes").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("spikes").count() == 1
+    rows = [(1, start + dt.timedelta(days=i), float(c)) for i, c in enumerate(a)]
+    r = random.Random(3)
+    late = [x for k in range(0, 120, 5) for x in r.sample(rows[k : k + 5], 5)]  # out of order by four days at most
+    parts = [late[k : k + 12] for k in range(0, 120, 12)]
+    parts = [[*p, *([late[k * 12 + 13]] if k * 12 + 13 < 120 else [])] for k, p in enumerate(parts)]  # and some come twice
+    parts.append([(2, start + dt.timedelta(days=200), 1.0)])
+    schema = "ticker long, ts timestamp, close double"
+    got = drained(S.detect_moves(stream_of(spark, tmp_path, parts, schema), delay="10 days"), "moves")
+    assert sorted((x.move_date - start).days for x in got) == [i for i, *_ in reference_moves(a)]
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(S.spikes(stream.withColumnRenamed("close", "value"), delay="10 days"), "spikes")
+    want = [(i, a[i - 1], a[i]) for i in range(1, 120) if a[i - 1] > 0 and a[i] / a[i - 1] - 1 > 0.2]
+    assert [((x.ts - start).days, x.prior, x.value) for x in sorted(got, key=lambda x: x.ts)] == [(i, float(u), float(v)) for i, u, v in want]
+
+
+def test_stream_drops_dead_keys(spark, tmp_path):
+    """A key without rows for longer than `expire` starts anew: its old value is no prior."""
+    from eventloom.streaming import operators as S
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    parts = [[(1, day(0), 1.0), (1, day(1), 2.0)], [(2, day(60), 1.0)], [(2, day(61), 1.0)], [(1, day(70), 9.0), (2, day(70), 1.0)], [(1, day(71), 99.0), (3, day(200), 1.0)]]
+    got = drained(S.spikes(stream_of(spark, tmp_path, parts, "ticker long, ts timestamp, value double"), delay="2 days", expire_days=20), "dead")
+    assert sorted(((x.ts - day(0)).days, x.prior, x.value) for x in got) == [(1, 1.0, 2.0), (71, 9.0, 99.0)]
+
+
+def test_stream_dedupe_and_as_of(spark, tmp_path):
+    from eventloom.streaming import operators as S
+
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    parts = [[(1, day(0), "u", 1.0), (1, day(1), "v", 2.0)], [(1, day(3), "u", 4.0), (2, day(3), "w", 5.0)], [(2, day(39), "x", 6.0)], [(2, day(39), "x", 7.0)], [(1, day(40), "u", 8.0)], [(2, day(41), "y", 3.0)], [(1, day(2), "late", 16.0), (1, day(80), "z", 0.0)]]
+    schema = "ticker long, ts timestamp, url string, value double"
+    stream = stream_of(spark, tmp_path, parts, schema)
+    assert sorted((x.url, x.value) for x in drained(S.dedupe(stream, ["url"]), "deduped")) == [("u", 1.0), ("u", 8.0), ("v", 2.0), ("w", 5.0), ("x", 6.0), ("y", 3.0), ("z", 0.0)]
+    stream = spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drained(S.as_of(stream.withColumnRenamed("ts", "ts")), "as_of")
+    # what came after the lag counts nowhere; the last window isn't final yet
+    assert sorted(((x.window.start - day(0)).days, x.ticker, x.n, x.value) for x in got) == [(0, 1, 1, 1.0), (1, 1, 1, 2.0), (3, 1, 1, 4.0), (3, 2, 1, 5.0), (39, 2, 2, 13.0), (40, 1, 1, 8.0), (41, 2, 1, 3.0)]
 
 
 def test_delta_texts_of_all_customers(spark):
@@ -482,3 +606,64 @@ def test_best_chunks_are_those_of_all(spark, seed, n):
     assert pick(relevance.filter_and_rank(best, pool="pool")) == pick(relevance.filter_and_rank(every))
     if n > 2000:
         assert best.count() < 0.7 * every.count()
+
+
+def test_a_failing_case_costs_its_own_cells(spark):
+    from eventloom.operators import provider as P
+    from eventloom.plans.serving import word_counter
+
+    moves = spark.createDataFrame([(i, 7, 0.1) for i in (1, 5, 9)], "event_id long, ticker long, return_pct double").withColumn("move_date", F.to_date(F.lit("2024-01-09")))
+    chunks = [(i, f"c{i}_{k}", f"from {s}", 1.0 - k / 10, s) for i in (1, 5) for k, s in enumerate(["news", "macro", "sec_10k"])] + [(9, "c9", "from macro", 0.5, "macro")]
+    c = spark.createDataFrame(chunks, "event_id long, chunk_id string, text string, score double, source_type string").withColumn("publication_date", F.to_date(F.lit("2024-01-05")))
+    got = P.cells(moves, c, word_counter).collect()
+    n = {(r.event_id, r.ablation): 0 for r in got}
+    for r in got:
+        n[r.event_id, r.ablation] += 1
+    names = [x for x, _ in attribution.LADDER]
+    assert n == {(i, x): 5 if i == 1 or (i == 9 and x in ("+macro", "+positioning")) else 1 for i in (1, 5, 9) for x in names}
+    assert {r.failed for r in got if r.event_id == 5} == {"ValueError"} and {r.failed for r in got if r.event_id == 9} == {"no chunks", None}
+    weight = {(r.ablation, r.dimension): r.weight for r in got if r.event_id == 1}
+    assert [round(weight[x, "demand"], 6) for x in names] == [0.8, 0.5, 0.5, 0.5, 0.5, 0.4, 0.4]
+
+
+def test_token_chunks(spark):
+    """Windows of tokens against the library on whole texts; words where there is no vocabulary."""
+    tokenizers = pytest.importorskip("public_tokenizers")
+    tiktoken = pytest.importorskip("tiktoken")
+    import base64
+
+    from eventloom.operators.chunks import token_chunks
+
+    path = tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
+    enc = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    texts = ["", None, "   ", "short one", "Größe 漢字 😀 " * 400, "word " * 1500, "a b c d e f g h i j"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    got = sorted(map(tuple, token_chunks(df, path, tokenizers.PATTERN, size=100, overlap=10).collect()))
+    want = []
+    for i, t in enumerate(texts):
+        ids, n = (enc.encode_ordinary(t.strip()) if t and t.strip() else []), 0
+        for start in range(0, max(1, len(ids) - 10), 90) if ids else ():
+            if body := enc.decode(ids[start : start + 100], errors="replace").strip():
+                want.append((i, n, body, len(ids[start : start + 100])))
+                n += 1
+    assert got == want and {x[0] for x in got} == {3, 4, 5, 6}
+    words = token_chunks(df).where("id = 5").orderBy("k").collect()
+    assert [(r.k, len(r.piece.split()), r.token_count) for r in words] == [(0, 600, 800), (1, 600, 800), (2, 450, 600)]
+
+
+def test_bridge_of_tickers_and_articles(spark, tmp_path):
+    from eventloom.operators import bridge
+
+    rows = [(i, dt.date(2024, 1, 1 + i % 28), [" amd ", "T%d" % (i % 9), ""] if i % 3 else ["T%d" % (i % 9)]) for i in range(90)] + [(99, dt.date(2024, 2, 2), None)]
+    a = spark.createDataFrame(rows, "article_id long, published date, symbols array<string>")
+    path = str(tmp_path / "bridge")
+    bridge.write_bridge(a, path)
+    bridge.write_bridge(a.where("article_id < 5"), path, mode="append")
+    found = bridge.articles_of(spark, path, ["t4", "AMD", "none"], "2024-01-05", "2024-01-20")
+    want = sorted((s, i) for i, d, xs in rows[:-1] for s in {x.strip().upper() for x in xs} & {"T4", "AMD"} if dt.date(2024, 1, 5) <= d <= dt.date(2024, 1, 20))
+    assert sorted((r.symbol, r.article_id) for r in found.collect()) == want
+    assert sorted(r.article_id for r in bridge.news_of(a, found).collect()) == sorted({i for _, i in want})
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [b" in plan.replace("isnotnull(b", "b") and "In(symbol" in plan
+    assert bridge.articles_of(spark, path, []).count() == 0

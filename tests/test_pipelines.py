@@ -163,6 +163,13 @@ def test_readers_without_a_query(spark, tmp_path):
         f.write_text("\n".join(json.dumps({"ticker": name.split("_")[1], "chunk_id": r}) for r in rows))
     got = readers.latest_snapshot(spark, f"{tmp_path}/*/chunks_*.jsonl")
     assert sorted(r.chunk_id for r in got.collect()) == ["b", "new"]
+    # only chosen files are opened, and of equal ids the first line counts
+    assert sorted(f.rsplit("/", 1)[1] for f in got.inputFiles()) == ["chunks_A_2024-02-01.jsonl", "chunks_B_2024-01-01.jsonl"]
+    assert [r.chunk_id for r in readers.latest_snapshot(spark, f"{tmp_path}/*/chunks_*.jsonl", "2024-01-15").orderBy("chunk_id").collect()] == ["b", "old"]
+    (tmp_path / "a" / "twice_C_2024-01-01.jsonl").write_text("\n".join(json.dumps({"ticker": "C", "chunk_id": "same", "n": n}) for n in (5, 1, 9)))
+    assert readers.latest_snapshot(spark, f"{tmp_path}/*/twice_*.jsonl").first().n == 5
+    with pytest.raises(Exception):  # noqa: B017 - by Spark's version a missing path or a missing snapshot
+        readers.latest_snapshot(spark, f"{tmp_path}/*/none_*.jsonl")
     (tmp_path / "c").mkdir()
     for n, t in (("AMD_2024_expected", "AMD"), ("X_TEMPLATE_expected", "X")):
         (tmp_path / "c" / f"{n}.json").write_text(json.dumps({"ticker": t, "move_date": "2024-01-01"}))
@@ -189,9 +196,14 @@ def test_command_line(spark, capsys, tmp_path):
     assert cli.main(["run", "E20_first_dates", "--data", D, "--out", str(tmp_path / "o")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "o")).count() > 0
     capsys.readouterr()
-    assert cli.main(["report", "--data", D], spark) == 0
+    assert cli.main(["report", "--data", D, "--json", str(tmp_path / "r.json")], spark) == 0
     text = capsys.readouterr().out
-    assert "Structured strategy struct_fundamental_split" in text and "baselines on Sharpe" in text and "| position |" in text.replace("label", "position", 0)
+    assert "struct_fundamental_split (" in text and " takes place " in text and "excess returns over 5 days" in text and "| position | label |" in text
+    report = json.loads((tmp_path / "r.json").read_text())
+    assert report["excess"] and [r["position"] for r in report["table"]] == [1, 2, 3, 4, 5] and len(report["beats"]) + len(report["loses_to"]) == 4
+    assert report["table"][report["structured_rank"] - 1]["is_structured"] and report["verdict"] in text
+    assert cli.main(["report", "--data", D, "--plain"], spark) == 0
+    assert capsys.readouterr().out.startswith("# fundamental_split against the baselines\n\nreturns over 5 days")
 
 
 def test_calls_are_retried_and_completed():
