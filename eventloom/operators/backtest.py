@@ -51,6 +51,11 @@ def curve(pnl: DataFrame, keys: list[str], order: list[str], notional: float = 1
     return out.withColumns({"cumulative": total.cast("double") / MICRO, "drawdown": fall.cast("double") / MICRO}).drop("_cum", "_peak", "_before", "_above")
 
 
+def cents(amount: Column) -> Column:
+    """An amount of ``curve`` at 2 places, by whole numbers: a tie goes up."""
+    return F.floor((F.round(amount * MICRO) + 5000) / 10000) / 100
+
+
 def summarize(pnl: DataFrame, keys: list[str], order: list[str], horizon: int = 5, extra: dict[str, Column] | None = None, idle: bool = False) -> DataFrame:
     """Per key: n_trades, avg_return, sharpe (0 where undefined), hit_rate, max_drawdown, over active trades in order.
 
@@ -166,7 +171,7 @@ def pnl_cards(attributed: DataFrame, horizon: int = 5, notional: float = 10_000,
     points = curve(trades.where("direction <> 0"), keys, ["event_date", "event_id"], notional)
     point = F.struct("event_date", "event_id", F.col("cumulative").alias("equity"), (F.col("pnl") * notional).alias("pnl_dollars"))
     curves = points.groupBy(*keys).agg(F.sort_array(F.collect_list(point)).alias("_p"))
-    slim = F.transform("_p", lambda p: F.struct(p["event_date"].alias("date"), F.round(p["equity"], 2).alias("equity"), F.round(p["pnl_dollars"], 2).alias("pnl_dollars")))
+    slim = F.transform("_p", lambda p: F.struct(p["event_date"].alias("date"), cents(p["equity"]).alias("equity"), F.round(p["pnl_dollars"], 2).alias("pnl_dollars")))
     zero = lambda c, n: F.round(F.coalesce(c, F.lit(0.0)), n)
     joined = figures.join(curves, keys, "left")
     return joined.select(*keys, "n_events", "n_trades", "n_wins", F.round("dollars", 2).alias("total_dollars"), zero("hit_rate", 4).alias("hit_rate"), zero("avg_return", 6).alias("avg_return"), zero("sharpe", 4).alias("sharpe"), F.coalesce(slim, F.array().cast("array<struct<date:date,equity:double,pnl_dollars:double>>")).alias("equity_curve"))

@@ -117,8 +117,7 @@ MICRO = "(sum(floor(pnl * 10000 * 1000000 + 0.5)::bigint) OVER (PARTITION BY str
 @REG.add("F18_equity_curve", BASE + ", " + VERDICTS + ", " + TRADES + ", " + PNL + f" SELECT event_id, strategy, floor(({MICRO} + 5000) / 10000) / 100 AS cumulative FROM pnl WHERE direction <> 0")
 def f18(spark, d):
     rows = B.curve(pnl(spark, d).where("direction <> 0"), ["strategy"], ["entry_date", "event_id"], 10000)
-    cents = F.floor((F.round(F.col("cumulative") * B.MICRO) + 5000) / 10000)
-    return rows.select("event_id", "strategy", (cents / 100).alias("cumulative"))
+    return rows.select("event_id", "strategy", B.cents(F.col("cumulative")).alias("cumulative"))
 
 
 @REG.add("E10_total_dollars", ALL + " SELECT strategy, round(sum(pnl * 10000), 2) + 0.0 AS dollars FROM pnl GROUP BY 1")
@@ -433,7 +432,7 @@ react AS (SELECT s.ticker * 100000 + date_diff('day', date '1990-01-01', s.move_
 SELECT ticker, strategy, count(*) AS n_events, count(*) FILTER (dir <> 0) AS n_trades, count(*) FILTER (pnl > 0) AS n_wins, round(sum(pnl * 10000), 2) + 0.0 AS total_dollars,
   round(coalesce(avg((pnl > 0)::int) FILTER (dir <> 0), 0.0), 4) + 0.0 AS hit_rate, round(coalesce(avg(pnl) FILTER (dir <> 0), 0.0), 6) + 0.0 AS avg_return,
   round(coalesce(CASE WHEN stddev_samp(pnl) FILTER (dir <> 0) > 0 THEN avg(pnl) FILTER (dir <> 0) / stddev_samp(pnl) FILTER (dir <> 0) * sqrt(252 / 5.0) END, 0.0), 4) + 0.0 AS sharpe,
-  count(*) FILTER (dir <> 0)::int AS n_points, round(sum(pnl * 10000) FILTER (dir <> 0), 1) + 0.0 AS last_equity FROM p GROUP BY 1, 2"""
+  count(*) FILTER (dir <> 0)::int AS n_points, floor(((sum(floor(pnl * 10000 * 1000000 + 0.5)::bigint) FILTER (dir <> 0))::double + 5000) / 10000) / 100 AS last_equity FROM p GROUP BY 1, 2"""
 )
 
 
@@ -446,5 +445,5 @@ def k28a(spark, d):
     moves = found.select((F.col("ticker") * 100000 + F.datediff("move_date", F.lit("1990-01-01").cast("date"))).alias("event_id"), "ticker", F.col("move_date").alias("event_date"), "return_pct", F.lit(0.0).alias("z"), "fwd_5d")
     cards = B.pnl_cards(A.placeholder(moves))
     last = F.element_at("equity_curve", -1)["equity"]
-    out = cards.select(*[c for c in cards.columns if c != "equity_curve"], F.size("equity_curve").alias("n_points"), (F.when(F.size("equity_curve") > 0, F.round(last, 1)) + F.lit(0.0)).alias("last_equity"))
+    out = cards.select(*[c for c in cards.columns if c != "equity_curve"], F.size("equity_curve").alias("n_points"), F.when(F.size("equity_curve") > 0, last).alias("last_equity"))
     return out.withColumns({c: F.col(c) + F.lit(0.0) for c in ("total_dollars", "hit_rate", "avg_return", "sharpe")})

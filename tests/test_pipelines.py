@@ -93,7 +93,7 @@ def test_fallback_and_assembly(spark):
     f1, f2 = (spark.createDataFrame(r, schema) for r in ([chunk(1, "k", "sec_10k", 1, "sectioned")], [chunk(1, "k", "sec_10k", 1, "staged"), chunk(1, "j", "sec_10k", 2, "staged")]))
     news = spark.createDataFrame([chunk(1, f"n{i}", "news", i, "") for i in (1, 2, 3)], schema)
     got = P.assemble({"news": news}, (f1, f2)).orderBy("place").collect()
-    assert [c.chunk_id for c in got] == ["n3", "j", "n2", "k", "n1"] and {c.chunk_id: c.text for c in got}["k"] == "sectioned"
+    assert [c.chunk_id for c in got] == ["j", "n3", "k", "n2", "n1"] and {c.chunk_id: c.text for c in got}["k"] == "sectioned"
     articles = spark.createDataFrame([("a1", "P", 2, "second"), ("a1", "P", 1, "first")], "article_id string, ticker string, k int, text string")
     peers = spark.createDataFrame([("M", "P"), ("N", "P"), ("M", "P")], "ticker string, peer string")
     assert sorted((r.ticker, r.text) for r in P.first_pieces(articles, peers).collect()) == [("M", "first"), ("N", "first")]
