@@ -1,17 +1,18 @@
 """Toxicity by weak supervision.
 
-Many voters look at each text: fixed lexicon entries, entries and word stems induced from the labelled
-rows that may be learned from, and patterns of style. Labels choose the voters, and so say that a vote
-speaks for the positive class, and give the class balance; nothing else of the label model sees them. It
-is generative and treats the true class as hidden: expectation maximisation over the votes alone estimates
-each voter's firing rates by class (its accuracy) and the correlation of each pair of voters given the
+Many voters look at each text: fixed lexicon entries, entries induced from the labelled rows that may be
+learned from (words, word stems, and stems that several different words of a text have), and patterns of
+style. Labels choose the voters, and so say that a vote speaks for the positive class, and give the class
+balance; nothing else of the label model sees them. It is generative and treats the true class as hidden:
+expectation maximisation over the votes alone, on labelled and unlabelled rows alike, estimates each
+voter's firing rates by class (its accuracy) and the correlation of each pair of voters given the
 class. A row's evidence is the sum of its voters' log odds, each weighted by the inverse of the correlation
 matrix, so that voters which repeat each other count once between them. The model's posteriors are the
 labels on which a linear classifier is trained, over words and stems; how often they agree with the
 given labels is reported. Scoring is a sum of weights over a text's distinct words.
 
-Learning takes MAX_POSITIVE + MAX_NEGATIVE labelled documents at most, chosen by hash from those that are
-not held out. A doc_id counts once, however often it is labelled or present (of several texts the one
+Learning takes MAX_POSITIVE + MAX_NEGATIVE labelled documents at most, and MAX_UNLABELLED that no row of
+labels names, chosen by hash from those that are not held out. A doc_id counts once, however often it is labelled or present (of several texts the one
 that sorts first by hash); one with differing labels is left out. Null and empty texts get the
 classifier's bias. With no positive or no negative row to learn from every score is the prior (0.0 if
 there are no labels). Only doc_id and text of a document are read; repeated rows give repeated scores.
@@ -20,6 +21,7 @@ there are no labels). Only doc_id and text of a document are read; repeated rows
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from eventloom.llm.common import agreed_labels, discard, held_out, map_batches, staged, texts
 
-MAX_POSITIVE, MAX_NEGATIVE = 1500, 3000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_UNLABELLED = 1500, 3000, 4000
 MAX_VOTERS, MAX_FEATURES = 160, 1500
 STEMS = (4, 5, 6, 7)
 #: An induced entry fires in this share of the positive rows at least, and so many times as often as in the negative ones.
@@ -38,6 +40,9 @@ MIN_SHARE, MIN_LIFT = 0.004, 8.0
 POLARITY = 2.0
 #: Pseudo-rows behind each firing rate, and the share of the unit matrix in that of correlations.
 PSEUDO, SHRINK = 2.0, 0.1
+#: Rounds of the label model over labelled and unlabelled rows together, after those over labelled ones. Many would let it
+#: drift to another split of the rows than the one that the labels stand for.
+OPEN_ROUNDS = 5
 MAX_WORDS = 400_000
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -61,6 +66,20 @@ def keys(word: str) -> list[str]:
     return [word, *(f"{word[:n]}~" for n in STEMS if len(word) > n)]
 
 
+def again(key: str) -> str:
+    """The entry of a stem that several different words of a text have."""
+    return f"{key}+"
+
+
+def entries(found: Iterable[str]) -> set[str]:
+    """The entries of a text, whose different words these are: theirs, and those of stems that several of them have."""
+    out: set[str] = set()
+    for w in found:
+        for k in keys(w):
+            out.add(again(k) if k in out else k)
+    return out
+
+
 def words(text: str) -> set[str]:
     found: set[str] = set()
     for w in set(text.lower().split()):
@@ -74,39 +93,50 @@ class Classifier:
     bias: float
     #: Share of the sample's rows whose posterior label is the given one; None if nothing was learned.
     agreement: float | None = None
-    #: Raw word -> its entries that have a weight; filled as words come, and sent nowhere.
-    table: dict[str, tuple[str, ...]] = field(default_factory=dict, compare=False, repr=False)
+    #: Raw word -> its words with those of their entries that have a weight; filled as words come, and sent nowhere.
+    table: dict[str, tuple[tuple[str, tuple[str, ...]], ...]] = field(default_factory=dict, compare=False, repr=False)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": {}}
 
     def score(self, text: str) -> float:
         table = self.table
-        hit: set[str] = set()
+        weighed: dict[str, tuple[str, ...]] = {}
         for raw in set(text.lower().split()):
             found = table.get(raw)
             if found is None:
-                found = tuple({k for w in WORD.findall(raw) for k in keys(w) if k in self.weights})
+                mine = ((w, tuple(k for k in keys(w) if k in self.weights or again(k) in self.weights)) for w in set(WORD.findall(raw)))
+                found = tuple(x for x in mine if x[1])
                 if len(table) >= MAX_WORDS:
                     table.clear()
                 if len(raw) <= 64:
                     table[raw] = found
-            hit.update(found)
-        z = self.bias + sum(sorted(self.weights[k] for k in hit))
+            weighed.update(found)
+        hit: set[str] = set()
+        for found in weighed.values():
+            for k in found:
+                hit.add(again(k) if k in hit else k)
+        z = self.bias + sum(sorted(self.weights.get(k, 0.0) for k in hit))
         return float(1 / (1 + np.exp(-np.clip(z, -40, 40))))
 
 
-def label_model(votes: np.ndarray, balance: float, rounds: int = 40) -> tuple[np.ndarray, dict]:
+def evidence(votes: np.ndarray, found: dict) -> np.ndarray:
+    """The weighted log odds of each row's votes, those that weren't cast too."""
+    hit, false, weight = found["hit"], found["false"], found["weight"]
+    return votes @ (weight * np.log(hit / false)) + (1 - votes) @ (weight * np.log((1 - hit) / (1 - false)))
+
+
+def label_model(votes: np.ndarray, balance: float, rounds: int = 40, start: np.ndarray | None = None) -> tuple[np.ndarray, dict]:
     """Posterior of the hidden class for each row of votes, all of which speak for it; and what was estimated.
 
     `balance` is the share of positive rows; posteriors have that mean.
-    The start is the majority's: rows with half the usual number of votes or more are likely positive. A
+    Without a given start it is the majority's: rows with half the usual number of votes or more are likely positive. A
     voter never fires more often in the negative class than in the positive one.
     """
     n, m = votes.shape
     count = votes.sum(axis=1)
     usual = count[count > 0].mean() if count.any() else 1.0
-    posterior = np.where(count >= usual / 2, 0.95, 0.02)
+    posterior = np.where(count >= usual / 2, 0.95, 0.02) if start is None else start
     rate = (votes.sum(axis=0) + 1) / (n + 2)
     found = {}
     for _ in range(rounds):
@@ -122,13 +152,13 @@ def label_model(votes: np.ndarray, balance: float, rounds: int = 40) -> tuple[np
             rho += spread / scale[:, None] / scale / 2
         np.fill_diagonal(rho, 1.0)
         weight = np.clip(np.linalg.solve((1 - SHRINK) * rho + SHRINK * np.eye(m), np.ones(m)), 0.05, 1.0)
-        evidence = votes @ (weight * np.log(hit / false)) + (1 - votes) @ (weight * np.log((1 - hit) / (1 - false)))
+        found = {"hit": hit, "false": false, "correlation": rho, "weight": weight}
+        z = evidence(votes, found)
         low, high = -100.0, 100.0
         for _ in range(50):
             shift = (low + high) / 2
-            posterior = 1 / (1 + np.exp(-np.clip(evidence + shift, -40, 40)))
+            posterior = 1 / (1 + np.exp(-np.clip(z + shift, -40, 40)))
             low, high = (low, shift) if posterior.mean() > balance else (shift, high)
-        found = {"hit": hit, "false": false, "correlation": rho, "weight": weight}
     return posterior, found
 
 
@@ -160,16 +190,16 @@ def unseen_shift(x: np.ndarray, y: np.ndarray) -> float:
     return low
 
 
-def spread_out(fires: np.ndarray, names: list[str], entries: list[str], most: int = MAX_VOTERS) -> list[str]:
-    """Up to `most` entries, each time the one that fires most where few of those before it do. fires: rows by names."""
-    at = [names.index(k) for k in entries]
+def spread_out(fires: np.ndarray, names: list[str], wanted: list[str], most: int = MAX_VOTERS) -> list[str]:
+    """Up to `most` of the wanted entries, each time the one that fires most where few of those before it do. fires: rows by names."""
+    at = [names.index(k) for k in wanted]
     mine, seen, out = fires[:, at], np.zeros(len(fires), np.float32), []
-    while len(out) < min(most, len(entries)):
+    while len(out) < min(most, len(wanted)):
         gain = (1 / (1 + seen) ** 2) @ mine
         gain[out] = -1
         out.append(int(gain.argmax()))
         seen += mine[:, out[-1]]
-    return [entries[i] for i in out]
+    return [wanted[i] for i in out]
 
 
 def entry_counts(sample: DataFrame) -> DataFrame:
@@ -178,7 +208,7 @@ def entry_counts(sample: DataFrame) -> DataFrame:
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         found, side = [], []
         for t, toxic in zip(texts(batch), batch.column("toxic").to_pylist(), strict=True):
-            mine = {k for w in words(t) for k in keys(w)}
+            mine = entries(words(t))
             found += mine
             side += [toxic] * len(mine)
         return pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(side, pa.bool_())], ["entry", "toxic"])
@@ -197,14 +227,14 @@ def choose_entries(counts: DataFrame, n_pos: int, n_neg: int) -> tuple[list[str]
 
 
 def fired(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """0/1 of the entries and of the patterns for each row of the sample in order of doc_id, and its labels: some bytes a row."""
+    """0/1 of the entries and of the patterns for each row of the sample in order of doc_id, and its labels (-1: none): some bytes a row."""
     at = {k: i for i, k in enumerate(names)}
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
         bits = []
         for t in texts(batch):
             row = np.zeros(len(at) + len(PATTERNS), bool)
-            row[[at[k] for w in words(t) for k in keys(w) if k in at]] = True
+            row[[at[k] for k in entries(words(t)) if k in at]] = True
             row[len(at) :] = [bool(p.search(t)) for p in PATTERNS.values()]
             bits.append(np.packbits(row).tobytes())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(bits, pa.binary())], ["doc_id", "toxic", "bits"])
@@ -212,28 +242,36 @@ def fired(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray,
     got = map_batches(sample.select("doc_id", "toxic", "text"), each, "doc_id long, toxic boolean, bits binary").toArrow().sort_by("doc_id")
     raw = np.frombuffer(b"".join(got["bits"].to_pylist()), np.uint8).reshape(got.num_rows, -1)
     every = np.unpackbits(raw, axis=1)[:, : len(at) + len(PATTERNS)].astype(np.float32)
-    return every[:, : len(at)], every[:, len(at) :], got["toxic"].to_numpy(zero_copy_only=False)
+    gold = np.array([-1 if x is None else int(x) for x in got["toxic"].to_pylist()], np.int8)
+    return every[:, : len(at)], every[:, len(at) :], gold
 
 
 def learn(sample: DataFrame, prior: float) -> Classifier:
-    """sample: doc_id, text and toxic of each row to learn from."""
+    """sample: doc_id, text and toxic of each row to learn from; toxic is null where there is no label. prior: the share of positive rows among all."""
     sides = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_pos, n_neg = sides.get(True, 0), sides.get(False, 0)
+    n_pos, n_neg, n_open = sides.get(True, 0), sides.get(False, 0), sides.get(None, 0)
     if not n_pos or not n_neg:
         return Classifier({}, float(np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))))
-    induced, lexicon = choose_entries(entry_counts(sample), n_pos, n_neg)
+    induced, lexicon = choose_entries(entry_counts(sample.where("toxic is not null")), n_pos, n_neg)
     features = sorted({*induced, *lexicon})
     x, style, gold = fired(sample, features)
     voters = sorted({*spread_out(x[gold == 1], features, induced), *lexicon})
     speaks = style[gold == 1].mean(axis=0) >= POLARITY * (style[gold == 0].sum(axis=0) + 0.5) / n_neg
     votes = np.concatenate([x[:, [features.index(k) for k in voters]], style[:, speaks]], axis=1)
-    posterior, _ = label_model(votes, n_pos / (n_pos + n_neg))
+    share = (n_pos + prior * n_open) / len(gold)
+    known, own = gold >= 0, n_pos / (n_pos + n_neg)
+    posterior, found = label_model(votes[known], own)
+    if n_open:
+        # rows without a label start from what the labelled ones' votes say, and then all are fitted together
+        z = evidence(votes, found)
+        start = 1 / (1 + np.exp(-np.clip(z - np.quantile(z[known], 1 - own), -40, 40)))
+        start[known] = posterior
+        posterior, _ = label_model(votes, share, OPEN_ROUNDS, start)
     w, b = fit_linear(x, posterior)
     b += unseen_shift(x, posterior)
     # the sample has its own share of positives; the bias goes back to that of all labelled rows
-    share = n_pos / (n_pos + n_neg)
     b += np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)) - np.log(share / (1 - share))
-    agreement = float(np.mean((posterior >= 0.5) == (gold == 1)))
+    agreement = float(np.mean(((posterior >= 0.5) == (gold == 1))[gold >= 0]))
     return Classifier({k: float(c) for k, c in zip(features, w, strict=True) if abs(c) > 1e-4}, float(b), agreement)
 
 
@@ -244,11 +282,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Classifier:
     if not total:
         return Classifier({}, -40.0)
     order = F.md5(F.col("doc_id").cast("string"))
-    chosen = None
+    others = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).distinct()
+    chosen = others.join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(order, "doc_id").limit(MAX_UNLABELLED).select("doc_id", F.lit(None).cast("boolean").alias("toxic"))
     for value, most in ((True, MAX_POSITIVE), (False, MAX_NEGATIVE)):
-        part = known.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(most)
-        chosen = part if chosen is None else chosen.unionAll(part)
-    # at most MAX_POSITIVE + MAX_NEGATIVE rows, so they may be sent to every task
+        chosen = chosen.unionAll(known.where(F.col("toxic") == value).orderBy(order, "doc_id").limit(most))
+    # at most MAX_POSITIVE + MAX_NEGATIVE + MAX_UNLABELLED rows, so they may be sent to every task
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     one = joined.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")).alias("x"))
     sample = staged(one.select("doc_id", "toxic", "x.text"), "labelled")

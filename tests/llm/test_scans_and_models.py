@@ -214,10 +214,38 @@ def test_toxicity_held_out(spark):
     neg = [got[r.doc_id].score for r in held if not r.toxic]
     auc = np.mean([[(a > b) + 0.5 * (a == b) for b in neg] for a in pos])
     assert auc > 0.97
-    assert np.mean([s >= 0.5 for s in pos]) > 0.85 and np.mean([s >= 0.5 for s in neg]) < 0.01
+    assert np.mean([s >= 0.5 for s in pos]) >= 0.9 and np.mean([s >= 0.5 for s in neg]) < 0.01
     assert all(r.predicted == int(r.score >= 0.5) for r in got.values())
 
 
+def test_entries_of_several_words_and_scores_by_them():
+    assert toxicity.entries(["abcdef"]) == {"abcdef", "abcd~", "abcde~"}
+    assert toxicity.entries(["abcdx", "abcdy", "abcdz"]) == {"abcdx", "abcdy", "abcdz", "abcd~", "abcd~+"}
+    r = random.Random(7)
+    weights = {k: r.uniform(-2, 2) for k in ("abcd~", "abcd~+", "abcde~+", "abcdx", "zzz", "yyyy~+")}
+    c = toxicity.Classifier(weights, -0.5)
+    for _ in range(300):
+        text = " ".join(r.choice(["abcdx", "ABCDX,", "abcdy", "abcdez", "abcdew!", "zzz", "yyyya", "yyyyb-yyyyc", "q"]) for _ in range(r.randint(0, 6)))
+        z = -0.5 + sum(weights[k] for k in toxicity.entries(toxicity.words(text)) if k in weights)
+        assert c.score(text) == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-12), text
+
+
+def test_unlabelled_rows_vote(spark):
+    marked, plain = "one gruel two gruelly three", "one two three four"
+    docs = spark.createDataFrame([(i, f"{marked} {i}" if i % 5 == 0 else f"{plain} {i}") for i in range(2000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(600)], "doc_id long, toxic int")
+    seen = []
+    before = toxicity.label_model
+    try:
+        toxicity.label_model = lambda votes, *a: (seen.append(len(votes)), before(votes, *a))[1]
+        c = toxicity.train(docs, labels)
+    finally:
+        toxicity.label_model = before
+    free = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    assert seen == [sum(map(free, range(600))), sum(map(free, range(2000)))]
+    assert c.score(marked) > 0.5 > c.score(plain)
+
+
 def test_label_model_recovers_rates_without_labels():
     r = np.random.default_rng(2)
     y = r.random(6000) < 0.2
