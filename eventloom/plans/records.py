@@ -276,3 +276,13 @@ def n01(spark, d):
 def k33(spark, d):
     same = F.signum("return_pct") == F.signum("fwd_5d")
     return attributions(spark, d).where("fwd_5d is not null").groupBy("character").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(F.when(same, 1.0).otherwise(0.0))).alias("lean_hit"), r6(F.avg(F.when(~same, 1.0).otherwise(0.0))).alias("fade_hit"))
+
+
+@REG.add("K37a_payloads", "SELECT doc_id, 'doc_' || doc_id AS chunk_id, source AS source_type, (date '2024-01-01' + (doc_id % 300)::int)::varchar AS publication_date, CASE WHEN length(text) <= 600 THEN text ELSE substr(text, 1, 600) || '…' END AS text FROM documents")
+def k37a(spark, d):
+    """Every document as a served page has it."""
+    from eventloom.operators.payload import chunk_payload
+
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("doc_id") % 300).cast("int"))
+    chunks = table(spark, d, "documents").select("doc_id", F.format_string("doc_%d", "doc_id").alias("chunk_id"), F.col("source").alias("source_type"), day.alias("publication_date"), "text")
+    return chunk_payload(chunks, "doc_id").select("doc_id", "chunk.chunk_id", "chunk.source_type", "chunk.publication_date", "chunk.text")

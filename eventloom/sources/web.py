@@ -224,6 +224,43 @@ def reports(pages: DataFrame, publisher: str) -> DataFrame:
     return out.withColumns({"publisher": F.lit(publisher), "target_ticker": cashtag(F.col("title"), F.lit("")), "chunk_id": F.concat_ws("_", F.lit("short_report"), F.lit(publisher), slug(F.col("title")))})
 
 
+# Publishers whose listings are read, and what their ids call them.
+PUBLISHERS = {
+    "Hindenburg Research": "hindenburg",
+    "Muddy Waters Research": "muddy_waters",
+    "Citron Research": "citron",
+    "Kerrisdale Capital": "kerrisdale",
+    "Spruce Point Capital": "spruce_point",
+    "Scorpion Capital": "scorpion",
+}
+
+
+def all_reports(pages: DataFrame, as_of: Column, names: DataFrame | None = None, publishers: dict[str, str] = PUBLISHERS) -> DataFrame:
+    """Reports of all known publishers' listing pages up to as_of, in one pass; a page that holds none gives no rows.
+
+    pages: publisher, place (the order in which they are asked), html (null where the page couldn't be read). A title names its
+    target by cash tag, or else by a company name (names: company, ticker) that it begins with, up to a colon or dash; a
+    report without a date or a target goes. Of equal chunk_ids (publisher, ticker, date) the first page's first link stays.
+    Unknown publishers fail the job.
+    """
+    from eventloom.functions.text import cashtag, company_key, date_in_url
+
+    table = F.create_map(*[F.lit(x) for kv in publishers.items() for x in kv])
+    known = pages.withColumn("_slug", F.coalesce(table[F.col("publisher")], F.raise_error(F.concat(F.lit("unknown publisher: "), F.coalesce("publisher", F.lit("null"))))))
+    links = F.regexp_extract_all("html", F.lit(r"(?is)<a\b[^>]*href=[\"'][^\"']+[\"'][^>]*>.*?</a>"), F.lit(0))
+    each = known.select("publisher", "_slug", F.col("place").alias("_page"), F.posexplode(links).alias("_at", "a"))
+    parsed = each.withColumns({"source_url": F.regexp_extract("a", r"(?is)href=[\"']([^\"']+)[\"']", 1), "title": F.trim(F.regexp_replace(F.regexp_replace("a", r"(?s)<[^>]*>", " "), r"\s+", " "))}).drop("a")
+    dated = parsed.withColumn("publication_date", date_in_url(F.col("source_url"))).where((F.length("title") >= 6) & (F.col("publication_date") <= as_of))
+    tagged = dated.withColumn("target_ticker", cashtag(F.col("title"), F.lit("")))
+    if names is not None:
+        companies = names.select(company_key(F.col("company")).alias("_k"), F.col("ticker").alias("_t")).where("_k <> ''").groupBy("_k").agg(F.min("_t").alias("_t"))
+        tagged = tagged.withColumn("_k", company_key(F.regexp_extract("title", r"^([^:\u2013\u2014-]*)", 1))).join(companies, "_k", "left").withColumn("target_ticker", F.coalesce(F.nullif("target_ticker", F.lit("")), "_t")).drop("_k", "_t")
+    whole = tagged.where(F.coalesce("target_ticker", F.lit("")) != "").withColumn("target_ticker", F.upper("target_ticker"))
+    ided = whole.withColumn("chunk_id", F.concat_ws("_", F.lit("short_report"), "_slug", "target_ticker", F.col("publication_date").cast("string")))
+    out = first_wins(ided, ["chunk_id"], ["_page", "_at"]).drop("_page", "_at", "_slug")
+    return out.withColumns({"thesis_text": F.col("title"), "token_count": F.size(F.split("title", " "))})
+
+
 def approvals(applications: DataFrame, since: Column, as_of: Column) -> DataFrame:
     """Approved submissions of drug applications dated within [since, as_of]. applications: application_number, sponsor_name, brands (array), submissions (array of struct status, date)."""
     each = applications.select("application_number", "sponsor_name", F.get("brands", F.lit(0)).alias("drug_name"), F.explode("submissions").alias("s"))

@@ -232,3 +232,51 @@ def test_sentences_are_trimmed_of_spaces_only(spark):
 
     rows = spark.createDataFrame([([" a0 ", " ", "1b1", "  ", "4"],)], "s array<string>")
     assert rows.select(text.join_sentences(F.col("s")).alias("t")).first().t == "a0 1b1 4"
+
+
+def test_reports_of_all_publishers(spark):
+    a = """<a href="/2024/03/05/x/">Acme Corp: a long story</a> <a href="/2024/03/05/y/">Again on $ACM today</a> <a href="/undated/">$ACM without a date</a> <a href="/2024/05/05/z/">$ACM from the future</a>"""
+    b = """<a href='/2024/02/01/q/'>Nobody knows this one</a><a href="/2024/02/02/r/">Tale of $ACM</a><a href="/2024/02/03/s/">$ACM</a>"""
+    pages = spark.createDataFrame([("Citron Research", 0, a), ("Scorpion Capital", 1, b), ("Kerrisdale Capital", 2, None), ("Muddy Waters Research", 3, "<html>")], "publisher string, place int, html string")
+    names = spark.createDataFrame([("ACME CORP", "ACM")], "company string, ticker string")
+    as_of = F.lit("2024-04-01").cast("date")
+    got = {r.chunk_id: r for r in web.all_reports(pages, as_of, names).collect()}
+    assert set(got) == {"short_report_citron_ACM_2024-03-05", "short_report_scorpion_ACM_2024-02-02"}
+    first = got["short_report_citron_ACM_2024-03-05"]
+    assert first.title == "Acme Corp: a long story" and first.token_count == 5 and first.source_url == "/2024/03/05/x/"
+    # without names the title that names no tag goes, and the next one of that day stays
+    assert {r.title for r in web.all_reports(pages, as_of).collect()} == {"Again on $ACM today", "Tale of $ACM"}
+    with pytest.raises(Exception, match="unknown publisher: Nobody"):
+        web.all_reports(pages.withColumn("publisher", F.lit("Nobody")), as_of).collect()
+
+
+def test_payloads(spark):
+    from eventloom.operators import payload
+
+    rows = spark.createDataFrame([("a", "x" * 600), ("b", "é" * 601), ("c", None), ("d", "")], "chunk_id string, text string").withColumns({"source_type": F.lit("news"), "publication_date": F.lit("2024-01-02")})
+    got = {r.chunk.chunk_id: r.chunk for r in payload.chunk_payload(rows).collect()}
+    assert [got[k].text for k in "abcd"] == ["x" * 600, "é" * 600 + "…", None, ""]
+    assert got["a"].publication_date == "2024-01-02" and got["a"].section_name is None
+    cited = F.array(F.struct(F.lit("a").alias("chunk_id"), F.lit("q").alias("quote"), F.lit("r").alias("reasoning"), F.lit(1).alias("more")))
+    full = spark.range(1).select(payload.dimension_payload(F.lit(0.123456), F.lit("positive"), F.lit("why"), cited, F.array(F.lit("a"))).alias("d")).first().d
+    assert full.asDict(True) == {"cited_evidence": [{"chunk_id": "a", "quote": "q", "reasoning": "r"}], "weight": 0.1235, "direction": "positive", "rationale": "why", "evidence_chunk_ids": ["a"]}
+    empty = F.lit(None).cast("array<struct<chunk_id:string,quote:string,reasoning:string>>")
+    bare = spark.range(1).select(payload.dimension_payload(F.lit(None), F.lit(None).cast("string"), F.lit(None).cast("string"), empty, F.lit(None).cast("array<string>")).alias("d")).first().d
+    assert bare.cited_evidence == [] and bare.evidence_chunk_ids == [] and bare.weight is None
+    assert payload.ticker_order(["A", "B", "C"]) == (["A", "B", "C"], [])
+    assert payload.ticker_order(["A", "B", "C"], " c, x,a ,") == (["C", "A"], ["X"])
+
+
+def test_evaluation_modes_and_gates(spark, capsys, tmp_path):
+    assert cli.main(["evaluate", "calibration", "--data", D, "--json", str(tmp_path / "c.json")], spark) == 0
+    found = json.loads((tmp_path / "c.json").read_text())
+    assert found["mode"] == "calibration" and found["failed"] == sum(not r["passed"] for r in found["rows"])
+    assert cli.main(["evaluate", "calibration", "--data", D, "--gate"], spark) == int(found["failed"] > 0)
+    assert cli.main(["evaluate", "accuracy", "--data", D, "--gate"], spark) == 1
+    capsys.readouterr()
+    assert cli.main(["evaluate", "matrix", "--data", D, "--gate"], spark) == 0
+    bundles = [json.loads(x)["bundle"] for x in capsys.readouterr().out.splitlines()]
+    assert len(bundles) == 7
+    assert cli.main(["evaluate", "matrix", "--data", D, "--bundles", bundles[2]], spark) == 0
+    assert [json.loads(x)["rung"] for x in capsys.readouterr().out.splitlines()] == [2]
+    assert cli.main(["evaluate", "matrix", "--data", D, "--bundles", "none_such"], spark) == 2
