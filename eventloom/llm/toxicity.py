@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -99,13 +100,18 @@ class Classifier:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": {}}
 
+    @cached_property
+    def known(self) -> frozenset[str]:
+        """Entries that have a weight for one word or for several."""
+        return frozenset(k.removesuffix("+") for k in self.weights)
+
     def score(self, text: str) -> float:
         table = self.table
         weighed: dict[str, tuple[str, ...]] = {}
         for raw in set(text.lower().split()):
             found = table.get(raw)
             if found is None:
-                mine = ((w, tuple(k for k in keys(w) if k in self.weights or again(k) in self.weights)) for w in set(WORD.findall(raw)))
+                mine = ((w, tuple(k for k in keys(w) if k in self.known)) for w in set(WORD.findall(raw)))
                 found = tuple(x for x in mine if x[1])
                 if len(table) >= MAX_WORDS:
                     table.clear()
