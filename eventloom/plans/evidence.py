@@ -388,14 +388,16 @@ SELECT move_id, chunk_id, row_number() OVER (PARTITION BY move_id ORDER BY turn,
 @REG.add("K06_K49_assembled", with_(MOVES).rstrip() + ASSEMBLED)
 def k06a(spark, d):
     """A move's chunks from eight streams over six tables: sectioned and staged filings (English documents have both), news, holdings,
-    transcripts, peers' and sector's news, and macro chunks, which have no ticker."""
+    transcripts, peers' and sector's news, and macro chunks, which have no ticker. Filings are chosen before moves meet them, and a
+    move's date goes along into each join, so the one shuffle by move holds only what is listed."""
     from eventloom.operators.pipelines import assemble
 
     m = moves(spark, d).select("move_id", "ticker", "move_date")
     day = lambda start, n: F.date_add(F.lit(start).cast("date"), n.cast("int"))
     row = lambda rows, ticker, id_, kind, date: rows.select(ticker.alias("ticker"), id_.alias("chunk_id"), F.lit(kind).alias("source_type"), date.alias("publication_date"))
     named = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
-    own = lambda rows: m.select("move_id", "ticker").join(rows, "ticker").drop("ticker")
+    until = lambda rows: rows.where("publication_date <= move_date").drop("move_date")
+    own = lambda rows: until(m.join(rows, "ticker").drop("ticker"))
     docs, events = table(spark, d, "documents"), table(spark, d, "events")
     k = F.col("doc_id")
     sectioned = row(docs.where("lang = 'en'"), k % 150, named("k", "doc_id"), "sec_10k", day("2024-01-01", k % 45))
@@ -403,11 +405,12 @@ def k06a(spark, d):
     stream = lambda kind, p, source: own(row(events.where(F.col("event_type") == kind), F.col("user_id"), named(p, "event_id"), source, F.to_date("ts")))
     macro = row(table(spark, d, "nation"), F.lit(None).cast("long"), named("m", "n_nationkey"), "macro", day("2024-01-01", F.col("n_nationkey"))).drop("ticker")
     streams = {
+        "filings": own(V.override(staged_, sectioned, ["ticker", "chunk_id"])),
         "news": stream("click", "n", "news"),
         "thirteen_f": stream("signup", "f", "thirteen_f"),
         "transcripts": own(row(table(spark, d, "orders"), F.col("o_custkey"), named("t", "o_orderkey"), "earnings_transcript", F.to_date("o_orderdate"))),
         "peer": own(row(table(spark, d, "customer"), F.col("c_nationkey"), named("p", "c_custkey"), "peer_news", day("2024-01-01", F.col("c_custkey") % 30))),
         "sector": own(row(table(spark, d, "supplier"), F.col("s_nationkey"), named("s", "s_suppkey"), "sector_news", day("2024-01-01", F.col("s_suppkey") % 30))),
-        "macro": m.select("move_id").join(F.broadcast(macro)),  # a curated table of a few rows, which every move sees
+        "macro": until(m.drop("ticker").join(F.broadcast(macro))),  # a curated table of a few rows, which every move sees
     }
-    return assemble(streams, (own(sectioned), own(staged_)), m).select("move_id", "chunk_id", "place")
+    return assemble(streams).select("move_id", "chunk_id", "place")
