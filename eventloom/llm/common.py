@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Rows of a batch that one call of a batch function sees; it bounds a Python worker's memory.
 BATCH_ROWS = 256
@@ -89,6 +90,34 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
+def map_runs(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str | T.StructType, size: int) -> DataFrame:
+    """Apply fn to runs of rows of about `size` bytes at most (a longer row is alone), over the bounds of Arrow's batches."""
+    bound_batches(df.sparkSession)
+
+    def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if batch.num_rows > 1 and batch.nbytes > size:
+            half = batch.num_rows // 2
+            yield from parts(batch.slice(0, half))
+            yield from parts(batch.slice(half))
+        elif batch.num_rows:
+            yield batch
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        total = 0
+        for batch in batches:
+            for part in parts(batch):
+                if held and total + part.nbytes > size:
+                    yield fn(pa.concat_batches(held))
+                    held, total = [], 0
+                held.append(part)
+                total += part.nbytes
+        if held:
+            yield fn(pa.concat_batches(held))
+
+    return df.mapInArrow(run, schema)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's strings; null counts as the empty text."""
     return ["" if t is None else t for t in batch.column(column).to_pylist()]

@@ -22,11 +22,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventloom.llm.byte_bpe import encoder
-from eventloom.llm.common import discard, map_batches, shared_dir, staged, texts
+from eventloom.llm.byte_bpe import RUN_BYTES, encoder
+from eventloom.llm.common import discard, map_batches, map_runs, shared_dir, staged
 
 #: Ids of a block, at least, but for the last of a shard (a document is never split).
 BLOCK_IDS = 1 << 18
@@ -65,15 +66,15 @@ def encode_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 0) -> DataFra
     """doc_id, n, ids as 16-bit or 32-bit little-endian bytes (the width follows from n), and tie, a hash of these."""
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = encoder(tokenizer_path)
-        out, counts = [], []
-        for t in texts(batch):
-            ids = np.append(e.ids(t), np.uint32(end_id))
-            counts.append(len(ids))
-            out.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids.astype("<u4")).tobytes())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(out, pa.binary()), pa.array(map(zlib.crc32, out), pa.int64())], ["doc_id", "n", "ids", "tie"])
+        every, counts = encoder(tokenizer_path).encode(pc.fill_null(batch.column("text"), ""))
+        out, at = [], 0
+        for n in counts.tolist():
+            ids = np.append(every[at : at + n], np.uint32(end_id))
+            out.append((ids.astype("<u2") if ids.max() < 1 << 16 else ids).tobytes())
+            at += n
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts + 1, pa.int64()), pa.array(out, pa.binary()), pa.array(map(zlib.crc32, out), pa.int64())], ["doc_id", "n", "ids", "tie"])
 
-    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, tie long")
+    return map_runs(docs.select("doc_id", "text"), each, "doc_id long, n long, ids binary, tie long", RUN_BYTES)
 
 
 def _ids(raw: bytes, n: int) -> np.ndarray:
@@ -86,8 +87,10 @@ def count_ids(encoded: DataFrame) -> DataFrame:
     def run(batches):
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for raw, n in zip(batch.column("ids").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                c = np.bincount(_ids(raw, n), minlength=len(total))
+            # the documents of one width in a row
+            wide = pc.greater(pc.binary_length(batch.column("ids")), pc.multiply(batch.column("n"), 2))
+            for which, width in ((pc.invert(wide), "<u2"), (wide, "<u4")):
+                c = np.bincount(np.frombuffer(b"".join(batch.column("ids").filter(which).to_pylist()), width), minlength=len(total))
                 c[: len(total)] += total
                 total = c
         at = np.flatnonzero(total)

@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -12,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from eventloom.llm import byte_bpe, sentencepiece_codec, token_counts, token_files
+from eventloom.llm import byte_bpe, common, sentencepiece_codec, token_counts, token_files
 
 PIECES, BYTES = public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.path("byte_bpe_50k.json")
 BITS = ["a", "b", "the", "  ", " ", " ", "   ", "\n", "é", "€", "漢", "字", "😀", "▁", "ing", "er", "\x00", "<s>", "<0x41>", "ñ", ".", "!!", "\t", "ß", " ", " ", "'s", "12", "\x1c", "\r\n", "\x85"]
@@ -180,3 +181,64 @@ def test_words_of_any_length_and_mark():
             t = f"a {'q' * n}{mark} {'zx' * n}{mark} b"
             assert e.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
             assert e.ids(t).tolist() == lib.encode(t, add_special_tokens=False).ids
+
+
+def test_many_texts_at_once_look_up_distinct_pieces(monkeypatch):
+    asked = []
+    get_all = byte_bpe.Table.get_all
+    monkeypatch.setattr(byte_bpe.Table, "get_all", lambda self, keys: asked.extend(keys) or get_all(self, keys))
+    e = byte_bpe.Encoder(BYTES)
+    ids, counts = e.encode(pa.array(["Start of words, of many words." + " the same words again and again" * 20] * 200))
+    assert len(asked) == len(set(asked)) < 20
+    want = e.library.encode("Start of words, of many words." + " the same words again and again" * 20, add_special_tokens=False).ids
+    assert counts.tolist() == [len(want)] * 200 and ids.tolist() == want * 200
+
+
+@pytest.mark.parametrize("call", [byte_bpe.MAX_CALL, 7])
+def test_texts_in_a_row_equal_library(monkeypatch, call):
+    monkeypatch.setattr(byte_bpe, "MAX_CALL", call)
+    lib, e = Tokenizer.from_file(BYTES), byte_bpe.Encoder(BYTES, offsets=True)
+    every = ["", *mixed(7, 600), "привет, мир\nи все 漢字 漢字 too", "", "<|endoftext|> a", "漢字" * 99, " lead", "trail ", "a\n b", ""]
+    ids, starts, ends, counts = e.encode_spans(pa.array(every))
+    want = [lib.encode(t, add_special_tokens=False) for t in every]
+    before = np.r_[0, np.cumsum([len(t) for t in every])]
+    assert counts.tolist() == [len(w.ids) for w in want] and ids.tolist() == [i for w in want for i in w.ids]
+    assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [(a + b, z + b) for w, b in zip(want, before[:-1].tolist(), strict=True) for a, z in w.offsets]
+
+
+def test_special_tokens_of_any_letters(tmp_path):
+    lib = Tokenizer.from_file(BYTES)
+    lib.add_special_tokens(["<｜end▁of_text｜>", "[a.b]"])
+    for more in ([], ["two words"]):
+        lib.add_special_tokens(more)
+        lib.save(str(tmp_path / "t.json"))
+        e = byte_bpe.Encoder(str(tmp_path / "t.json"), offsets=True)
+        for t in ["a b<｜end▁of_text｜>c d", "x [a.b] y", "x [aab] y", "of two words here", "two of words two"]:
+            want = lib.encode(t, add_special_tokens=False)
+            assert e.ids(t).tolist() == want.ids
+            assert list(zip(*(x.tolist() for x in e.spans(t)[1:]), strict=True)) == want.offsets
+
+
+def test_runs_go_over_the_bounds_of_batches(spark):
+    docs = spark.createDataFrame([(i, "x" * (5000 if i == 9 else i % 7)) for i in range(300)], "i long, text string").coalesce(1)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, 10)
+    try:
+        count = lambda b: pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.column("i").to_pylist()], pa.list_(pa.int64()))], ["n", "i"])
+        got = common.map_runs(docs, count, "n long, i array<long>", 2000).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert [x for r in got for x in r.i] == list(range(300))
+    assert len(got) < 12 and max(r.n for r in got) > 50
+    assert any(r.i == [9] for r in got)
+
+
+def test_ids_of_both_widths_are_counted(spark, small):
+    docs = small.limit(20)
+    both = token_files.encode_ids(docs, BYTES).unionAll(token_files.encode_ids(docs, BYTES, end_id=70_000))
+    lib, want = Tokenizer.from_file(BYTES), {}
+    for r in docs.collect():
+        for i in [*lib.encode(r.text or "", add_special_tokens=False).ids * 2, 0, 70_000]:
+            want[i] = want.get(i, 0) + 1
+    assert {r.id: r.n for r in token_files.count_ids(both).collect()} == want
