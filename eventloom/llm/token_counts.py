@@ -16,24 +16,16 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventloom.llm.byte_bpe import encoder
-from eventloom.llm.common import map_batches, texts
+from eventloom.llm.byte_bpe import RUN_BYTES, encoder
+from eventloom.llm.common import map_runs, texts
 
 RULES = ("first", "last", "most")
 
 
-def line_starts(text: str) -> np.ndarray:
-    """Where each line begins; the newline ends its line."""
-    at, out = text.find("\n"), [0]
-    while at >= 0:
-        out.append(at + 1)
-        at = text.find("\n", at + 1)
-    return np.array(out, np.int64)
-
-
 def attribute(starts: np.ndarray, ends: np.ndarray, bounds: np.ndarray, rule: str) -> np.ndarray:
     """The section of each token; bounds are the sections' first characters, from 0 on."""
     first = np.searchsorted(bounds, starts, side="right") - 1
@@ -57,23 +49,23 @@ def count_sections(docs: DataFrame, tokenizer_path: str, rule: str = "first") ->
         raise ValueError(f"unknown rule {rule!r}; one of {RULES}")
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = encoder(tokenizer_path, offsets=True)
-        totals, counts, crossing = [], [], []
-        for t in texts(batch):
-            _, starts, ends = e.spans(t)
-            bounds = line_starts(t)
-            at = attribute(starts, ends, bounds, rule)
-            first, last = (attribute(starts, ends, bounds, r) for r in ("first", "last"))
-            totals.append(len(starts))
-            counts.append(np.bincount(at, minlength=len(bounds)))
-            crossing.append(int((first != last).sum()))
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(c) for c in counts])].astype(np.int32)), pa.array(np.concatenate(counts).astype(np.int64)))
+        every = pc.fill_null(batch.column("text"), "")
+        _, starts, ends, counts = encoder(tokenizer_path, offsets=True).encode_spans(every)
+        # in all texts in a row, a line begins where a text does and after each newline
+        newline = np.flatnonzero(np.frombuffer("".join(every.to_pylist()).encode("utf-32-le"), "<u4") == ord("\n"))
+        sizes = pc.utf8_length(every).to_numpy(zero_copy_only=False).astype(np.int64)
+        bounds = np.sort(np.r_[np.cumsum(sizes) - sizes, newline + 1])
+        lines = pc.count_substring(every, "\n").to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        first, last = (attribute(starts, ends, bounds, r) for r in ("first", "last"))
+        at = {"first": first, "last": last}[rule] if rule != "most" else attribute(starts, ends, bounds, rule)
+        crossing = np.searchsorted(np.cumsum(counts), np.flatnonzero(first != last), side="right")
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lines)].astype(np.int32)), pa.array(np.bincount(at, minlength=len(bounds)).astype(np.int64)))
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(totals, pa.int64()), pa.array([len(c) for c in counts], pa.int64()), pa.array(crossing, pa.int64()), lists],
+            [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(lines), pa.array(np.bincount(crossing, minlength=len(lines)), pa.int64()), lists],
             ["doc_id", "n_tokens", "n_sections", "n_crossing", "section_tokens"],
         )
 
-    return map_batches(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>")
+    return map_runs(docs.select("doc_id", "text"), each, "doc_id long, n_tokens long, n_sections long, n_crossing long, section_tokens array<long>", RUN_BYTES)
 
 
 def count_fields(rows: DataFrame, key: str, fields: list[str], tokenizer_path: str, separator: str = "\n", rule: str = "first") -> DataFrame:
@@ -88,14 +80,12 @@ def count_fields(rows: DataFrame, key: str, fields: list[str], tokenizer_path: s
     schema = T.StructType([rows.schema[key], *(T.StructField(n, T.LongType()) for n in names[1:])])
 
     def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-        e = encoder(tokenizer_path, offsets=True)
-        out = np.zeros((batch.num_rows, len(fields)), np.int64)
-        for i, row in enumerate(zip(*[texts(batch, f) for f in fields], strict=True)):
-            pieces = [f"{v}{separator}" for v in row[:-1]] + [row[-1]]
-            bounds = np.r_[0, np.cumsum([len(p) for p in pieces])[:-1]]
-            _, starts, ends = e.spans("".join(pieces))
-            # a section without characters holds no token: searchsorted's right side passes over it
-            out[i] = np.bincount(attribute(starts, ends, bounds, rule), minlength=len(fields))
-        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(out.sum(axis=1)), *(pa.array(out[:, k]) for k in range(len(fields)))], names)
-
-    return map_batches(rows.select(key, *fields), each, schema)
+        pieces = [p for row in zip(*[texts(batch, f) for f in fields], strict=True) for p in [*(f"{v}{separator}" for v in row[:-1]), row[-1]]]
+        k = len(fields)
+        _, starts, ends, _ = encoder(tokenizer_path, offsets=True).encode_spans(pa.array(["".join(pieces[i : i + k]) for i in range(0, len(pieces), k)], pa.string()))
+        sizes = np.array([len(p) for p in pieces])
+        # a section without characters holds no token: searchsorted's right side passes over it
+        out = np.bincount(attribute(starts, ends, np.cumsum(sizes) - sizes, rule), minlength=len(pieces)).reshape(-1, k)
+        return pa.RecordBatch.from_arrays([batch.column(key), pa.array(out.sum(axis=1)), *(pa.array(out[:, i]) for i in range(k))], names)
+
+    return map_runs(rows.select(key, *fields), each, schema, RUN_BYTES)

@@ -242,3 +242,30 @@ def test_ids_of_both_widths_are_counted(spark, small):
         for i in [*lib.encode(r.text or "", add_special_tokens=False).ids * 2, 0, 70_000]:
             want[i] = want.get(i, 0) + 1
     assert {r.id: r.n for r in token_files.count_ids(both).collect()} == want
+
+
+def run_of_sections(docs, rule, monkeypatch):
+    made = []
+    with monkeypatch.context() as m:
+        m.setattr(token_counts, "map_runs", lambda df, fn, schema, size: made.append(fn))
+        token_counts.count_sections(docs, BYTES, rule)
+    return lambda every: made[0](pa.RecordBatch.from_arrays([pa.array(range(len(every))), pa.array(every, pa.string())], ["doc_id", "text"])).drop_columns(["doc_id"]).to_pylist()
+
+
+@pytest.mark.parametrize("rule", token_counts.RULES)
+def test_sections_of_texts_in_a_row(small, monkeypatch, rule):
+    run = run_of_sections(small, rule, monkeypatch)
+    every = ["a line\n", "", None, "\n", "b,\n\nc\n", "", "\n\n  \n", "é漢\n😀 x!!\n!!", None, *mixed(9, 300), ""]
+    got = run(every)
+    assert got == [row for t in every for row in run([t])]
+    assert [r["n_sections"] for r in got] == [(t or "").count("\n") + 1 for t in every]
+    assert any(r["n_crossing"] for r in got)
+
+
+def test_sections_of_many_texts_look_up_distinct_pieces(small, monkeypatch):
+    asked = []
+    get_all = byte_bpe.Table.get_all
+    monkeypatch.setattr(byte_bpe.Table, "get_all", lambda self, keys: asked.extend(keys) or get_all(self, keys))
+    got = run_of_sections(small, "first", monkeypatch)(["One line of words,\nand a second line of words"] * 100)
+    assert len(asked) == len(set(asked)) < 20
+    assert got == [got[0]] * 100 and got[0]["n_sections"] == 2
