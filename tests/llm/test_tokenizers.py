@@ -11,7 +11,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import AddedToken, Tokenizer, models, pre_tokenizers
 
 from eventloom.llm import byte_bpe, common, sentencepiece_codec, token_counts, token_files
 
@@ -269,3 +269,19 @@ def test_sections_of_many_texts_look_up_distinct_pieces(small, monkeypatch):
     got = run_of_sections(small, "first", monkeypatch)(["One line of words,\nand a second line of words"] * 100)
     assert len(asked) == len(set(asked)) < 20
     assert got == [got[0]] * 100 and got[0]["n_sections"] == 2
+
+
+def test_tokens_that_do_not_hold_all_bytes(tmp_path):
+    few = Tokenizer(models.BPE(vocab={"Ġ": 0, "a": 1, "b": 2, "Ġa": 3}, merges=[("Ġ", "a")]))
+    few.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    wide = Tokenizer.from_file(BYTES)
+    wide.add_special_tokens([AddedToken("<sp>", lstrip=True)])
+    for lib in (few, wide):
+        lib.save(str(tmp_path / "t.json"))
+        e = byte_bpe.Encoder(str(tmp_path / "t.json"), offsets=True)
+        every = ["a b a", "aé 漢b ab", "xx 漢 a", "a   <sp> b", "", "b"]
+        ids, starts, ends, counts = e.encode_spans(pa.array(every))
+        want = [lib.encode(t, add_special_tokens=False) for t in every]
+        before = np.r_[0, np.cumsum([len(t) for t in every])].tolist()
+        assert counts.tolist() == [len(w.ids) for w in want] and ids.tolist() == [i for w in want for i in w.ids]
+        assert list(zip(starts.tolist(), ends.tolist(), strict=True)) == [(a + b, z + b) for w, b in zip(want, before, strict=False) for a, z in w.offsets]
