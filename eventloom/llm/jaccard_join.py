@@ -50,8 +50,8 @@ TARGET = 0.9995
 SMALL, CHILDREN, STEP_CHILDREN, DEPTH = 192, 3, 2, 4
 #: A bucket with more rows than this is split in DataFrame steps.
 HOT_ROWS = 1024
-#: Tasks over which a node's edges are dealt.
-SALTS = 16
+#: Nodes whose edges a task of `contract` holds at a time.
+HELD = 200_000
 #: Sets of a block of the exact check.
 BLOCK = 256
 
@@ -182,9 +182,11 @@ def forest(n: int, pairs: np.ndarray) -> np.ndarray:
     root = np.arange(n)
     for a, b in pairs.tolist():
         while root[a] != a:
-            a = root[a] = root[root[a]]
+            root[a] = root[root[a]]
+            a = root[a]
         while root[b] != b:
-            b = root[b] = root[root[b]]
+            root[b] = root[root[b]]
+            b = root[b]
         root[max(a, b)] = min(a, b)
     while True:
         up = root[root]
@@ -258,15 +260,15 @@ def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tupl
         yield now, pa.Table.from_batches(held)
 
 
-def small_buckets(rows: DataFrame, depth: int, share: float) -> DataFrame:
-    """Edges (a, b) of candidates within the buckets: each joined to the least of its component there."""
+def small_buckets(rows: DataFrame, share: float) -> DataFrame:
+    """Edges (a, b) of candidates within the buckets: each joined to the least of its component there. rows: depth, path, node, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = [], []
-        for (path,), table in _groups(batches, ["path"]):
+        for (path, depth), table in _groups(batches, ["path", "depth"]):
             nodes = table["node"].to_pylist()
             tokens = np.frombuffer(b"".join(table["tokens"].to_pylist()), np.uint32).reshape(-1, TOKENS)
-            if found := solve(int(path), tokens, depth, share):
+            if found := solve(int(path), tokens, int(depth), share):
                 root = forest(len(nodes), np.concatenate(found))
                 for i in np.flatnonzero(root != np.arange(len(nodes))).tolist():
                     a.append(nodes[root[i]])
@@ -276,58 +278,86 @@ def small_buckets(rows: DataFrame, depth: int, share: float) -> DataFrame:
                 a, b = [], []
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
-    return rows.repartition("path").sortWithinPartitions("path").mapInArrow(run, "a binary, b binary")
+    return rows.repartition("path").sortWithinPartitions("path", "depth", "node").mapInArrow(run, "a binary, b binary")
 
 
 def candidates(nodes: DataFrame, least: float = LEAST) -> DataFrame:
     """Edges between nodes, from all runs."""
-    share = candidate_share(least)
-    rows, edges, used = first_paths(nodes, runs(least)), [], []
+    rows, cold, used = first_paths(nodes, runs(least)), [], []
     for depth in range(1, DEPTH + 1):
         # a table: there may be as many large buckets as there are rows by HOT_ROWS; statistics decide how it is joined
         hot = staged(rows.groupBy("path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select("path"), "hot")
         used.append(hot)
         none = hot.isEmpty()
-        edges.append(staged(small_buckets(rows if none else rows.join(hot, "path", "left_anti"), depth, share), "found"))
+        cold.append((rows if none else rows.join(hot, "path", "left_anti")).select("path", F.lit(depth).alias("depth"), "node", "tokens"))
         if none:
-            discard(*used)
-            return union(edges)
+            break
         large = rows.join(hot, "path", "left_semi")
         rows = staged(large if depth == DEPTH else next_paths(large), "paths")
         used.append(rows)
-    first = rows.groupBy("path").agg(F.min("node").alias("a"))
-    star = staged(rows.select("path", F.col("node").alias("b")).join(first, "path").where(F.col("a") != F.col("b")).select("a", "b"), "found")
+    # the small buckets of all depths in one pass
+    edges = [staged(small_buckets(union(cold), candidate_share(least)), "found")]
+    if not none:
+        first = rows.groupBy("path").agg(F.min("node").alias("a"))
+        edges.append(staged(rows.select("path", F.col("node").alias("b")).join(first, "path").where(F.col("a") != F.col("b")).select("a", "b"), "found"))
     discard(*used)
-    return union([*edges, star])
+    return union(edges)
 
 
-def with_least(edges: DataFrame, to: str) -> DataFrame:
-    """Edges (u, v) with the least v of each u as `to`. A node's edges are dealt to SALTS keys, so a hub's don't meet in one task."""
-    dealt = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    part = dealt.groupBy("u", "salt").agg(F.min("v").alias("m"))
-    least = part.groupBy("u").agg(F.min("m").alias(to))
-    return dealt.join(part.select("u", "salt").join(least, "u"), ["u", "salt"]).drop("salt")
+def contract(rows: DataFrame) -> DataFrame:
+    """Edges (u, v), u > v, with the components of rows whose columns are nodes that hang together: each node is joined to the least
+    that its task's rows connect it with. A task holds HELD nodes at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[bytes, bytes] = {}
+
+        def root(x: bytes) -> bytes:
+            while x in up:
+                p = up[x]
+                if p in up:
+                    p = up[x] = up[p]
+                x = p
+            return x
+
+        def stars() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(up), pa.binary()), pa.array([root(x) for x in up], pa.binary())], ["u", "v"])
+
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                a = root(row[0])
+                for x in row[1:]:
+                    b = root(x)
+                    if a != b:
+                        a, b = min(a, b), max(a, b)
+                        up[b] = a
+            if len(up) > HELD:
+                yield stars()
+                up.clear()
+        yield stars()
+
+    return rows.mapInArrow(run, "u binary, v binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node that has an edge, by large and small stars until nothing changes."""
-    pairs = staged(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    before = None
+    """(node, root) of every node that has an edge (a, b); root is the least node of the component.
+
+    A round takes each node's least neighbour (or itself) as its label. If both ends of all edges have one label, it is the root. If
+    not, both ends and their labels hang together and are contracted. So a label becomes at most the label's own, as by pointer
+    jumping, and of two labels that meet on an edge the greater gets the lesser one as a neighbour; some label falls in
+    each round. A hub's edges are summed up in the tasks that read them, and what is joined is staged, so that statistics
+    decide how, and a hub's partition can be split."""
+    pairs = staged(contract(edges.select("a", "b")), "edges")
     while True:
-        both = pairs.unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = with_least(both, "m").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-        large = staged(up.where(F.col("u") != F.col("v")).distinct(), "stars")
-        small = with_least(large, "m").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("x")).select("x.u", "x.v").where(F.col("u") != F.col("v"))
-        after = staged(small.distinct(), "edges")
-        state = tuple(after.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first())
-        discard(pairs, large)
-        pairs = after
-        if state == before:
-            roots = pairs.select(F.col("u").alias("node"), F.col("v").alias("root"))
-            out = staged(roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct()), "components")
+        both = pairs.unionAll(pairs.select("v", "u"))
+        labels = staged(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("least")).select("node", F.least("node", "least").alias("root")), "components")
+        for end in ("u", "v"):
+            ends = (pairs if end == "u" else ends).join(labels.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root")), end)
+        if ends.where("u_root != v_root").isEmpty():
             discard(pairs)
-            return out
-        before = state
+            return labels
+        after = staged(contract(ends), "edges")
+        discard(pairs, labels)
+        pairs = after
 
 
 def links(a: list[np.ndarray], b: list[np.ndarray] | None, least: float) -> np.ndarray:
@@ -401,7 +431,7 @@ def verify(groups: DataFrame, sets: DataFrame, least: float) -> DataFrame:
             columns = ([nodes[k] for k in some] + [nodes[root[k]] for k in joined], [None] * len(some) + [nodes[k] for k in joined], count[some].tolist() + [0] * len(joined))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(columns, kinds, strict=True)], ["a", "b", "n"])
 
-    return full.select("node", "weight", "shingles", "mine", "root", "i", "j").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(run, "a binary, b binary, n long")
+    return full.select("node", "weight", "shingles", "mine", "root", "i", "j").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j", "node").mapInArrow(run, "a binary, b binary, n long")
 
 
 def join_similar(docs: DataFrame, least: float = LEAST, propose: Callable[[DataFrame, float], DataFrame] = candidates) -> DataFrame:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import itertools
 import random
 import re
 
@@ -90,6 +91,70 @@ def test_buckets_that_stay_large():
     assert (root == 0).all()
 
 
+def graphs():
+    """Paths in order, against it and at random, a hub, far ends that meet, and sparse random edges."""
+    r = random.Random(5)
+    n = 60
+    mixed = r.sample(range(n), n)
+    yield "up", [(i, i + 1) for i in range(n - 1)]
+    yield "mixed", list(itertools.pairwise(mixed))
+    yield "hub", [(n // 2, i) for i in range(n)]
+    yield "ends", [(i, n - 1) for i in range(0, n, 2)] + [(i, i + 1) for i in range(1, n - 3, 4)]
+    yield "sparse", [(r.randrange(400), r.randrange(400)) for _ in range(190)]
+    yield "none", []
+
+
+def least_members(n, pairs):
+    root = list(range(n))
+    while True:
+        before = list(root)
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            return root
+
+
+def test_forest():
+    for name, pairs in graphs():
+        for order in (pairs, pairs[::-1]):
+            assert jj.forest(400, np.array(order, np.int64).reshape(-1, 2)).tolist() == least_members(400, pairs), name
+
+
+@pytest.mark.parametrize("held", [200_000, 3])
+def test_components(spark, monkeypatch, held):
+    monkeypatch.setattr(jj, "HELD", held)
+    edges, want = [], {}
+    for name, pairs in graphs():
+        root = least_members(400, pairs)
+        want |= {f"{name}{i:03}": f"{name}{root[i]:03}" for i in {x for a, b in pairs if a != b for x in (a, b)}}
+        edges += [(f"{name}{a:03}".encode(), f"{name}{b:03}".encode()) for a, b in pairs]
+    random.Random(6).shuffle(edges)
+    for rows in (edges, []):
+        got = jj.components(spark.createDataFrame(rows, "a binary, b binary").repartition(7)).collect()
+        assert {bytes(x.node).decode(): bytes(x.root).decode() for x in got} == (want if rows else {}) and len(got) == (len(want) if rows else 0)
+
+
+def test_few_shuffles(spark, monkeypatch):
+    """Each costs a task for each partition, however little there is: components take one a round, small buckets one for all depths."""
+    made, whole = [], jj.staged
+
+    def staged(df, name):
+        made.append((name, df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")))
+        return whole(df, name)
+
+    monkeypatch.setattr(jj, "staged", staged)
+    r = random.Random(4)
+    edges = [(f"{r.randrange(k, k + 60):04}".encode(), f"{k:04}".encode()) for k in range(0, 600, 60) for _ in range(400)]
+    assert jj.components(spark.createDataFrame(edges, "a binary, b binary").repartition(5)).count() <= 600
+    assert max(n for _, n in made) == 1 and sum(n for _, n in made) <= 2
+    made.clear()
+    monkeypatch.setattr(jj, "HOT_ROWS", 20)
+    texts = [" ".join(f"w{k}" if k % 50 != i % 50 else f"x{i}" for k in range(100)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(jj.join_similar(docs)) == brute(docs.collect())
+    assert sum(name == "hot" for name, _ in made) == jj.DEPTH and sum(name == "found" for name, _ in made) == 2
+
+
 def test_pack():
     h = jj.shingles("a b c d e f g h")
     assert len(h) == 4 and (jj.unpack(jj.pack(h)) == h).all()
